@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from cutloom.llm.binary_ids import op5_binary_ids
+from cutloom.llm.language import op7_language
 from cutloom.llm.packing import op1_packing
+from cutloom.llm.quality import op4_quality
+from cutloom.llm.warc import OP2_SQL, op2_warc
 
-QUERIES = {"op1_packing": op1_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
+    "op4_quality": op4_quality,
+    "op5_binary_ids": op5_binary_ids,
+    "op7_language": op7_language,
+}
+ORACLE_SQL = {"op2_warc": OP2_SQL}
