@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from cutloom.llm.binary_ids import op5_binary_ids
+from cutloom.llm.decontaminate import OP3_SQL, op3_decontamination
 from cutloom.llm.language import op7_language
+from cutloom.llm.neardup import op9_neardup
 from cutloom.llm.packing import op1_packing
 from cutloom.llm.quality import op4_quality
 from cutloom.llm.warc import OP2_SQL, op2_warc
@@ -11,8 +13,10 @@ from cutloom.llm.warc import OP2_SQL, op2_warc
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_binary_ids": op5_binary_ids,
     "op7_language": op7_language,
+    "op9_neardup": op9_neardup,
 }
-ORACLE_SQL = {"op2_warc": OP2_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_decontamination": OP3_SQL}
