@@ -5,9 +5,11 @@ from __future__ import annotations
 from cutloom.llm.binary_ids import op5_binary_ids
 from cutloom.llm.decontaminate import OP3_SQL, op3_decontamination
 from cutloom.llm.language import op7_language
+from cutloom.llm.media import op10_media
 from cutloom.llm.neardup import op9_neardup
 from cutloom.llm.packing import op1_packing
 from cutloom.llm.quality import op4_quality
+from cutloom.llm.token_counts import op8_token_counts
 from cutloom.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_binary_ids": op5_binary_ids,
     "op7_language": op7_language,
+    "op8_token_counts": op8_token_counts,
     "op9_neardup": op9_neardup,
+    "op10_media": op10_media,
 }
 ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_decontamination": OP3_SQL}
