@@ -10,6 +10,7 @@ from cutloom.llm.neardup import op9_neardup
 from cutloom.llm.packing import op1_packing
 from cutloom.llm.quality import op4_quality
 from cutloom.llm.token_counts import op8_token_counts
+from cutloom.llm.toolcalls import op6_toolcalls
 from cutloom.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_binary_ids": op5_binary_ids,
+    "op6_toolcalls": op6_toolcalls,
     "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
     "op9_neardup": op9_neardup,
