@@ -73,6 +73,15 @@ def merged_ranges(starts, ends) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks(items: Sequence, size: int) -> Iterator[Sequence]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
+def stretches(texts: Sequence, characters: int = 4_000_000) -> Iterator[slice]:
+    """Slices of a batch with about so many characters of text each, and one text at least: bounds what a task holds."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text) if isinstance(text, (str, bytes)) else 0
+        if held and held + size > characters:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += size
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import crc32_of_id, table
+from cutloom.llm.common import crc32_of_id, stretches, table
 
 #: Expected training documents at most, and words taken from all of them together at most (chains picked evenly).
 MAX_TRAIN = 1_500
@@ -241,8 +241,10 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, score = label(shared.value, [t if isinstance(t, str) else None for t in batch["text"]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": score})
+            for some in stretches(batch["text"].tolist()):
+                part = batch.iloc[some]
+                names, score = label(shared.value, [t if isinstance(t, str) else None for t in part["text"]])
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "lang_pred": names, "score": score})
 
     picked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -258,8 +260,11 @@ def keep_identified(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
-        names, score = label(shared.value, [t if isinstance(t, str) else None for t in text])
-        return pd.Series([n != UNKNOWN and s >= threshold for n, s in zip(names, score)], dtype=bool)
+        out: list[bool] = []
+        for some in stretches(text.tolist()):
+            names, score = label(shared.value, [t if isinstance(t, str) else None for t in text.iloc[some]])
+            out += [n != UNKNOWN and s >= threshold for n, s in zip(names, score)]
+        return pd.Series(out, dtype=bool)
 
     return docs.filter(known(F.col("text").cast("string")))
 
