@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from cutloom.plans import words
+
 
 def queries() -> dict:
-    return {}
+    return dict(words.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(words.SQL)
