@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cutloom.plans import words
+from cutloom.plans import edits, words
+
+PLANS = (words, edits)
 
 
 def queries() -> dict:
-    return dict(words.QUERIES)
+    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(words.SQL)
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}

@@ -30,18 +30,22 @@ def point_join(points: DataFrame, at: Column, intervals: DataFrame, inside: Colu
     return p.join(intervals, on, how).drop("_at_bucket", "_asset", "_bucket")
 
 
-_TWICE_MID = F.col("start_us") + F.col("end_us")
-_MID_INSIDE = (_TWICE_MID >= 2 * F.col("_start")) & (_TWICE_MID < 2 * F.col("_end"))
+def twice_mid() -> Column:
+    return F.col("start_us") + F.col("end_us")
+
+
+def mid_inside() -> Column:
+    return (twice_mid() >= 2 * F.col("_start")) & (twice_mid() < 2 * F.col("_end"))
 
 
 def drop_words(words: DataFrame, windows: DataFrame) -> DataFrame:
     """Words whose midpoint lies in no window [start, end)."""
-    return point_join(words, _TWICE_MID / 2, bucketed(windows), _MID_INSIDE, "left_anti")
+    return point_join(words, twice_mid() / 2, bucketed(windows), mid_inside(), "left_anti")
 
 
 def keep_words(words: DataFrame, segments: DataFrame) -> DataFrame:
     """Words whose midpoint lies in a segment [start, end)."""
-    return point_join(words, _TWICE_MID / 2, bucketed(segments), _MID_INSIDE, "left_semi")
+    return point_join(words, twice_mid() / 2, bucketed(segments), mid_inside(), "left_semi")
 
 
 def contained_words(words: DataFrame, segments: DataFrame, tolerance_us: int = 10_000) -> DataFrame:
