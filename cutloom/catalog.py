@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutloom.plans import edits, words
+from cutloom.plans import edits, quality, words
 
-PLANS = (words, edits)
+PLANS = (words, edits, quality)
 
 
 def queries() -> dict:

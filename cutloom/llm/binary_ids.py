@@ -24,15 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import filesystem, scratch, staged, table, tokenizer_path
-from cutloom.llm.tokens import encoder
+from cutloom.llm.common import filesystem, scratch, staged, stretches, table, tokenizer_path
+from cutloom.llm.tokens import encoder, vocabulary_size
 
 MAGIC = b"HUFIDS1\n"
 MAX_BITS = 20
 BLOCK = 256
 END_ID = 0
 #: Ids in one file at most; a longer range gives several files.
-FILE_IDS = 8_000_000
+FILE_IDS = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -128,7 +128,7 @@ def decode_bits(packed: bytes, offsets: np.ndarray, n: int, symbol, bits, block:
     return out.reshape(-1)[:n]
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, kind: str):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +136,9 @@ def _tokenise(path: str, end_id: int):
 
         encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in encode(batch["text"])]
+            texts = batch["text"].tolist()
+            coded = (x for some in stretches(texts) for x in encode(texts[some]))
+            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in coded]
             out = pd.DataFrame({"part": part, "pos": np.arange(at, at + len(ids)), "doc_id": batch["doc_id"], "ids": ids})
             at += len(ids)
             yield out
@@ -144,15 +146,18 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        got = np.bincount(np.frombuffer(b"".join(batch["ids"]), "<u4"))
-        if len(got) > len(counts):
-            counts, got = got, counts
-        counts[: len(got)] += got
-    ids = np.flatnonzero(counts)
-    yield pd.DataFrame({"id": ids, "n": counts[ids]})
+def _count(kind: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            got = np.bincount(np.frombuffer(b"".join(batch["ids"]), kind))
+            if len(got) > len(counts):
+                counts, got = got, counts
+            counts[: len(got)] += got
+        ids = np.flatnonzero(counts)
+        yield pd.DataFrame({"id": ids, "n": counts[ids]})
+
+    return run
 
 
 def file_bytes(ids: np.ndarray, doc_ids: list, sizes: list[int], part: int, seq: int, lengths: np.ndarray, codes: np.ndarray) -> bytes:
@@ -183,34 +188,34 @@ def read_file(data: bytes) -> tuple[dict, list, np.ndarray, np.ndarray]:
     return h, [None if i in null else d for i, d in enumerate(doc_ids.tolist())], sizes, ids
 
 
-def _write(folder: str, lengths: np.ndarray):
+def _write(folder: str, lengths: np.ndarray, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = canonical_codes(lengths)
+        codes, size = canonical_codes(lengths), np.dtype(kind).itemsize
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         held: list[tuple] = []
-        part, seq, waiting = None, 0, 0
+        part, seq, following, waiting = None, 0, None, 0
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal held, seq, waiting
             if held:
-                ids = np.frombuffer(b"".join(x[1] for x in held), "<u4")
-                sizes = [len(x[1]) // 4 for x in held]
+                ids = np.frombuffer(b"".join(x[1] for x in held), kind)
+                sizes = [len(x[1]) // ids.itemsize for x in held]
                 data = file_bytes(ids, [x[0] for x in held], sizes, part, seq, lengths, codes)
-                name = f"part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.huf"
+                name = f"part-{part:06d}-{seq:010d}-{uuid.uuid4().hex}.huf"
                 with fs.open_output_stream(f"{base}/{name}") as f:
                     f.write(data)
                 yield pd.DataFrame({"path": [f"{folder}/{name}"], "part": [part], "seq": [seq], "n_ids": [len(ids)], "n_bytes": [len(data)]})
-                seq += 1
                 held, waiting = [], 0
 
         for batch in batches:
-            for p, d, ids in zip(batch["part"], batch["doc_id"], batch["ids"]):
-                if p != part:
+            for p, pos, d, ids in zip(batch["part"], batch["pos"], batch["doc_id"], batch["ids"]):
+                if p != part or pos != following or not held:  # seq is the place of a file's first document in its range
                     yield from flush()
-                    part, seq = int(p), 0
+                    part, seq = int(p), int(pos)
+                following = pos + 1
                 held.append((None if pd.isna(d) else int(d), ids))
-                waiting += len(ids) // 4
+                waiting += len(ids) // size
                 if waiting >= FILE_IDS:
                     yield from flush()
         yield from flush()
@@ -227,23 +232,23 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
     spark = docs.sparkSession
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = picked.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ids = staged(dealt.mapInPandas(_tokenise(tokenizer, end_id), "part int, pos long, doc_id long, ids binary"), "ids")
+    kind = "<u2" if max(end_id, vocabulary_size(tokenizer) - 1) < 1 << 16 else "<u4"
+    ids = staged(dealt.mapInPandas(_tokenise(tokenizer, end_id, kind), "part int, pos long, doc_id long, ids binary"), "ids")
     # One row for each id of the vocabulary at most.
-    counted = ids.select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = ids.select("ids").mapInPandas(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end_id, *(r.id for r in counted)]) + 1, dtype=np.int64)
     for r in counted:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
-    # A range is read by one task, in its order; the sort only moves rows where Spark has cut a file.
-    by_part = ids.repartition(F.col("part")).sortWithinPartitions("part", "pos").select("part", "doc_id", "ids")
-    manifest = staged(by_part.mapInPandas(_write(folder, lengths), "path string, part int, seq int, n_ids long, n_bytes long"), "ids-manifest")
+    # No shuffle: Spark reads stretches of a range in their order, and each becomes files with its place in the range.
+    manifest = staged(ids.mapInPandas(_write(folder, lengths, kind), "path string, part int, seq long, n_ids long, n_bytes long"), "ids-manifest")
     # One row for each file: their starts are sums over a short list.
     files = sorted(manifest.collect(), key=lambda r: (r.part, r.seq))
     rows, start = [], 0
     for r in files:
         rows.append((*r, start))
         start += r.n_ids
-    return spark.createDataFrame(rows, "path string, part int, seq int, n_ids long, n_bytes long, start long")
+    return spark.createDataFrame(rows, "path string, part int, seq long, n_ids long, n_bytes long, start long")
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:

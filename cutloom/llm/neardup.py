@@ -6,8 +6,8 @@
    the path picks the coordinates to branch by, 1/threshold of them on average, so that a pair at the threshold is
    expected to share one child.  Paths start two levels deep; nodes with one class end at once.
 3. In a node every class is compared with the node's smallest one, by sketches, with a margin below the threshold.  If
-   all match, the node is one loose component and ends.  Else small nodes are compared exhaustively and large ones branch
-   again.  The work is linear in the rows of a node, and no pairs within a large node are emitted.
+   all match, the node is one loose component and ends.  Else small nodes are compared exhaustively, and large ones,
+   unless other links already connect all their classes, branch again.  The work is linear in the rows of a node, and no pairs within a large node are emitted.
 4. Loose components are confirmed on full shingle sets, rebuilt from whole texts: small ones in one task each, large
    ones in blocks that share pivots; classes that pivots don't reach are compared with all blocks.
 """
@@ -30,7 +30,7 @@ SHINGLE = 5
 SIZE = 128
 TREES = 12
 #: Nodes up to this size are compared exhaustively when their smallest class doesn't match all.
-LEAF, DEEP_LEAF, DEEP = 128, 1024, 8
+LEAF, DEEP_LEAF, DEEP = 512, 2048, 6
 MAX_DEPTH = 60
 #: Standard deviations of the sketches' estimate below the threshold that still count as a loose match.
 MARGIN = 4.7
@@ -238,6 +238,10 @@ def _with_sketch(rows: DataFrame, reps: DataFrame, key: str, name: str) -> DataF
     return rows.join(side, F.col(key) == F.col("_rep")).drop("_rep")
 
 
+def _sizes(rows: DataFrame, limit: int):
+    return rows.agg(F.count_if(F.col("size") <= limit).alias("small"), F.count_if(F.col("size") > limit).alias("large")).first()
+
+
 def loose_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """reps(rep, sketch) -> edges(u, v) whose components hold all pairs at the threshold (with the trees' recall)."""
     least = loose(threshold)
@@ -257,7 +261,13 @@ def loose_edges(reps: DataFrame, threshold: float) -> DataFrame:
         open_paths = members.join(failed, (F.col("rep") == F.col("_rep")) & (F.col("pivot") == F.col("_pivot"))).select(F.col("path").alias("_path")).distinct()
         rest = staged(members.join(open_paths, F.col("path") == F.col("_path")).select("path", "rep", "size").filter("size > 2"), "open")
         limit = LEAF if depth < DEEP else DEEP_LEAF
-        counts = rest.agg(F.count_if(F.col("size") <= limit).alias("small"), F.count_if(F.col("size") > limit).alias("large")).first()
+        counts = _sizes(rest, limit)
+        if counts.large:  # large nodes whose classes other links already connect need no more work
+            labels = components(found).withColumnRenamed("node", "_node")
+            named = rest.join(labels, F.col("rep") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "rep"))
+            several = named.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+            rest = staged(rest.join(several.select(F.col("path").alias("_path")), F.col("path") == F.col("_path")).drop("_path"), "open")
+            counts = _sizes(rest, limit)
         if counts.small:
             small = _with_sketch(rest.filter(F.col("size") <= limit), reps, "rep", "sketch").select("path", "rep", "sketch")
             dealt = small.repartition("path").sortWithinPartitions("path", "rep")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import table, tokenizer_path
+from cutloom.llm.common import stretches, table, tokenizer_path
 from cutloom.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -108,7 +108,9 @@ def _packer(path: str, capacity: int, block_tokens: int, end_id: int, with_ids:
 
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"])):
+            texts = batch["text"].tolist()
+            coded = (ids for some in stretches(texts) for ids in encode(texts[some]))
+            for doc_id, ids in zip(batch["doc_id"], coded):
                 ids += end
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 n = len(ids) // 4

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import table, tokenizer_path
+from cutloom.llm.common import stretches, table, tokenizer_path
 
 LIMIT = 4096
 CACHE = 600_000
@@ -164,7 +164,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = prefix_counts(model).counts
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": counts(list(batch["text"]))})
+            texts = batch["text"].tolist()
+            n = [counts(texts[some]) for some in stretches(texts)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": np.concatenate(n) if n else []})
 
     picked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -44,7 +44,7 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, max_entries: int = 1_000_000):
+    def __init__(self, path: str, max_entries: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,3 +132,11 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker and vocabulary file."""
     return PieceEncoder(path)
+
+
+def vocabulary_size(path: str) -> int:
+    """Ids run below this, added tokens included."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    return max(vocabulary.values(), default=-1) + 1
