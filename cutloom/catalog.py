@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutloom.plans import edits, quality, words
+from cutloom.plans import edits, quality, script, words
 
-PLANS = (words, edits, quality)
+PLANS = (words, edits, quality, script)
 
 
 def queries() -> dict:
