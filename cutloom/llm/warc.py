@@ -33,6 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 
+_ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length"}
+
 
 def _base32(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -91,7 +93,10 @@ def _parse(data: bytes, at: int, exact: bool) -> tuple[dict[str, str], bytes | N
         name, colon, value = line.partition(b":")
         if not colon:
             raise _Bad("header line without colon")
-        headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        key = name.decode("latin-1").strip().lower()
+        if key in headers and key in _ONCE:  # two records ran into one
+            raise _Bad("repeated header")
+        headers[key] = value.decode("utf-8", "replace").strip()
     length = headers.get("content-length", "")
     if not length.isdecimal():
         raise _Bad("no content length")
