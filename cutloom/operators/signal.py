@@ -33,6 +33,23 @@ def valley(points: DataFrame, frames: DataFrame, window: int) -> DataFrame:
     return j.groupBy("asset_id", "point_id", "frame_at").agg(F.min(F.struct("rms", "frame_idx")).alias("b")).select("asset_id", "point_id", "frame_at", F.col("b.frame_idx").alias("frame_idx"), F.col("b.rms").alias("rms"))
 
 
+def snap_edges(edges: DataFrame, frames: DataFrame, window: int, least: int) -> DataFrame:
+    """edges(asset_id, start_frame, end_frame): the start moves to the quietest frame within window on its right, the end
+    to that on its left, the outermost of equals; both stay where fewer than least frames would be left."""
+    key = ["asset_id", "start_frame", "end_frame"]
+
+    def quiet(low, high, order):
+        near = edges.distinct().withColumn("frame_idx", F.explode(F.sequence(low, high))).join(frames, ["asset_id", "frame_idx"])
+        return near.groupBy(*key).agg(F.min(F.struct("rms", (F.col("frame_idx") * order).alias("o"))).alias("b")).select(*key, (F.col("b.o") * order).alias("at"))
+
+    s, e = F.col("start_frame"), F.col("end_frame")
+    left = quiet(s, s + window, 1).withColumnRenamed("at", "_s")
+    right = quiet(e - window, e, -1).withColumnRenamed("at", "_e")
+    out = edges.join(left, key, "left").join(right, key, "left")
+    fits = F.coalesce(F.col("_e") - F.col("_s") >= least, F.lit(False))
+    return out.select("asset_id", F.when(fits, F.col("_s")).otherwise(s).alias("start_frame"), F.when(fits, F.col("_e")).otherwise(e).alias("end_frame"))
+
+
 def decibel(rms: Column) -> Column:
     return 20 * F.log10(rms + 1e-9)
 

@@ -9,6 +9,7 @@ from cutloom.operators import align as A
 from cutloom.operators import retakes as R
 from cutloom.operators import signal as G
 from cutloom.operators import speech as P
+from cutloom.plans import quality as Q
 from cutloom.plans.edits import _ALL_CUTS, _CUES, all_cuts, cues
 from cutloom.plans.sql import SEGMENTS, WORDS, select
 from cutloom.plans.words import _POINTS, points
@@ -29,11 +30,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query(select(WORDS, r"""
-, n AS (SELECT asset_id, word_idx, regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g') AS norm, start_us, end_us, coalesce(lead(start_us) OVER w - end_us > 250000, true) AS pause FROM words WINDOW w AS (PARTITION BY asset_id ORDER BY word_idx)),
+@query(select(WORDS + r""",
+n AS (SELECT asset_id, word_idx, regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g') AS norm, start_us, end_us, coalesce(lead(start_us) OVER w - end_us > 250000, true) AS pause FROM words WINDOW w AS (PARTITION BY asset_id ORDER BY word_idx)),
 c AS (SELECT *, sum(length(norm)) OVER (PARTITION BY asset_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS cum FROM n),
-p AS (SELECT a.asset_id, a.word_idx AS i, b.word_idx AS j, a.start_us, b.end_us, b.pause, b.cum - a.cum + length(a.norm) AS n_chars FROM c a JOIN c b ON b.asset_id = a.asset_id AND b.word_idx BETWEEN a.word_idx + 2 AND a.word_idx + 70)
-SELECT asset_id, i, j, CASE WHEN pause THEN 0 ELSE 1 END AS track, start_us, end_us, CAST(n_chars AS INTEGER) AS n_chars FROM p WHERE n_chars BETWEEN 4 AND 60 AND (pause OR j - i < 10)""".lstrip()).replace("\n, n AS", ",\nn AS", 1))
+p AS (SELECT a.asset_id, a.word_idx AS i, b.word_idx AS j, a.start_us, b.end_us, b.pause, b.cum - a.cum + length(a.norm) AS n_chars FROM c a JOIN c b ON b.asset_id = a.asset_id AND b.word_idx BETWEEN a.word_idx + 2 AND a.word_idx + 70)""", r"""
+SELECT asset_id, i, j, CASE WHEN pause THEN 0 ELSE 1 END AS track, start_us, end_us, CAST(n_chars AS INTEGER) AS n_chars FROM p WHERE n_chars BETWEEN 4 AND 60 AND (pause OR j - i < 10)"""))
 def w12_windows(spark, sf_dir):
     """Candidate windows for retakes."""
     return R.windows(D.words(spark, sf_dir)).select("asset_id", "i", "j", "track", "start_us", "end_us", F.length("norm").alias("n_chars"))
@@ -68,23 +69,23 @@ def ranged(spark, sf_dir):
     return D.words(spark, sf_dir).withColumn("range_id", F.floor(F.col("word_idx") / 60))
 
 
-@query(select(WORDS + _RANGED, """
-, a AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY asset_id, range_id ORDER BY word_idx) > 800000 THEN 1 ELSE 0 END AS cut, min(start_us) OVER (PARTITION BY asset_id, range_id) AS lo, max(end_us) OVER (PARTITION BY asset_id, range_id) AS hi FROM rw),
-b AS (SELECT *, sum(cut) OVER (PARTITION BY asset_id, range_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS island FROM a)
-SELECT asset_id, range_id, min(word_idx) AS first_idx, max(word_idx) AS last_idx, greatest(min(start_us) - 150000, min(lo)) AS start_us, least(max(end_us) + 150000, min(hi)) AS end_us FROM b GROUP BY asset_id, range_id, island""".lstrip()).replace("\n, a AS", ",\na AS", 1))
+@query(select(WORDS + _RANGED + """,
+a AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY asset_id, range_id ORDER BY word_idx) > 800000 THEN 1 ELSE 0 END AS cut, min(start_us) OVER (PARTITION BY asset_id, range_id) AS lo, max(end_us) OVER (PARTITION BY asset_id, range_id) AS hi FROM rw),
+b AS (SELECT *, sum(cut) OVER (PARTITION BY asset_id, range_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS island FROM a)""", """
+SELECT asset_id, range_id, min(word_idx) AS first_idx, max(word_idx) AS last_idx, greatest(min(start_us) - 150000, min(lo)) AS start_us, least(max(end_us) + 150000, min(hi)) AS end_us FROM b GROUP BY asset_id, range_id, island"""))
 def w3_split_ranges(spark, sf_dir):
     """Ranges of words cut at pauses of more than 0.8 s."""
     return P.split_ranges(ranged(spark, sf_dir))
 
 
-@query(select(WORDS + _RANGED, r"""
-, a AS (SELECT *, CASE WHEN lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')) IN ('the', 'que', 'la', 'in', 'un', 'les') AND coalesce(start_us - lag(end_us) OVER w, 300000) >= 300000 AND coalesce(lead(start_us) OVER w - end_us, 300000) >= 300000 THEN 1 ELSE 0 END AS o
+@query(select(WORDS + _RANGED + r""",
+a AS (SELECT *, CASE WHEN lower(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')) IN ('the', 'que', 'la', 'in', 'un', 'les') AND coalesce(start_us - lag(end_us) OVER w, 300000) >= 300000 AND coalesce(lead(start_us) OVER w - end_us, 300000) >= 300000 THEN 1 ELSE 0 END AS o
   FROM rw WINDOW w AS (PARTITION BY asset_id ORDER BY word_idx)),
 b AS (SELECT *, min(o) OVER (PARTITION BY asset_id, range_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS head, min(o) OVER (PARTITION BY asset_id, range_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM a),
 g AS (SELECT asset_id, range_id, min(start_us) AS s, max(end_us) AS e, max(CASE WHEN head = 1 THEN end_us END) AS h, min(CASE WHEN tail = 1 AND head = 0 THEN start_us END) AS t, CAST(sum(greatest(head, tail)) AS BIGINT) AS n_removed FROM b GROUP BY 1, 2),
 x AS (SELECT *, CASE WHEN h IS NOT NULL THEN least(h + 150000, e) ELSE s END AS start_us FROM g),
-y AS (SELECT *, CASE WHEN t IS NOT NULL THEN greatest(t - 150000, start_us) ELSE e END AS end_us FROM x)
-SELECT asset_id, range_id, start_us, end_us, n_removed FROM y WHERE end_us - start_us >= 50000""".lstrip()).replace("\n, a AS", ",\na AS", 1))
+y AS (SELECT *, CASE WHEN t IS NOT NULL THEN greatest(t - 150000, start_us) ELSE e END AS end_us FROM x)""", r"""
+SELECT asset_id, range_id, start_us, end_us, n_removed FROM y WHERE end_us - start_us >= 50000"""))
 def w16_trimmed_ranges(spark, sf_dir):
     """Ranges without fillers that stand apart at their ends."""
     return P.trim_fillers(ranged(spark, sf_dir), F.lower(T.normalize(F.col("word"))).isin(*D.FILLERS))
@@ -97,14 +98,14 @@ def j14_next_words(spark, sf_dir):
     return P.next_words(points(spark, sf_dir), D.words(spark, sf_dir))
 
 
-@query(select(WORDS, r"""
-, n AS (SELECT asset_id, word_idx, start_us, end_us, regexp_replace(word, '[\s，。、！？,.!?]', '', 'g') AS n FROM words),
+@query(select(WORDS + r""",
+n AS (SELECT asset_id, word_idx, start_us, end_us, regexp_replace(word, '[\s，。、！？,.!?]', '', 'g') AS n FROM words),
 t AS (SELECT asset_id, string_agg(n, '' ORDER BY word_idx) AS text FROM n GROUP BY 1),
 q AS (SELECT asset_id, string_agg(word, ' ' ORDER BY word_idx) AS phrase FROM words WHERE word_idx BETWEEN 5 AND 7 GROUP BY 1 UNION ALL SELECT DISTINCT asset_id, 'nowhere at all' FROM words),
 c AS (SELECT *, sum(length(n)) OVER (PARTITION BY asset_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS hi FROM n),
-f AS (SELECT q.asset_id, phrase, nullif(position(regexp_replace(phrase, '[\s，。、！？,.!?]', '', 'g') IN text), 0) AS p, length(regexp_replace(phrase, '[\s，。、！？,.!?]', '', 'g')) AS l FROM q JOIN t ON t.asset_id = q.asset_id)
+f AS (SELECT q.asset_id, phrase, nullif(position(regexp_replace(phrase, '[\s，。、！？,.!?]', '', 'g') IN text), 0) AS p, length(regexp_replace(phrase, '[\s，。、！？,.!?]', '', 'g')) AS l FROM q JOIN t ON t.asset_id = q.asset_id)""", r"""
 SELECT f.asset_id, phrase, a.word_idx AS first_idx, b.word_idx AS last_idx, a.start_us, b.end_us FROM f LEFT JOIN c a ON a.asset_id = f.asset_id AND p BETWEEN a.hi - length(a.n) + 1 AND a.hi
-LEFT JOIN c b ON b.asset_id = f.asset_id AND p + l - 1 BETWEEN b.hi - length(b.n) + 1 AND b.hi""".lstrip()).replace("\n, n AS", ",\nn AS", 1))
+LEFT JOIN c b ON b.asset_id = f.asset_id AND p + l - 1 BETWEEN b.hi - length(b.n) + 1 AND b.hi"""))
 def j15_located_phrases(spark, sf_dir):
     """Where a phrase of each asset is said first."""
     w = D.words(spark, sf_dir)
@@ -129,15 +130,26 @@ def w18_cursor_matches(spark, sf_dir):
     return P.cursor_match(D.words(spark, sf_dir), t.select(F.col("conv_id").alias("asset_id"), F.col("turn").cast("int").alias("line_no"), keys.alias("keywords")))
 
 
-@query(select(SEGMENTS + _ALL_CUTS, """
-, b AS (SELECT *, lag(end_us) OVER w AS before, lead(seg_id) OVER w IS NULL AS is_last, row_number() OVER w = 1 AS is_first FROM ac WINDOW w AS (PARTITION BY asset_id ORDER BY seg_id)),
-c AS (SELECT *, CASE WHEN is_first THEN start_us ELSE greatest(start_us, before + 1000) END AS s FROM b)
-SELECT asset_id, seg_id, s AS start_us, CASE WHEN is_last THEN end_us ELSE greatest(end_us, s + 50000) END AS end_us FROM c""".lstrip()).replace("\n, b AS", ",\nb AS", 1))
+@query(select(SEGMENTS + _ALL_CUTS + """,
+b AS (SELECT *, lag(end_us) OVER w AS before, lead(seg_id) OVER w IS NULL AS is_last, row_number() OVER w = 1 AS is_first FROM ac WINDOW w AS (PARTITION BY asset_id ORDER BY seg_id)),
+c AS (SELECT *, CASE WHEN is_first THEN start_us ELSE greatest(start_us, before + 1000) END AS s FROM b)""", """
+SELECT asset_id, seg_id, s AS start_us, CASE WHEN is_last THEN end_us ELSE greatest(end_us, s + 50000) END AS end_us FROM c"""))
 def t7_guarded_cuts(spark, sf_dir):
-    """Cuts kept in order after snapping."""
+    """Cuts kept in order after snapping."""
     return G.valley_guard(all_cuts(spark, sf_dir).drop("fallback"))
 
 
+@query(f"""WITH {Q._SIGNALS}, s AS (SELECT asset_id, CAST(asset_id % 4 AS INTEGER) AS a, CAST(7 - asset_id % 3 AS INTEGER) AS b FROM signals),
+l AS (SELECT s.asset_id, first(frame_idx ORDER BY rms, frame_idx) AS a2 FROM s JOIN fr ON fr.asset_id = s.asset_id AND frame_idx BETWEEN a AND a + 2 GROUP BY 1),
+r AS (SELECT s.asset_id, first(frame_idx ORDER BY rms, frame_idx DESC) AS b2 FROM s JOIN fr ON fr.asset_id = s.asset_id AND frame_idx BETWEEN b - 2 AND b GROUP BY 1)
+SELECT s.asset_id, CASE WHEN b2 - a2 >= 2 THEN a2 ELSE a END AS start_frame, CASE WHEN b2 - a2 >= 2 THEN b2 ELSE b END AS end_frame FROM s JOIN l ON l.asset_id = s.asset_id JOIN r ON r.asset_id = s.asset_id""")
+def t6_snapped_edges(spark, sf_dir):
+    """Starts snapped to a quiet frame on their right, ends to one on their left; short results are undone."""
+    sig = Q.signals(spark, sf_dir)
+    edges = sig.select("asset_id", (F.col("asset_id") % 4).cast("int").alias("start_frame"), (7 - F.col("asset_id") % 3).cast("int").alias("end_frame"))
+    return G.snap_edges(edges, G.frame_rms(sig, 8), 2, 2)
+
+
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS cut FROM events),
 f AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
 SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM f GROUP BY user_id, s""")

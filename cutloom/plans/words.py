@@ -314,3 +314,20 @@ def a2_rule_metrics(spark, sf_dir):
     k = s.groupBy("asset_id").agg(F.count("*").alias("n_segments"), F.sum(F.col("end_us") - F.col("start_us")).alias("keep_us"))
     d = D.drops(w).groupBy("asset_id").agg(F.count("*").alias("n_windows"))
     return k.join(d, "asset_id", "left").join(left, "asset_id", "left").na.fill(0, ["n_windows", "residual_pauses", "residual_fillers"])
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]{2,}')) AS n_runs, array_to_string(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]{2,}'), ' ') AS runs FROM documents""")
+def p10_han_runs(spark, sf_dir):
+    """P10: runs of Han characters in every text."""
+    d = D.read(spark, sf_dir, "documents").select("doc_id", T.han_runs(F.col("text")).alias("r"))
+    return d.select("doc_id", F.size("r").cast("long").alias("n_runs"), F.array_join("r", " ").alias("runs"))
+
+
+@query(select(SEGMENTS, """
+SELECT asset_id, seg_id, greatest(start_us - CASE WHEN seg_id % 4 > 0 THEN seg_id % 4 * 50 ELSE 150 END * 1000, 0) AS start_us,
+  end_us + CASE WHEN seg_id % 3 > 0 THEN seg_id % 3 * 70 ELSE 150 END * 1000 AS end_us FROM segments"""))
+def p11_breath_pads(spark, sf_dir):
+    """Segments with their own pads, or the default where there is none."""
+    s, i = segments(spark, sf_dir), F.col("seg_id")
+    start = F.greatest(F.col("start_us") - T.breath_pad_us(i % 4 * 50), F.lit(0))
+    return s.select("asset_id", "seg_id", start.alias("start_us"), (F.col("end_us") + T.breath_pad_us(i % 3 * 70)).alias("end_us"))
