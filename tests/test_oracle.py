@@ -24,7 +24,7 @@ def rows(df: pd.DataFrame):
 
     def plain(v):
         v = v.item() if hasattr(v, "item") else v
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return None
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
