@@ -30,12 +30,12 @@ SHINGLE = 5
 SIZE = 128
 TREES = 12
 #: Nodes up to this size are compared exhaustively when their smallest class doesn't match all.
-LEAF, DEEP_LEAF, DEEP = 512, 2048, 6
+LEAF, DEEP_LEAF, DEEP = 2048, 4096, 6
 MAX_DEPTH = 60
 #: Standard deviations of the sketches' estimate below the threshold that still count as a loose match.
 MARGIN = 4.7
-#: Loose components with more shingles are confirmed in blocks of about so many, which share so many pivots.
-BLOCK_SHINGLES, PIVOTS = 150_000, 8
+#: Loose components with more shingles or classes are confirmed in blocks of about so many, which share so many pivots.
+BLOCK_SHINGLES, BLOCK_CLASSES, PIVOTS = 500_000, 2048, 8
 
 _U = np.uint64
 _SPACE = np.ones(256, dtype=np.uint8)
@@ -171,21 +171,24 @@ def _matches(least: int):
     return run
 
 
-class Union:
-    """Smallest-member union-find over 0..n-1."""
+class Parts:
+    """Parts of 0..n-1; a part is named by its smallest member."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.label = np.arange(n)
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((int(self.label[i]), int(self.label[j])))
+        if a != b:
+            self.label[self.label == b] = a
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.label[i] != self.label[j])
+
+    def stars(self, names: np.ndarray) -> tuple[list[int], list[int]]:
+        """Links of every member with the smallest of its part."""
+        rest = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return names[rest].tolist(), names[self.label[rest]].tolist()
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -215,16 +218,15 @@ def _similar(s: np.ndarray, least: int, rows: range | None = None) -> Iterator[t
             yield np.full(len(j), i), j + i + 1, same[j]
 
 
-def _exhaustive(least: int):
+def _linking(link, keys: list[str]):
+    """Edges that link(group) finds in each group of keys."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         u, v = [], []
-        for group in _groups(batches, ["path"]):
-            s, reps, union = _matrix(group["sketch"]), group["rep"].to_numpy(), Union(len(group))
-            for a, b, _ in _similar(s, least):
-                for j in b.tolist():
-                    if union.join(int(a[0]), j):
-                        u.append(int(reps[a[0]]))
-                        v.append(int(reps[j]))
+        for group in _groups(batches, keys):
+            more_u, more_v = link(group)
+            u += more_u
+            v += more_v
             if len(u) >= 100_000:
                 yield pd.DataFrame({"u": u, "v": v})
                 u, v = [], []
@@ -233,6 +235,19 @@ def _exhaustive(least: int):
     return run
 
 
+def _exhaustive(least: int):
+    """All classes of a node against each other, by sketches."""
+
+    def link(group: pd.DataFrame):
+        s, parts = _matrix(group["sketch"]), Parts(len(group))
+        for i, j, _ in _similar(s, least):
+            for k in j[parts.apart(i, j)].tolist():
+                parts.join(int(i[0]), k)
+        return parts.stars(group["rep"].to_numpy())
+
+    return _linking(link, ["path"])
+
+
 def _with_sketch(rows: DataFrame, reps: DataFrame, key: str, name: str) -> DataFrame:
     side = reps.select(F.col("rep").alias("_rep"), F.col("sketch").alias(name))
     return rows.join(side, F.col(key) == F.col("_rep")).drop("_rep")
@@ -293,37 +308,32 @@ def _linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
 
 def _confirm(share: tuple[int, int], size: int):
     """Exact links in groups of (component, block, chunk): among all rows, or (chunk >= 0) between queries and others."""
-    threshold = share[0] / share[1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        u, v = [], []
-        for group in _groups(batches, ["component", "block", "chunk"]):
-            reps, label = group["rep"].to_numpy(), group["label"].to_numpy()
-            sets = [shingles(t, size) for t in group["text"]]
-            union, asked = Union(len(sets)), group["query"].to_numpy()
-            by_label: dict[int, int] = {}
-            for i, x in enumerate(label.tolist()):
-                union.join(by_label.setdefault(x, i), i)
-            some = group["chunk"].iloc[0] >= 0
-            candidates: list[tuple] = []
-            if len(sets) <= 8:
-                candidates = [(0, i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
-            else:
-                s = np.stack([sketch(x) for x in sets])
-                for a, b, same in _similar(s, loose(threshold)):
-                    candidates += zip((-same).tolist(), a.tolist(), b.tolist())
-                candidates.sort()
-            for _, i, j in candidates:
-                if (not some or asked[i] or asked[j]) and union.root(i) != union.root(j) and _linked(sets[i], sets[j], share):
-                    union.join(i, j)
-                    u.append(int(reps[i]))
-                    v.append(int(reps[j]))
-            if len(u) >= 100_000:
-                yield pd.DataFrame({"u": u, "v": v})
-                u, v = [], []
-        yield pd.DataFrame({"u": pd.array(u, "int64"), "v": pd.array(v, "int64")})
-
-    return run
+    least = loose(share[0] / share[1])
+
+    def link(group: pd.DataFrame):
+        sets, parts = [shingles(t, size) for t in group["text"]], Parts(len(group))
+        for same in group.groupby("label", sort=False).indices.values():
+            for k in same[1:]:
+                parts.join(int(same[0]), int(k))
+        if len(sets) <= 8:
+            i, j = np.triu_indices(len(sets), 1)
+        else:  # the most similar first, so that few pairs are left to confirm
+            found = list(_similar(np.stack([sketch(x) for x in sets]), least))
+            i, j, same = (np.concatenate(x) for x in zip(*found)) if found else np.zeros((3, 0), dtype=np.int64)
+            order = np.argsort(-same, kind="stable")
+            i, j = i[order], j[order]
+        if group["chunk"].iloc[0] >= 0:
+            asked = group["query"].to_numpy()
+            i, j = i[asked[i] | asked[j]], j[asked[i] | asked[j]]
+        for at in range(0, len(i), 512):
+            x, y = i[at : at + 512], j[at : at + 512]
+            for k in parts.apart(x, y).tolist():
+                a, b = int(x[k]), int(y[k])
+                if parts.label[a] != parts.label[b] and _linked(sets[a], sets[b], share):
+                    parts.join(a, b)
+        return parts.stars(group["rep"].to_numpy())
+
+    return _linking(link, ["component", "block", "chunk"])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -334,16 +344,15 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def exact_components(docs: DataFrame, reps: DataFrame, loose_labels: DataFrame, share: tuple[int, int], size: int) -> DataFrame:
     """node, component over links confirmed on full sets, within loose components(node, component)."""
     labelled = reps.select("rep", "n").join(loose_labels.withColumnRenamed("node", "_node"), F.col("rep") == F.col("_node")).drop("_node")
-    weights = labelled.groupBy("component").agg(F.sum("n").alias("weight")).select(
-        F.col("component").alias("_component"), F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("blocks")
-    )
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int")
+    weights = labelled.groupBy("component").agg(blocks.alias("blocks")).select(F.col("component").alias("_component"), "blocks")
     labelled = labelled.join(weights, F.col("component") == F.col("_component")).select("rep", "component", "blocks")
     texts = docs.select(F.col("doc_id").alias("_doc"), "text")
     rows = staged(labelled.join(texts, F.col("rep") == F.col("_doc")).drop("_doc").withColumn("key", F.xxhash64("rep")), "confirm")
     own = rows.withColumn("block", F.pmod("key", F.col("blocks")).cast("int"))
-    # Pivots: in a large component the classes with the smallest keys, PIVOTS expected, stand in all its blocks.
-    share_of_keys = F.lit(float(PIVOTS)) / (F.col("blocks") * F.lit(BLOCK_SHINGLES / 600.0))
-    is_pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share_of_keys * (1 << 30))
+    # Pivots: in a large component a few classes, picked by hash, stand in all its blocks.
+    share_of_keys = F.lit(PIVOTS * (1 << 30)) / F.col("blocks") / F.lit(BLOCK_CLASSES // 8)
+    is_pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share_of_keys)
     pivots = rows.filter(is_pivot).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pivots = pivots.filter(F.col("block") != F.pmod("key", F.col("blocks")))
     plain = own.unionByName(pivots).select("*", F.lit(-1).alias("chunk"), F.col("rep").alias("label"), F.lit(False).alias("query"))

@@ -65,6 +65,7 @@ def test_large_groups_small_nodes_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LEAF", 4)
     monkeypatch.setattr(neardup, "DEEP_LEAF", 16)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2_000)
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 40)
     rows = copies(150, 9) + copies(60, 5, seed=5, start=1000) + copies(40, 3, 60, seed=6, start=2000)
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(neardup.near_duplicates(df, (85, 100))) == brute(rows, (85, 100))
