@@ -29,7 +29,7 @@ CHAIN = 64
 BUCKETS = 1 << 15
 EPOCHS, BATCH, RATE = 3, 128, 0.3
 MAX_WORD = 24
-CACHE = 400_000
+CACHE = 200_000
 UNKNOWN = "und"
 #: Documents below this share of their language are rejected by the filter.
 THRESHOLD = 0.4
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for some in stretches(batch["text"].tolist()):
+            for some in stretches(batch["text"].tolist(), 1_000_000):
                 part = batch.iloc[some]
                 names, score = label(shared.value, [t if isinstance(t, str) else None for t in part["text"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "lang_pred": names, "score": score})
@@ -261,7 +261,7 @@ def keep_identified(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
         out: list[bool] = []
-        for some in stretches(text.tolist()):
+        for some in stretches(text.tolist(), 1_000_000):
             names, score = label(shared.value, [t if isinstance(t, str) else None for t in text.iloc[some]])
             out += [n != UNKNOWN and s >= threshold for n, s in zip(names, score)]
         return pd.Series(out, dtype=bool)
