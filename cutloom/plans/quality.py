@@ -129,7 +129,7 @@ def a14_audit_summary(spark, sf_dir):
 
 
 @query(select(SEGMENTS + """,
-dr AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us) AS drop_id FROM drops)""", """
+dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us) AS INTEGER) AS drop_id FROM drops)""", """
 SELECT d.asset_id, d.drop_id, count(s.seg_id) AS n_over, CASE WHEN count(s.seg_id) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM dr d LEFT JOIN segments s ON s.asset_id = d.asset_id AND s.start_us < d.end_us AND d.start_us < s.end_us GROUP BY 1, 2"""))
 def j19_drops_still_kept(spark, sf_dir):

@@ -66,7 +66,7 @@ _RANGED = ",\nrw AS (SELECT *, word_idx // 60 AS range_id FROM words)"
 
 
 def ranged(spark, sf_dir):
-    return D.words(spark, sf_dir).withColumn("range_id", F.floor(F.col("word_idx") / 60))
+    return D.words(spark, sf_dir).withColumn("range_id", F.floor(F.col("word_idx") / 60).cast("int"))
 
 
 @query(select(WORDS + _RANGED + """,
@@ -95,7 +95,7 @@ def w16_trimmed_ranges(spark, sf_dir):
 SELECT p.asset_id, p.point_id, p.t_us, first(w.word_idx ORDER BY w.start_us, w.word_idx) AS word_idx, min(w.start_us) AS word_start_us FROM points p LEFT JOIN words w ON w.asset_id = p.asset_id AND w.start_us >= p.t_us GROUP BY 1, 2, 3"""))
 def j14_next_words(spark, sf_dir):
     """The word that follows each cut point."""
-    return P.next_words(points(spark, sf_dir), D.words(spark, sf_dir))
+    return P.next_words(points(spark, sf_dir), D.words(spark, sf_dir)).withColumn("point_id", F.col("point_id").cast("int"))
 
 
 @query(select(WORDS + r""",

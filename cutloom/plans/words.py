@@ -106,7 +106,7 @@ def j4_index_ranges(spark, sf_dir):
 
 @query(select(SEGMENTS, """
 SELECT s.asset_id, s.seg_id, count(*) AS n_words, avg(w.conf_milli) AS mean_conf,
-  CASE WHEN avg(w.conf_milli) >= 500 THEN 1.0 ELSE 0.85 END AS factor, string_agg(w.word, '' ORDER BY w.word_idx) AS glued
+  CAST(CASE WHEN avg(w.conf_milli) >= 500 THEN 1.0 ELSE 0.85 END AS DOUBLE) AS factor, string_agg(w.word, '' ORDER BY w.word_idx) AS glued
 FROM segments s JOIN words w ON w.asset_id = s.asset_id AND w.word_idx BETWEEN s.first_idx AND s.last_idx GROUP BY 1, 2"""))
 def j5_interval_words(spark, sf_dir):
     """The words of each interval, their mean confidence and its factor."""
@@ -286,7 +286,7 @@ def a5_pause_histogram(spark, sf_dir):
 
 
 @query(select(WORDS, """
-SELECT asset_id, place, gap_us, before, after FROM (
+SELECT asset_id, CAST(place AS INTEGER) AS place, gap_us, before, after FROM (
   SELECT asset_id, gap AS gap_us, before, word AS after, row_number() OVER (PARTITION BY asset_id ORDER BY gap DESC, word_idx) AS place
   FROM (SELECT asset_id, word, word_idx, start_us - lag(end_us) OVER w AS gap, lag(word) OVER w AS before FROM words WINDOW w AS (PARTITION BY asset_id ORDER BY word_idx))
   WHERE gap IS NOT NULL) WHERE place <= 10"""))
