@@ -73,6 +73,19 @@ def merged_ranges(starts, ends) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: Spark keeps Python workers for the stages that follow."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def stretches(texts: Sequence, characters: int = 4_000_000) -> Iterator[slice]:
     """Slices of a batch with about so many characters of text each, and one text at least: bounds what a task holds."""
     begin, held = 0, 0

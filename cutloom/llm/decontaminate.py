@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import filesystem, merged_ranges, scratch, table
+from cutloom.llm.common import filesystem, give_back, merged_ranges, scratch, table
 
 WINDOW = 10
 BLOCK = 118
 SAMPLE = 8
 SHARD_BYTES = 32_000_000
-CUT_BYTES = 4_000_000
+CUT_BYTES = 1_000_000
 BLOCK_ITEMS = 20_000
 
 _PRIME = 0x9E3779B97F4A7C15
@@ -352,6 +352,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
                     shard, ids = Shard(), []
         if ids:
             yield _report(pa.concat_arrays(ids), shard, shared.value)
+        give_back()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, SCHEMA)
@@ -374,6 +375,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
         out = np.ones(len(rows), dtype=bool)
         for block in shared.value if len(rows) else ():
             out[shard.hits(_load(block))[0]] = False
+        give_back()
         return pd.Series(out)
 
     return docs.filter(clean(F.col("text").cast("string")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import crc32_of_id, stretches, table
+from cutloom.llm.common import crc32_of_id, give_back, stretches, table
 
 #: Expected training documents at most, and words taken from all of them together at most (chains picked evenly).
 MAX_TRAIN = 1_500
@@ -29,7 +29,7 @@ CHAIN = 64
 BUCKETS = 1 << 15
 EPOCHS, BATCH, RATE = 3, 128, 0.3
 MAX_WORD = 24
-CACHE = 200_000
+CACHE = 150_000
 UNKNOWN = "und"
 #: Documents below this share of their language are rejected by the filter.
 THRESHOLD = 0.4
@@ -245,6 +245,7 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
                 part = batch.iloc[some]
                 names, score = label(shared.value, [t if isinstance(t, str) else None for t in part["text"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "lang_pred": names, "score": score})
+        give_back()
 
     picked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -264,6 +265,7 @@ def keep_identified(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -
         for some in stretches(text.tolist(), 1_000_000):
             names, score = label(shared.value, [t if isinstance(t, str) else None for t in text.iloc[some]])
             out += [n != UNKNOWN and s >= threshold for n, s in zip(names, score)]
+        give_back()
         return pd.Series(out, dtype=bool)
 
     return docs.filter(known(F.col("text").cast("string")))

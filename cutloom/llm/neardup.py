@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import staged, table
+from cutloom.llm.common import give_back, staged, table
 from cutloom.llm.components import components
 
 SHINGLE = 5
@@ -108,6 +108,7 @@ def _sketches(size: int):
                 s = shingles(text if isinstance(text, str) else None, size)
                 rows.append((doc_id, len(s), hashlib.md5(s.tobytes()).digest() if len(s) else None, sketch(s).tobytes() if len(s) else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch"])
+        give_back()
 
     return run
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import crc32_of_id, table
+from cutloom.llm.common import crc32_of_id, give_back, table
 
 #: Expected labelled rows for fitting at most.
 MAX_TRAIN = 20_000
@@ -190,7 +190,9 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> Da
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(features(text)))
+        out = pd.Series(shared.value.score(features(text)))
+        give_back()
+        return out
 
     return docs.filter(score(F.col("text").cast("string")) >= threshold)
 
