@@ -14,6 +14,7 @@ the manifest, which Spark commits, are read, so tasks may fail, run twice or be
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import uuid
@@ -32,7 +33,9 @@ MAX_BITS = 20
 BLOCK = 256
 END_ID = 0
 #: Ids in one file at most; a longer range gives several files.
-FILE_IDS = 1_000_000
+FILE_IDS = 2_000_000
+#: Ids that one task decodes.
+TASK_IDS = 4_000_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -137,7 +140,7 @@ def _tokenise(path: str, end_id: int, kind: str):
         encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch["text"].tolist()
-            coded = (x for some in stretches(texts) for x in encode(texts[some]))
+            coded = (x for some in stretches(texts, 8_000_000) for x in encode(texts[some]))
             ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in coded]
             out = pd.DataFrame({"part": part, "pos": np.arange(at, at + len(ids)), "doc_id": batch["doc_id"], "ids": ids})
             at += len(ids)
@@ -170,6 +173,12 @@ def file_bytes(ids: np.ndarray, doc_ids: list, sizes: list[int], part: int, seq:
     ])
 
 
+@functools.lru_cache(maxsize=1)
+def _table(lengths: bytes, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of the last code: all files of a manifest share it."""
+    return decode_table(np.frombuffer(lengths, np.uint8), max_bits)
+
+
 def read_file(data: bytes) -> tuple[dict, list, np.ndarray, np.ndarray]:
     """header, doc_ids, token counts, ids of a file."""
     if data[:8] != MAGIC:
@@ -182,7 +191,7 @@ def read_file(data: bytes) -> tuple[dict, list, np.ndarray, np.ndarray]:
         parts.append(np.frombuffer(data, kind, n, at))
         at += parts[-1].nbytes
     offsets, sizes, doc_ids, lengths = parts
-    symbol, bits = decode_table(lengths, h["max_bits"])
+    symbol, bits = _table(lengths.tobytes(), h["max_bits"])
     ids = decode_bits(data[at:], offsets, h["ids"], symbol, bits, h["block"], h["max_bits"]) if h["ids"] else np.zeros(0, np.uint32)
     null = set(h["null_docs"])
     return h, [None if i in null else d for i, d in enumerate(doc_ids.tolist())], sizes, ids
@@ -270,7 +279,7 @@ def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     part = out.iloc[i : i + 5_000]
                     yield part.assign(ids=[bytes(x) for x in each[i : i + 5_000]]) if with_ids else part
 
-    n = max(1, manifest.count())
+    n = max(1, -(-(manifest.agg(F.sum("n_ids")).first()[0] or 0) // TASK_IDS))
     return manifest.select("path", "start").repartition(n, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

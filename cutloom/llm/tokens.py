@@ -4,7 +4,7 @@ The library splits a text into pre-tokens before it merges, and no pre-token of
 runs from a non-space into a following space.  A text may therefore be encoded piece by piece, cut before such
 spaces, and equal pieces need to be encoded once only.  Every id comes from the library: pieces of plain Latin
 letters, digits and signs go to its BPE model word by word, all others through its whole encode().  A bounded cache
-in each Python worker keeps the ids of pieces met before.
+in each Python worker keeps the ids of words met before; when it is full, those met once only leave it.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 _RUN = re.compile(r"\s (?!\S)")
 _SAFE = re.compile(r"(?<=\S) ")
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-# No apostrophes (contractions) and no run of white space: here the pre-tokens are plain runs of one class.
-_PLAIN = re.compile(rf"(?: (?=[^\n]))?[{_LETTER}0-9{_SIGN}]*(?:\n[{_LETTER}0-9{_SIGN}]+)*\n?")
-_WORDS = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|\n")
+# No apostrophes (contractions) and no run of white space: in other pieces the pre-tokens are plain runs of one class.
+_NOT_PLAIN = rf"^$|^\n|\n\n|[^{_LETTER}0-9{_SIGN}\n]"
+_WORDS = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|\n|\0")
 
 
 def pieces(text: str) -> list[str]:
@@ -41,10 +41,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _places(shift: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places to take: for each stretch its shift plus the running number, in 32 bits where they fit."""
+    total = int(size.sum())
+    kind = np.int32 if total < 1 << 30 and (not len(shift) or np.abs(shift).max() < 1 << 30) else np.int64
+    out = np.repeat(shift.astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, max_entries: int = 600_000):
+    def __init__(self, path: str, max_entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,35 +71,81 @@ class PieceEncoder:
         self.added = re.compile("|".join(added) or r"(?!)")
         self.letters = _byte_letters()
         self.max_entries = max_entries
-        self.clear()
-
-    def clear(self) -> None:
-        self.first: dict[str, bytes] = {"": b""}  # pieces at the start of a text
-        self.slot: dict[str, int] = {}  # pieces after a space, without it; slot i holds data[start[i] : start[i + 1]]
-        self.start, self.data = array("q", [0]), array("I")
-
-    def _ids(self, piece: str, words: dict[str, list[int]]) -> list[int]:
-        if not self.plain or not _PLAIN.fullmatch(piece) or self.added.search(piece):
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        ids: list[int] = []
-        for word in _WORDS.findall(piece):
-            got = words.get(word)
-            if got is None:
-                shown = word.encode().decode("latin-1").translate(self.letters)
-                got = words[word] = [t.id for t in self.model.tokenize(shown)]
-            ids += got
-        return ids
-
-    def _slots(self, values: list[str]) -> np.ndarray:
-        slots = list(map(self.slot.get, values))
-        if None in slots:
-            words: dict[str, list[int]] = {}
-            for i, at in enumerate(slots):
-                if at is None:
-                    self.data.extend(self._ids(" " + values[i], words))
-                    self.start.append(len(self.data))
-                    slots[i] = self.slot[values[i]] = len(self.slot)
-        return np.array(slots, dtype=np.int64)
+        self.slot: dict[str, int] = {"\0": 0}  # words; slot i holds data[start[i] : start[i + 1]]
+        self.start, self.data, self.met = array("q", [0, 0]), array("I"), array("i", [0])
+        self.other: dict[str, list[int]] = {}  # pieces for the whole encode()
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        slots = list(map(self.slot.get, words))
+        new = [w for w, at in zip(words, slots) if at is None]
+        if new:
+            shown = "\0".join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+            tokenize, data, start = self.model.tokenize, self.data, self.start
+            for w in shown:
+                data.extend([t.id for t in tokenize(w)])
+                start.append(len(data))
+            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
+            self.met.extend([0] * len(new))
+            slots = list(map(self.slot.__getitem__, words))
+        out = np.array(slots, dtype=np.int64)
+        met = np.frombuffer(self.met, np.int32)
+        met[out] += 1
+        del met
+        return out
+
+    def _forget(self) -> None:
+        """Keeps the words met in two batches and more, half of the cache at most."""
+        met, start, data = np.array(self.met), np.array(self.start), np.array(self.data, dtype=np.uint32)
+        often = np.flatnonzero(met[1:] > 1) + 1
+        often = often[np.argsort(-met[often], kind="stable")][: self.max_entries // 2]
+        words = list(self.slot)
+        size = start[often + 1] - start[often]
+        at = np.repeat(start[often] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self.slot = {"\0": 0} | {words[i]: k + 1 for k, i in enumerate(often.tolist())}
+        self.start = array("q", np.concatenate([[0, 0], np.cumsum(size)]).astype(np.int64).tobytes())
+        self.data = array("I", data[at].tobytes())
+        self.met = array("i", [0] * (len(often) + 1))
+
+    def _piece_ids(self, values: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has; before is put in front of each."""
+        count = np.zeros(len(values), dtype=np.int64)
+        odd = np.ones(len(values), dtype=bool)
+        if self.plain and values:
+            odd = pc.match_substring_regex(pa.array(values, pa.large_string()), _NOT_PLAIN).to_numpy(zero_copy_only=False)
+            if self.added.search("\0".join(values)):
+                odd |= np.array([bool(self.added.search(v)) for v in values])
+        ids = np.zeros(0, dtype=np.uint32)
+        where = np.flatnonzero(~odd)
+        if len(where):
+            words = _WORDS.findall(before + ("\0" + before).join([values[i] for i in where.tolist()]))
+            coded = pa.array(words, pa.large_string()).dictionary_encode()
+            slots = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            start, data = np.frombuffer(self.start, np.int64), np.frombuffer(self.data, np.uint32)
+            size = start[slots + 1] - start[slots]
+            upto = np.cumsum(size)
+            ids = data[_places(start[slots] - upto + size, size)]
+            del start, data  # the arrays can't grow while they are viewed
+            ends = np.append(upto[slots == 0], upto[-1])
+            count[where] = np.diff(ends, prepend=0)
+        if odd.any():
+            rows = np.flatnonzero(odd)
+            got = [self.other.get(values[i]) if before else None for i in rows.tolist()]
+            for k, i in enumerate(rows.tolist()):
+                if got[k] is None:
+                    got[k] = self.tokenizer.encode(before + values[i], add_special_tokens=False).ids
+                    if before:
+                        self.other[values[i]] = got[k]
+            if len(self.other) > 100_000:
+                self.other = {}
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            count[rows] = sizes
+            # Into the order of the pieces.
+            flat = np.fromiter((x for g in got for x in g), np.uint32, int(sizes.sum()))
+            out = np.empty(int(count.sum()), dtype=np.uint32)
+            from_odd = np.repeat(odd, count)
+            out[from_odd], out[~from_odd] = flat, ids
+            ids = out
+        return ids, count
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null text counts as empty."""
@@ -105,26 +160,24 @@ class PieceEncoder:
         ]
         sizes = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
         ends = np.cumsum(sizes)
-        coded = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
-        values, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.slot) + len(self.first) > self.max_entries:
-            self.clear()
-        slots = self._slots(values)[codes]
-        start, data = np.frombuffer(self.start, np.int64), np.frombuffer(self.data or array("I", [0]), np.uint32)
-        count = start[slots + 1] - start[slots]
-        count[ends - sizes] = 0  # the first piece of each text
+        flat = pa.concat_arrays([p.flatten() for p in parts])
+        first = ends - sizes
+        if len(self.slot) > self.max_entries:
+            self._forget()
+        heads, head_count = self._piece_ids(flat.take(pa.array(first)).to_pylist(), "")
+        coded = flat.dictionary_encode()
+        known, known_count = self._piece_ids(coded.dictionary.to_pylist(), " ")
+        codes = coded.indices.to_numpy()
+        # All pieces in order: the heads' ids lie behind the others'.
+        begin, count = (np.cumsum(known_count) - known_count)[codes], known_count[codes]
+        begin[first], count[first] = len(known) + np.cumsum(head_count) - head_count, head_count
+        both = np.concatenate([known, heads])
         upto = np.cumsum(count)
-        ids = data[np.repeat(start[slots] - upto + count, count) + np.arange(upto[-1])].astype("<u4", copy=False)
-        del start, data  # the arrays can't grow while they are viewed
-        out: list[bytes] = [b""] * len(texts)
-        begin = 0
-        for i, at, end in zip(order.tolist(), (ends - sizes).tolist(), upto[ends - 1].tolist()):
-            head = values[codes[at]]
-            got = self.first.get(head)
-            if got is None:
-                got = self.first[head] = np.array(self._ids(head, {}), dtype="<u4").tobytes()
-            out[i] = got + ids[begin:end].tobytes()
-            begin = end
+        ids = both[_places(begin - upto + count, count)].astype("<u4", copy=False)
+        data, out, at = memoryview(ids).cast("B"), [b""] * len(texts), 0
+        for i, end in zip(order.tolist(), upto[ends - 1].tolist()):
+            out[i] = bytes(data[4 * at : 4 * end])
+            at = end
         return out
 
 
