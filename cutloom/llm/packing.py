@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import stretches, table, tokenizer_path
+from cutloom.llm.common import give_back, stretches, table, tokenizer_path
 from cutloom.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -126,6 +126,7 @@ def _packer(path: str, capacity: int, block_tokens: int, end_id: int, with_ids:
             if waiting >= block_tokens:
                 yield from flush()
         yield from flush()
+        give_back()
 
     return run
 
