@@ -3,7 +3,8 @@
 Calls (in assistant messages) and results (tool messages) meet in a hash join on conversation and identifier.  Calls are
 put in a topological order: level 0 refers to no other call, the others come one level after the last call they refer
 to.  Arguments are validated against the tools' schemas, and calls are serialised as canonical JSON: sorted keys, no
-spaces, UTF-8 as it is.  Levels are found by rounds over a table of open references, never by gathering a conversation.
+spaces, UTF-8 as it is.  Levels are found by rounds over a table of open references, never by gathering a conversation:
+chains of single references are halved in each round.
 """
 
 from __future__ import annotations
@@ -154,22 +155,34 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def _levels(calls: DataFrame, links: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: rounds that take the calls whose references all have a level."""
-    links = links.select("conv_id", "call_id", "target")
+    """conv_id, call_id, level: rounds that take the calls whose references all have a level.
+
+    An open link says that its call's level is at least least, and at least step above its target's.  A link whose target has
+    just got its level ends.  A link whose target waits for one link only passes on to that link's target, so chains are
+    halved in each round.  A round without a new level leaves circles, and calls after one."""
+    # No path of calls is so long: steps grow without end in circles only.
+    long = F.lit(1 << 40)
+    links = links.select("conv_id", "call_id", "target", F.lit(1).cast("long").alias("step"), F.lit(0).cast("long").alias("least"))
     waiting = links.select("conv_id", "call_id").distinct()
-    done = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done = staged(done, "levels")
-    fresh, level = done, 0
+    fresh = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long"))
+    done = fresh = staged(fresh, "levels")
+    one_call = Window.partitionBy("conv_id", "call_id")
     while True:
-        level += 1
-        # Only links whose target has just got its level end; a call is ready when none of its links is left.
-        ended = fresh.select("conv_id", F.col("call_id").alias("target"))
-        left = staged(links.join(ended, ["conv_id", "target"], "left_anti").select("conv_id", "call_id", "target"), "open-links")
-        ready = links.select("conv_id", "call_id").distinct().join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        fresh = staged(ready.withColumn("level", F.lit(level)), "levels")
+        ended = fresh.select("conv_id", F.col("call_id").alias("target"), "level")
+        now = links.join(ended, ["conv_id", "target"], "left").select(
+            "conv_id", "call_id", F.when(F.col("level").isNull(), F.col("target")).alias("target"), "step",
+            F.greatest("least", F.col("step") + F.col("level")).alias("least"),
+        )
+        now = staged(now.withColumns({"open": F.count("target").over(one_call), "least": F.max("least").over(one_call)}), "open-links")
+        fresh = now.filter("open = 0").groupBy("conv_id", "call_id").agg(F.max("least").alias("level"))
         if fresh.isEmpty():
-            return done
-        done, links = done.unionByName(fresh), left
+            return done.withColumn("level", F.col("level").cast("int"))
+        done = done.unionByName(fresh)
+        single = now.filter("open = 1 and target is not null").select("conv_id", F.col("call_id").alias("target"), F.col("target").alias("next"), F.col("step").alias("more"), F.col("least").alias("at_least"))
+        links = now.filter("target is not null").join(single, ["conv_id", "target"], "left").select(
+            "conv_id", "call_id", F.coalesce("next", "target").alias("target"), F.least(F.col("step") + F.coalesce("more", F.lit(0)), long).alias("step"),
+            F.greatest("least", F.col("step") + F.col("at_least")).alias("least"),
+        )
 
 
 def ordered(calls: DataFrame) -> DataFrame:
@@ -180,27 +193,28 @@ def ordered(calls: DataFrame) -> DataFrame:
 
 SCHEMAS = {
     "lookup": {"required": ["query", "top"], "additionalProperties": False, "properties": {"query": {"type": "string"}, "top": {"type": "integer", "minimum": 1, "maximum": 300}, "after": {"type": "string"}}},
-    "summarise": {"required": ["words"], "additionalProperties": False, "properties": {"words": {"type": "integer", "minimum": 2}, "style": {"type": "string", "enum": ["short", "long"]}, "after": {"type": "string"}}},
+    "summarise": {"required": ["text", "words"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "words": {"type": "integer", "minimum": 2}, "style": {"type": "string", "enum": ["short", "long"]}, "after": {"type": "string"}}},
 }
 
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
-    """Tool traffic derived from every row of conversations: an assistant turn becomes a call with arguments from its
-    text (every fourth refers to the call two turns before), a user turn the result of the turn before it."""
+    """Tool traffic derived from every row of conversations: an assistant turn becomes a call whose
+    arguments hold its whole text (from the third turn on it refers to the call two turns before, so that references form
+    chains as long as a conversation), a user turn the result of the turn before it, with its whole text."""
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)))
     call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
-    after = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("${"), call_id(F.col("turn") - 2), F.lit("}")))
-    lookup = F.struct(F.substring("text", 1, 24).alias("query"), words.alias("top"), after.alias("after"))
-    summarise = F.struct(words.alias("words"), F.when(words % 3 == 0, "brief").when(words % 2 == 0, "short").otherwise("long").alias("style"), after.alias("after"))
+    after = F.when(F.col("turn") > 2, F.concat(F.lit("${"), call_id(F.col("turn") - 2), F.lit("}")))
+    lookup = F.struct(F.col("text").alias("query"), words.alias("top"), after.alias("after"))
+    summarise = F.struct("text", words.alias("words"), F.when(words % 3 == 0, "brief").when(words % 2 == 0, "short").otherwise("long").alias("style"), after.alias("after"))
     call = F.when(
         F.col("turn") % 3 == 0, F.concat(F.lit('{"tool_calls":[{"name":"summarise","id":"'), call_id(F.col("turn")), F.lit('","arguments":'), F.to_json(summarise), F.lit("}]}"))
     ).otherwise(F.concat(F.lit('{"tool_calls":[{"name":"lookup","id":"'), call_id(F.col("turn")), F.lit('","arguments":'), F.to_json(lookup), F.lit("}]}")))
-    result = F.to_json(F.struct(call_id(F.col("turn") - 1).alias("tool_call_id"), F.substring("text", 1, 40).alias("content")))
+    result = F.to_json(F.struct(call_id(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
     role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))
     return conversations.select("conv_id", "turn", role.alias("role"), F.when(F.col("role") == "assistant", call).when(F.col("role") == "user", result).otherwise(F.col("text")).alias("text"))
 
 
 def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool traffic derived from all conversations, linked, ordered, validated and serialised."""
-    linked = link_calls(as_tool_messages(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), SCHEMAS)
-    return linked.select("conv_id", "turn", "call_id", "name", "status", "result_turn", "result", "level", F.array_join("faults", "; ").alias("faults"), "valid", "canonical")
+    linked = ordered(link_calls(as_tool_messages(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), SCHEMAS))
+    return linked.select("conv_id", "turn", "call_id", "name", "status", "result_turn", "result", "level", "place", F.array_join("faults", "; ").alias("faults"), "valid", "canonical")

@@ -1,6 +1,7 @@
 """Tool calls against a plain rendering of the same rules, and small cases by hand."""
 
 import json
+import random
 
 from cutloom.llm import toolcalls as tc
 
@@ -74,3 +75,28 @@ def test_edges(spark):
     places = {r.call_id: r.place for r in tc.ordered(tc.link_calls(df, schemas)).filter("conv_id = 1").collect()}
     assert places["a"] < places["b"] < places["c"]
     assert tc.link_calls(df.limit(0), schemas).count() == 0
+
+
+def test_query_keeps_whole_texts_and_long_chains(spark, tmp_path):
+    said = lambda turn, end: ("same beginning " * 40) + f"turn {turn} \"quoted\"\n{end}"
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", said(t, end)) for c, end in ((1, "left"), (2, "right")) for t in range(41)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {(r.conv_id, r.turn): r for r in tc.op6_toolcalls(spark, str(tmp_path)).collect()}
+    assert len(out) == 40
+    for (conv, turn), r in out.items():
+        arguments = json.loads(r.canonical)["arguments"]
+        assert arguments["text" if turn % 3 == 0 else "query"] == said(turn, ("left", "right")[conv - 1])
+        assert r.result == said(turn + 1, ("left", "right")[conv - 1])
+        assert r.level == r.place == turn // 2
+
+
+def test_levels_of_any_graph(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for conv in range(30):
+        n, most, back = rng.randrange(2, 60), rng.choice((1, 2, 3)), conv % 3 == 0  # back: references in both directions, with circles
+        graph = {f"c{i}": {f"c{rng.randrange(n if back and rng.random() < 0.2 else max(i, 1))}" for _ in range(rng.randrange(most + 1))} if i else set() for i in range(n)}
+        rows += [(conv, 0, "assistant", call(*((i, "f", {"x": ["${%s}" % r for r in sorted(refs)]}) for i, refs in graph.items())))]
+        want |= {(conv, i): levels_of(graph).get(i) for i in graph}
+    out = tc.link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {}}).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in out} == want
+    assert None in want.values() and max(v for v in want.values() if v is not None) > 5
