@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions import text as T
+from cutloom.operators import checks as C
+from cutloom.operators import edl as E
 from cutloom.operators import intervals as I
 from cutloom.operators import signal as G
 from cutloom.plans.edits import _TIMELINE, edl
@@ -157,7 +159,8 @@ res AS (SELECT i.asset_id, i.item_id, i.method, CASE WHEN ws IS NULL THEN 'SKIP'
 
 
 def regression(spark, sf_dir) -> DataFrame:
-    """V5: items of several methods against the words in their windows; empty keyword lists verify nothing."""
+    """The part of V5 that its SQL holds: four methods on the source's words; empty keyword lists verify nothing.  All of V5 is
+    in v6_output_checks."""
     s, i = segments(spark, sf_dir), F.col("seg_id")
     method = F.when(i % 4 == 0, "keyword_absent").when(i % 4 == 1, "keyword_present").when(i % 4 == 2, "duration_check").otherwise("last_word_complete")
     there = i % 11 != 0
@@ -180,17 +183,53 @@ def regression(spark, sf_dir) -> DataFrame:
 
 @query(select(SEGMENTS + _ITEMS, "SELECT * FROM res"))
 def v5_regression_items(spark, sf_dir):
-    """V5, V6: the status of every item."""
+    """V5 in part: the status of every item on the source's words."""
     return regression(spark, sf_dir)
 
 
 @query(select(SEGMENTS + _ITEMS, "SELECT asset_id, count(*) AS total, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'FAIL') AS failed, count(*) FILTER (WHERE status = 'SKIP') AS skipped, CASE WHEN bool_and(status <> 'FAIL') THEN 'PASS' ELSE 'FAIL' END AS overall FROM res GROUP BY 1"))
 def a13_regression_summary(spark, sf_dir):
-    """Counts by status and the verdict."""
+    """A13 in part: counts by status and the verdict, without errors and the check of the length."""
     s = F.col("status")
     return regression(spark, sf_dir).groupBy("asset_id").agg(F.count("*").alias("total"), F.count_if(s == "PASS").alias("passed"), F.count_if(s == "FAIL").alias("failed"), F.count_if(s == "SKIP").alias("skipped"), F.when(F.bool_and(s != "FAIL"), "PASS").otherwise("FAIL").alias("overall"))
 
 
+def output_items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items, words, frames and lengths on the output's time: an item for each segment, by all methods in turn and an unknown
+    one; the frames of A18 are spread evenly over the output."""
+    i, us = F.col("seg_id"), lambda n: F.floor(n * F.lit(1000000) / 30)
+    # Small against the words that it takes to make, and met five times.
+    tl = E.output_timeline(segments(spark, sf_dir)).select("asset_id", "seg_id", "start_us", "end_us", "n_frames", "out_frame").persist()
+    assets = tl.groupBy("asset_id").agg(us(F.sum("n_frames")).alias("total_us"), F.sum(F.col("end_us") - F.col("start_us")).alias("edl_us"))
+    methods = ("keyword_absent", "keyword_present", "last_word_complete", "duration_check", "edl_duration_check", "audio_content_check", "other")
+    there, few = i % 11 != 0, F.array(F.lit("the"), F.lit("que"), F.lit("die"))
+    items = tl.select(
+        "asset_id", i.alias("item_id"), F.get(F.array(*map(F.lit, methods)), (i % 7).cast("int")).alias("method"),
+        F.when(there, us(F.col("out_frame"))).alias("start_us"), F.when(there, us(F.col("out_frame") + F.col("n_frames"))).alias("end_us"),
+        F.when(i % 2 == 0, few).alias("keywords_absent"), F.when(i % 3 != 0, F.array(F.lit("e"))).alias("keywords_present"),
+        F.when(i % 5 != 0, (i % 5 * 1000000).cast("long")).alias("min_us"), F.when(i % 4 == 0, F.lit(60000000)).alias("max_us"),
+    )
+    placed = I.point_join(D.words(spark, sf_dir), I.twice_mid() / 2, I.bucketed(tl, None, None, "out_frame"), I.mid_inside(), "inner")
+    moved = F.col("out_frame") * F.lit(1000000.0) / 30 - F.col("_start")
+    words = placed.select("asset_id", "word_idx", "word", (F.col("start_us") + moved).alias("start_us"), (F.col("end_us") + moved).alias("end_us"))
+    at = lambda k: F.floor(k * F.col("total_us") / 8)
+    frames = a18_frame_rms(spark, sf_dir).join(assets, "asset_id").select("asset_id", at(F.col("frame_idx")).alias("start_us"), at(F.col("frame_idx") + 1).alias("end_us"), "rms")
+    return items, words, frames, assets
+
+
+@query()
+def v6_output_checks(spark, sf_dir):
+    """V5, V6: the status of every item on the output's words and loudness, with the keywords missing and found."""
+    return C.check_items(*output_items(spark, sf_dir)).withColumns({k: F.array_join(k, ",") for k in ("missing", "found")})
+
+
+@query()
+def a13_output_summary(spark, sf_dir):
+    """Counts by status, the check of the length, and the verdict."""
+    items, words, frames, assets = output_items(spark, sf_dir)
+    return C.summary(C.check_items(items, words, frames, assets), assets)
+
+
 _INSERTS = """,
 ins AS (SELECT asset_id, seg_id, 'i' || (seg_id // 5 % 7) AS id, ['title', 'quote', 'chart', 'list', 'nothing'][CAST(seg_id // 5 % 5 AS INTEGER) + 1] AS template, CASE WHEN seg_id % 3 = 0 THEN 'full' ELSE 'lower' END AS placement,
   start_us, CASE WHEN seg_id % 35 = 0 THEN start_us ELSE end_us + 2000000 END AS end_us, CASE WHEN seg_id % 2 = 0 THEN '{"text":"x","bars":[]}' ELSE '{"text":"y","bars":[1,2]}' END AS vars FROM segments WHERE seg_id % 5 = 0),
