@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.operators import intervals as I
@@ -78,3 +78,50 @@ def summary(checked: DataFrame, assets: DataFrame, tolerance_us: int = 300_000)
         "asset_id", at("total").alias("total"), at("_pass").alias("passed"), failed.alias("failed"), at("_skip").alias("skipped"), at("_error").alias("errored"),
         differs.alias("edl_differs"), _ok((failed == 0) & (at("_error") == 0)).alias("overall"),
     )
+
+
+def keep_ends(segments: DataFrame, words: DataFrame, tail_us: int = 500_000) -> DataFrame:
+    """segments(asset_id, seg_id, end_us, last_idx) -> asset_id, seg_id, last, margin_us, status: a kept end must reach the end
+    of its last word, the asset's last one by tail_us more.  An index without a word fails."""
+    last = F.lead("seg_id").over(Window.partitionBy("asset_id").orderBy("end_us", "seg_id")).isNull()
+    w = words.select(F.col("asset_id").alias("_a"), F.col("word_idx").alias("_i"), F.col("end_us").alias("_word_end"))
+    j = segments.select("asset_id", "seg_id", "end_us", "last_idx", last.alias("last")).join(w, (F.col("asset_id") == F.col("_a")) & (F.col("last_idx") == F.col("_i")), "left")
+    margin = F.col("end_us") - F.col("_word_end")
+    return j.select("asset_id", "seg_id", "last", margin.alias("margin_us"), _ok(F.coalesce(margin, F.lit(-1)) >= F.when(F.col("last"), tail_us).otherwise(0)).alias("status"))
+
+
+#: First scene's limit, shots a minute, mean shot, by pace.
+PACES = {"hook": (2_000_000, 30, 60, 800_000, 2_000_000), "tutorial": (5_000_000, 15, 30, 2_000_000, 5_000_000), "documentary": (8_000_000, 8, 15, 3_000_000, 8_000_000)}
+
+
+def storyboard(scenes: DataFrame, specs: DataFrame) -> DataFrame:
+    """scenes(asset_id, scene_id, start_us, end_us, component, kind, cut: hard | soft | big, flash, n_chars) and
+    specs(asset_id, target_us, pace) -> a row per asset with scenes: measures, and whether each rule holds.
+
+    length: durations sum to the target +-0.5 s; first: first scene within its pace's limit; flashes: at most 2, 8 s apart from
+    start to start; components: none used 4 times; bridges: at most 15 %; hook: one starts within 3 s; cuts: at most 15 %
+    soft and 5 % big; narration: 3 to 4 characters a second; contiguous: each scene starts where the one before ends; shots and mean:
+    a minute's shots and the mean shot in the pace's band.  Null where the target or the pace is unknown."""
+    w = Window.partitionBy("asset_id").orderBy("scene_id")
+    earlier = F.last(F.when(F.col("flash"), F.col("start_us")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    dur = F.col("end_us") - F.col("start_us")
+    s = scenes.withColumns({"_before": F.lag("end_us").over(w), "_since": F.when(F.col("flash"), F.col("start_us") - earlier), "_dur": dur})
+    most = scenes.groupBy("asset_id", "component").count().groupBy("asset_id").agg(F.max("count").alias("most_used"))
+    g = s.groupBy("asset_id").agg(
+        F.count("*").alias("n_scenes"), F.sum("_dur").alias("total_us"), F.avg("_dur").alias("mean_us"), F.min_by("_dur", "scene_id").alias("first_us"),
+        F.count_if("flash").alias("n_flashes"), F.min("_since").alias("flash_gap_us"), F.count_if(F.col("kind") == "bridge").alias("n_bridges"),
+        F.count_if((F.col("kind") == "hook") & (F.col("start_us") <= 3_000_000)).alias("_hooks"), *[F.count_if(F.col("cut") == k).alias(f"n_{k}") for k in ("hard", "soft", "big")],
+        F.sum("n_chars").alias("n_chars"), F.count_if(F.col("_before") != F.col("start_us")).alias("n_breaks"),
+    )
+    bands = F.create_map(*[x for k, v in PACES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    g = g.join(most, "asset_id").join(specs.select("asset_id", "target_us", "pace"), "asset_id", "left").withColumn("_band", F.try_element_at(bands, F.col("pace")))
+    band, n, cuts = lambda k: F.get("_band", F.lit(k)), F.col("n_scenes"), F.col("n_hard") + F.col("n_soft") + F.col("n_big")
+    minute, total = n * 60_000_000, F.col("total_us")
+    rules = {
+        "length": F.abs(total - F.col("target_us")) <= 500_000, "first": F.col("first_us") <= band(0),
+        "flashes": (F.col("n_flashes") <= 2) & (F.coalesce("flash_gap_us", F.lit(8_000_000)) >= 8_000_000), "components": F.col("most_used") < 4,
+        "bridges": F.col("n_bridges") * 100 <= n * 15, "hook": F.col("_hooks") > 0, "cuts": (F.col("n_soft") * 100 <= cuts * 15) & (F.col("n_big") * 100 <= cuts * 5),
+        "narration": (F.col("n_chars") * 1_000_000).between(3 * total, 4 * total), "contiguous": F.col("n_breaks") == 0,
+        "shots": minute.between(band(1) * total, band(2) * total), "mean": F.col("mean_us").between(band(3), band(4)),
+    }
+    return g.withColumns({f"{k}_ok": v for k, v in rules.items()}).drop("_hooks", "_band").withColumn("shots_per_minute", F.try_divide(minute * F.lit(1.0), total))

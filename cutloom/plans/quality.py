@@ -135,7 +135,7 @@ dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY start_us
 SELECT d.asset_id, d.drop_id, count(s.seg_id) AS n_over, CASE WHEN count(s.seg_id) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM dr d LEFT JOIN segments s ON s.asset_id = d.asset_id AND s.start_us < d.end_us AND d.start_us < s.end_us GROUP BY 1, 2"""))
 def j19_drops_still_kept(spark, sf_dir):
-    """Windows that a kept segment still overlaps."""
+    """J19, first half: windows that a kept segment still overlaps; the other half is j19_keep_ends."""
     d = D.drops(D.words(spark, sf_dir)).withColumn("drop_id", F.row_number().over(Window.partitionBy("asset_id").orderBy("start_us", "end_us")))
     b = I.bucketed(d, None, None, "drop_id")
     s = I.bucketed(segments(spark, sf_dir), None, None, "seg_id").select(F.col("_asset").alias("a"), F.col("_bucket").alias("b"), F.col("_start").alias("s"), F.col("_end").alias("e"), "seg_id")
@@ -144,6 +144,12 @@ def j19_drops_still_kept(spark, sf_dir):
     return n.withColumn("status", F.when(F.col("n_over") == 0, "PASS").otherwise("FAIL"))
 
 
+@query()
+def j19_keep_ends(spark, sf_dir):
+    """J19, second half: kept ends that don't reach their last word's end, at the tail 0.5 s more."""
+    return C.keep_ends(segments(spark, sf_dir), D.words(spark, sf_dir))
+
+
 _ITEMS = """,
 items AS (SELECT asset_id, seg_id AS item_id, CASE seg_id % 4 WHEN 0 THEN 'keyword_absent' WHEN 1 THEN 'keyword_present' WHEN 2 THEN 'duration_check' ELSE 'last_word_complete' END AS method,
   CASE WHEN seg_id % 11 <> 0 THEN start_us END AS ws, CASE WHEN seg_id % 11 <> 0 THEN end_us END AS we, CASE WHEN seg_id % 8 = 0 THEN [] ELSE ['the', 'que', 'die'] END AS kws FROM segments),
@@ -276,7 +282,8 @@ SELECT s.asset_id, count(*) AS n_scenes, CAST(sum(end_us - start_us) AS BIGINT)
   CASE WHEN count(*) * 60000000.0 / max(end_us) >= 30 THEN 'hook' WHEN count(*) * 60000000.0 / max(end_us) >= 12 THEN 'tutorial' ELSE 'documentary' END AS pace
 FROM scenes s JOIN (SELECT asset_id, max(n) AS most FROM (SELECT asset_id, component, count(*) AS n FROM scenes GROUP BY 1, 2) GROUP BY 1) c ON c.asset_id = s.asset_id GROUP BY 1"""))
 def v7_storyboard_checks(spark, sf_dir):
-    """V7, V8: totals, flashes, breaks, overused components and pace of storyboards."""
+    """V7, V8 in part: totals, flashes, breaks, overused components and pace of storyboards; all rules are in
+    v7_storyboard_verdicts."""
     s = segments(spark, sf_dir).select("asset_id", "seg_id", "start_us", "end_us", (F.col("seg_id") % 9).alias("component"), (F.col("seg_id") % 23 == 0).alias("flash"), F.lag("end_us").over(Window.partitionBy("asset_id").orderBy("seg_id")).alias("before"))
     most = s.groupBy("asset_id", "component").count().groupBy("asset_id").agg(F.max("count").alias("most_used"))
     rate = F.count("*") * F.lit(60000000.0) / F.max("end_us")
@@ -287,6 +294,20 @@ def v7_storyboard_checks(spark, sf_dir):
     return g.join(most, "asset_id").withColumn("overused", F.col("most_used") >= 4)
 
 
+@query()
+def v7_storyboard_verdicts(spark, sf_dir):
+    """All rules of a storyboard, whose scenes are the segments on the output's time."""
+    i, us = F.col("seg_id"), lambda n: F.floor(n * F.lit(1000000) / 30)
+    scenes = E.output_timeline(segments(spark, sf_dir)).select(
+        "asset_id", i.alias("scene_id"), us(F.col("out_frame")).alias("start_us"), us(F.col("out_frame") + F.col("n_frames")).alias("end_us"), (i % 9).alias("component"),
+        F.when(i % 13 == 1, "hook").when(i % 7 == 0, "bridge").otherwise("scene").alias("kind"), F.when(i % 20 == 0, "big").when(i % 7 == 3, "soft").otherwise("hard").alias("cut"),
+        (i % 23 == 0).alias("flash"), F.length("text").alias("n_chars"),
+    )
+    a = F.col("asset_id")
+    specs = scenes.groupBy("asset_id").agg((F.sum(F.col("end_us") - F.col("start_us")) + a % 5 * 200000).alias("target_us")).withColumn("pace", F.get(F.array(*map(F.lit, C.PACES)), (a % 3).cast("int")))
+    return C.storyboard(scenes, specs)
+
+
 @query(select(SEGMENTS, """SELECT asset_id, seg_id % 9 AS component, count(*) AS n FROM segments WHERE seg_id % 9 NOT IN (0, 1, 2, 3, 4, 5) GROUP BY 1, 2"""))
 def j21_unknown_components(spark, sf_dir):
     """Components that stand in no catalog."""

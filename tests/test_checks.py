@@ -59,3 +59,40 @@ def test_queries_meet_all_methods(spark):
     assert len({r.method for r in out}) == 7 and {r.status for r in out} == {"PASS", "FAIL", "SKIP"} and any(r.missing for r in out) and any(r.found for r in out)
     total = catalog.queries()["a13_output_summary"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.total for r in total) == len(out) and sum(r.failed - r.edl_differs for r in total) == sum(r.status == "FAIL" for r in out)
+
+
+def test_keep_ends_by_hand(spark):
+    words = spark.createDataFrame([(1, i, i * 1000, i * 1000 + 800) for i in range(4)], "asset_id long, word_idx int, start_us long, end_us long")
+    cut = [(1, 1, 800, 0), (1, 2, 1799, 1), (1, 3, 2900, 2), (1, 4, 3800 + 499_999, 3), (2, 1, 9, 0)]
+    out = {(r.asset_id, r.seg_id): (r.last, r.margin_us, r.status) for r in C.keep_ends(spark.createDataFrame(cut, "asset_id long, seg_id int, end_us long, last_idx int"), words).collect()}
+    assert out == {(1, 1): (False, 0, "PASS"), (1, 2): (False, -1, "FAIL"), (1, 3): (False, 100, "PASS"), (1, 4): (True, 499_999, "FAIL"), (2, 1): (True, None, "FAIL")}
+    whole = spark.createDataFrame([(1, 4, 3800 + 500_000, 3)], "asset_id long, seg_id int, end_us long, last_idx int")
+    assert [r.status for r in C.keep_ends(whole, words).collect()] == ["PASS"]
+
+
+def test_storyboard_by_hand(spark):
+    s, rules = 1_000_000, ("length", "first", "flashes", "components", "bridges", "hook", "cuts", "narration", "contiguous", "shots", "mean")
+
+    def scene(asset, i, start, n_chars=10, kind="scene", cut="hard", flash=False, component=None, dur=3 * s):
+        return (asset, i, start, start + dur, i if component is None else component, kind, cut, flash, n_chars)
+
+    # Asset 1 keeps all rules: 20 scenes of 3 s, flashes 9 s apart, 3 bridges, 3 soft cuts and a big one.
+    good = [scene(1, i, 3 * s * i, kind="hook" if i == 1 else "bridge" if i in (4, 8, 12) else "scene", cut="soft" if i in (2, 6, 10) else "big" if i == 15 else "hard", flash=i in (5, 8)) for i in range(20)]
+    # Asset 2 breaks all but the flashes: a late hook, one component, gaps, few letters.
+    bad = [scene(2, i, 20 * s * i + (i > 0), n_chars=1, kind="hook" if i == 1 else "bridge", cut="soft", flash=i < 2, component=1, dur=20 * s) for i in range(4)]
+    close = [scene(3, i, 3 * s * i, flash=i in (0, 2)) for i in range(4)]
+    many = [scene(4, i, 9 * s * i, flash=i < 3, dur=9 * s) for i in range(4)]
+    scenes = spark.createDataFrame([*good, *bad, *close, *many], "asset_id long, scene_id int, start_us long, end_us long, component int, kind string, cut string, flash boolean, n_chars int")
+    specs = spark.createDataFrame([(1, 60 * s + 500_000, "tutorial"), (2, 80 * s + 500_001, "documentary")], "asset_id long, target_us long, pace string")
+    out = {r.asset_id: r for r in C.storyboard(scenes, specs).collect()}
+    assert {k for k in rules if not out[1][f"{k}_ok"]} == set() and out[1].mean_us == 3 * s and out[1].shots_per_minute == 20
+    assert {k for k in rules if out[2][f"{k}_ok"]} == {"flashes"}  # two, 20 s apart
+    assert not out[3].flashes_ok and not out[4].flashes_ok and out[3].length_ok is None and out[3].first_ok is None and out[3].shots_ok is None
+
+
+def test_storyboard_queries_run(spark):
+    from cutloom import catalog
+
+    ends = catalog.queries()["j19_keep_ends"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.status for r in ends if not r.last} == {"PASS"} and {r.margin_us for r in ends} == {150_000} and {r.status for r in ends if r.last} == {"FAIL"}
+    assert all(r.contiguous_ok for r in catalog.queries()["v7_storyboard_verdicts"](spark, "/root/testdata/sf0.001").collect())
