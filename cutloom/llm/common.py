@@ -86,6 +86,18 @@ def give_back() -> None:
         pass
 
 
+def cuts(texts, size: int = 4_000_000) -> Iterator[slice]:
+    """Slices of an Arrow array of strings with about size bytes each, and one value at least: bounds what a task holds."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, begin, before = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)), 0, 0
+    while begin < len(texts):
+        stop = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield slice(begin, stop)
+        begin, before = stop, int(ends[stop - 1])
+
+
 def stretches(texts: Sequence, characters: int = 4_000_000) -> Iterator[slice]:
     """Slices of a batch with about so many characters of text each, and one text at least: bounds what a task holds."""
     begin, held = 0, 0

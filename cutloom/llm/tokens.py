@@ -4,7 +4,8 @@ The library splits a text into pre-tokens before it merges, and no pre-token of
 runs from a non-space into a following space.  A text may therefore be encoded piece by piece, cut before such
 spaces, and equal pieces need to be encoded once only.  Every id comes from the library: pieces of plain Latin
 letters, digits and signs go to its BPE model word by word, all others through its whole encode().  A bounded cache
-in each Python worker keeps the ids of words met before; when it is full, those met once only leave it.
+in each Python worker keeps the ids of words met before; when it is full, those met once only leave it.  Texts, pieces
+and words stay in Arrow arrays; only words met for the first time become Python strings.
 """
 
 from __future__ import annotations
@@ -21,17 +22,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # A space after white space that no word follows belongs to a longer run, which must stay whole.
-_RUN = re.compile(r"\s (?!\S)")
+_WHITE = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"
+_RUN = rf"{_WHITE} (?:{_WHITE}|\z)"
 _SAFE = re.compile(r"(?<=\S) ")
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 # No apostrophes (contractions) and no run of white space: in other pieces the pre-tokens are plain runs of one class.
 _NOT_PLAIN = rf"^$|^\n|\n\n|[^{_LETTER}0-9{_SIGN}\n]"
-_WORDS = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|\n|\0")
-
-
-def pieces(text: str) -> list[str]:
-    """Cuts text at spaces where a byte-level BPE pre-tokenizer always cuts; " ".join() gives text again."""
-    return _SAFE.split(text) if _RUN.search(text) else text.split(" ")
+# Classes of the bytes of plain pieces; a word is a run of one class with the space before it.
+_SPACE, _END = 5, 6
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[[0x0A, 0x20, 0x00]] = 4, _SPACE, _END
+_LARGE = pa.large_string()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,10 +53,20 @@ def _places(shift: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def picked(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[begin[i] : begin[i] + size[i]] one after the other."""
+    return data[_places(begin - np.cumsum(size) + size, size)]
+
+
+def _joined(values: pa.Array, separator: str) -> str:
+    whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pc.binary_join(whole, pa.scalar(separator, _LARGE))[0].as_py()
+
+
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to unsigned 32-bit ids."""
 
-    def __init__(self, path: str, max_entries: int = 400_000):
+    def __init__(self, path: str, max_entries: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,78 +80,81 @@ class PieceEncoder:
             and before.get("use_regex", True)
             and not before.get("add_prefix_space")
         )
-        added = [re.escape(x["content"]) for x in shape.get("added_tokens", [])]
-        self.added = re.compile("|".join(added) or r"(?!)")
+        self.added = "|".join(re.escape(x["content"]) for x in shape.get("added_tokens", []))
         self.letters = _byte_letters()
         self.max_entries = max_entries
-        self.slot: dict[str, int] = {"\0": 0}  # words; slot i holds data[start[i] : start[i + 1]]
-        self.start, self.data, self.met = array("q", [0, 0]), array("I"), array("i", [0])
+        self.known = pa.array(["\0"], _LARGE)  # words; known[i] has data[start[i] : start[i + 1]], and was met met[i] times
+        self.start, self.data, self.met = np.zeros(2, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int32)
         self.other: dict[str, list[int]] = {}  # pieces for the whole encode()
 
-    def _slots(self, words: list[str]) -> np.ndarray:
-        slots = list(map(self.slot.get, words))
-        new = [w for w, at in zip(words, slots) if at is None]
-        if new:
-            shown = "\0".join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
-            tokenize, data, start = self.model.tokenize, self.data, self.start
-            for w in shown:
-                data.extend([t.id for t in tokenize(w)])
-                start.append(len(data))
-            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
-            self.met.extend([0] * len(new))
-            slots = list(map(self.slot.__getitem__, words))
-        out = np.array(slots, dtype=np.int64)
-        met = np.frombuffer(self.met, np.int32)
-        met[out] += 1
-        del met
+    def _learn(self, new: pa.Array) -> None:
+        shown = _joined(new, "\0").encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        tokenize, data, ends = self.model.tokenize, array("I"), array("q")
+        for w in shown:
+            data.extend([t.id for t in tokenize(w)])
+            ends.append(len(data))
+        self.known = pa.concat_arrays([self.known, new])
+        self.start = np.concatenate([self.start, np.frombuffer(ends, np.int64) + self.start[-1]])
+        self.data = np.concatenate([self.data, np.frombuffer(data, np.uint32)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the known ones; new ones are learnt."""
+        at = pc.index_in(words, value_set=self.known)
+        out = at.fill_null(0).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = at.is_null()
+            out[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(at.null_count)
+            self._learn(words.filter(new))
+        self.met[out] += 1
         return out
 
     def _forget(self) -> None:
         """Keeps the words met in two batches and more, half of the cache at most."""
-        met, start, data = np.array(self.met), np.array(self.start), np.array(self.data, dtype=np.uint32)
-        often = np.flatnonzero(met[1:] > 1) + 1
-        often = often[np.argsort(-met[often], kind="stable")][: self.max_entries // 2]
-        words = list(self.slot)
-        size = start[often + 1] - start[often]
-        at = np.repeat(start[often] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        self.slot = {"\0": 0} | {words[i]: k + 1 for k, i in enumerate(often.tolist())}
-        self.start = array("q", np.concatenate([[0, 0], np.cumsum(size)]).astype(np.int64).tobytes())
-        self.data = array("I", data[at].tobytes())
-        self.met = array("i", [0] * (len(often) + 1))
-
-    def _piece_ids(self, values: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, one after the other, and how many each has; before is put in front of each."""
-        count = np.zeros(len(values), dtype=np.int64)
-        odd = np.ones(len(values), dtype=bool)
-        if self.plain and values:
-            odd = pc.match_substring_regex(pa.array(values, pa.large_string()), _NOT_PLAIN).to_numpy(zero_copy_only=False)
-            if self.added.search("\0".join(values)):
-                odd |= np.array([bool(self.added.search(v)) for v in values])
-        ids = np.zeros(0, dtype=np.uint32)
-        where = np.flatnonzero(~odd)
-        if len(where):
-            words = _WORDS.findall(before + ("\0" + before).join([values[i] for i in where.tolist()]))
-            coded = pa.array(words, pa.large_string()).dictionary_encode()
-            slots = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            start, data = np.frombuffer(self.start, np.int64), np.frombuffer(self.data, np.uint32)
-            size = start[slots + 1] - start[slots]
-            upto = np.cumsum(size)
-            ids = data[_places(start[slots] - upto + size, size)]
-            del start, data  # the arrays can't grow while they are viewed
-            ends = np.append(upto[slots == 0], upto[-1])
-            count[where] = np.diff(ends, prepend=0)
+        often = np.flatnonzero(self.met[1:] > 1) + 1
+        often = np.sort(often[np.argsort(-self.met[often], kind="stable")][: self.max_entries // 2])
+        kept = np.concatenate([[0], often])
+        size = self.start[kept + 1] - self.start[kept]
+        self.data = picked(self.data, self.start[kept], size)
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.known = self.known.take(pa.array(kept))
+        self.met = np.zeros(len(kept), np.int32)
+
+    def _plain_ids(self, spaced: pa.Array, heads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces with a space in front, then of heads without, and how many each has: runs of one class of
+        bytes are words."""
+        parts = [mark + _joined(values, mark) for values, mark in ((spaced, " "), (heads, "\0")) if len(values)]
+        text = np.frombuffer("".join(parts).encode(), np.uint8)
+        kind = _CLASS[text]
+        first = np.ones(len(text), dtype=bool)
+        first[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        offsets = np.append(np.flatnonzero(first), len(text))
+        words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text))
+        coded = words.dictionary_encode()
+        slots = self._slots(coded.dictionary)[coded.indices.to_numpy()]
+        size = self.start[slots + 1] - self.start[slots]
+        opens = np.flatnonzero(kind[offsets[:-1]] >= _SPACE)  # where a piece begins
+        return picked(self.data, self.start[slots], size), np.add.reduceat(size, opens)
+
+    def _piece_ids(self, values: pa.Array, n_heads: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has; all but the last n_heads follow a space."""
+        odd, spaced = np.ones(len(values), dtype=bool), np.arange(len(values)) < len(values) - n_heads
+        if self.plain:
+            wrong = pc.match_substring_regex(values, _NOT_PLAIN)
+            if self.added:
+                wrong = pc.or_(wrong, pc.match_substring_regex(values, self.added))
+            odd = wrong.to_numpy(zero_copy_only=False)
+        count, ids = np.zeros(len(values), dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        if not odd.all():
+            ids, count[~odd] = self._plain_ids(values.filter(pa.array(~odd & spaced)), values.filter(pa.array(~odd & ~spaced)))
         if odd.any():
-            rows = np.flatnonzero(odd)
-            got = [self.other.get(values[i]) if before else None for i in rows.tolist()]
-            for k, i in enumerate(rows.tolist()):
-                if got[k] is None:
-                    got[k] = self.tokenizer.encode(before + values[i], add_special_tokens=False).ids
-                    if before:
-                        self.other[values[i]] = got[k]
-            if len(self.other) > 100_000:
-                self.other = {}
+            texts = [" " * s + t for s, t in zip(spaced[odd].tolist(), values.filter(pa.array(odd)).to_pylist())]
+            new = [t for t in dict.fromkeys(texts) if t not in self.other]
+            found = {t: x.ids for t, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            got = [found[t] if t in found else self.other[t] for t in texts]
+            self.other = (self.other if len(self.other) < 100_000 else {}) | {t: x for t, x in found.items() if len(t) < 64}
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            count[rows] = sizes
+            count[odd] = sizes
             # Into the order of the pieces.
             flat = np.fromiter((x for g in got for x in g), np.uint32, int(sizes.sum()))
             out = np.empty(int(count.sum()), dtype=np.uint32)
@@ -147,38 +163,46 @@ class PieceEncoder:
             ids = out
         return ids, count
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; a null text counts as empty."""
-        texts = [text or "" for text in texts]
-        if not texts:
-            return []
-        runs = [bool(_RUN.search(text)) for text in texts]
-        order = np.argsort(np.array(runs), kind="stable")
-        parts = [
-            pc.split_pattern(pa.array([t for t, r in zip(texts, runs) if not r], pa.large_string()), " "),
-            pa.array([_SAFE.split(t) for t, r in zip(texts, runs) if r], pa.large_list(pa.large_string())),
-        ]
-        sizes = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
-        ends = np.cumsum(sizes)
-        flat = pa.concat_arrays([p.flatten() for p in parts])
-        first = ends - sizes
-        if len(self.slot) > self.max_entries:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has; a null text counts as empty."""
+        texts = texts.cast(_LARGE).fill_null("")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        runs = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        if runs.any():
+            split = pa.array([_SAFE.split(t) for t in texts.filter(pa.array(runs)).to_pylist()], lists.type)
+            order = np.empty(len(texts), dtype=np.int64)
+            order[~runs], order[runs] = np.arange((~runs).sum()), (~runs).sum() + np.arange(runs.sum())
+            lists = pa.concat_arrays([lists.filter(pa.array(~runs)), split]).take(pa.array(order))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        first = np.concatenate([[0], ends[:-1]])
+        flat = lists.flatten()
+        if len(self.known) > self.max_entries:
             self._forget()
-        heads, head_count = self._piece_ids(flat.take(pa.array(first)).to_pylist(), "")
-        coded = flat.dictionary_encode()
-        known, known_count = self._piece_ids(coded.dictionary.to_pylist(), " ")
-        codes = coded.indices.to_numpy()
-        # All pieces in order: the heads' ids lie behind the others'.
-        begin, count = (np.cumsum(known_count) - known_count)[codes], known_count[codes]
-        begin[first], count[first] = len(known) + np.cumsum(head_count) - head_count, head_count
-        both = np.concatenate([known, heads])
-        upto = np.cumsum(count)
-        ids = both[_places(begin - upto + count, count)].astype("<u4", copy=False)
-        data, out, at = memoryview(ids).cast("B"), [b""] * len(texts), 0
-        for i, end in zip(order.tolist(), upto[ends - 1].tolist()):
-            out[i] = bytes(data[4 * at : 4 * end])
-            at = end
-        return out
+        heads, coded = flat.take(pa.array(first)), flat.dictionary_encode()
+        del flat, lists
+        known, known_count = self._piece_ids(pa.concat_arrays([coded.dictionary, heads]), len(heads))
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes[first] = len(coded.dictionary) + np.arange(len(heads))
+        count = known_count[codes]
+        return picked(known, (np.cumsum(known_count) - known_count)[codes], count), np.add.reduceat(count, first)
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        ids, sizes = self.ids(pa.array(list(texts), _LARGE))
+        data, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(sizes)
+        return [bytes(data[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids with end_id behind each text's."""
+    ends = np.cumsum(sizes + 1)
+    out = np.full(len(ids) + len(sizes), end_id, dtype=np.uint32)
+    inside = np.ones(len(out), dtype=bool)
+    inside[ends - 1] = False
+    out[inside] = ids
+    return out, sizes + 1
 
 
 @functools.lru_cache(maxsize=4)

@@ -47,6 +47,35 @@ def test_costs_are_balanced_and_cuts_are_bounded():
     assert len(out) < 1.5 * len(lengths) and np.std(list(cost.values())) / np.mean(list(cost.values())) < 0.35
 
 
+def plain_assign(lengths, capacity):
+    """The rule as it is said: every sequence is looked at for every piece."""
+    n = -(-sum(lengths) // capacity)
+    room, cost, out = [capacity] * n, [0.0] * n, []
+    for p in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
+        start, size = 0, lengths[p]
+        while size:
+            fitting = [(cost[s], s) for s in range(n) if room[s] >= size]
+            s = min(fitting)[1] if fitting else min(((-room[s], cost[s], s) for s in range(n)))[2]
+            part = min(size, room[s])
+            out.append((p, start, part, s, capacity - room[s]))
+            room[s] -= part
+            cost[s] += part + part * part / 1024
+            start, size = start + part, size - part
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 13), max_size=80))
+def test_every_piece_goes_to_the_cheapest_sequence_with_room(lengths):
+    assert assign(lengths, 13) == plain_assign(lengths, 13)
+
+
+def test_no_piece_is_cut_while_a_sequence_has_room():
+    rng = random.Random(2)
+    lengths = [rng.randint(1, 1023) for _ in range(1500)]
+    assert assign(lengths, 1024) == plain_assign(lengths, 1024)
+
+
 def hold(rows, out, capacity=1024):
     tokenizer = Tokenizer.from_file(PATH)
     want = defaultdict(list)
