@@ -22,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import filesystem, scratch, staged, stretches, table, tokenizer_path
-from cutloom.llm.tokens import encoder, vocabulary_size
+from cutloom.llm.common import cuts, filesystem, give_back, scratch, staged, table, tokenizer_path
+from cutloom.llm.tokens import encoder, vocabulary_size, with_end
 
 MAGIC = b"HUFIDS1\n"
 MAX_BITS = 20
 BLOCK = 256
 END_ID = 0
-#: Ids in one file at most; a longer range gives several files.
+#: A file is closed at the document that brings it to so many ids; a longer range gives several files.
 FILE_IDS = 2_000_000
 #: Ids that one task decodes.
 TASK_IDS = 4_000_000
@@ -131,39 +132,52 @@ def decode_bits(packed: bytes, offsets: np.ndarray, n: int, symbol, bits, block:
     return out.reshape(-1)[:n]
 
 
-def _tokenise(path: str, end_id: int, kind: str):
-    end = np.array([end_id], dtype="<u4").tobytes()
+_IDS = pa.schema([("part", pa.int32()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _tokenise(path: str, end_id: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
+        token_ids, part, at = encoder(path).ids, TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch["text"].tolist()
-            coded = (x for some in stretches(texts, 8_000_000) for x in encode(texts[some]))
-            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in coded]
-            out = pd.DataFrame({"part": part, "pos": np.arange(at, at + len(ids)), "doc_id": batch["doc_id"], "ids": ids})
-            at += len(ids)
-            yield out
+            doc_ids, texts = batch.column(0), batch.column(1)
+            for some in cuts(texts):
+                ids, sizes = with_end(*token_ids(texts[some]), end_id)
+                n, ids = len(sizes), ids.astype(kind)
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+                # Bytes of one cut stay far below what 32-bit offsets hold, but for a single text beyond 500 M ids.
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), doc_ids[some], packed], schema=_IDS)
+                at += n
+        give_back()
 
     return run
 
 
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column one after the other, and where each row's end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    size = np.dtype(kind).itemsize
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    return data, (ends[1:].astype(np.int64) - int(ends[0])) // size
+
+
 def _count(kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch["ids"]), kind))
+            got = np.bincount(_flat(batch.column(0), kind)[0])
             if len(got) > len(counts):
                 counts, got = got, counts
             counts[: len(got)] += got
         ids = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": ids, "n": counts[ids]})
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
 
     return run
 
 
-def file_bytes(ids: np.ndarray, doc_ids: list, sizes: list[int], part: int, seq: int, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+def file_bytes(ids: np.ndarray, doc_ids: list, sizes, part: int, seq: int, lengths: np.ndarray, codes: np.ndarray) -> bytes:
     packed, offsets = encode_bits(ids, lengths, codes)
     known = np.array([d is not None for d in doc_ids], dtype=bool)
     header = json.dumps({"part": part, "seq": seq, "ids": len(ids), "docs": len(doc_ids), "block": BLOCK, "max_bits": MAX_BITS, "blocks": len(offsets), "vocab": len(lengths), "null_docs": np.flatnonzero(~known).tolist()}).encode()
@@ -197,42 +211,55 @@ def read_file(data: bytes) -> tuple[dict, list, np.ndarray, np.ndarray]:
     return h, [None if i in null else d for i, d in enumerate(doc_ids.tolist())], sizes, ids
 
 
-def _write(folder: str, lengths: np.ndarray, kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, size = canonical_codes(lengths), np.dtype(kind).itemsize
+_FILES = "path string, part int, seq long, n_ids long, n_bytes long"
+
+
+def _write(folder: str, lengths: np.ndarray, kind: str, file_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = canonical_codes(lengths)
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
-        held: list[tuple] = []
-        part, seq, following, waiting = None, 0, None, 0
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []  # doc_ids, token counts, ids
+        done: list[tuple] = []
+        part, seq, following, waiting = -1, 0, -1, 0
 
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal held, seq, waiting
+        def flush() -> None:
+            nonlocal held, waiting
             if held:
-                ids = np.frombuffer(b"".join(x[1] for x in held), kind)
-                sizes = [len(x[1]) // ids.itemsize for x in held]
-                data = file_bytes(ids, [x[0] for x in held], sizes, part, seq, lengths, codes)
+                ids = np.concatenate([x[2] for x in held])
+                data = file_bytes(ids, [d for x in held for d in x[0]], np.concatenate([x[1] for x in held]), part, seq, lengths, codes)
                 name = f"part-{part:06d}-{seq:010d}-{uuid.uuid4().hex}.huf"
                 with fs.open_output_stream(f"{base}/{name}") as f:
                     f.write(data)
-                yield pd.DataFrame({"path": [f"{folder}/{name}"], "part": [part], "seq": [seq], "n_ids": [len(ids)], "n_bytes": [len(data)]})
+                done.append((f"{folder}/{name}", part, seq, len(ids), len(data)))
                 held, waiting = [], 0
 
         for batch in batches:
-            for p, pos, d, ids in zip(batch["part"], batch["pos"], batch["doc_id"], batch["ids"]):
-                if p != part or pos != following or not held:  # seq is the place of a file's first document in its range
-                    yield from flush()
-                    part, seq = int(p), int(pos)
-                following = pos + 1
-                held.append((None if pd.isna(d) else int(d), ids))
-                waiting += len(ids) // size
-                if waiting >= FILE_IDS:
-                    yield from flush()
-        yield from flush()
+            ids, ends = _flat(batch.column(3), kind)
+            parts, pos, doc_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            breaks = np.flatnonzero((np.diff(parts) != 0) | (np.diff(pos) != 1)) + 1
+            for a, stop in zip([0, *breaks], [*breaks, len(pos)]):
+                while a < stop:
+                    if parts[a] != part or pos[a] != following or not held:  # seq is the place of a file's first document in its range
+                        flush()
+                        part, seq = int(parts[a]), int(pos[a])
+                    begin = int(ends[a - 1]) if a else 0
+                    b = min(int(stop), int(np.searchsorted(ends, begin + file_ids - waiting)) + 1)
+                    held.append((doc_ids[a:b], np.diff(ends[a:b], prepend=begin), ids[begin : ends[b - 1]]))
+                    waiting += int(ends[b - 1]) - begin
+                    following, a = int(pos[b - 1]) + 1, b
+                    if waiting >= file_ids:
+                        flush()
+        flush()
+        columns = list(zip(*done)) or [[]] * 5
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _FILES.split(", ")])
+        give_back()
 
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes docs(doc_id, text) in ascending doc_id order; the manifest: path, part, seq, n_ids, n_bytes, start.
 
     Null texts are empty (the end id alone), null doc_ids come first, rows with equal ids keep next to each other in an
@@ -242,22 +269,23 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = picked.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     kind = "<u2" if max(end_id, vocabulary_size(tokenizer) - 1) < 1 << 16 else "<u4"
-    ids = staged(dealt.mapInPandas(_tokenise(tokenizer, end_id, kind), "part int, pos long, doc_id long, ids binary"), "ids")
+    ids = staged(dealt.mapInArrow(_tokenise(tokenizer, end_id, kind), "part int, pos long, doc_id long, ids binary"), "ids")
     # One row for each id of the vocabulary at most.
-    counted = ids.select("ids").mapInPandas(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = ids.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end_id, *(r.id for r in counted)]) + 1, dtype=np.int64)
     for r in counted:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     # No shuffle: Spark reads stretches of a range in their order, and each becomes files with its place in the range.
-    manifest = staged(ids.mapInPandas(_write(folder, lengths, kind), "path string, part int, seq long, n_ids long, n_bytes long"), "ids-manifest")
-    # One row for each file: their starts are sums over a short list.
-    files = sorted(manifest.collect(), key=lambda r: (r.part, r.seq))
-    rows, start = [], 0
-    for r in files:
-        rows.append((*r, start))
-        start += r.n_ids
-    return spark.createDataFrame(rows, "path string, part int, seq long, n_ids long, n_bytes long, start long")
+    files = staged(ids.mapInArrow(_write(folder, lengths, kind, file_ids), _FILES), "ids-manifest")
+    # Ids before a range: a sum over one row for each range that Spark dealt out; ids before a file in its range: a window.
+    sums, start, rows = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}, 0, []
+    for part in sorted(sums):
+        rows.append((part, start))
+        start += sums[part]
+    bases = F.broadcast(spark.createDataFrame(rows, "part int, base long"))
+    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return files.join(bases, "part").select("path", "part", "seq", "n_ids", "n_bytes", (F.col("base") + F.coalesce(before, F.lit(0))).alias("start"))
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -82,3 +82,12 @@ def test_edges_and_several_files(spark, monkeypatch):
     hold(rows, out)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in out)
     assert b.read_ids(b.write_ids(df.limit(0), PATH, scratch(spark, "huffman"))).count() == 0
+
+
+def test_a_range_is_cut_into_files(spark):
+    rows = [(i, "some words " * (i % 7)) for i in range(200)] + [(None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    manifest = b.write_ids(df, PATH, scratch(spark, "huffman"), file_ids=50)
+    files = manifest.collect()
+    assert len(files) > 20 and max(f.n_ids for f in files) < 50 + 20
+    hold(rows, b.read_ids(manifest).collect())
