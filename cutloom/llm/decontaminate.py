@@ -1,21 +1,24 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 Test phrases are windows of WINDOW consecutive words of the items (an item of fewer words is one window).  A task cuts
-the texts it reads into shards.  The words of a shard that occur in any item become symbols; all others separate (no
-phrase holds one), and so does the end of a text, and stretches shorter than the shortest phrase are left out.  Over
-the symbols lies an FM-index: a suffix order, its Burrows-Wheeler transform in a wavelet matrix, and every
-SAMPLE-th suffix position.  All windows are searched backward side by side through the matrix's ranks, occurrences are
-located by walking to a sampled position, and their word spans are merged for each document.
-
-Long stretches are indexed in overlapping blocks, so that copies of a text can't make suffixes equal over more than
-BLOCK words.  The items are a query set: in blocks of BLOCK_ITEMS items, of which a task holds one at a time.
-There is no shuffle.
+the texts it reads into shards of about SHARD_BYTES.  Over all words of a shard, whose distinct words are its alphabet,
+lies one FM-index: a suffix order, its Burrows-Wheeler transform in a wavelet matrix of packed bits, and every SAMPLE-th
+suffix position.  All windows of all blocks of items are searched in that index, backward and side by side, through the
+matrix's ranks; occurrences are located by walking to a sampled position and confirmed word by word, and their spans are
+merged for each document.
+
+Words are told apart by 64-bit hashes in the index, and by both of their keys when an occurrence is confirmed.  Texts are
+indexed in overlapping blocks, so that copies of a text can't make suffixes equal over more than BLOCK words.  The items
+are a query set: tasks write the phrases of blocks of items to files, of which a task holds a few at a time.  Documents
+are not shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import filesystem, give_back, merged_ranges, scratch, table
+from cutloom.llm.common import cuts, filesystem, give_back, merged_ranges, scratch, table
 
 WINDOW = 10
 BLOCK = 118
 SAMPLE = 8
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
 CUT_BYTES = 1_000_000
-BLOCK_ITEMS = 20_000
+#: Items, and bytes of their texts, in a block of phrases.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4_000_000
 
 _PRIME = 0x9E3779B97F4A7C15
 _LETTER = np.zeros(256, dtype=np.uint8)  # a word's bytes, lower-cased; 0: not in a word
@@ -80,18 +84,24 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key, second, np.searchsorted(starts, offsets)
 
 
+def _words(key: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash of both keys."""
+    x = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + second
+    return (x ^ (x >> np.uint64(32))) * np.uint64(_PRIME)
+
+
 @dataclass
 class Phrases:
-    """All windows of a block of items.  Symbols are 1.. in order of the keys; symbol rows are padded with 0 in front."""
+    """All windows of a block of items.  Words are numbered from 1; rows of windows are padded with 0 in front."""
 
+    word: np.ndarray
     key: np.ndarray
     second: np.ndarray
-    windows: np.ndarray  # windows x WINDOW symbols
+    windows: np.ndarray  # windows x WINDOW numbers of words
     size: np.ndarray
-    item_at: np.ndarray  # window i belongs to items[item_at[i] : item_at[i + 1]]
+    item_at: np.ndarray  # window i belongs to items[item[item_at[i] : item_at[i + 1]]]
     items: list[str]
     item: np.ndarray
-    shortest: int
 
 
 def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases | None:
@@ -101,76 +111,102 @@ def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phr
     key, second, first = words_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
     if not len(key):
         return None
-    unique, at, symbol = np.unique(key, return_index=True, return_inverse=True)
-    found: dict[tuple[int, ...], set[int]] = {}
-    for i in range(len(items)):
-        s = (symbol[first[i] : first[i + 1]] + 1).tolist()
-        for j in range(max(1, len(s) - window + 1) if s else 0):
-            found.setdefault(tuple(s[j : j + window]), set()).add(i)
-    rows = np.zeros((len(found), window), dtype=np.int64)
-    for r, w in enumerate(found):
-        rows[r, window - len(w) :] = w
+    word, at, number = np.unique(_words(key, second), return_index=True, return_inverse=True)
+    n = np.diff(first)
+    size = np.minimum(n, window)
+    count = np.where(n > 0, n - size + 1, 0)  # windows of each item
+    item = np.repeat(np.arange(len(items)), count)
+    begin = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    place = np.arange(window) - window + size[item, None]
+    rows = np.where(place >= 0, number[np.minimum(begin[:, None] + np.maximum(place, 0), len(number) - 1)] + 1, 0)
+    windows, of = np.unique(rows, axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([of.ravel(), item], axis=1), axis=0)
     return Phrases(
-        unique, second[at], rows, np.array([len(w) for w in found]),
-        np.cumsum([0, *(len(v) for v in found.values())]), [str(i) for i, _ in items],
-        np.array([i for v in found.values() for i in sorted(v)]), min(len(w) for w in found),
+        word, key[at], second[at], windows, (windows > 0).sum(axis=1), np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)),
+        [str(i) for i, _ in items], pairs[:, 1],
     )
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions in order of their suffixes; text: ints whose equal stretches are bounded by unique values."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, h = len(text), 1
+def suffix_order(text: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Positions in order of their suffixes; text: ints whose equal stretches are bounded by unique values; order: positions
+    in order of their ints, if known.  Doubles the compared length in each round, for the suffixes still tied only."""
+    n = len(text)
+    order = np.argsort(text) if order is None else order.copy()
+    new = np.ones(n, dtype=bool)
+    new[1:] = text[order[1:]] != text[order[:-1]]
+    rank = np.empty(n, dtype=np.int64)  # where the ties of a suffix begin
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    h = 1
     while True:
-        shifted = np.full(n, -1, dtype=np.int64)
-        shifted[:-h or n] = rank[h:] if h < n else shifted
-        both = rank * (n + 1) + shifted + 1
-        order = np.argsort(both, kind="stable")
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], np.diff(both[order]) != 0]))
-        rank, h = new, 2 * h
-        if n == 0 or rank[order[-1]] == n - 1:
+        rows = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(rows):
             return order
+        tied = order[rows]
+        after = np.where(tied + h < n, rank[np.minimum(tied + h, n - 1)], -1)
+        both = rank[tied] * (n + 1) + after + 1
+        at = np.argsort(both)
+        order[rows], both = tied[at], both[at]
+        new[rows] = np.concatenate([[True], both[1:] != both[:-1]])
+        rank[order[rows]] = np.maximum.accumulate(np.where(new[rows], rows, 0))
+        h *= 2
+
+
+class _Bits:
+    """Bits in 64-bit words, with the number of ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int64)])
+        self.total = int(self.before[-1])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 class FmIndex:
     """Over text: symbols from 1; 0 ends a block (these are told apart by their place)."""
 
-    def __init__(self, text: np.ndarray, symbols: int, sample: int = SAMPLE):
+    def __init__(self, text: np.ndarray, symbols: int, sample: int = SAMPLE, order: np.ndarray | None = None):
         ends = np.flatnonzero(text == 0)
-        told = text + len(ends)
+        told = text.astype(np.int64) + len(ends)
         told[ends] = np.arange(len(ends))
-        order = suffix_order(told)
+        order = suffix_order(told, order)
         self.n = len(text)
-        bwt = text[order - 1]  # the last symbol is 0, and so is the one before position 0
+        bwt = text[order - 1].astype(np.int32)  # the last symbol is 0, and so is the one before position 0
+        # Sampled suffix positions: every sample-th, and each block's first (no walk leaves its block).
+        kept = (order % sample == 0) | (bwt == 0)
+        self.kept, self.position = _Bits(kept), order[kept].astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
-        # The wavelet matrix: for each bit, from the highest, how many zeros stand before each place.
+        # The wavelet matrix: for each bit, from the highest, where zeros stand; then zeros before ones.
         self.levels = []
         for bit in range(max(1, int(symbols).bit_length()) - 1, -1, -1):
-            ones = (bwt >> bit) & 1 == 1
-            zeros = np.concatenate([[0], np.cumsum(~ones)])
-            self.levels.append((bit, zeros, int(zeros[-1])))
-            bwt = np.concatenate([bwt[~ones], bwt[ones]])
-        # Sampled suffix positions: every sample-th, and each block's first (no walk leaves its block).
-        kept = (order % sample == 0) | (text[order - 1] == 0)
-        self.kept, self.kept_rank, self.position = kept, np.cumsum(kept) - 1, order[kept]
+            zero = (bwt >> bit) & 1 == 0
+            self.levels.append((bit, _Bits(zero)))
+            bwt = np.concatenate([bwt[zero], bwt[~zero]])
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How many of symbol stand before place."""
         at, begin = place, np.zeros_like(place)
-        for bit, zeros, total in self.levels:
+        for bit, zeros in self.levels:
             one = (symbol >> bit) & 1 == 1
-            za, zb = zeros[at], zeros[begin]
-            at, begin = np.where(one, total + at - za, za), np.where(one, total + begin - zb, zb)
+            za, zb = zeros.rank(at), zeros.rank(begin)
+            at, begin = np.where(one, zeros.total + at - za, za), np.where(one, zeros.total + begin - zb, zb)
         return at - begin
 
     def symbol_at(self, place: np.ndarray) -> np.ndarray:
         symbol, at = np.zeros_like(place), place
-        for bit, zeros, total in self.levels:
-            za = zeros[at]
-            one = zeros[at + 1] == za
+        for bit, zeros in self.levels:
+            one = ~zeros.at(at)
+            za = zeros.rank(at)
             symbol |= one.astype(np.int64) << bit
-            at = np.where(one, total + at - za, za)
+            at = np.where(one, zeros.total + at - za, za)
         return symbol
 
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,8 +228,8 @@ class FmIndex:
         """Text positions of suffixes: walk back to a sampled one."""
         out, steps, at, index = np.zeros_like(place), 0, place.copy(), np.arange(len(place))
         while len(index):
-            done = self.kept[at]
-            out[index[done]] = self.position[self.kept_rank[at[done]]] + steps
+            done = self.kept.at(at)
+            out[index[done]] = self.position[self.kept.rank(at[done])] + steps
             index, at = index[~done], at[~done]
             symbol = self.symbol_at(at)
             at = self.first[symbol] + self.rank(symbol, at)
@@ -201,60 +237,67 @@ class FmIndex:
         return out
 
 
-def _stretches(key, second, first, p: Phrases, block: int, overlap: int):
-    """Symbols to index (0 after each block) and for each the word's number."""
-    at = np.minimum(np.searchsorted(p.key, key), len(p.key) - 1)
-    symbol = np.where((p.key[at] == key) & (p.second[at] == second), at + 1, 0)
-    known = symbol > 0
-    cut = np.zeros(len(key) + 1, dtype=bool)
-    cut[first] = True
-    begin = np.flatnonzero(known & (~np.concatenate([[False], known[:-1]]) | cut[:-1])) if len(key) else np.zeros(0, int)
-    stop = np.flatnonzero(known & (~np.concatenate([known[1:], [False]]) | cut[1:])) + 1 if len(key) else begin
-    long = stop - begin >= p.shortest
-    begin, stop = begin[long], stop[long]
-    pieces = np.maximum(1, -(-(stop - begin - overlap) // block))
-    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    b = np.repeat(begin, pieces) + number * block
-    size = np.minimum(np.repeat(stop, pieces) - b, block + overlap) + 1
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    word = np.repeat(b, size) + place
-    text = np.where(place == np.repeat(size, size) - 1, 0, symbol[np.minimum(word, max(0, len(symbol) - 1))] if len(symbol) else 0)
-    return text, word
-
-
 class Shard:
-    """Texts in order; hits(p) searches all of them for one block of phrases."""
+    """Texts in order, added one batch after the other; build() makes their index, hits(p) searches it for a block of phrases."""
 
     def __init__(self):
-        self.parts, self.n_words, self.n_docs, self.size = [], [], 0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_words: list[np.ndarray] = []
+        self.n_docs = self.size = 0
 
     def add(self, data: np.ndarray, offsets: np.ndarray) -> None:
         key, second, first = words_of(data, offsets)
-        self.parts.append((key, second, first, self.n_docs))
+        self.parts.append((key, second))
         self.n_words.append(np.diff(first))
         self.n_docs += len(offsets) - 1
         self.size += len(data)
 
+    def build(self, block: int = BLOCK, overlap: int = WINDOW - 1) -> None:
+        self.key, self.second = (np.concatenate([p[k] for p in self.parts]) for k in range(2))
+        n = np.concatenate(self.n_words)
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        # Blocks of a text: each has its own words, those of the next one that a window may reach, and an end.
+        blocks = np.where(n > 0, np.maximum(1, -(-(n - overlap) // block)), 0)
+        number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = np.repeat(self.first[:-1], blocks) + number * block
+        size = np.minimum(np.repeat(self.first[1:], blocks) - begin, block + overlap) + 1
+        self.word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)  # the number of each place's word
+        ends = np.cumsum(size) - 1
+        self.word[ends] = 0
+        inside = np.ones(len(self.word), dtype=bool)
+        inside[ends] = False
+        places = np.flatnonzero(inside)
+        words = _words(self.key, self.second)[self.word[places]]
+        at = np.argsort(words)
+        words = words[at]
+        new = np.ones(len(words), dtype=bool)
+        new[1:] = words[1:] != words[:-1]
+        text = np.zeros(len(self.word), dtype=np.int64)
+        text[places[at]] = np.cumsum(new)
+        self.alphabet = words[new]
+        self.index = FmIndex(text, len(self.alphabet), order=np.concatenate([ends, places[at]])) if len(text) else None
+
     def hits(self, p: Phrases):
         """document, first word, end word, window of every occurrence."""
-        texts, docs, places = [], [], []
-        for key, second, first, base in self.parts:
-            text, word = _stretches(key, second, first, p, BLOCK, p.windows.shape[1] - 1)
-            doc = np.searchsorted(first, word, side="right") - 1
-            texts.append(text)
-            docs.append(doc + base)
-            places.append(word - first[np.minimum(doc, len(first) - 1)])
-        text = np.concatenate(texts)
         none = np.zeros(0, dtype=np.int64)
-        if not len(text):
+        if self.index is None:
             return none, none, none, none
-        index = FmIndex(text, len(p.key))
-        row, low, high = index.search(p.windows)
+        at = np.minimum(np.searchsorted(self.alphabet, p.word), len(self.alphabet) - 1)
+        symbol = np.concatenate([[0], np.where(self.alphabet[at] == p.word, at + 1, 0)])
+        there = np.flatnonzero(((symbol[p.windows] > 0) | (p.windows == 0)).all(axis=1))
+        row, low, high = self.index.search(symbol[p.windows[there]])
         count = high - low
         place = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        position, window = index.locate(place), np.repeat(row, count)
-        start = np.concatenate(places)[position]
-        return np.concatenate(docs)[position], start, start + p.size[window], window
+        start, window = self.word[self.index.locate(place)], np.repeat(there[row], count)
+        same = np.ones(len(start), dtype=bool)
+        for k in range(p.windows.shape[1]):
+            number = p.windows[window, k] - 1
+            word = np.maximum(start + k - p.windows.shape[1] + p.size[window], 0)
+            same &= (number < 0) | ((self.key[word] == p.key[number]) & (self.second[word] == p.second[number]))
+        start, window = start[same], window[same]
+        doc = np.searchsorted(self.first, start, side="right") - 1
+        start = start - self.first[doc]
+        return doc, start, start + p.size[window], window
 
 
 SCHEMA = (
@@ -267,24 +310,22 @@ _ARROW = pa.schema([
 ])
 
 
-def _load(block) -> Phrases:
-    if isinstance(block, Phrases):
-        return block
-    fs, path = filesystem(block)
-    with fs.open_input_stream(path) as f:
+@functools.lru_cache(maxsize=3)
+def _load(path: str) -> Phrases:
+    fs, local = filesystem(path)
+    with fs.open_input_stream(local) as f:
         return pickle.loads(f.read())
 
 
-def _report(doc_ids: pa.Array, shard: Shard, blocks: list) -> pa.RecordBatch:
+def _report(doc_ids: pa.Array, shard: Shard, blocks: list[str]) -> pa.RecordBatch:
     n = shard.n_docs
     spans: dict[int, list] = {}
     items: dict[int, set[str]] = {}
     for block in blocks:
         p = _load(block)
         doc, first, stop, window = shard.hits(p)
-        for i in np.lexsort((first, doc)).tolist():
-            d, w = int(doc[i]), int(window[i])
-            spans.setdefault(d, []).append((int(first[i]), int(stop[i])))
+        for d, a, b, w in zip(*(x.tolist() for x in (doc, first, stop, window))):
+            spans.setdefault(d, []).append((a, b))
             items.setdefault(d, set()).update(p.items[j] for j in p.item[p.item_at[w] : p.item_at[w + 1]])
     merged = {d: merged_ranges(*zip(*sorted(s))) for d, s in spans.items()}
     hit = np.zeros(n, dtype=np.int64)
@@ -299,37 +340,46 @@ def _report(doc_ids: pa.Array, shard: Shard, blocks: list) -> pa.RecordBatch:
     ], schema=_ARROW)
 
 
-def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """doc_ids, bytes and offsets of stretches of rows of about CUT_BYTES."""
-    texts = batch.column(1).cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CUT_BYTES, side="right")) - 1)
-        part = offsets[row : stop + 1]
-        yield batch.column(0).slice(row, stop - row), data[part[0] : part[-1]], part - part[0]
-        row = stop
-
-
-def _blocks(benchmark: DataFrame, block_items: int) -> list:
-    """Phrases of all items: one block as it is, more of them as files in the shared folder."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], Shard]]:
+    """Rows, whose last column is the text, and the index of their words, a shard at a time."""
+    shard, held = Shard(), []
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1)
+        for some in cuts(text, CUT_BYTES):
+            texts = text[some].cast(pa.large_string()).fill_null("")
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            shard.add(np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
+            held.append(batch[some])
+            if shard.size >= SHARD_BYTES:
+                shard.build()
+                yield held, shard
+                shard, held = Shard(), []
+    if held:
+        shard.build()
+        yield held, shard
+
+
+def _blocks(benchmark: DataFrame, block_items: int) -> list[str]:
+    """Files of phrases in the shared folder, each written by a task from a block of items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    n = -(-items.count() // block_items)
-    folder, out = scratch(items.sparkSession, "phrases"), []
-    for i in range(n):
-        of_block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        p = phrases([(r.item_id, r.text) for r in of_block.collect()])  # about block_items rows
-        if p is not None and n > 1:
-            fs, base = filesystem(folder)
-            fs.create_dir(base, recursive=True)
-            with fs.open_output_stream(f"{base}/{i}") as f:
-                f.write(pickle.dumps(p))
-            out.append(f"{folder}/{i}")
-        elif p is not None:
-            out.append(p)
-    return out
+    r = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    n = max(-(-r.n // block_items), -(-r.size // BLOCK_BYTES))
+    folder = scratch(items.sparkSession, "phrases")
+
+    def write(block: pa.Table) -> pa.Table:
+        p = phrases(list(zip(block["item_id"].to_pylist(), block["text"].to_pylist())))
+        if p is None:
+            return pa.table({"path": pa.array([], pa.string())})
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex  # the attempt's own: only files that Spark reports are read
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            f.write(pickle.dumps(p))
+        return pa.table({"path": [f"{folder}/{name}"]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, n))))
+    return sorted(r.path for r in dealt.groupBy("block").applyInArrow(write, "path string").collect())  # one path for a block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -339,19 +389,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
     texts are left out; an item id that stands on several rows counts once; rows are reported each for itself, other
     columns dropped; no items hit nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, block_items))  # one block at most, else paths
+    blocks = _blocks(benchmark, block_items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids = Shard(), []
-        for batch in batches:
-            for doc_ids, data, offsets in _cuts(batch):
-                shard.add(data, offsets)
-                ids.append(doc_ids)
-                if shard.size >= SHARD_BYTES:
-                    yield _report(pa.concat_arrays(ids), shard, shared.value)
-                    shard, ids = Shard(), []
-        if ids:
-            yield _report(pa.concat_arrays(ids), shard, shared.value)
+        for held, shard in _shards(batches):
+            yield _report(pa.concat_arrays([b.column(0) for b in held]), shard, blocks)
         give_back()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -359,26 +401,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of docs without a hit word, all columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, block_items))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-
-    @F.pandas_udf("boolean")
-    def clean(text):
-        import pandas as pd
-
-        shard = Shard()
-        rows = pa.array(text, pa.string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), rows], schema=schema)
-        for _, data, offsets in _cuts(batch):
-            shard.add(data, offsets)
-        out = np.ones(len(rows), dtype=bool)
-        for block in shared.value if len(rows) else ():
-            out[shard.hits(_load(block))[0]] = False
+    """The rows of docs without a hit word, all columns as they were; items without an id count too."""
+    blocks = _blocks(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), block_items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, shard in _shards(batches):
+            clean = np.ones(shard.n_docs, dtype=bool)
+            for block in blocks:
+                clean[shard.hits(_load(block))[0]] = False
+            at = 0
+            for batch in held:
+                own = batch.select(range(batch.num_columns - 1))
+                yield own.filter(pa.array(clean[at : at + len(own)]))
+                at += len(own)
         give_back()
-        return pd.Series(out)
 
-    return docs.filter(clean(F.col("text").cast("string")))
+    own_name = "_".join(["text", *docs.columns])  # longer than any other
+    return docs.select("*", F.col("text").cast("string").alias(own_name)).mapInArrow(run, docs.schema)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
