@@ -1,8 +1,8 @@
 """Media columns: TIFF images in binary columns, one row per page.
 
 The reader walks the image file directories of either byte order, decodes PackBits, LZW and deflate strips and tiles,
-undoes horizontal differencing, and gives one row per page.  The writer stores bytes as 8-bit grey pages.  A file that
-can't be read gives one row with the reason; pages before the fault keep theirs.
+undoes horizontal differencing, and gives one row per page.  The writer stores bytes as 8-bit grey pages.  A page that
+can't be read gives a row with the reason, and the walk goes on at the next directory.
 """
 
 from __future__ import annotations
@@ -14,17 +14,17 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import table
+from cutloom.llm.common import cuts, give_back, table
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH = 64
 ROWS_PER_STRIP = 256
-#: Payloads above this are deflated where their layout would be LZW, whose loop is Python's.
-LZW_MOST = 16_384
+#: Rows of a page of a stored text; longer ones run over several pages.
+PAGE_ROWS = 1024
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}  # bytes of a field type
 
 
@@ -72,65 +72,83 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzw_widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code (widened one code early): they follow from the place alone."""
+    k = np.arange(n)
+    return 9 + (k >= 254) + (k >= 766) + (k >= 1790)
+
+
 def unpack_lzw(data: bytes, most: int) -> bytes:
-    """LZW with codes of 9 to 12 bits, high bits first, widened one code early."""
+    """LZW with codes of 9 to 12 bits, high bits first, widened one code early: the codes up to each clear code are cut out
+    of the bits at once, then looked up one by one."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    known, width, before = list(base), 9, None
+    padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
+    ahead = padded[:-3] << 16 | padded[1:-2] << 8 | padded[2:-1]  # the 24 bits from each byte on
     out: list[bytes] = []
-    held, bits, size = 0, 0, 0
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == 256:
-            known, width, before = list(base), 9, None
-            continue
-        if code == 257 or size >= most:
+    at, size, bits = 0, 0, 8 * len(data)
+    while at < bits and size < most:
+        widths = _lzw_widths(min(4096, (bits - at) // 9 + 1))
+        while True:  # a table that is never cleared goes on with the widest codes
+            places = at + np.cumsum(widths) - widths
+            inside = places + widths <= bits
+            places, some = places[inside], widths[inside]
+            codes = ahead[places >> 3] >> (24 - some - (places & 7)).astype(np.uint32) & ((1 << some) - 1).astype(np.uint32)
+            stops = np.flatnonzero((codes == 256) | (codes == 257))
+            if len(stops) or not inside.all():
+                break
+            widths = _lzw_widths(2 * len(widths))
+        known, before = list(base), b""
+        for code in codes[: stops[0] if len(stops) else None].tolist():
+            if code < len(known):
+                now = known[code]
+            elif before and code == len(known):
+                now = before + before[:1]
+            else:
+                raise TiffError("LZW code ahead of its table")
+            out.append(now)
+            size += len(now)
+            if size >= most:
+                break
+            if before and len(known) < 4096:
+                known.append(before + now[:1])
+            before = now
+        if not len(stops) or codes[stops[0]] == 257:
             break
-        if code < len(known):
-            now = known[code]
-        elif before is not None and code == len(known):
-            now = before + before[:1]
-        else:
-            raise TiffError("LZW code ahead of its table")
-        out.append(now)
-        size += len(now)
-        if before is not None and len(known) < 4096:
-            known.append(before + now[:1])
-        before = now
-        n = len(known)
-        width = 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
+        at = int(places[stops[0]] + some[stops[0]])
     return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    codes: list[tuple[int, int]] = [(256, 9)]
-    known, width = {bytes([i]): i for i in range(256)}, 9
-    following, word = 258, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in known:
-            word = longer
+    codes, places = [256], [0]  # places: of each code since the last clear one
+    known: dict[int, int] = {}  # code before and byte -> code of both
+    following, held = 258, -1
+    for byte in data:
+        if held < 0:
+            held = byte
             continue
-        codes.append((known[word], width))
-        known[longer] = following
+        key = held << 8 | byte
+        longer = known.get(key)
+        if longer is not None:
+            held = longer
+            continue
+        codes.append(held)
+        places.append(following - 258)
+        known[key] = following
         following += 1
-        word = data[i : i + 1]
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+        held = byte
         if following == 4094:
-            codes.append((256, width))
-            known, width, following = {bytes([k]): k for k in range(256)}, 9, 258
-    if word:
-        codes.append((known[word], width))
+            codes.append(256)
+            places.append(following - 258)
+            known, following = {}, 258
+    if held >= 0:
+        codes.append(held)
+        places.append(following - 258)
         following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-    codes.append((257, width))
-    text = "".join(f"{code:0{w}b}" for code, w in codes)
-    text += "0" * (-len(text) % 8)
-    return int(text, 2).to_bytes(len(text) // 8, "big")
+    codes.append(257)
+    places.append(following - 258)
+    widths = _lzw_widths(4096)[places]
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
 
 
 def _unpack(data: bytes, kind: int, most: int) -> bytes:
@@ -216,21 +234,39 @@ def _page(data: bytes, tags: dict[int, list], order: str, number: int) -> Page:
     return Page(number, width, height, samples, bits, kind, predictor, tiled, out)
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """All pages of a file in the order of its directories.  TiffError for what can't be read, also for endless chains."""
+def walk(data: bytes) -> Iterator[Page | TiffError]:
+    """All pages of a file in the order of its directories; in place of a page that can't be read the fault, after which
+    the walk goes on at the next directory.  A broken header or directory, or a circle of them, ends it."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise TiffError("no TIFF header")
+        yield TiffError("no TIFF header")
+        return
     at, seen, number = struct.unpack_from(order + "I", data, 4)[0], set(), 0
     while at:
         if at in seen:
-            raise TiffError("directories run in a circle")
+            yield TiffError("directories run in a circle")
+            return
         seen.add(at)
-        tags, following = _directory(data, at, order)
-        yield _page(data, tags, order, number)
+        try:
+            tags, following = _directory(data, at, order)
+        except TiffError as e:
+            yield e
+            return
+        try:
+            yield _page(data, tags, order, number)
+        except (TiffError, MemoryError, ValueError) as e:
+            yield e if isinstance(e, TiffError) else TiffError(f"page {number}: {e}")
         at, number = following, number + 1
 
 
+def pages(data: bytes) -> Iterator[Page]:
+    """All pages of a file in the order of its directories; TiffError at the first that can't be read."""
+    for found in walk(data):
+        if isinstance(found, TiffError):
+            raise found
+        yield found
+
+
 def write_pages(images: list[np.ndarray], kind: int = DEFLATE, predictor: int = 1, tile: int = 0, order: str = "<") -> bytes:
     """Grey images (height x width, 8 or 16 bits) as one file: strips of ROWS_PER_STRIP rows, or square tiles."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
@@ -272,91 +308,152 @@ def write_pages(images: list[np.ndarray], kind: int = DEFLATE, predictor: int =
     return bytes(out)
 
 
-def encode_payload(payload: bytes) -> bytes:
-    """Bytes (a multiple of WIDTH) as a grey page; the layout follows from the bytes, so equal ones are stored alike."""
+def encode_payload(payload: bytes, page_rows: int = 0) -> bytes:
+    """Bytes (a multiple of WIDTH) as grey pages of page_rows rows (0: one page); the layout follows from the bytes, so
+    equal ones are stored alike."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    images = [image[i : i + page_rows] for i in range(0, len(image), page_rows)] if page_rows else [image]
     layout = zlib.crc32(payload) % 4
     if layout == 0:
-        return write_pages([image], DEFLATE, 2)
+        return write_pages(images, DEFLATE, 2)
     if layout == 1:
-        return write_pages([image], DEFLATE, 1, tile=64)
-    if layout == 2:
-        return write_pages([image], PACKBITS)
-    return write_pages([image], LZW if len(payload) <= LZW_MOST else DEFLATE)
+        return write_pages(images, DEFLATE, 1, tile=64)
+    return write_pages(images, PACKBITS if layout == 2 else LZW)
 
 
-def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(0, len(batch), 1000):
-            part = batch.iloc[i : i + 1000]
-            raw = [(t or "").encode() for t in part["text"]]
-            media = [encode_payload(b + b"\0" * (-len(b) % WIDTH or (0 if b else WIDTH))) for b in raw]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(b) for b in raw], "media": media})
+def store_texts(docs: DataFrame, page_rows: int = 0) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, media: the text's UTF-8 with zero bytes up to a positive multiple of WIDTH
+    as a TIFF file, in pages of page_rows rows (0: one page).  Null texts are empty."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in cuts(batch.column(1)):
+                raw = batch.column(1)[some].cast(pa.large_binary()).to_pylist()
+                media = [encode_payload(b + b"\0" * (-len(b) % WIDTH or (0 if b else WIDTH)), page_rows) for b in raw]
+                columns = [batch.column(0)[some], pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, media: the text's UTF-8 with zero bytes up to a positive multiple of WIDTH
-    as a TIFF file.  Null texts are empty."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return picked.mapInPandas(_store, "doc_id long, n_bytes long, media binary")
+    return picked.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+_PAGE_TYPES = [*[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
+#: Bytes of pixels that wait for their rows in one task.
+HELD_BYTES = 16_000_000
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """A row per page of each TIFF in the binary column media, which it takes the place of; the other columns repeat.
 
-    pixels: the samples row by row, little-endian.  A null file gives no row, a broken one a row with error set.
+    pixels: the samples row by row, little-endian.  A null file gives no row; for a page, directory or header that can't be
+    read there is a row with error set and nulls.  Other columns must not be named as those of pages.
     """
     names = [c.split()[0] for c in PAGE_FIELDS.split(", ")]
     kept = [c for c in df.columns if c != media]
     if clash := set(kept) & set(names):
         raise ValueError(f"columns {sorted(clash)} stand for pages; rename them first")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = batch.select(kept)
             rows, index, held = [], [], 0
-            for i, data in enumerate(batch[media]):
-                if data is None:
-                    continue
-                try:
-                    for p in pages(data):
-                        pixels = p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
-                        rows.append((*p[:8], pixels, None))
-                        index.append(i)
-                        held += len(pixels)
-                except TiffError as e:
-                    rows.append((*[None] * 9, str(e)))
-                    index.append(i)
-                if held >= 16_000_000:
-                    yield _rows(batch, rows, index)
-                    rows, index, held = [], [], 0
-            yield _rows(batch, rows, index)
 
-    def _rows(batch: pd.DataFrame, rows: list, index: list[int]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names[:7]} | {"tiled": "boolean"})
-        return pd.concat([batch[kept].iloc[index].reset_index(drop=True), out], axis=1)
+            def flush() -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), _PAGE_TYPES)] if rows else [pa.nulls(0, t) for t in _PAGE_TYPES]
+                repeated = own.take(pa.array(index, pa.int64())).columns if kept else []
+                return pa.RecordBatch.from_arrays([*repeated, *columns], names=[*kept, *names])
+
+            for i, data in enumerate(batch.column(media)):
+                for p in walk(data.as_py()) if data.is_valid else ():
+                    if isinstance(p, TiffError):
+                        rows.append((*[None] * 9, str(p)))
+                    else:
+                        rows.append((*p[:8], p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), None))
+                        held += p.pixels.nbytes
+                    index.append(i)
+                    if held >= HELD_BYTES:
+                        yield flush()
+                        rows, index, held = [], [], 0
+            yield flush()
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != media)
-    return df.mapInPandas(run, f"{fields}, {PAGE_FIELDS}" if fields else PAGE_FIELDS)
+    return df.mapInArrow(run, f"{fields}, {PAGE_FIELDS}" if fields else PAGE_FIELDS)
+
+
+def described(stored: DataFrame) -> DataFrame:
+    """Adds media_bytes, media_sha256 and file, a number of the row's own."""
+    return stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256), "file": F.monotonically_increasing_id()})
+
+
+class _Payload:
+    """What is known of a file's samples while its pages pass."""
+
+    def __init__(self):
+        self.sha, self.size, self.tail, self.counts, self.edges, self.pages, self.faults = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0, 0, 0
+        self.kinds: dict[int, None] = {}
+
+    def add(self, pixels: bytes | None, kind: int | None) -> None:
+        if pixels is None:
+            self.faults += 1
+            return
+        x = np.frombuffer(self.tail[-1:] + pixels, np.uint8)
+        self.edges += int(np.count_nonzero(x[1:] != x[:-1]))
+        self.counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+        self.sha.update(pixels)
+        self.size, self.pages, self.tail = self.size + len(pixels), self.pages + 1, (self.tail + pixels[-64:])[-64:]
+        self.kinds[kind] = None
+
+    def row(self) -> tuple:
+        if not self.pages:
+            return None, None, None, f"f{self.faults}"
+        value, n = np.arange(256), max(1, self.size)
+        mean = float((self.counts * value).sum()) / n
+        spread = (max(0.0, float((self.counts * value**2).sum()) / n - mean**2)) ** 0.5
+        feature = f"c{'+'.join(map(str, self.kinds))}:p{self.pages}:m{mean:.3f}:s{spread:.3f}:e{self.edges}:h" + "-".join(map(str, self.counts.reshape(8, 32).sum(axis=1)))
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), feature + f":f{self.faults}" * (self.faults > 0)
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, n, size, digest, pixels, kind in zip(batch["doc_id"], batch["n_bytes"], batch["media_bytes"], batch["media_sha256"], batch["pixels"], batch["compression"]):
-            x = np.frombuffer(pixels, np.uint8)
-            bands = np.bincount(x >> 5, minlength=8)
-            edges = int(np.count_nonzero(np.diff(x)))
-            feature = f"c{kind}:m{x.mean():.3f}:s{x.std():.3f}:e{edges}:h" + "-".join(map(str, bands))
-            rows.append((doc_id, n, len(x), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]), size, digest, feature))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def features(pages: DataFrame) -> DataFrame:
+    """tiff_pages(described(...)) -> a row per file: its samples' size, digest, tail and features, over all of its pages.
+
+    Pages of a file follow each other in a task, so no rows move and one page is held at a time.  Pages that can't be read
+    are left out and counted in feature (f1, ...); a file without a readable page has nulls there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        now, about, payload = None, (), _Payload()
+
+        def frame() -> pa.RecordBatch:
+            rows = [(d, n, size, sha, tail, m, digest, feature) for (d, n, m, digest), (size, sha, tail, feature) in done]
+            fields = [f.split() for f in _FEATURES.split(", ")]
+            columns = list(zip(*rows)) or [()] * len(fields)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.string()) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("file", "doc_id", "n_bytes", "media_bytes", "media_sha256", "pixels", "compression")]
+            for row in zip(*columns):
+                file = row[0].as_py()
+                if file != now:
+                    if now is not None:
+                        done.append((about, payload.row()))
+                    now, about, payload = file, tuple(x.as_py() for x in row[1:5]), _Payload()
+                payload.add(row[5].as_py(), row[6].as_py())
+            if len(done) >= 5_000:
+                yield frame()
+                done = []
+        if now is not None:
+            done.append((about, payload.row()))
+        yield frame()
+
+    return pages.select("file", "doc_id", "n_bytes", "media_bytes", "media_sha256", "pixels", "compression").mapInArrow(run, _FEATURES)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as TIFF files in a column, read back as pages, with features of their samples."""
-    stored = store_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
-    stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    read = tiff_pages(stored).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "pixels", "compression")
-    return read.mapInPandas(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return features(tiff_pages(described(store_texts(table(spark, sf_dir, "documents", "doc_id", "text"), PAGE_ROWS))))

@@ -75,3 +75,49 @@ def test_query_and_edges(spark):
     stored = media.store_texts(df).selectExpr("*", "octet_length(media) media_bytes", "sha2(media, 256) media_sha256")
     pages = media.tiff_pages(stored)
     assert sorted((r.doc_id or 0, len(r.pixels)) for r in pages.collect()) == [(0, 64), (1, 64), (2, 64), (3, 64), (3, 64), (4, 1_000_000)]
+
+
+def test_later_pages_outlive_a_broken_one(spark):
+    images = [np.full((4, 4), i, np.uint8) for i in range(3)]
+    data = bytearray(media.write_pages(images, media.NONE))
+    at = int.from_bytes(data[4:8], "little")
+    for _ in range(1):  # the second directory
+        at = int.from_bytes(data[at + 2 + 12 * int.from_bytes(data[at : at + 2], "little") :][:4], "little")
+    entries = [at + 2 + 12 * i for i in range(int.from_bytes(data[at : at + 2], "little"))]
+    where = next(e for e in entries if int.from_bytes(data[e : e + 2], "little") == 258)
+    data[where + 8 : where + 10] = b"\x01\0"  # one bit a sample
+    found = list(media.walk(bytes(data)))
+    assert [getattr(p, "page", None) for p in found] == [0, None, 2] and isinstance(found[1], media.TiffError)
+    df = spark.createDataFrame([(1, 48, bytes(data)), (2, 48, b"no TIFF")], "doc_id long, n_bytes long, media binary").coalesce(1)
+    out = {r.doc_id: r for r in media.features(media.tiff_pages(media.described(df))).collect()}
+    assert out[1].payload_bytes == 32 and out[1].feature.endswith(":f1") and out[2].payload_bytes is None and out[2].feature == "f1"
+
+
+def test_long_texts_run_over_pages_in_any_layout(spark):
+    rows = [(i, f"text {i} " * 40_000) for i in range(12)] + [(12, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = media.features(media.tiff_pages(media.described(media.store_texts(df, 1024)))).collect()
+    check(rows, out)
+    kinds = {r.feature.split(":")[0] for r in out}
+    assert kinds == {"c5", "c8", "c32773"} and all(":p6:" in r.feature or ":p5:" in r.feature for r in out if r.doc_id < 12)
+
+
+def test_a_table_that_is_never_cleared(spark):
+    # 9-bit codes while the table holds fewer than 511 entries, then wider ones, without a clear code at the limit.
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 9000, np.uint8).tobytes()
+    codes, table, held = [256], {bytes([i]): i for i in range(256)}, b""
+    following = 258
+    for b in data:
+        if held + bytes([b]) in table:
+            held += bytes([b])
+            continue
+        codes.append(table[held])
+        if following < 4096:
+            table[held + bytes([b])] = following
+            following += 1
+        held = bytes([b])
+    codes += [table[held], 257]
+    bits = "".join(f"{c:0{w}b}" for c, w in zip(codes, [9, *media._lzw_widths(len(codes) - 1).tolist()]))
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert media.unpack_lzw(packed, len(data)) == data
