@@ -98,3 +98,42 @@ def test_query(spark):
         top[x] = max(p, top.get(x, p))
     want = {p: (len(x), hashlib.sha1(x).hexdigest(), *(("revisit", top[x]) if len(x) >= 1000 and top[x] != p else ("response", None))) for p, x in pages.items()}
     assert out == want
+
+
+def plain(*lines, block=b"x"):
+    return ("\r\n".join(["WARC/1.1", "WARC-Type: response", "WARC-Record-ID: <urn:page:1>", *lines, "", ""])).encode() + block + b"\r\n\r\n"
+
+
+def test_records_of_one_member_are_read_one_by_one():
+    parts = [warc.record(i, "u", b"p" * i, "response") for i in range(4)]
+    data = warc.member(parts[0] + parts[1]) + warc.member(parts[2] + b"junk" + parts[3]) + warc.member(b"")
+    found = list(warc.salvage(data))
+    assert [f.headers["warc-record-id"] for f in found if f.gap is None] == [f"<urn:page:{i}>" for i in range(4)]
+    assert sum(f.gap is not None for f in found) == 2 and found[0].begin == 0 and found[-1].end == len(data)
+    assert all(x.end == y.begin for x, y in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("name, value, good", [
+    ("md5", hashlib.md5(b"x").hexdigest(), True), ("md5", hashlib.md5(b"y").hexdigest(), False), ("SHA-256", hashlib.sha256(b"x").hexdigest().upper(), True),
+    ("sha1", hashlib.sha1(b"x").hexdigest(), True), ("blake9", "zz", True), ("sha1", "not base32!", False),
+])
+def test_digests_are_checked_by_their_algorithm(name, value, good):
+    for header in ("WARC-Block-Digest", "WARC-Payload-Digest"):
+        found = list(warc.salvage(plain("Content-Length: 1", f"{header}: {name}:{value}")))
+        assert [f.gap is None for f in found] == [good]
+
+
+@pytest.mark.parametrize("length", ["9" * 5000, "-1", "1e3", "", "\u0661", "999999999"])
+def test_odd_lengths_are_gaps(length):
+    found = list(warc.salvage(plain(f"Content-Length: {length}") + plain("Content-Length: 1")))
+    assert [f.gap is None for f in found] == [False, True]
+
+
+def test_odd_revisits_and_a_small_window(spark, monkeypatch, tmp_path):
+    parts = [plain("Content-Length: 1", f"WARC-Payload-Digest: {d}").replace(b"response", b"revisit") for d in ("sha1:?", "md5:00", "sha1:" + "A" * 32)]
+    path = tmp_path / "x.warc"
+    path.write_bytes(b"".join(parts) + b"".join(map(warc.member, records())) + b"tail")
+    out = warc.read_warc(spark.createDataFrame([(f"file://{path}",), (None,)], "path string")).collect()
+    assert [r.payload_digest for r in out[:3]] == ["sha1:?", "md5:00", "0" * 40] and len(out) == 16 and out[-1].gap
+    monkeypatch.setattr(warc, "WINDOW", 7)
+    assert [(f.begin, f.end, f.payload) for f in warc.salvage_file(str(path))] == [(f.begin, f.end, f.payload) for f in warc.salvage(path.read_bytes())]
