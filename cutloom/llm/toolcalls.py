@@ -43,12 +43,12 @@ def _is(value, kind: str) -> bool:
         return not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and value.is_integer())
     if kind == "number":
         return not isinstance(value, bool) and isinstance(value, (int, float))
-    return isinstance(value, {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}[kind])
+    return isinstance(value, {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}.get(kind, ()))
 
 
 def faults(value, schema: dict, at: str = "$") -> list[str]:
     """What a JSON-schema subset finds wrong: type, enum, minimum, maximum, required, properties, additionalProperties,
-    items.  A reference to another call fits any type."""
+    items.  A reference to another call fits any type; nothing fits a type of an unknown name."""
     if isinstance(value, str) and _REFERENCE.match(value):
         return []
     out = []
@@ -85,6 +85,42 @@ def references(value) -> set[str]:
     return {found[1]} if found else set()
 
 
+def _is_text(value) -> bool:
+    """A string without lone surrogates, which JSON can hold and UTF-8 can't."""
+    try:
+        return isinstance(value, str) and value.encode() is not None
+    except UnicodeEncodeError:
+        return False
+
+
+def _checked(call: dict, schemas: dict[str, dict]) -> tuple[str | None, str | None, list[str], list[str]]:
+    """Name, canonical line, references and faults of a call."""
+    name, arguments, wrong = call.get("name"), call.get("arguments"), []
+    if isinstance(arguments, str):  # some formats quote the arguments once more
+        try:
+            arguments = json.loads(arguments)
+        except (ValueError, RecursionError):
+            pass
+    if not _is_text(name):
+        name, wrong = None, ["name is not a string"]
+    elif name not in schemas:
+        wrong = [f"unknown tool {name}"]
+    try:
+        wrong += faults(arguments, {"type": "object"} | schemas[name]) if name in schemas else []
+        refers = references(arguments)
+        line = canonical({"id": call["id"], "name": name, "arguments": arguments})
+    except ValueError as e:
+        line = None
+        wrong.append(str(e))
+    except RecursionError:
+        return name, None, [], [*wrong, "nested too deep"]
+    if line is not None and not _is_text(line):
+        line = None
+        wrong.append("not valid Unicode")
+    known = sorted(r for r in refers if _is_text(r))
+    return name, line, known, [w.encode("utf-8", "replace").decode() for w in wrong]
+
+
 def _parse(schemas: dict[str, dict]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -92,23 +128,11 @@ def _parse(schemas: dict[str, dict]):
             for conv, turn, text in zip(batch["conv_id"], batch["turn"], batch["text"]):
                 try:
                     calls = json.loads(text)["tool_calls"]
-                except (ValueError, KeyError, TypeError):
+                except (ValueError, KeyError, TypeError, RecursionError):
                     continue
                 for pos, call in enumerate(calls if isinstance(calls, list) else []):
-                    if not isinstance(call, dict) or not isinstance(call.get("id"), str):
-                        continue
-                    name, arguments = call.get("name"), call.get("arguments")
-                    if isinstance(arguments, str):  # some formats quote the arguments once more
-                        try:
-                            arguments = json.loads(arguments)
-                        except ValueError:
-                            pass
-                    wrong = faults(arguments, {"type": "object"} | schemas[name]) if name in schemas else [f"unknown tool {name}"]
-                    try:
-                        line = canonical({"id": call["id"], "name": name, "arguments": arguments})
-                    except ValueError as e:
-                        line, wrong = None, [*wrong, str(e)]
-                    rows.append((conv, turn, pos, call["id"], name, line, sorted(references(arguments)), wrong))
+                    if isinstance(call, dict) and _is_text(call.get("id")):
+                        rows.append((conv, turn, pos, call["id"], *_checked(call, schemas)))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "pos", "call_id", "name", "canonical", "refers", "faults"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
     return run
@@ -121,8 +145,9 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     {"tool_call_id", "content"}.  Columns: conv_id, turn, call_id, name, status (linked; missing: no result; early: its
     result stands before it), result_turn and result (the first after the call, else the first), level (null for calls in
     a circle or after one), faults, valid (no faults, all references known and level not null), canonical.  References to calls of no
-    known id are faults.  Null conversations, messages that are no such JSON and calls without an id are left out; of
-    repeated ids in a conversation the first call counts; results without a call are left out.
+    known id are faults.  Null conversations, messages that are no such JSON (or nested beyond what can be parsed) and calls
+    whose id isn't a string of valid Unicode are left out; a name that is none is null and a fault; arguments nested too deep
+    or not valid Unicode are faults, and such a call has no canonical line; of repeated ids in a conversation the first call counts; results without a call are left out.
     """
     said = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")

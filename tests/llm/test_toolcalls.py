@@ -100,3 +100,20 @@ def test_levels_of_any_graph(spark):
     out = tc.link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {}}).collect()
     assert {(r.conv_id, r.call_id): r.level for r in out} == want
     assert None in want.values() and max(v for v in want.values() if v is not None) > 5
+
+
+def test_bad_messages_end_no_job(spark):
+    deep = "[" * 20_000 + "]" * 20_000
+    nested = "[" * 3_000 + "]" * 3_000
+    one = lambda i, name, arguments: '{"tool_calls":[{"id":%s,"name":%s,"arguments":%s}]}' % (i, name, arguments)
+    rows = [
+        one('"a"', '{"x":1}', '{"x":1}'), one('"b"', "3", '{"x":1}'), one('"\\ud800"', '"f"', '{"x":1}'), one('"c"', '"\\udfff"', '{"x":1}'),
+        one('"d"', '"f"', '{"x":"\\ud800"}'), one('"e"', '"f"', deep), one('"g"', '"f"', nested), one('"h"', '"odd"', '{"x":1}'), one('"i"', '"f"', "9" * 6000),
+        one('"j"', '"f"', '{"x":"${\\ud800}"}'), one('"k"', "[]", "[]"), one("7", '"f"', "{}"), '{"tool_calls":{"id":"z"}}', one('"l"', '"f"', '{"\\ud800":1}'), one('"m"', '"f"', '{"x":1}'),
+    ]
+    df = spark.createDataFrame([(1, t, "assistant", x) for t, x in enumerate(rows)], "conv_id long, turn long, role string, text string")
+    out = {r.call_id: r for r in tc.link_calls(df, {"f": {}, "odd": {"properties": {"x": {"type": "whatever"}}}}).collect()}
+    assert out.keys() >= {"a", "b", "c", "d", "h", "j", "k", "l", "m"} and {c for c, r in out.items() if r.valid} == {"m"}
+    assert out["a"].name is None and out["a"].faults == ["name is not a string"] and out["h"].faults == ["$.x: not whatever"]
+    assert out["d"].canonical is None and "not valid Unicode" in out["d"].faults and out["m"].canonical == '{"arguments":{"x":1},"id":"m","name":"f"}'
+    assert "g" not in out or out["g"].faults[-1] in ("nested too deep", "$: not object")
