@@ -3,8 +3,10 @@
 Emissions add learned weights of hashed affixes and character n-grams and learned scales of lexicon features (how often
 training documents of each language hold the word); transitions are learned from chains that switch language.  Words
 get their posterior by forward-backward; a text's language is the one with the largest share of its words' posteriors.
-Whole texts are labelled, in chains of CHAIN words that run side by side in numpy.  A word's emission depends on the
-word alone, so a bounded cache in each Python worker keeps it.
+A text is one chain from its first word to its last.  Chains are cut in blocks of BLOCK words whose transfer matrices are
+multiplied side by side in numpy; messages pass from block to block, then all blocks are filled in at once, which gives
+the same posteriors as one pass over the chain.  A word's emission depends on the word alone, so a bounded cache in each
+Python worker keeps it.
 """
 
 from __future__ import annotations
@@ -20,15 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import crc32_of_id, give_back, stretches, table
+from cutloom.llm.common import crc32_of_id, cuts, give_back, picked, staged, table
 
-#: Expected training documents at most, and words taken from all of them together at most (chains picked evenly).
+#: Expected training documents at most, chains of TRAIN_CHAIN words taken from all of them together at most (picked by a
+#: hash), and characters of such a chain at most (longer ones are no training rows).
 MAX_TRAIN = 1_500
 MAX_TRAIN_CHAINS = 20_000
-CHAIN = 64
+TRAIN_CHAIN = 64
+TRAIN_CHARS = 4_000
+BLOCK = 64
+#: Blocks of one chain or many that are filled in together.
+GROUP = 4096
 BUCKETS = 1 << 15
 EPOCHS, BATCH, RATE = 3, 128, 0.3
-MAX_WORD = 24
 CACHE = 150_000
 UNKNOWN = "und"
 #: Documents below this share of their language are rejected by the filter.
@@ -42,11 +48,38 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word's prefixes and suffixes (1 to 3 letters) and 2- and 3-grams with its ends marked, and which
-    of them exist; letters after MAX_WORD don't count, except in suffixes."""
-    cut = [w if len(w) <= MAX_WORD else w[: MAX_WORD - 3] + w[-3:] for w in words]
-    wide = np.array([f"<{w}>" for w in cut], dtype=f"U{MAX_WORD + 2}")
+@dataclass
+class Grams:
+    """Features of words: word i has bucket[begin[i] : begin[i] + count[i]]."""
+
+    bucket: np.ndarray
+    begin: np.ndarray
+    count: np.ndarray
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of some words one after the other, and how many each has."""
+        return picked(self.bucket, self.begin[words], self.count[words]), self.count[words]
+
+
+def hashed(words: list[str]) -> Grams:
+    """Buckets of each word's prefixes and suffixes (1 to 3 letters) and 2- and 3-grams with its ends marked, over all of its
+    letters; words of like lengths are hashed together."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    width = np.where(size <= 22, 24, 1 << np.ceil(np.log2(np.maximum(size, 1) + 2)).astype(np.int64))
+    buckets, begin, count, at = [np.zeros(0, np.int64)], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        step = max(1, 400_000 // int(w))
+        for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+            b, n = _hashed([words[i] for i in some.tolist()], int(w))
+            buckets.append(b)
+            begin[some], count[some] = at + np.cumsum(n) - n, n
+            at += len(b)
+    return Grams(np.concatenate(buckets), begin, count)
+
+
+def _hashed(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.array([f"<{w}>" for w in words], dtype=f"U{width}")
     code = wide.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
     n = (code != 0).sum(axis=1)
     prime = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +93,8 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.stack([four[:, 0], four[row, np.maximum(n - 4, 0)] + np.uint64(7)], axis=1)
     parts.append((ends, np.repeat((n >= 4)[:, None], 2, axis=1), 3))
     bucket = [((h + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(40)) % np.uint64(BUCKETS) for h, _, salt in parts]
-    return np.concatenate(bucket, axis=1).astype(np.int64), np.concatenate([m for _, m, _ in parts], axis=1)
+    there = np.concatenate([m for _, m, _ in parts], axis=1)
+    return np.concatenate(bucket, axis=1)[there].astype(np.int64), there.sum(axis=1)
 
 
 @dataclass
@@ -83,9 +117,7 @@ class Crf:
         none = np.zeros(len(self.languages))
         for i in range(0, len(words), 8192):
             part = words[i : i + 8192]
-            bucket, there = hashed(part)
-            total = np.einsum("wfl,wf->wl", self.weight[bucket], there / np.sqrt(np.maximum(1, there.sum(axis=1)))[:, None])
-            out[i : i + 8192] = total + self.scale * np.array([self.lexicon.get(w, none) for w in part])
+            out[i : i + 8192] = emitted(self.weight, *hashed(part).of(np.arange(len(part)))) + self.scale * np.array([self.lexicon.get(w, none) for w in part])
         return out
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -101,9 +133,80 @@ class Crf:
             self.rows = [np.concatenate(self.rows)]
         return self.rows[0][[self.cache[w] for w in words]]
 
-    def posteriors(self, emission: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Forward-backward over chains: emission chains x positions x languages, there chains x positions."""
-        return forward_backward(emission, there, np.exp(self.transition), np.exp(self.start))[0]
+
+def emitted(weight: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Each word's sum of its features' weights, over the root of how many they are."""
+    return np.add.reduceat(weight[bucket], np.cumsum(count) - count, axis=0) / np.sqrt(count)[:, None] if len(count) else np.zeros((0, weight.shape[1]))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def chain_shares(emission: np.ndarray, codes: np.ndarray, n: np.ndarray, a: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the labels' posteriors for each chain; chain i has n[i] of the codes, which pick rows of emission.
+
+    Exact for chains of any length: a block's words become one matrix, which carries the forward message from the block before
+    and the backward message from the block after."""
+    k = emission.shape[1]
+    out = np.zeros((len(n), k))
+    if not len(codes):
+        return out
+    blocks = -(-n // BLOCK)
+    chain = np.repeat(np.arange(len(n)), blocks)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = np.repeat(np.cumsum(n) - n, blocks) + place * BLOCK
+    size = np.minimum(BLOCK, np.repeat(n, blocks) - place * BLOCK)
+    first = place == 0
+    into, back = np.ones((len(chain), k)), np.ones((len(chain), k))
+    into[first] = start
+    order = np.argsort(-size, kind="stable")  # blocks of like sizes together
+
+    def words(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(int(size[some].max()))[None]
+        there = at < size[some, None]
+        e = np.ones((*there.shape, k))
+        e[there] = emission[codes[(begin[some, None] + at)[there]]]
+        return e, there
+
+    if len(n) < len(chain):
+        matrix = np.zeros((len(chain), k, k))
+        several = order[blocks[chain[order]] > 1]
+        for some in (several[i : i + GROUP] for i in range(0, len(several), GROUP)):
+            e, there = words(some)
+            m = np.where(first[some, None, None], np.eye(k), a) * e[:, 0, None]
+            for t in range(1, e.shape[1]):
+                m = np.where(there[:, t, None, None], _unit((m @ a) * e[:, t, None]), m)
+            matrix[some] = _unit(m)
+        top = np.cumsum(blocks)
+        for j in range(1, int(blocks.max())):
+            ahead = (top - blocks + j)[blocks > j]
+            into[ahead] = _unit(np.einsum("bi,bij->bj", into[ahead - 1], matrix[ahead - 1]))
+            behind = (top - j)[blocks > j]
+            back[behind - 1] = _unit(np.einsum("bij,bj->bi", matrix[behind], back[behind]))
+    for some in (order[i : i + GROUP] for i in range(0, len(order), GROUP)):
+        e, there = words(some)
+        post = _within(e, there, a, np.where(first[some, None], into[some], into[some] @ a), back[some])
+        for c in range(k):
+            out[:, c] += np.bincount(chain[some], post[:, :, c].sum(axis=1), len(n))
+    return out
+
+
+def _within(e: np.ndarray, there: np.ndarray, a: np.ndarray, into: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Posteriors in blocks that the message into reaches from the left and back from the right; 0 where no word is."""
+    forward = np.zeros(e.shape)
+    f = into * e[:, 0]
+    forward[:, 0] = f = _unit(f)
+    for t in range(1, e.shape[1]):
+        f = (f @ a) * e[:, t]
+        forward[:, t] = f = _unit(f)
+    b = _unit(back)
+    for t in range(e.shape[1] - 1, -1, -1):
+        forward[:, t] *= b
+        b = np.where(there[:, t, None], _unit((e[:, t] * b) @ a.T), b)
+    forward /= forward.sum(axis=2, keepdims=True)
+    forward[~there] = 0
+    return forward
 
 
 def forward_backward(e: np.ndarray, there: np.ndarray, a: np.ndarray, start: np.ndarray):
@@ -129,7 +232,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
     languages = sorted({lang for _, lang in texts})
     k = len(languages)
     number = {lang: i for i, lang in enumerate(languages)}
-    chains = [(w[i : i + CHAIN], number[lang]) for text, lang in texts for w in [words_of(text)] for i in range(0, len(w), CHAIN)]
+    chains = [(w[i : i + TRAIN_CHAIN], number[lang]) for text, lang in texts for w in [words_of(text)] for i in range(0, len(w), TRAIN_CHAIN)]
     if len(chains) > MAX_TRAIN_CHAINS:
         chains = [chains[i] for i in sorted(rng.choice(len(chains), MAX_TRAIN_CHAINS, replace=False))]
     counts = [Counter() for _ in languages]
@@ -139,31 +242,31 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
     if k < 2 or not chains:
         return model
     totals = np.array([sum(c.values()) + 1.0 for c in counts])
-    # The lexicon holds words of one half of the chains' counts only as smoothed log odds, so it can't decide alone.
+    # The lexicon: smoothed and clipped log odds, so that it can't decide alone.
     for w in {w for c in counts for w, n in c.items() if n >= 3}:
         odds = np.log((np.array([c[w] for c in counts]) + 0.5) / totals)
         model.lexicon[w] = np.clip(odds - odds.mean(), -3, 3)
     vocabulary = {w: i for i, w in enumerate(sorted({w for c, _ in chains for w in c}))}
     names = list(vocabulary)
-    bucket, there_f = hashed(names)
-    share = there_f / np.sqrt(np.maximum(1, there_f.sum(axis=1)))[:, None]
+    grams = hashed(names)
     lexicon = np.array([model.lexicon.get(w, np.zeros(k)) for w in names])
     order, square = np.arange(len(chains)), np.full((BUCKETS, k), 1e-3)
     for _ in range(EPOCHS):
         rng.shuffle(order)
         for i in range(0, len(order), BATCH):
             # Code-switched chains: half of a batch get their tail from another chain.
-            picked = [(chains[j][0], [chains[j][1]] * len(chains[j][0])) for j in order[i : i + BATCH]]
-            for j in range(0, len(picked) - 1, 2):
-                (w1, y1), (w2, y2) = picked[j], picked[j + 1]
+            batch = [(chains[j][0], [chains[j][1]] * len(chains[j][0])) for j in order[i : i + BATCH]]
+            for j in range(0, len(batch) - 1, 2):
+                (w1, y1), (w2, y2) = batch[j], batch[j + 1]
                 c1, c2 = int(rng.integers(len(w1) + 1)), int(rng.integers(len(w2) + 1))
-                picked[j] = ((w1[:c1] + w2[c2:])[:CHAIN] or w1, (y1[:c1] + y2[c2:])[:CHAIN] or y1)
-            there = np.zeros((len(picked), CHAIN), dtype=bool)
+                batch[j] = ((w1[:c1] + w2[c2:])[:TRAIN_CHAIN] or w1, (y1[:c1] + y2[c2:])[:TRAIN_CHAIN] or y1)
+            there = np.zeros((len(batch), TRAIN_CHAIN), dtype=bool)
             word, y = np.zeros(there.shape, dtype=np.int64), np.zeros(there.shape, dtype=np.int64)
-            for r, (w, labels) in enumerate(picked):
+            for r, (w, labels) in enumerate(batch):
                 there[r, : len(w)], word[r, : len(w)], y[r, : len(w)] = True, [vocabulary[x] for x in w], labels
             used, back_to = np.unique(word[there], return_inverse=True)
-            raw = np.einsum("wfl,wf->wl", model.weight[bucket[used]], share[used]) + model.scale * lexicon[used]
+            bucket, count = grams.of(used)
+            raw = emitted(model.weight, bucket, count) + model.scale * lexicon[used]
             e = np.ones((*there.shape, k))
             e[there] = np.exp(raw - raw.max(axis=1, keepdims=True))[back_to]
             a = np.exp(model.transition)
@@ -177,7 +280,8 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
             size = max(1, int(there.sum()))
             by_word = np.zeros((len(used), k))
             np.add.at(by_word, back_to, error)
-            gradient = np.stack([np.bincount(bucket[used].ravel(), (share[used] * by_word[:, c, None]).ravel(), BUCKETS) for c in range(k)], axis=1) / size
+            scaled = np.repeat(by_word / np.sqrt(count)[:, None], count, axis=0)
+            gradient = np.stack([np.bincount(bucket, scaled[:, c], BUCKETS) for c in range(k)], axis=1) / size
             square += gradient**2
             model.weight -= RATE * gradient / np.sqrt(square)
             model.scale -= 0.05 * (by_word * lexicon[used]).sum(axis=0) / size
@@ -204,55 +308,66 @@ def label(model: Crf, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     keep = letters[codes]
     owner, codes = owner[keep], codes[keep]
     n = np.bincount(owner, minlength=len(texts))
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    per_text = -(-n // CHAIN)
-    chain = np.repeat(np.cumsum(per_text) - per_text, n) + place // CHAIN
-    share = np.zeros((len(texts), k))
-    total = int(per_text.sum())
-    for c in range(0, total, 4096):
-        some = slice(*np.searchsorted(chain, [c, c + 4096]))
-        at = (chain[some] - c, place[some] % CHAIN)
-        shape = (min(4096, total - c), CHAIN)
-        e, there = np.ones((*shape, k), dtype=np.float32), np.zeros(shape, dtype=bool)
-        e[at], there[at] = emission[codes[some]], True
-        post = model.posteriors(e, there)[at]
-        for i in range(k):
-            share[:, i] += np.bincount(owner[some], post[:, i], len(texts))
+    share = chain_shares(emission, codes, n, np.exp(model.transition), np.exp(model.start))
     for i in np.flatnonzero(n):
         j = int(share[i].argmax())
         names[i], best[i] = model.languages[j], min(1.0, share[i, j] / n[i])
     return names, best
 
 
-def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Crf:
-    """Fits on documents with a language whose crc32(doc_id) mod 4 is not 2, about max_train picked by a hash."""
+def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_chains: int = MAX_TRAIN_CHAINS) -> Crf:
+    """Fits on documents with a language whose crc32(doc_id) mod 4 is not 2: about max_train of them, and about max_chains of
+    their chains, picked by hashes, come to the driver.  Null ids, languages and texts are left out."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_of_id(F.col("doc_id")) % 4 != 2))
     n = known.select("doc_id", "lang").count()
     if n > max_train:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    got = known.select("text", "lang").toPandas().sort_values(["lang", "text"])
-    return fit(list(zip(got["text"], got["lang"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                w = words_of(text)
+                chains = [" ".join(w[i : i + TRAIN_CHAIN]) for i in range(0, len(w), TRAIN_CHAIN)]
+                rows += [(lang, c) for c in chains if len(c) <= TRAIN_CHARS]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows) if rows else ([], []))], names=["lang", "words"])
+
+    chains = staged(known.select("lang", "text").mapInArrow(run, "lang string, words string"), "chains")
+    n = chains.count()
+    if n > max_chains:
+        chains = chains.filter(F.pmod(F.xxhash64("words", "lang"), F.lit(1 << 30)) < int((1 << 30) * max_chains / n))
+    got = chains.toPandas().sort_values(["lang", "words"])
+    return fit(list(zip(got["words"], got["lang"])))
+
+
+def _labelled(shared, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    names, score = [], [np.zeros(0)]
+    for some in cuts(texts, 1_000_000):
+        more, s = label(shared.value, texts[some].to_pylist())
+        names += more
+        score.append(s)
+    return names, np.concatenate(score)
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, lang_pred, score.  Null texts and those without letters: und, 0."""
+    """docs(doc_id, text) -> doc_id, held_out, lang_pred, score.  Null texts and those without letters: und, 0; rows with null
+    ids are never held out; other columns are dropped."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TRAIN_CHAINS and BUCKETS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in stretches(batch["text"].tolist(), 1_000_000):
-                part = batch.iloc[some]
-                names, score = label(shared.value, [t if isinstance(t, str) else None for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "lang_pred": names, "score": score})
+            names, score = _labelled(shared, batch.column("text"))
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
         give_back()
 
-    picked = docs.select(
+    some = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    return picked.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return some.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> DataFrame:
@@ -261,12 +376,9 @@ def keep_identified(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for some in stretches(text.tolist(), 1_000_000):
-            names, score = label(shared.value, [t if isinstance(t, str) else None for t in text.iloc[some]])
-            out += [n != UNKNOWN and s >= threshold for n, s in zip(names, score)]
+        names, score = _labelled(shared, pa.array(text, pa.string(), from_pandas=True))
         give_back()
-        return pd.Series(out, dtype=bool)
+        return pd.Series([n != UNKNOWN and s >= threshold for n, s in zip(names, score)], dtype=bool)
 
     return docs.filter(known(F.col("text").cast("string")))
 

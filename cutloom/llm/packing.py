@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import cuts, give_back, table, tokenizer_path
-from cutloom.llm.tokens import encoder, picked, with_end
+from cutloom.llm.common import cuts, give_back, picked, table, tokenizer_path
+from cutloom.llm.tokens import encoder, with_end
 
 CAPACITY = 1024
 #: Tokens that wait for a place in one task at most.

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cutloom.llm.common import picked
+
 # A space after white space that no word follows belongs to a longer run, which must stay whole.
 _WHITE = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"
 _RUN = rf"{_WHITE} (?:{_WHITE}|\z)"
@@ -44,20 +46,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def _places(shift: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places to take: for each stretch its shift plus the running number, in 32 bits where they fit."""
-    total = int(size.sum())
-    kind = np.int32 if total < 1 << 30 and (not len(shift) or np.abs(shift).max() < 1 << 30) else np.int64
-    out = np.repeat(shift.astype(kind), size)
-    out += np.arange(total, dtype=kind)
-    return out
-
-
-def picked(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[begin[i] : begin[i] + size[i]] one after the other."""
-    return data[_places(begin - np.cumsum(size) + size, size)]
-
-
 def _joined(values: pa.Array, separator: str) -> str:
     whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     return pc.binary_join(whole, pa.scalar(separator, _LARGE))[0].as_py()

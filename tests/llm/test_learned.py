@@ -113,3 +113,33 @@ def test_token_count_query_and_odd_rows(spark):
     assert tc.token_counts(odd(spark).limit(0), MODEL).count() == 0
     tables = {r.doc_id: r for r in tc.prefix_tables(odd(spark).filter("doc_id < 6"), MODEL, [0, 2]).collect()}
     assert tables[1].prefix_tokens == [0] and tables[5].cut_chars[0] == 0 and len(tables[5].prefix_tokens) == 9
+
+
+def test_a_long_chain_is_one_chain():
+    rng = np.random.default_rng(4)
+    for lengths in ([1, 5, 64, 65, 66, 128, 129, 700], [2], [200], []):
+        n = np.array(lengths, dtype=np.int64)
+        emission, a, s = rng.random((50, 3)) ** 4, rng.random((3, 3)) ** 2, rng.random(3)
+        codes = rng.integers(0, 50, n.sum())
+        got = lang.chain_shares(emission, codes, n, a, s)
+        for i, end in enumerate(np.cumsum(n)):
+            e = emission[codes[end - n[i] : end]][None]
+            assert np.allclose(got[i], lang.forward_backward(e, np.ones(e.shape[:2], bool), a, s)[0][0].sum(axis=0))
+
+
+def test_word_65_sees_word_64():
+    emission, a, s = np.array([[1.0, 1.0], [1.0, 1e-9]]), np.array([[1.0, 1e-6], [1e-6, 1.0]]), np.ones(2)
+    share = lang.chain_shares(emission, np.array([0] * 63 + [1] + [0] * 36), np.array([100]), a, s)
+    assert share[0, 0] > 99.9
+
+
+def test_all_letters_of_a_long_word_count():
+    long = "".join(random.Random(3).choice("abcdefgh") for _ in range(100))
+    for at in (3, 30, 50, 80, 97):
+        other = long[:at] + "z" + long[at + 1 :]
+        one, two = lang.hashed([long, other, "short"]), lang.hashed(["x", other, long])
+        assert sorted(one.of(np.array([0]))[0].tolist()) == sorted(two.of(np.array([2]))[0].tolist())
+        assert sorted(one.of(np.array([0]))[0].tolist()) != sorted(one.of(np.array([1]))[0].tolist())
+    assert lang.hashed([long]).count[0] == 101 + 100 + 2
+    model = lang.fit([("aaab " * 20, "x"), ("zzzy " * 20, "y")] * 10)
+    assert lang.label(model, ["zq" * 6 + "a" * 80 + "zq" * 6, "a" * 3000])[0] == ["x", "x"]
