@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import crc32_of_id, give_back, table
+from cutloom.llm.common import crc32_of_id, cuts, give_back, table
 
 #: Expected labelled rows for fitting at most.
 MAX_TRAIN = 20_000
@@ -143,10 +144,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return Trees(base, depth, feature, cut, leaf)
 
 
-def _features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = features(batch["text"])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": list(x)})
+        x = features(batch.column("text").to_pylist())
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], names=["doc_id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     # Bounded by max_train, so it may be broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.join(F.broadcast(known), "doc_id").mapInPandas(_features_of, "doc_id long, y int, x array<float>").toPandas()
+    got = rows.join(F.broadcast(known), "doc_id").mapInArrow(_features_of, "doc_id long, y int, x array<float>").toPandas()
     got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["doc_id", "key"])
     x = np.array(got["x"].tolist(), dtype=np.float32).reshape(-1, N_FEATURES)
     return fit(x, got["y"].to_numpy(dtype=np.float64))
@@ -171,16 +173,20 @@ def classify(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> Dat
     """docs(doc_id, text) -> doc_id, held_out, score, predicted.  Rows with null ids are never held out."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # a few hundred KB, whatever the corpus
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": shared.value.score(features(batch["text"]))})
+            texts = batch.column("text")
+            score = [shared.value.score(features(texts[some].to_pylist())) for some in cuts(texts)]
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.concatenate([np.zeros(0), *score]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score"])
+        give_back()
 
     picked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(crc32_of_id(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    scored = picked.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    scored = picked.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
