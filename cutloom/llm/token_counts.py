@@ -14,12 +14,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import stretches, table, tokenizer_path
+from cutloom.llm.common import cuts, table, tokenizer_path
 
 LIMIT = 4096
 CACHE = 600_000
@@ -161,34 +160,38 @@ def prefix_counts(path: str) -> PrefixCounts:
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit.  Null texts are empty and have no tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = prefix_counts(model).counts
         for batch in batches:
-            texts = batch["text"].tolist()
-            n = [counts(texts[some]) for some in stretches(texts)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": np.concatenate(n) if n else []})
+            texts = batch.column("text")
+            n = [counts(texts[some].to_pylist()) for some in cuts(texts)]
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
     picked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_bytes"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return picked.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return picked.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def prefix_tables(docs: DataFrame, model: str, budgets: list[int]) -> DataFrame:
     """docs(doc_id, text) -> doc_id, prefix_tokens (counts at every prefix by characters) and cut_chars, for each of
     budgets the length of the longest prefix within it.  Null texts have the table [0]."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prefixes = prefix_counts(model).prefixes
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes, kind = prefix_counts(model).prefixes, pa.list_(pa.int32())
         for batch in batches:
-            tables = [prefixes(t) for t in batch["text"]]
-            cuts = [[int(np.flatnonzero(t <= b)[-1]) if b >= 0 else 0 for b in budgets] for t in tables]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "prefix_tokens": [t.tolist() for t in tables], "cut_chars": cuts})
+            texts = batch.column("text")
+            for some in cuts(texts, 1_000_000):
+                tables = [prefixes(t) for t in texts[some].to_pylist()]
+                within = [[int(np.flatnonzero(t <= b)[-1]) if b >= 0 else 0 for b in budgets] for t in tables]
+                columns = [batch.column("doc_id")[some], pa.array(tables, kind), pa.array(within, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "prefix_tokens", "cut_chars"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, prefix_tokens array<int>, cut_chars array<int>")
+    return picked.mapInArrow(run, "doc_id long, prefix_tokens array<int>, cut_chars array<int>")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
