@@ -2,7 +2,7 @@
 
 1. Every text becomes the set of its 5-word shingles (64-bit hashes) and a sketch of SIZE minwise tokens; documents with
    equal sets form a class and are represented by their smallest doc_id.
-2. TREES independent trees: a node of a tree is chosen by a path of (coordinate, token) pairs.  At every node a hash of
+2. Independent trees, as many as a target recall takes: a node of a tree is chosen by a path of (coordinate, token) pairs.  At every node a hash of
    the path picks the coordinates to branch by, 1/threshold of them on average, so that a pair at the threshold is
    expected to share one child.  Paths start two levels deep; nodes with one class end at once.
 3. In a node every class is compared with the node's smallest one, by sketches, with a margin below the threshold.  If
@@ -15,6 +15,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import give_back, staged, table
+from cutloom.llm.common import cuts, give_back, staged, table
 from cutloom.llm.components import components
 
 SHINGLE = 5
 SIZE = 128
-TREES = 12
+#: Target for a pair at the threshold to meet in some tree's node DEEP levels down, where most nodes have ended.
+RECALL = 0.9999
 #: Nodes up to this size are compared exhaustively when their smallest class doesn't match all.
 LEAF, DEEP_LEAF, DEEP = 2048, 4096, 6
-MAX_DEPTH = 60
 #: Standard deviations of the sketches' estimate below the threshold that still count as a loose match.
 MARGIN = 4.7
 #: Loose components with more shingles or classes are confirmed in blocks of about so many, which share so many pivots.
@@ -101,18 +103,32 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sketches(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                s = shingles(text if isinstance(text, str) else None, size)
-                rows.append((doc_id, len(s), hashlib.md5(s.tobytes()).digest() if len(s) else None, sketch(s).tobytes() if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch"])
+            n, digests, sketches = [], [], []
+            for some in cuts(batch.column("text")):
+                for text in batch.column("text")[some].cast(pa.binary()).to_pylist():
+                    s = shingles(text, size)
+                    n.append(len(s))
+                    digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
+                    sketches.append(sketch(s).tobytes() if len(s) else None)
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sketch"])
         give_back()
 
     return run
 
 
+def trees(threshold: float, recall: float = RECALL, depth: int = DEEP) -> int:
+    """Trees that a pair at the threshold needs to share a node at so many levels in one of them with a chance of recall.
+
+    A node has one child, and a second with a chance of 1 / threshold - 1; the pair shares each with a chance of threshold."""
+    meets = 1.0
+    for _ in range(depth):
+        meets = 1 - (1 - threshold * meets) * (1 - (1 / threshold - 1) * threshold * meets)
+    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+
+
 def _children(path: np.ndarray, sketches: np.ndarray, row: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """One level down: paths and rows of the children of nodes given by path, for the sketches in rows."""
     out_path, out_row = [], []
@@ -131,13 +147,15 @@ def _matrix(column) -> np.ndarray:
 
 
 def _first_paths(threshold: float, levels: int = 2):
+    n_trees = trees(threshold)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             s, n = _matrix(batch["sketch"]), len(batch)
-            path = np.repeat(_mix(np.arange(1, TREES + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407)), n)
-            row = np.tile(np.arange(n), TREES)
+            path = np.repeat(_mix(np.arange(1, n_trees + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407)), n)
+            row = np.tile(np.arange(n), n_trees)
             for _ in range(levels):
                 path, row = _children(path, s, row, threshold)
             both = pd.DataFrame({"path": path.view(np.int64), "rep": batch["rep"].to_numpy()[row]}).drop_duplicates()
@@ -261,18 +279,21 @@ def _sizes(rows: DataFrame, limit: int):
 def loose_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """reps(rep, sketch) -> edges(u, v) whose components hold all pairs at the threshold (with the trees' recall)."""
     least = loose(threshold)
-    paths = reps.select("rep", "sketch").mapInPandas(_first_paths(threshold), "path long, rep long")
+    paths = staged(reps.select("rep", "sketch").mapInPandas(_first_paths(threshold), "path long, rep long"), "paths")
     found = None
-    for depth in range(2, MAX_DEPTH):
-        # Nodes of two classes at least, with their size and smallest class.
+    # Every level draws new coordinates, so unlike classes part sooner or later and the loop ends.
+    for depth in itertools.count(2):
+        # Nodes of two classes at least, with their size and smallest class; written, so that Spark may split hot paths.
         nodes = paths.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-        nodes = nodes.select(F.col("path").alias("_path"), "size", "pivot")
+        nodes = staged(nodes.select(F.col("path").alias("_path"), "size", "pivot"), "nodes")
         members = staged(paths.join(nodes, F.col("path") == F.col("_path")).drop("_path"), "members")
         pairs = members.filter("rep <> pivot").select("rep", "pivot").distinct()
         both = _with_sketch(_with_sketch(pairs, reps, "rep", "s1"), reps, "pivot", "s2")
         tested = staged(both.mapInPandas(_matches(least), "rep long, pivot long, linked boolean"), "tested")
         edges = tested.filter("linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
         found = edges if found is None else found.union(edges)
+        if depth % 8 == 0:
+            found = staged(found, "found")
         failed = tested.filter("not linked").select(F.col("rep").alias("_rep"), F.col("pivot").alias("_pivot"))
         open_paths = members.join(failed, (F.col("rep") == F.col("_rep")) & (F.col("pivot") == F.col("_pivot"))).select(F.col("path").alias("_path")).distinct()
         rest = staged(members.join(open_paths, F.col("path") == F.col("_path")).select("path", "rep", "size").filter("size > 2"), "open")
@@ -292,7 +313,6 @@ def loose_edges(reps: DataFrame, threshold: float) -> DataFrame:
             return found
         large = _with_sketch(rest.filter(F.col("size") > limit), reps, "rep", "sketch").select("path", "rep", "sketch")
         paths = staged(large.mapInPandas(_next_paths(threshold), "path long, rep long").distinct(), "paths")
-    raise RuntimeError(f"nodes of unlike classes are still large after {MAX_DEPTH} levels")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
@@ -389,7 +409,7 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (80, 100), size: i
     kept.  Rows that share a doc_id count as one document for linking.  Other columns are dropped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = staged(docs.mapInPandas(_sketches(size), "doc_id long, n long, digest binary, sketch binary"), "sketches")
+    seen = staged(docs.mapInArrow(_sketches(size), "doc_id long, n long, digest binary, sketch binary"), "sketches")
     known = seen.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "sketch", "n")).alias("r"), F.count("*").alias("copies"))
     reps = staged(classes.select("digest", "copies", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch")), "reps")

@@ -100,3 +100,20 @@ def test_shingles_ignore_ascii_case_only():
     a, b = neardup.shingles("One two THREE four five six"), neardup.shingles("one TWO three\nfour\tfive  six ")
     assert np.array_equal(a, b) and len(a) == 2
     assert not np.array_equal(neardup.shingles("É a b c d"), neardup.shingles("é a b c d"))
+
+
+def test_trees_reach_the_target_recall():
+    assert neardup.trees(0.85) == 12 and neardup.trees(0.8) > 12 and neardup.trees(0.85, 0.9) < 5
+    rng, t, depth = np.random.default_rng(2), 0.85, 6
+    n, met = 600, 0
+    a = rng.integers(0, 1 << 16, (n, neardup.SIZE)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < t, a, rng.integers(0, 1 << 16, a.shape).astype(np.uint16))
+    both = np.concatenate([a, b])
+    path, row = neardup._mix(np.repeat(np.arange(1, 2, dtype=np.uint64), 2 * n)), np.arange(2 * n)
+    for _ in range(depth):
+        path, row = neardup._children(path, both, row, t)
+    nodes = [set() for _ in range(2 * n)]
+    for p, r in zip(path.tolist(), row.tolist()):
+        nodes[r].add(p)
+    met = np.mean([bool(nodes[i] & nodes[n + i]) for i in range(n)])
+    assert neardup.trees(t, met, depth) <= 2 and met > 0.4
