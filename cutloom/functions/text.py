@@ -26,8 +26,11 @@ def normalize_phrase(c: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    """All n-grams of characters with multiplicity; fewer characters give none."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of characters with multiplicity; fewer characters give none.  The text is cut into characters once, so that
+    a gram is a look-up of n of them and not a search from the text's beginning."""
+    gram = lambda chars: lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+    all_of = F.transform(F.array(F.split(c, "")), lambda chars: F.transform(F.sequence(F.lit(0), F.length(c) - n), gram(chars)))
+    return F.when(F.length(c) >= n, F.get(all_of, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _pad(c: Column, n: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.operators import intervals as I
+
 FPS = 30
 
 
@@ -78,48 +80,66 @@ def resolve_overlaps(cuts: DataFrame, slack_us: int = 10_000, least_us: int = 50
     return out.select("asset_id", "r.seg_id", "r.start_us", "r.end_us")
 
 
-def subtract_drops(segments: DataFrame, drops: DataFrame, tolerance_us: int = 300_000) -> DataFrame:
-    """Takes drops away from an asset's segments, one at a time in the order of their starts.
+def joined_drops(drops: DataFrame, tolerance_us: int = 300_000) -> DataFrame:
+    """Drops of an asset that overlap, or lie within the tolerance of each other, as one; reason: theirs, sorted and distinct.
+    Rows without times, or that end where they start, are left out."""
+    d = drops.filter("end_us > start_us").select("asset_id", "start_us", "end_us", "reason")
+    order = Window.partitionBy("asset_id").orderBy("start_us", "end_us")
+    before = F.max("end_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_cut", F.when(F.col("start_us") > before + tolerance_us, 1).otherwise(0))
+    d = d.withColumn("_island", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    reasons = F.array_join(F.array_sort(F.collect_set("reason")), "; ")
+    return d.groupBy("asset_id", "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), reasons.alias("reason")).drop("_island")
+
+
+def subtract_drops(segments: DataFrame, drops: DataFrame, tolerance_us: int = 300_000, by: str = "llm") -> DataFrame:
+    """segments(asset_id, start_us, end_us, keep, reason, decided_by) without drops(asset_id, start_us, end_us, reason).
 
-    A drop that overlaps no segment by more than tolerance_us leaves all as they are and stands as a row of its own; a
-    segment that a drop covers up to the tolerance turns into a drop, reason killed: <reason>; a kept segment that it
-    covers in part leaves the pieces before and after, and the drop is placed once; a dropped segment that it covers in
-    part goes.  Columns: asset_id, start_us, end_us, keep, reason.  segments need start_us, end_us, keep; no words, no rows.
+    The drops of a call count as their union (joined_drops), so their order doesn't matter.  A segment and a drop meet if they
+    overlap by more than the tolerance at both ends of the segment.  A segment that no drop meets stays.  One that a drop covers
+    up to the tolerance turns into a drop of reason "killed: <the drop's>".  Of another kept segment the stretches between its
+    drops stay that are longer than the tolerance; another dropped segment goes.  Every drop is placed once besides: cut to the
+    first segment that it meets without covering it, else whole.
+
+    Where one drop at a time is taken away, a drop shorter than the tolerance right behind another one is passed over; here both
+    are one.  Equal segments count once; no segments leave the drops, no drops the segments.
     """
-    import pandas as pd
-
-    fields = "asset_id long, start_us long, end_us long, keep boolean, reason string"
-
-    def run(key, left, right):
-        rows = [(int(s), int(e), bool(k), r) for s, e, k, r in left.sort_values(["start_us", "end_us"])[["start_us", "end_us", "keep", "reason"]].itertuples(index=False)]
-        for ds, de, reason in right.sort_values(["start_us", "end_us", "reason"])[["start_us", "end_us", "reason"]].itertuples(index=False):
-            rows = apply_drop(rows, int(ds), int(de), reason, tolerance_us)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["asset_id", "start_us", "end_us", "keep", "reason"])
-
-    a = segments.select("asset_id", "start_us", "end_us", "keep", "reason").groupBy("asset_id")
-    b = drops.select("asset_id", "start_us", "end_us", "reason").groupBy("asset_id")
-    return a.cogroup(b).applyInPandas(run, fields)
-
-
-def apply_drop(rows: list[tuple], ds: int, de: int, reason: str, tolerance_us: int) -> list[tuple]:
-    """One drop against rows (start, end, keep, reason) in order."""
-    out, placed = [], False
-    for s, e, keep, why in rows:
-        if de <= s + tolerance_us or ds >= e - tolerance_us:  # no overlap beyond the tolerance
-            if not placed and s >= de - tolerance_us:
-                out.append((ds, de, False, reason))
-                placed = True
-            out.append((s, e, keep, why))
-        elif ds <= s + tolerance_us and de >= e - tolerance_us:
-            out.append((s, e, False, f"killed: {reason}"))
-        elif keep:
-            if ds > s + tolerance_us:
-                out.append((s, ds, True, why))
-            if not placed:
-                out.append((max(s, ds), min(e, de), False, reason))
-                placed = True
-            if de < e - tolerance_us:
-                out.append((de, e, True, why))
-    if not placed and not any(w == f"killed: {reason}" and not k for _, _, k, w in out):
-        out.append((ds, de, False, reason))
-    return sorted(out, key=lambda r: r[:2])
+    keys = ["asset_id", "start_us", "end_us", "keep", "reason", "decided_by"]
+    rows = segments.select(*keys).distinct()
+    joined = joined_drops(drops, tolerance_us)
+    start, end = F.col("start_us"), F.col("end_us")
+    pairs = I.overlapping(rows, joined.withColumnRenamed("reason", "_reason"), "_reason").filter((F.col("_end") > start + tolerance_us) & (F.col("_start") < end - tolerance_us))
+    pairs = pairs.withColumn("_covers", (F.col("_start") <= start + tolerance_us) & (F.col("_end") >= end - tolerance_us))
+    none = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("_start", "long"), ("_end", "long"), ("_reason", "string"), ("_covers", "boolean"))])
+    cut = F.when(F.col("_start").isNotNull(), F.struct("_start", "_end"))
+    met = pairs.unionByName(none).groupBy(*keys).agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max(F.when(F.col("_covers"), F.col("_reason"))).alias("killer"))
+    row = lambda s, e, keep, reason, decider: F.struct(s.alias("start_us"), e.alias("end_us"), keep.alias("keep"), reason.alias("reason"), decider.alias("decided_by"))
+    own = row(start, end, F.col("keep"), F.col("reason"), F.col("decided_by"))
+    between = F.zip_with(
+        F.concat(F.array(start), F.transform("cuts", lambda x: x["_end"])), F.concat(F.transform("cuts", lambda x: x["_start"]), F.array(end)),
+        lambda s, e: row(s, e, F.lit(True), F.col("reason"), F.col("decided_by")),
+    )
+    left = (
+        F.when(F.col("killer").isNotNull(), F.array(row(start, end, F.lit(False), F.concat(F.lit("killed: "), "killer"), F.lit(by))))
+        .when(F.size("cuts") == 0, F.array(own))
+        .when(F.col("keep"), F.filter(between, lambda x: x["end_us"] - x["start_us"] > tolerance_us))
+    )
+    left = met.select("asset_id", F.explode(left).alias("r")).select("asset_id", "r.*")
+    first = pairs.filter(~F.col("_covers")).groupBy(F.col("asset_id").alias("_asset"), "_start", "_end").agg(F.min(F.struct("start_us", "end_us")).alias("_row"))
+    placed = joined.join(first, (F.col("asset_id") == F.col("_asset")) & (start == F.col("_start")) & (end == F.col("_end")), "left")
+    placed = placed.select(
+        "asset_id", F.greatest("start_us", "_row.start_us").alias("start_us"), F.least("end_us", "_row.end_us").alias("end_us"),
+        F.lit(False).alias("keep"), "reason", F.lit(by).alias("decided_by"),
+    )
+    return left.unionByName(placed)
+
+
+def stack_fences(base: DataFrame, fences: list[tuple[DataFrame, str]], tolerance_us: int = 300_000) -> DataFrame:
+    """base(asset_id, start_us, end_us, keep, reason, decided_by) under fences of (drops, decider), the last one on top.
+
+    Each fence is taken away as in J8 and equal drop rows are placed once; seg_id numbers an asset's rows by time (W25)."""
+    out = base.select("asset_id", "start_us", "end_us", "keep", "reason", "decided_by")
+    for drops, by in fences:
+        out = distinct_drops(subtract_drops(out, drops, tolerance_us, by).withColumn("seg_id", F.lit(0))).drop("seg_id")
+    order = Window.partitionBy("asset_id").orderBy("start_us", "end_us", "keep", "decided_by", "reason")
+    return out.withColumn("seg_id", F.row_number().over(order) - 1)

@@ -30,6 +30,15 @@ def point_join(points: DataFrame, at: Column, intervals: DataFrame, inside: Colu
     return p.join(intervals, on, how).drop("_at_bucket", "_asset", "_bucket")
 
 
+def overlapping(left: DataFrame, right: DataFrame, *keep: str) -> DataFrame:
+    """Pairs of intervals of the same asset that share time, each pair once; right's times are _start and _end."""
+    cut = left.withColumn("_left_bucket", F.explode(F.sequence(_bucket(F.col("start_us")), _bucket(F.greatest("start_us", "end_us")))))
+    shared = (F.col("start_us") < F.col("_end")) & (F.col("_start") < F.col("end_us"))
+    once = F.col("_bucket") == _bucket(F.greatest("start_us", "_start"))
+    on = (F.col("asset_id") == F.col("_asset")) & (F.col("_left_bucket") == F.col("_bucket")) & shared & once
+    return cut.join(bucketed(right, None, None, *keep), on).drop("_left_bucket", "_asset", "_bucket")
+
+
 def twice_mid() -> Column:
     return F.col("start_us") + F.col("end_us")
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 def frame_rms(signals: DataFrame, frame: int, scale: float = 32768.0) -> DataFrame:
     """signals(asset_id, samples) -> asset_id, frame_idx, n, rms; a last partial frame counts.  Empty arrays give none."""
     s = signals.filter(F.size("samples") > 0)
-    one = lambda i: F.slice("samples", i * frame + 1, frame)
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / frame).cast("int")))
-    s = s.select("asset_id", "samples", at.alias("frame_idx")).select("asset_id", "frame_idx", one(F.col("frame_idx")).alias("x"))
+    # An array of frames first: a row of the result takes its own samples along only.
+    at = F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / frame).cast("int"))
+    cut = F.transform(at, lambda i: F.struct(i.alias("frame_idx"), F.slice("samples", i * frame + 1, frame).alias("x")))
+    s = s.select("asset_id", F.explode(cut).alias("f")).select("asset_id", "f.frame_idx", "f.x")
     total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return s.select("asset_id", "frame_idx", F.size("x").alias("n"), (F.sqrt(total / F.size("x")) / scale).alias("rms"))
 

@@ -9,7 +9,7 @@ from cutloom.functions import text as T
 from cutloom.operators import edl as E
 from cutloom.operators import intervals as I
 from cutloom.operators import segment as S
-from cutloom.plans.sql import SEGMENTS, select
+from cutloom.plans.sql import KEPT, SEGMENTS, select
 from cutloom.plans.words import _hms, points, segments
 from cutloom.sources import tables as D
 
@@ -90,11 +90,55 @@ def u3_distinct_drops(spark, sf_dir):
     return E.distinct_drops(e.union(e.filter("seg_id % 2 = 0").withColumns({"seg_id": F.col("seg_id") + 1000000, "decided_by": F.lit("self_dedup_rule")})))
 
 
-@query()
+def _subtracted(name: str, rows: str, drops: str, by: str) -> str:
+    """SQL of J8: rows(asset_id, start_us, end_us, keep, reason, decided_by) less drops, as a table of this name."""
+    return f""",
+{name}_0 AS (SELECT *, max(end_us) OVER (PARTITION BY asset_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {drops} WHERE end_us > start_us),
+{name}_1 AS (SELECT *, sum(CASE WHEN start_us > before + 300000 THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS island FROM {name}_0),
+{name}_d AS (SELECT asset_id, min(start_us) AS ds, max(end_us) AS de, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS dr FROM {name}_1 GROUP BY asset_id, island),
+{name}_r AS (SELECT DISTINCT asset_id, start_us, end_us, keep, reason, decided_by FROM {rows}),
+{name}_p AS (SELECT r.*, ds, de, dr, ds <= start_us + 300000 AND de >= end_us - 300000 AS covers, lag(de) OVER w AS pe, lead(ds) OVER w IS NULL AS is_last FROM {name}_r r
+  JOIN {name}_d d ON d.asset_id = r.asset_id AND de > start_us + 300000 AND ds < end_us - 300000 WINDOW w AS (PARTITION BY r.asset_id, start_us, end_us, keep, reason, decided_by ORDER BY ds)),
+{name}_f AS (SELECT asset_id, ds, de, min(struct_pack(s := start_us, e := end_us)) AS f FROM {name}_p WHERE NOT covers GROUP BY 1, 2, 3),
+{name} AS (SELECT * FROM {name}_r r WHERE NOT EXISTS (SELECT 1 FROM {name}_d d WHERE d.asset_id = r.asset_id AND de > start_us + 300000 AND ds < end_us - 300000)
+  UNION ALL SELECT asset_id, start_us, end_us, false, 'killed: ' || dr, '{by}' FROM {name}_p WHERE covers
+  UNION ALL SELECT asset_id, coalesce(pe, start_us), ds, true, reason, decided_by FROM {name}_p WHERE keep AND NOT covers AND ds - coalesce(pe, start_us) > 300000
+  UNION ALL SELECT asset_id, de, end_us, true, reason, decided_by FROM {name}_p WHERE keep AND NOT covers AND is_last AND end_us - de > 300000
+  UNION ALL SELECT d.asset_id, greatest(d.ds, f.s), least(d.de, f.e), false, dr, '{by}' FROM {name}_d d LEFT JOIN {name}_f g ON g.asset_id = d.asset_id AND g.ds = d.ds AND g.de = d.de)"""
+
+
+_PAUSED = KEPT.split(",\nkept AS")[0] + """,
+p1 AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY asset_id ORDER BY word_idx) >= 800000 THEN 1 ELSE 0 END AS cut FROM words),
+p2 AS (SELECT *, sum(cut) OVER (PARTITION BY asset_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS island FROM p1),
+paused AS (SELECT * FROM (SELECT asset_id, greatest(min(start_us) - 150000, 0) AS start_us, max(end_us) + 150000 AS end_us, true AS keep, '' AS reason, 'rule' AS decided_by FROM p2 GROUP BY asset_id, island) WHERE end_us - start_us >= 300000)"""
+
+
+def paused(spark, sf_dir) -> DataFrame:
+    s = S.pause_segments(D.words(spark, sf_dir))
+    return s.select("asset_id", "start_us", "end_us", F.lit(True).alias("keep"), F.lit("").alias("reason"), F.lit("rule").alias("decided_by"))
+
+
+@query(select(_PAUSED + _subtracted("j8", "paused", "drops", "llm"), "SELECT asset_id, start_us, end_us, keep, reason FROM j8"))
 def j8_subtracted_drops(spark, sf_dir):
-    """Windows taken away from pause segments of all words, one after the other."""
-    s = S.pause_segments(D.words(spark, sf_dir)).select("asset_id", "start_us", "end_us", F.lit(True).alias("keep"), F.lit("").alias("reason"))
-    return E.subtract_drops(s, D.drops(D.words(spark, sf_dir)))
+    """Windows taken away from pause segments of all words."""
+    return E.subtract_drops(paused(spark, sf_dir), D.drops(D.words(spark, sf_dir))).drop("decided_by")
+
+
+_FENCES = """,
+first_fence AS (SELECT asset_id, start_us - 700000 AS start_us, end_us + 900000 AS end_us, 'retake' AS reason FROM drops WHERE reason = 'rule'),
+second_fence AS (SELECT asset_id, start_us, end_us, 'reviewer' AS reason FROM drops WHERE reason = 'reviewer')"""
+
+
+@query(select(_PAUSED + _FENCES + _subtracted("u1", "paused", "first_fence", "self_dedup_rule") + """,
+once AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, keep, start_us, end_us ORDER BY decided_by) AS n FROM u1) WHERE keep OR n = 1)"""
+    + _subtracted("u2", "once", "second_fence", "llm") + """,
+stacked AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, keep, start_us, end_us ORDER BY decided_by) AS n FROM u2) WHERE keep OR n = 1)""", """
+SELECT asset_id, start_us, end_us, keep, decided_by, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us, keep, decided_by, reason) - 1 AS INTEGER) AS seg_id FROM stacked"""))
+def u2_three_fences(spark, sf_dir):
+    """Pause segments under a fence of retakes and a reviewer's on top, numbered anew."""
+    d = D.drops(D.words(spark, sf_dir))
+    wide = d.filter("reason = 'rule'").select("asset_id", (F.col("start_us") - 700000).alias("start_us"), (F.col("end_us") + 900000).alias("end_us"), F.lit("retake").alias("reason"))
+    return E.stack_fences(paused(spark, sf_dir), [(wide, "self_dedup_rule"), (d.filter("reason = 'reviewer'"), "llm")]).drop("reason")
 
 
 @query(select(SEGMENTS + """,

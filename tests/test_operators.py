@@ -42,29 +42,77 @@ def test_drop_words_half_open(spark):
     assert I.drop_words(df, everything).count() == 0 and I.keep_words(df, everything).count() == 3
 
 
-def test_subtract_drops_keeps_time_once(spark):
-    rng = random.Random(3)
-    for _ in range(200):
-        at, rows = 0, []
-        for _ in range(rng.randint(1, 6)):
-            at += rng.randint(0, 3) * 400_000
-            end = at + rng.randint(1, 9) * 400_000
-            rows.append((at, end, True, ""))
-            at = end
-        total = [(s, e) for s, e, *_ in rows]
-        for _ in range(rng.randint(1, 4)):
-            s = rng.randint(0, 30) * 200_000
-            rows = E.apply_drop(rows, s, s + rng.randint(1, 12) * 400_000, "bad", 300_000)
-        kept = [(s, e) for s, e, k, _ in rows if k]
-        assert all(any(a <= s and e <= b for a, b in total) for s, e in kept) and all(x[1] <= y[0] for x, y in zip(kept, kept[1:]))
+DECISIONS = "asset_id long, start_us long, end_us long, keep boolean, reason string, decided_by string"
+DROPS = "asset_id long, start_us long, end_us long, reason string"
+
+
+def plain_subtract(rows, drops, tolerance=300_000):
+    """The rules of J8 for one asset, rows and joined drops one by one."""
+    joined = []
+    for s, e, r in sorted(drops):
+        if joined and s <= joined[-1][1] + tolerance:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]), joined[-1][2] | {r})
+        else:
+            joined.append((s, e, {r}))
+    out, first = [], {}
+    for s, e, keep, reason in sorted(set(rows)):
+        met = [d for d in joined if d[1] > s + tolerance and d[0] < e - tolerance]
+        whole = [d for d in met if d[0] <= s + tolerance and d[1] >= e - tolerance]
+        for d in met:
+            if d not in whole:
+                first.setdefault(d[:2], (s, e))
+        if whole:
+            out.append((s, e, False, "killed: " + "; ".join(sorted(whole[0][2]))))
+        elif not met:
+            out.append((s, e, keep, reason))
+        elif keep:
+            edges = [s, *(x for d in met for x in d[:2]), e]
+            out += [(a, b, True, reason) for a, b in zip(edges[::2], edges[1::2]) if b - a > tolerance]
+    for s, e, r in joined:
+        a, b = first.get((s, e), (s, e))
+        out.append((max(a, s), min(b, e), False, "; ".join(sorted(r))))
+    return sorted(out)
+
+
+def test_subtracted_drops_equal_plain_rules(spark):
+    rng, rows, drops, want = random.Random(3), [], [], []
+    for asset in range(150):
+        at, own = 0, []
+        for _ in range(rng.randint(0, 6)):
+            at += rng.randint(0, 3) * 200_000
+            end = at + rng.randint(1, 18) * 200_000
+            own.append((at, end, rng.random() < 0.8, rng.choice(["", "x"])))
+            at = end - (rng.random() < 0.1) * 100_000
+        cut = [(s, s + rng.randint(1, 24) * 100_000, rng.choice("ab")) for s in (rng.randint(-5, 60) * 100_000 for _ in range(rng.randint(0, 4)))]
+        rows += [(asset, *r, "rule") for r in own]
+        drops += [(asset, *d) for d in cut]
+        want += [(asset, *r) for r in plain_subtract(own, cut)]
+    got = E.subtract_drops(spark.createDataFrame(rows, DECISIONS), spark.createDataFrame(drops, DROPS)).drop("decided_by")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_subtracted_drops_by_hand(spark):
+    def left(rows, *drops):
+        a = spark.createDataFrame([(1, *r, "rule") for r in rows], DECISIONS)
+        return sorted(tuple(r)[1:] for r in E.subtract_drops(a, spark.createDataFrame([(1, *d) for d in drops], DROPS)).drop("decided_by").collect())
+
     one = [(0, 10_000_000, True, "")]
-    assert E.apply_drop(one, 4_000_000, 6_000_000, "x", 300_000) == [(0, 4_000_000, True, ""), (4_000_000, 6_000_000, False, "x"), (6_000_000, 10_000_000, True, "")]
-    assert E.apply_drop(one, 100_000, 9_900_000, "x", 300_000) == [(0, 10_000_000, False, "killed: x")]
-    assert E.apply_drop(one, 9_800_000, 12_000_000, "x", 300_000) == [(0, 10_000_000, True, ""), (9_800_000, 12_000_000, False, "x")]
-    assert E.apply_drop([(0, 10_000_000, False, "y")], 4_000_000, 6_000_000, "x", 300_000) == [(4_000_000, 6_000_000, False, "x")]
-    df = spark.createDataFrame([(1, 0, 10_000_000, True, "")], "asset_id long, start_us long, end_us long, keep boolean, reason string")
-    d = spark.createDataFrame([(1, 4_000_000, 6_000_000, "x")], "asset_id long, start_us long, end_us long, reason string")
-    assert E.subtract_drops(df, d).count() == 3 and E.subtract_drops(df, d.limit(0)).count() == 1
+    assert left(one, (4_000_000, 6_000_000, "x")) == [(0, 4_000_000, True, ""), (4_000_000, 6_000_000, False, "x"), (6_000_000, 10_000_000, True, "")]
+    assert left(one, (100_000, 9_900_000, "x")) == [(0, 10_000_000, False, "killed: x"), (100_000, 9_900_000, False, "x")]
+    assert left(one, (9_800_000, 12_000_000, "x")) == [(0, 10_000_000, True, ""), (9_800_000, 12_000_000, False, "x")]
+    assert left([(0, 10_000_000, False, "y")], (4_000_000, 6_000_000, "x")) == [(4_000_000, 6_000_000, False, "x")]
+    # A drop behind all segments is placed although one of the same reason has killed a segment.
+    assert left([(0, 1_000_000, True, "")], (-1, 1_000_000, "rule"), (5_000_000, 6_000_000, "rule"))[-1] == (5_000_000, 6_000_000, False, "rule")
+    assert left(one) == one and left([], (1, 2, "x")) == [(1, 2, False, "x")]
+
+
+def test_fences_are_stacked_in_order(spark):
+    base = spark.createDataFrame([(1, 0, 10_000_000, True, "", "rule"), (1, 11_000_000, 12_000_000, True, "", "rule")], DECISIONS)
+    first, second = (spark.createDataFrame([(1, *d)], DROPS) for d in ((2_000_000, 4_000_000, "again"), (1_900_000, 6_000_000, "no")))
+    out = E.stack_fences(base, [(first, "self_dedup_rule"), (second, "llm")]).orderBy("seg_id").collect()
+    assert [(r.start_us, r.end_us, r.keep, r.decided_by, r.seg_id) for r in out] == [
+        (0, 2_000_000, True, "rule", 0), (2_000_000, 4_000_000, False, "llm", 1), (4_000_000, 6_000_000, False, "llm", 2), (6_000_000, 10_000_000, True, "rule", 3), (11_000_000, 12_000_000, True, "rule", 4),
+    ]
 
 
 def f1(a, b, n):
