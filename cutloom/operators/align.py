@@ -89,15 +89,11 @@ def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
 
     Sentences of fewer than 4 letters match nothing.  Null words count as empty, null confidence as 0."""
     w = words.select("asset_id", "word_idx", F.coalesce(normalize_align(F.col("word")), F.lit("")).alias("n"), F.coalesce(F.col("conf_milli") / 1000.0, F.lit(0.0)).alias("c"))
-    t = w.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "n", "c"))).alias("w"))
-    ends = F.aggregate("w", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + F.length(x["n"])).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(x["n"]))).alias("out")), lambda s: s["out"])
-    t = t.select("asset_id", F.array_join(F.transform("w", lambda x: x["n"]), "").alias("text"), ends.alias("ends"), F.transform("w", lambda x: x["c"]).alias("conf"))
+    upto = F.sum(F.length("n")).over(Window.partitionBy("asset_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0))
+    t = w.withColumn("e", upto.cast("int")).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "n", "c", "e"))).alias("w"))
+    t = t.select("asset_id", F.array_join(F.transform("w", lambda x: x["n"]), "").alias("text"), F.transform("w", lambda x: x["e"]).alias("ends"), F.transform("w", lambda x: x["c"]).alias("conf"))
     s = sentences.select("item_id", "sent_id", normalize_align(F.col("text")).alias("norm"))
-    grams = lambda df, c: df.withColumn("g", F.explode(F.array_distinct(char_ngrams(F.col(c), GRAM))))
-    # A score of at least LEAST needs that share of a sentence's distinct grams; fewer shared ones can't match.
-    need = F.ceil((F.lit(LEAST / 2) * (F.length("norm") - GRAM + 1)))
-    shared = grams(s, "norm").select("item_id", "sent_id", "g").join(grams(t.select("asset_id", "text"), "text").select("asset_id", "g"), "g").groupBy("asset_id", "item_id", "sent_id").agg(F.count("*").alias("shared"))
-    candidates = shared.join(s, ["item_id", "sent_id"]).filter(F.col("shared") * _most_repeats() >= need).join(t, "asset_id")
+    candidates = _candidates(s, t).join(s, ["item_id", "sent_id"]).join(t, "asset_id")
     found = candidates.select("asset_id", "item_id", "sent_id", "norm", "text", "ends", "conf").mapInPandas(_match, _FIELDS)
     first = words.select("asset_id", F.col("word_idx").alias("first_idx"), "start_us")
     last = words.select("asset_id", F.col("word_idx").alias("last_idx"), "end_us")
@@ -108,6 +104,24 @@ def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
     return found.withColumn("reason", F.when(F.col("keep"), "").otherwise("repeat_discard")).drop("n")
 
 
-def _most_repeats():
-    """A gram counts at most as often as the sentence holds it; its length bounds that."""
-    return F.length("norm")
+def _candidates(s: DataFrame, t: DataFrame) -> DataFrame:
+    """Sentences and assets that may match: asset_id, item_id, sent_id.
+
+    A window of a sentence of q grams has short of them at least, so a score of LEAST takes need grams of the sentence, each
+    as often as the sentence holds it.  So one of the sentence's rarest grams is there, all but need - 1 of them: only these
+    are looked up, which leaves frequent grams aside, and then all shared grams are counted."""
+    q = s.select("item_id", "sent_id", F.length("norm").alias("q"), F.explode(char_ngrams(F.col("norm"), GRAM)).alias("g")).groupBy("item_id", "sent_id", "q", "g").agg(F.count("*").alias("times"))
+    short = F.greatest(F.lit(GRAM), F.floor(F.col("q") * SHORT)) - (GRAM - 1)
+    q = q.withColumn("need", F.ceil((LEAST - 0.0001) / 2 * (short + F.col("q") - (GRAM - 1)) - 1e-9))
+    said = t.select("asset_id", F.explode(F.array_distinct(char_ngrams(F.col("text"), GRAM))).alias("g"))
+    said = said.join(q.select("g").distinct(), "g", "left_semi")
+    spread = said.groupBy("g").agg(F.count("*").alias("assets"))
+    rare = Window.partitionBy("item_id", "sent_id").orderBy("assets", "g")
+    q = q.join(spread, "g")
+    whole = Window.partitionBy("item_id", "sent_id")
+    q = q.withColumns({"before": F.coalesce(F.sum("times").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "there": F.sum("times").over(whole)})
+    first = q.filter(F.col("before") <= F.col("there") - F.col("need")).select("item_id", "sent_id", "g")
+    pairs = first.join(said, "g").select("asset_id", "item_id", "sent_id").distinct()
+    counted = pairs.join(q.select("item_id", "sent_id", "g", "times", "need"), ["item_id", "sent_id"]).join(said, ["asset_id", "g"])
+    enough = counted.groupBy("asset_id", "item_id", "sent_id").agg(F.sum("times").alias("shared"), F.max("need").alias("need")).filter("shared >= need")
+    return enough.select("asset_id", "item_id", "sent_id")

@@ -1,6 +1,6 @@
 """Retakes and stutters inside a recording: windows of words, scored by bigram F1 within 15 s, best partners, greedy choice.
 
-Windows are cut in blocks of words with the words that follow; pairs meet in buckets of time, where the multisets of
+Windows are cut in blocks of words with the words that follow as far as windows reach; pairs meet in buckets of time, where the multisets of
 bigrams of all windows are compared by one matrix product.  Both kinds of groups are bounded by speech, not by assets.
 """
 
@@ -16,8 +16,8 @@ from cutloom.functions.text import normalize
 LEAST_WORDS, MOST_WIDTH, LEAST_CHARS, MOST_CHARS = 3, 10, 4, 60
 PAUSE_US, MOST_GAP_US, STUTTER_US = 250_000, 15_000_000, 3_000_000
 THRESHOLD = (55, 100)
-#: Words in a block of starts, and words after it that windows may reach; only words without letters take up the rest.
-BLOCK, AFTER = 512, 192
+#: Words in a block of starts; the words that follow it come along as far as its windows may reach.
+BLOCK = 512
 
 _WINDOWS = "asset_id long, track int, i int, j int, start_us long, end_us long, norm string"
 
@@ -49,12 +49,21 @@ def _cut_windows(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def windows(words: DataFrame) -> DataFrame:
     """Candidate windows of at least 3 words and 4 to 60 letters: up to every pause (track 0), and of 3 to 10 words
-    (track 1) where track 0 has none."""
-    following = F.lead("start_us").over(Window.partitionBy("asset_id").orderBy("word_idx"))
-    w = words.select("asset_id", "word_idx", normalize(F.col("word")).alias("norm"), "start_us", "end_us", (following.isNull() | (following - F.col("end_us") > PAUSE_US)).alias("pause"))
-    block = F.floor(F.col("word_idx") / BLOCK).cast("int")
-    before = F.when((F.col("word_idx") % BLOCK < AFTER) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    return w.withColumn("block", F.explode(before)).groupBy("asset_id", "block").applyInPandas(_cut_windows, _WINDOWS)
+    (track 1) where track 0 has none.
+
+    A block's windows reach as far as the letters behind its last start allow, over any number of words without letters."""
+    order = Window.partitionBy("asset_id").orderBy("word_idx")
+    following = F.lead("start_us").over(order)
+    w = words.select("asset_id", "word_idx", F.coalesce(normalize(F.col("word")), F.lit("")).alias("norm"), "start_us", "end_us", (following.isNull() | (following - F.col("end_us") > PAUSE_US)).alias("pause"))
+    w = w.withColumn("block", F.floor(F.col("word_idx") / BLOCK).cast("int"))
+    before = F.coalesce(F.sum(F.length("norm")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    w = w.withColumn("letters", before)  # before the word: a window from word a may end at b if it has at most 60 up to b
+    reach = F.max("word_idx").over(Window.partitionBy("asset_id").orderBy("letters").rangeBetween(0, MOST_CHARS))
+    blocks = w.withColumn("reach", reach).groupBy("asset_id", "block").agg(F.max(F.struct("word_idx", "reach")).alias("last"))
+    touched = F.explode(F.sequence("block", F.floor(F.col("last.reach") / BLOCK).cast("int")))
+    blocks = blocks.select(F.col("asset_id").alias("_asset"), F.col("block").alias("of_block"), F.col("last.reach").alias("reach"), touched.alias("_block"))
+    near = w.join(blocks, (F.col("asset_id") == F.col("_asset")) & (F.col("block") == F.col("_block")) & (F.col("word_idx") <= F.col("reach")))
+    return near.select("asset_id", F.col("of_block").alias("block"), "word_idx", "norm", "start_us", "end_us", "pause").groupBy("asset_id", "block").applyInPandas(_cut_windows, _WINDOWS)
 
 
 def _grams(texts: list[str], n: int, vocabulary: dict) -> np.ndarray:

@@ -189,6 +189,42 @@ def test_retakes_equal_plain_search(spark):
     assert R.self_duplicates(words(spark, ("a", 0, 1, 1))).count() == 0
 
 
+def test_windows_reach_over_words_without_letters(spark):
+    texts = ["ab", "cd", "ef"] + ["..."] * 2500 + ["gh", "..."] * 400 + ["end"]
+    df = words(spark, *say(texts))
+    got = {(r.i, r.j, r.track) for r in R.windows(df).collect()}
+    want = set()
+    for i in range(len(texts)):
+        n = 0
+        for j in range(i, len(texts)):
+            n += len(texts[j]) if texts[j] != "..." else 0
+            if n > 60:
+                break
+            if j - i >= 2 and n >= 4 and (j == len(texts) - 1 or j - i < 10):
+                want.add((i, j, 0 if j == len(texts) - 1 else 1))
+    assert got == want
+
+
+def test_candidates_of_alignment_lose_no_match(spark):
+    rng = random.Random(6)
+    pool = ["alpha", "beta", "gamma", "delta", "one", "two", "three", "four", "five", "the", "and"]
+    talk = [(a, i, w, i * 300_000, i * 300_000 + 200_000, 900) for a in range(12) for i, w in enumerate(rng.choices(pool, k=rng.randint(1, 60)))]
+    lines = [(1, i, " ".join(rng.choices(pool, k=rng.randint(1, 9)))) for i in range(25)]
+    df, s = spark.createDataFrame(talk, WORDS), spark.createDataFrame(lines, "item_id long, sent_id int, text string")
+    got = {(r.asset_id, r.sent_id, r.first_idx, r.last_idx) for r in A.align(df, s).collect()}
+    want = set()
+    for a in range(12):
+        own = [w for x, _, w, *_ in talk if x == a]
+        text, ends = "".join(own), np.cumsum([len(w) for w in own])
+        for _, i, q in lines:
+            q = q.replace(" ", "")
+            best, end = A.scores(q, text)
+            for p in A.peaks(best, max(4, int(len(q) * 0.8))):
+                if round(best[p], 4) >= 0.25:
+                    want.add((a, i, *(int(np.searchsorted(ends, x, side="right")) for x in (p, end[p] - 1))))
+    assert got == want and len(got) > 20
+
+
 def test_alignment_finds_repeats(spark):
     rows = say("noise one the quick brown fox jumps over it more noise the quick brown fox jumps over it end".split())
     s = spark.createDataFrame([(1, 1, "The quick brown fox jumps over it.".lower()), (1, 2, "never said at all"), (1, 3, "a")], "item_id long, sent_id int, text string")
