@@ -125,3 +125,48 @@ def storyboard(scenes: DataFrame, specs: DataFrame) -> DataFrame:
         "shots": minute.between(band(1) * total, band(2) * total), "mean": F.col("mean_us").between(band(3), band(4)),
     }
     return g.withColumns({f"{k}_ok": v for k, v in rules.items()}).drop("_hooks", "_band").withColumn("shots_per_minute", F.try_divide(minute * F.lit(1.0), total))
+
+
+def part_audit(planned: DataFrame, parts: DataFrame, limit_us: int = 100_000, tail_us: int = 500_000) -> DataFrame:
+    """J20, V3 (V4 with a limit of 50 ms): planned(asset_id, seg_id, edl_us), parts(asset_id, seg_id, v_us, a_us, tail_us) ->
+    asset_id, seg_id, missing, violations.  Lengths of 0 are unknown and not compared; null limits are broken by nothing."""
+    j = planned.select("asset_id", "seg_id", "edl_us").join(parts.withColumn("_there", F.lit(True)), ["asset_id", "seg_id"], "left")
+    v, a, dur, missing = F.col("v_us"), F.col("a_us"), F.col("edl_us"), F.col("_there").isNull()
+    flags = F.array_compact(F.array(
+        F.when(missing, "FILE_MISSING"), F.when((v > 0) & (F.abs(v - dur) > limit_us), "V_DUR_DIFF"), F.when((a > 0) & (F.abs(a - dur) > limit_us), "A_DUR_DIFF"),
+        F.when((v > 0) & (a > 0) & (F.abs(v - a) > limit_us), "VA_SYNC"), F.when(F.col("tail_us") > tail_us, "SILENT_TAIL"),
+    ))
+    return j.select("asset_id", "seg_id", missing.alias("missing"), flags.alias("violations"))
+
+
+# Templates with the placement and the variables that each one takes, placements and themes.
+TEMPLATES = {"topbar": ("upper", ["title"]), "stat": ("upper", ["number", "label"]), "chart": ("upper", ["eyebrow", "bars"]), "fullscreen": ("full", ["lines"])}
+PLACEMENTS = ("upper", "full")
+THEMES = ("frosted", "swiss", "kinetic")
+
+
+def overlay_errors(inserts: DataFrame, most_full: int = 2) -> DataFrame:
+    """V1: inserts(asset_id, id, template, placement, theme, start_us, end_us, vars: JSON text) -> a row per error: asset_id,
+    id, error.  Ids that stand twice or more, overlaps with the next insert by start (named by the first one's id) and, with a
+    null id, more than most_full fullscreen inserts are errors too.  A null theme is the first one; nulls elsewhere are unknown."""
+    key, spec = Window.partitionBy("asset_id", "id"), Window.partitionBy("asset_id")
+    i = inserts.withColumns({
+        "_same": F.count("*").over(key), "_next": F.lead("start_us").over(spec.orderBy("start_us", "end_us", "id")),
+        "_place": F.row_number().over(key.orderBy("start_us", "end_us")),
+    })
+    template, has = F.col("template"), lambda name: F.coalesce(F.array_contains(F.json_object_keys("vars"), name), F.lit(False))
+    wrong = [
+        F.when((F.col("_same") > 1) & (F.col("_place") > 1), "duplicate id"),
+        F.when(~F.coalesce(template.isin(*TEMPLATES), F.lit(False)), "template"),
+        F.when(~F.coalesce(F.col("placement").isin(*PLACEMENTS), F.lit(False)), "placement"),
+        F.when(~F.coalesce("theme", F.lit(THEMES[0])).isin(*THEMES), "theme"),
+        F.when(~F.coalesce(F.col("end_us") > F.col("start_us"), F.lit(False)), "times"),
+        F.when((template == "chart") & (F.coalesce(F.json_array_length(F.get_json_object("vars", "$.bars")), F.lit(0)) == 0), "bars"),
+        F.when(F.col("_next") < F.col("end_us"), "overlap"),
+    ]
+    for name, (placement, needed) in TEMPLATES.items():
+        wrong.append(F.when((template == name) & ~F.col("placement").eqNullSafe(F.lit(placement)), f"placement of {name}"))
+        wrong += [F.when((template == name) & ~has(k), f"no {k}") for k in needed]
+    own = i.select("asset_id", "id", F.explode(F.array_compact(F.array(*wrong))).alias("error"))
+    full = inserts.groupBy("asset_id").agg(F.count_if(template == "fullscreen").alias("n")).filter(F.col("n") > most_full)
+    return own.unionByName(full.select("asset_id", F.lit(None).cast(inserts.schema["id"].dataType).alias("id"), F.lit("too many fullscreen").alias("error")))

@@ -32,6 +32,16 @@ def merge_human(base: DataFrame, human: DataFrame) -> DataFrame:
     )
 
 
+def keep_edited(made: DataFrame, edited: DataFrame, keys: list[str]) -> DataFrame:
+    """V2: rows of edited in place of made ones of the same keys, edited ones without a made row too; edited: whether."""
+    other = [c for c in made.columns if c not in keys]
+    e = edited.select(*[F.col(c).alias(f"_{c}") for c in made.columns]).withColumn("_edited", F.lit(True))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    j = made.join(e, on, "full")
+    taken = [F.when(F.col("_edited"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in other]
+    return j.select(*[F.coalesce(f"_{k}", k).alias(k) for k in keys], *taken, F.col("_edited").isNotNull().alias("edited"))
+
+
 def distinct_drops(edl: DataFrame) -> DataFrame:
     """Removes drop rows with equal times; keep rows stay."""
     w = Window.partitionBy("asset_id", "keep", "start_us", "end_us").orderBy("decided_by", "seg_id")

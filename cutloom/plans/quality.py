@@ -108,13 +108,7 @@ def audit(spark, sf_dir, limit_us: int = 100_000, tail_us: int = 500_000) -> Dat
     s = segments(spark, sf_dir).select("asset_id", "seg_id", (F.col("end_us") - F.col("start_us")).alias("edl_us"))
     i, dur = F.col("seg_id"), F.col("edl_us")
     p = s.filter("seg_id % 17 <> 0").select("asset_id", "seg_id", (dur + (i * 13 % 300 - 150) * 1000).alias("v_us"), (dur + (i * 29 % 300 - 150) * 1000).alias("a_us"), ((i * 71 % 900) * 1000).alias("tail_us"))
-    j = s.join(p, ["asset_id", "seg_id"], "left")
-    v, a, missing = F.col("v_us"), F.col("a_us"), F.col("v_us").isNull()
-    flags = F.array_compact(F.array(
-        F.when(missing, "FILE_MISSING"), F.when((v > 0) & (F.abs(v - dur) > limit_us), "V_DUR_DIFF"), F.when((a > 0) & (F.abs(a - dur) > limit_us), "A_DUR_DIFF"),
-        F.when((v > 0) & (a > 0) & (F.abs(v - a) > limit_us), "VA_SYNC"), F.when(F.col("tail_us") > tail_us, "SILENT_TAIL"),
-    ))
-    return j.select("asset_id", "seg_id", missing.alias("missing"), flags.alias("violations"))
+    return C.part_audit(s, p, limit_us, tail_us)
 
 
 @query(select(SEGMENTS + _PARTS, "SELECT asset_id, seg_id, missing, array_to_string(v, ',') AS violations FROM audit"))
@@ -123,6 +117,12 @@ def v3_part_audit(spark, sf_dir):
     return audit(spark, sf_dir).withColumn("violations", F.array_join("violations", ","))
 
 
+@query(select(SEGMENTS + _PARTS.replace("> 100000", "> 50000"), "SELECT asset_id, seg_id, missing, array_to_string(v, ',') AS violations FROM audit"))
+def v4_strict_part_audit(spark, sf_dir):
+    """V4: what is wrong with each rendered part, by stricter limits."""
+    return audit(spark, sf_dir, 50_000).withColumn("violations", F.array_join("violations", ","))
+
+
 @query(select(SEGMENTS + _PARTS, "SELECT asset_id, count(*) AS total, count(*) FILTER (WHERE len(v) > 0) AS bad, count(*) FILTER (WHERE len(v) = 0) AS passed, bool_and(len(v) = 0) AS all_pass FROM audit GROUP BY 1"))
 def a14_audit_summary(spark, sf_dir):
     """Audits of each asset."""
@@ -272,6 +272,49 @@ def v1_insert_errors(spark, sf_dir):
     return i.select("asset_id", "seg_id", F.array_join(errors, ",").alias("errors"))
 
 
+_OVERLAYS = """,
+ov AS (SELECT asset_id, seg_id // 7 * 7 + CASE WHEN seg_id % 7 > 4 THEN 4 ELSE seg_id % 7 END AS id, ['topbar', 'stat', 'chart', 'fullscreen', 'badge'][seg_id % 5 + 1] AS template, CASE WHEN seg_id % 4 = 3 THEN 'full' WHEN seg_id % 19 = 0 THEN 'left' ELSE 'upper' END AS placement,
+  CASE seg_id % 6 WHEN 0 THEN 'swiss' WHEN 1 THEN 'neon' WHEN 2 THEN 'kinetic' END AS theme, start_us, CASE WHEN seg_id % 13 = 0 THEN start_us ELSE end_us + 300000 END AS end_us,
+  CASE seg_id % 3 WHEN 0 THEN '{"title":"a","number":1,"eyebrow":"e","bars":[]}' WHEN 1 THEN '{"number":1,"label":"l","bars":[1],"eyebrow":"e"}' ELSE '{"lines":["a"],"bars":"b"}' END AS vars FROM segments),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY asset_id, id ORDER BY start_us, end_us) AS place, lead(start_us) OVER (PARTITION BY asset_id ORDER BY start_us, end_us, id) AS nx, json_keys(vars) AS ks FROM ov),
+oe AS (SELECT asset_id, id, unnest(list_filter([CASE WHEN place > 1 THEN 'duplicate id' END, CASE WHEN template = 'badge' THEN 'template' END, CASE WHEN placement = 'left' THEN 'placement' END, CASE WHEN theme = 'neon' THEN 'theme' END,
+  CASE WHEN end_us <= start_us THEN 'times' END, CASE WHEN template = 'chart' AND coalesce(json_array_length(vars, '$.bars'), 0) = 0 THEN 'bars' END, CASE WHEN nx < end_us THEN 'overlap' END,
+  CASE WHEN template IN ('topbar', 'stat', 'chart') AND placement <> 'upper' OR template = 'fullscreen' AND placement <> 'full' THEN 'placement of ' || template END,
+  CASE WHEN template = 'topbar' AND NOT list_contains(ks, 'title') THEN 'no title' END, CASE WHEN template = 'stat' AND NOT list_contains(ks, 'number') THEN 'no number' END,
+  CASE WHEN template = 'stat' AND NOT list_contains(ks, 'label') THEN 'no label' END, CASE WHEN template = 'chart' AND NOT list_contains(ks, 'eyebrow') THEN 'no eyebrow' END,
+  CASE WHEN template = 'chart' AND NOT list_contains(ks, 'bars') THEN 'no bars' END, CASE WHEN template = 'fullscreen' AND NOT list_contains(ks, 'lines') THEN 'no lines' END], lambda x: x IS NOT NULL)) AS error FROM o2
+  UNION ALL SELECT asset_id, NULL, 'too many fullscreen' FROM ov GROUP BY asset_id HAVING count(*) FILTER (WHERE template = 'fullscreen') > 2)"""
+
+
+def overlays(spark, sf_dir) -> DataFrame:
+    i, pick = F.col("seg_id"), lambda *v: F.array(*map(F.lit, v))
+    return segments(spark, sf_dir).select(
+        "asset_id", (F.floor(i / 7) * 7 + F.least(i % 7, F.lit(4))).cast("int").alias("id"), F.get(pick("topbar", "stat", "chart", "fullscreen", "badge"), i % 5).alias("template"),
+        F.when(i % 4 == 3, "full").when(i % 19 == 0, "left").otherwise("upper").alias("placement"), F.get(pick("swiss", "neon", "kinetic"), i % 6).alias("theme"),
+        "start_us", F.when(i % 13 == 0, F.col("start_us")).otherwise(F.col("end_us") + 300000).alias("end_us"),
+        F.get(pick('{"title":"a","number":1,"eyebrow":"e","bars":[]}', '{"number":1,"label":"l","bars":[1],"eyebrow":"e"}', '{"lines":["a"],"bars":"b"}'), i % 3).alias("vars"),
+    )
+
+
+@query(select(SEGMENTS + _OVERLAYS, "SELECT asset_id, CAST(id AS INTEGER) AS id, error FROM oe"))
+def v1_overlay_errors(spark, sf_dir):
+    """V1: every rule of an overlay table, an insert for each segment."""
+    return C.overlay_errors(overlays(spark, sf_dir))
+
+
+@query(select(SEGMENTS + """,
+made AS (SELECT asset_id, seg_id, 'made ' || n_words AS text, start_us, end_us FROM segments),
+byhand AS (SELECT asset_id, seg_id + CASE WHEN seg_id % 8 = 0 THEN 5000 ELSE 0 END AS seg_id, 'by hand' AS text, start_us + 100000 AS start_us, end_us FROM segments WHERE seg_id % 4 = 0)""", """
+SELECT coalesce(k.asset_id, m.asset_id) AS asset_id, coalesce(k.seg_id, m.seg_id) AS seg_id, coalesce(k.text, m.text) AS text, coalesce(k.start_us, m.start_us) AS start_us, coalesce(k.end_us, m.end_us) AS end_us, k.asset_id IS NOT NULL AS edited
+FROM made m FULL JOIN byhand k ON k.asset_id = m.asset_id AND k.seg_id = m.seg_id"""))
+def v2_edited_inserts(spark, sf_dir):
+    """V2: a rerun's inserts don't take the place of those edited by hand."""
+    s, i = segments(spark, sf_dir), F.col("seg_id")
+    made = s.select("asset_id", "seg_id", F.concat(F.lit("made "), F.col("n_words").cast("string")).alias("text"), "start_us", "end_us")
+    hand = s.filter("seg_id % 4 = 0").select("asset_id", (i + F.when(i % 8 == 0, 5000).otherwise(0)).alias("seg_id"), F.lit("by hand").alias("text"), (F.col("start_us") + 100000).alias("start_us"), "end_us")
+    return E.keep_edited(made, hand, ["asset_id", "seg_id"])
+
+
 _SCENES = """,
 scenes AS (SELECT asset_id, seg_id, start_us, end_us, seg_id % 9 AS component, seg_id % 23 = 0 AS flash, lag(end_us) OVER (PARTITION BY asset_id ORDER BY seg_id) AS before FROM segments)"""
 
