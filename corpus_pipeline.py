@@ -25,11 +25,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of repeated rows of that document one."""
+    """One document of each group of near-duplicates; of several rows with its id the smallest by text and other columns,
+    one without a text last."""
     kept = neardup.near_duplicates(docs, (80, 100)).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     # Rows without an id can't be told apart and stay.
-    known = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
+    known = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    row = F.min(F.struct(F.col("text").isNull().alias("_none"), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row")
+    one = known.groupBy("doc_id").agg(row).select("doc_id", "_row.*").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
