@@ -143,3 +143,35 @@ def test_all_letters_of_a_long_word_count():
     assert lang.hashed([long]).count[0] == 101 + 100 + 2
     model = lang.fit([("aaab " * 20, "x"), ("zzzy " * 20, "y")] * 10)
     assert lang.label(model, ["zq" * 6 + "a" * 80 + "zq" * 6, "a" * 3000])[0] == ["x", "x"]
+
+
+def test_quality_query_equals_a_plain_walk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    trees = q.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality"))
+    out = {r.doc_id: r.score for r in q.op4_quality(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        x, total = np.float32(q.statistics(r.text)), trees.base
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if x[feature[at]] > cut[at] else 1)
+            total += leaf[at - len(feature)]
+        assert abs(out.pop(r.doc_id) - 1 / (1 + np.exp(-total))) < 1e-9
+    assert not out
+
+
+def test_language_query_equals_one_chain_for_each_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    model = lang.train(docs)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in lang.op7_language(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        w = lang.words_of(r.text)
+        name, score = out.pop(r.doc_id)
+        if not w:
+            assert (name, score) == ("und", 0)
+            continue
+        e = model.scores(w)
+        e = np.exp(e - e.max(axis=1, keepdims=True))[None]
+        share = lang.forward_backward(e, np.ones((1, len(w)), bool), np.exp(model.transition), np.exp(model.start))[0][0].mean(axis=0)
+        assert name == model.languages[int(share.argmax())] and abs(score - share.max()) < 1e-4
+    assert not out

@@ -37,3 +37,11 @@ def test_odd_tables(spark):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in p.STAGES[:-1]:
             assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs, SF).count() <= len(rows)
+
+
+def test_rows_that_share_an_id_are_told_by_their_text(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "b " * 30, "en", "s", 60), (1, "a " * 30, "en", "s", 60), (1, "a " * 30, "en", None, 60), (1, None, "en", "z", 0), (2, "own words of this one", "en", None, 3)]
+    for n in (1, 3):
+        out = p.neardup_stage(spark, spark.createDataFrame(rows, schema).repartition(n), SF).collect()
+        assert sorted(map(tuple, out)) == [(1, "a " * 30, "en", None, 60), (2, "own words of this one", "en", None, 3)]
