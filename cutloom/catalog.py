@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutloom.plans import edits, quality, script, words
+from cutloom.plans import edits, quality, rules, script, words
 
-PLANS = (words, edits, quality, script)
+PLANS = (words, edits, quality, script, rules)
 
 
 def queries() -> dict:

@@ -76,6 +76,11 @@ def han_runs(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"([\x{4e00}-\x{9fff}]{2,})"), F.lit(1))
 
 
+def han_count(c: Column) -> Column:
+    """Han characters of a text."""
+    return F.length(F.regexp_replace(c, r"[^\x{4e00}-\x{9fff}]", ""))
+
+
 def breath_pad_us(pad_ms: Column) -> Column:
     return F.when(pad_ms > 0, pad_ms).otherwise(150) * 1000
 

@@ -170,3 +170,43 @@ def overlay_errors(inserts: DataFrame, most_full: int = 2) -> DataFrame:
     own = i.select("asset_id", "id", F.explode(F.array_compact(F.array(*wrong))).alias("error"))
     full = inserts.groupBy("asset_id").agg(F.count_if(template == "fullscreen").alias("n")).filter(F.col("n") > most_full)
     return own.unionByName(full.select("asset_id", F.lit(None).cast(inserts.schema["id"].dataType).alias("id"), F.lit("too many fullscreen").alias("error")))
+
+
+def sampled_differences(words: DataFrame, other: DataFrame, least_milli: int = 850, near_us: int = 1_000_000, samples: int = 20, most_us: int = 100_000) -> DataFrame:
+    """The words of two transcripts that both hold with more confidence than least_milli within near_us of each other, the
+    first of each of up to samples stretches of equal counts -> asset_id, tile, word_idx, diff_us (to the nearest), passed."""
+    a = words.filter(F.col("conf_milli") > least_milli).select("asset_id", "word_idx", "word", "start_us")
+    b = other.filter(F.col("conf_milli") > least_milli).select(F.col("asset_id").alias("_a"), F.col("word").alias("_w"), F.col("start_us").alias("_s"))
+    bucket = lambda c: F.floor(c / near_us)
+    a = a.withColumn("_bucket", F.explode(F.array(*[bucket(F.col("start_us")) + k for k in (-1, 0, 1)])))
+    apart = F.abs(F.col("start_us") - F.col("_s"))
+    j = a.join(b, (F.col("asset_id") == F.col("_a")) & (F.col("word") == F.col("_w")) & (F.col("_bucket") == bucket(F.col("_s"))) & (apart < near_us))
+    near = j.groupBy("asset_id", "word_idx", "start_us").agg(F.min(apart).alias("diff_us"))
+    near = near.withColumn("tile", F.ntile(samples).over(Window.partitionBy("asset_id").orderBy("start_us", "word_idx")))
+    first = F.row_number().over(Window.partitionBy("asset_id", "tile").orderBy("start_us", "word_idx"))
+    return near.withColumn("_n", first).filter("_n = 1").select("asset_id", "tile", "word_idx", "diff_us", (F.col("diff_us") < most_us).alias("passed"))
+
+
+def sync_verdicts(lags: DataFrame, hashes: DataFrame, rate: int, most_ms: int = 40, most_distance: int = 10) -> DataFrame:
+    """V9: lags(asset_id, lag in samples, peak) of rate samples a second, hashes(asset_id, distance) -> with the verdicts."""
+    a, b = F.abs("lag") * 1000 < most_ms * rate, F.col("distance") < most_distance
+    return lags.join(hashes, "asset_id").select("*", a.alias("lag_pass"), b.alias("hash_pass"), (a & b).alias("seg_pass"))
+
+
+def decision_faults(edl: DataFrame, deciders: tuple[str, ...] = ("rule", "llm", "self_dedup_rule", "human")) -> DataFrame:
+    """edl(asset_id, seg_id, start_us, end_us, keep, text, decided_by) -> asset_id, seg_id, faults.  A text is words or one
+    placeholder in brackets, not both; nulls in times, keep and decider are missing."""
+    text, tag = F.coalesce("text", F.lit("")), r"\[[^\]]*\]"
+    missing = F.col("start_us").isNull() | F.col("end_us").isNull() | F.col("keep").isNull() | F.col("decided_by").isNull()
+    faults = F.array_compact(F.array(
+        F.when(missing, "missing"), F.when(text == "", "text"), F.when(text.rlike(tag) & ~text.rlike(f"^{tag}$"), "tag in text"),
+        F.when(~F.col("decided_by").isin(*deciders), "decider"), F.when(F.col("end_us") <= F.col("start_us"), "times"),
+    ))
+    return edl.select("asset_id", "seg_id", faults.alias("faults"))
+
+
+def unknown_components(used: DataFrame, catalog: DataFrame) -> DataFrame:
+    """used(asset_id, component), catalog(line) with ids at the head of lines, as [namespace.id] -> components of no line,
+    and how often an asset uses them."""
+    ids = catalog.select(F.regexp_extract("line", r"^\[([a-z0-9_-]+\.[a-z0-9_-]+)\]", 1).alias("component")).filter("component <> ''").distinct()
+    return used.join(ids, "component", "left_anti").groupBy("asset_id", "component").agg(F.count("*").alias("n"))

@@ -90,6 +90,48 @@ def resolve_overlaps(cuts: DataFrame, slack_us: int = 10_000, least_us: int = 50
     return out.select("asset_id", "r.seg_id", "r.start_us", "r.end_us")
 
 
+def pull_starts(cuts: DataFrame, pause_us: int = 800_000, pad_us: int = 150_000, least_us: int = 50_000) -> DataFrame:
+    """Kept cuts(asset_id, seg_id, start_us, end_us) in order; a start behind a pause that is dropped moves pad_us ahead,
+    as far as pad_us behind what was kept before."""
+    w = Window.partitionBy("asset_id").orderBy("start_us", "seg_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max("end_us").over(w)
+    gap = F.col("start_us") - before
+    start = F.when((gap > pause_us) & (gap - 2 * pad_us > least_us), F.greatest(F.col("start_us") - pad_us, before + pad_us)).otherwise(F.col("start_us"))
+    return cuts.select("asset_id", "seg_id", start.alias("start_us"), "end_us")
+
+
+def clamp_keeps(cuts: DataFrame, words: DataFrame, pad_us: int = 300_000, least_us: int = 50_000) -> DataFrame:
+    """Cuts between pad_us before an asset's first word and pad_us behind its last; shorter ones than least_us go."""
+    w = words.groupBy("asset_id").agg(F.greatest(F.min("start_us") - pad_us, F.lit(0)).alias("_lo"), (F.max("end_us") + pad_us).alias("_hi"))
+    j = cuts.join(w, "asset_id").select("asset_id", "seg_id", F.greatest("start_us", "_lo").alias("start_us"), F.least("end_us", "_hi").alias("end_us"))
+    return j.filter(F.col("end_us") - F.col("start_us") >= least_us)
+
+
+def bound_ends(cuts: DataFrame, words: DataFrame, head_us: int = 300_000, tail_us: int = 500_000, back_us: int = 1_000_000, least_us: int = 50_000) -> DataFrame:
+    """The first cut of an asset starts head_us before the first word that starts in or behind it, at 0 at least; the
+    last one ends tail_us behind the latest end of words that start at most back_us before it; all last least_us."""
+    order = Window.partitionBy("asset_id").orderBy("seg_id")
+    c = cuts.withColumns({"_first": F.row_number().over(order) == 1, "_last": F.lead("seg_id").over(order).isNull()})
+    at = c.groupBy("asset_id").agg(F.min(F.when(F.col("_first"), F.col("start_us"))).alias("_a"), F.min(F.when(F.col("_last"), F.col("start_us"))).alias("_b"), F.count("*").alias("_n"))
+    head = words.join(at, "asset_id").groupBy("asset_id").agg(F.min(F.when(F.col("start_us") >= F.col("_a"), F.col("start_us"))).alias("_head"))
+    moved = F.when(F.col("_head") - F.col("_a") < head_us, F.greatest(F.col("_head") - head_us, F.lit(0))).otherwise(F.col("_a"))
+    at = at.join(head, "asset_id", "left").withColumn("_start", moved)
+    behind = F.when(F.col("_n") == 1, F.col("_start")).otherwise(F.col("_b"))
+    tail = words.join(at.select("asset_id", behind.alias("_from")), "asset_id").groupBy("asset_id").agg(F.max(F.when(F.col("start_us") >= F.col("_from") - back_us, F.col("end_us"))).alias("_tail"))
+    c = c.join(at.select("asset_id", "_start"), "asset_id").join(tail, "asset_id", "left")
+    start = F.when(F.col("_first"), F.col("_start")).otherwise(F.col("start_us"))
+    end = F.when(F.col("_last"), F.greatest("end_us", F.coalesce(F.col("_tail") + tail_us, F.col("end_us")))).otherwise(F.col("end_us"))
+    return c.select("asset_id", "seg_id", start.alias("start_us"), F.greatest(end, start + least_us).alias("end_us"))
+
+
+def to_source(points: DataFrame, timeline: DataFrame, fps: int = FPS) -> DataFrame:
+    """points(asset_id, out_us, ...) on the output's time -> seg_id and source_us of the segment they fall in."""
+    us = lambda frames: frames * F.lit(1000000.0) / fps
+    b = I.bucketed(timeline, us(F.col("out_frame")), us(F.col("out_frame") + F.col("n_frames")), "seg_id", F.col("start_us").alias("_source"))
+    inside = (F.col("out_us") >= F.col("_start")) & (F.col("out_us") < F.col("_end"))
+    return I.point_join(points, F.col("out_us"), b, inside, "inner").withColumn("source_us", F.col("_source") + (F.col("out_us") - F.col("_start"))).drop("_source", "_start", "_end")
+
+
 def joined_drops(drops: DataFrame, tolerance_us: int = 300_000) -> DataFrame:
     """Drops of an asset that overlap, or lie within the tolerance of each other, as one; reason: theirs, sorted and distinct.
     Rows without times, or that end where they start, are left out."""

@@ -16,7 +16,7 @@ def _bucket(us: Column) -> Column:
     return F.floor(us / BUCKET_US)
 
 
-def bucketed(intervals: DataFrame, start: Column | None = None, end: Column | None = None, *keep: str) -> DataFrame:
+def bucketed(intervals: DataFrame, start: Column | None = None, end: Column | None = None, *keep: str | Column) -> DataFrame:
     """_asset, _bucket, _start, _end and keep, a row per bucket that an interval touches."""
     start, end = F.col("start_us") if start is None else start, F.col("end_us") if end is None else end
     out = intervals.select(F.col("asset_id").alias("_asset"), start.alias("_start"), end.alias("_end"), *keep)
