@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,23 +75,43 @@ def translations(cues: DataFrame, lines: DataFrame) -> DataFrame:
     return place(cues, "cue_idx").join(en, ["asset_id", "_place"], "left").withColumn("en", F.coalesce("en", F.lit(""))).drop("_place")
 
 
+def _first_start(text: str, keyword: str, starts: np.ndarray, cursor: int, ahead: int) -> int | None:
+    """The first word from the cursor on from which ahead words, written together, hold the keyword; text: all words written
+    together, starts: where each begins in it."""
+    at = text.find(keyword, int(starts[cursor])) if cursor < len(starts) else -1
+    while at >= 0:
+        first, last = (int(np.searchsorted(starts, x, side="right")) - 1 for x in (at, at + max(len(keyword), 1) - 1))
+        j = max(cursor, last - ahead + 1)
+        if j <= first:
+            return j
+        at = text.find(keyword, at + 1)  # it runs over more words than a stretch has
+    return None
+
+
 def cursor_match(words: DataFrame, lines: DataFrame, ahead: int = 10) -> DataFrame:
     """lines(asset_id, line_no, keywords) on the words, in order, from a cursor on.
 
     A line is hit at the first j from the cursor on where words j..j+ahead-1 hold its first keyword that is found at all;
-    the cursor moves behind it.  A line without a hit starts 0.6 s after the line before, the first at 0.  hit: whether."""
+    the cursor moves behind it.  A line without a hit starts 0.6 s after the line before, the first at 0.  hit: whether.
+
+    A keyword that is not found from a cursor on is never found later, so each is searched to the end once."""
 
     def run(key, w: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        w = w.sort_values("word_idx")
-        said, start, cursor, before, rows = w["word"].tolist(), w["start_us"].tolist(), 0, None, []
+        w = w[w["word"].str.len() > 0].sort_values("word_idx")
+        said, start = w["word"].tolist(), w["start_us"].tolist()
+        text, starts = "".join(said), np.cumsum([0, *map(len, said)])[:-1]
+        cursor, before, gone, rows = 0, None, set(), []
         for no, keywords in lines.sort_values("line_no")[["line_no", "keywords"]].itertuples(index=False):
-            at = next((j for k in keywords for j in range(cursor, len(said)) if k in "".join(said[j : j + ahead])), None)
-            if at is None:
-                t = 0 if before is None else before + 600_000
-            else:
-                t, cursor = start[at], at + 1
-            rows.append((key[0], no, t, at is not None))
-            before = t
+            hit = None
+            for k in keywords:
+                if hit is None and k not in gone:
+                    hit = _first_start(text, k, starts, cursor, ahead)
+                    if hit is None:
+                        gone.add(k)
+            if hit is not None:
+                cursor = hit + 1
+            before = start[hit] if hit is not None else 0 if before is None else before + 600_000
+            rows.append((key[0], no, before, hit is not None))
         return pd.DataFrame(rows, columns=["asset_id", "line_no", "start_us", "hit"])
 
     a = words.select("asset_id", "word_idx", "word", "start_us").groupBy("asset_id")

@@ -122,7 +122,21 @@ def j16_translations(spark, sf_dir):
     return P.translations(cues(spark, sf_dir), t).select("asset_id", "cue_idx", "en")
 
 
-@query()
+@query("WITH RECURSIVE " + WORDS.strip() + r""",
+ln AS (SELECT asset_id, line_no, ks, row_number() OVER (PARTITION BY asset_id ORDER BY line_no) AS place FROM (
+  SELECT conv_id AS asset_id, CAST(turn AS INTEGER) AS line_no, list_slice(list_filter(regexp_extract_all(coalesce(text, ''), '\S+'), lambda x: length(x) >= 6), 1, 3) AS ks FROM conversations)),
+kw AS (SELECT asset_id, line_no, unnest(ks) AS k, generate_subscripts(ks, 1) AS pos FROM ln),
+st AS (SELECT asset_id, word_idx, start_us, string_agg(word, '') OVER (PARTITION BY asset_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead FROM words),
+hit AS (SELECT DISTINCT kw.asset_id, line_no, pos, word_idx AS j FROM kw JOIN st ON st.asset_id = kw.asset_id AND contains(ahead, k)),
+span AS (SELECT asset_id, line_no, pos, j, coalesce(lag(j) OVER (PARTITION BY asset_id, line_no, pos ORDER BY j), -1) AS pj FROM hit),
+f AS (SELECT asset_id, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS start_us, 0 AS cur, false AS hit FROM (SELECT DISTINCT asset_id FROM ln)
+  UNION ALL SELECT n.asset_id, n.place, CASE WHEN w.word_idx IS NULL THEN coalesce(f.start_us + 600000, 0) ELSE w.start_us END, CASE WHEN w.word_idx IS NULL THEN f.cur ELSE w.word_idx + 1 END, w.word_idx IS NOT NULL
+  FROM f JOIN ln n ON n.asset_id = f.asset_id AND n.place = f.place + 1
+  LEFT JOIN span b1 ON b1.asset_id = n.asset_id AND b1.line_no = n.line_no AND b1.pos = 1 AND b1.j >= f.cur AND b1.pj < f.cur
+  LEFT JOIN span b2 ON b2.asset_id = n.asset_id AND b2.line_no = n.line_no AND b2.pos = 2 AND b2.j >= f.cur AND b2.pj < f.cur
+  LEFT JOIN span b3 ON b3.asset_id = n.asset_id AND b3.line_no = n.line_no AND b3.pos = 3 AND b3.j >= f.cur AND b3.pj < f.cur
+  LEFT JOIN words w ON w.asset_id = n.asset_id AND w.word_idx = coalesce(b1.j, b2.j, b3.j))
+SELECT f.asset_id, line_no, start_us, hit FROM f JOIN ln ON ln.asset_id = f.asset_id AND ln.place = f.place""")
 def w18_cursor_matches(spark, sf_dir):
     """The first long words of every turn as keywords, matched on the conversation's words in order."""
     t = D.read(spark, sf_dir, "conversations")

@@ -86,12 +86,11 @@ def j3_words_contained(spark, sf_dir):
 
 
 _RANGES = """,
-ranges AS (SELECT asset_id, word_idx AS range_id, word_idx AS first_idx, word_idx + CAST(conf_milli % 40 AS INTEGER) - 1 AS last_idx FROM words WHERE word_idx % 10 = 0)"""
+ranges AS (SELECT asset_id, word_idx AS range_id, word_idx AS first_idx, word_idx + CAST(conf_milli % 40 AS INTEGER) - 1 AS last_idx FROM words)"""
 
 
 def _ranges(w: DataFrame) -> DataFrame:
-    r = w.filter("word_idx % 10 = 0")
-    return r.select("asset_id", F.col("word_idx").alias("range_id"), F.col("word_idx").alias("first_idx"), (F.col("word_idx") + (F.col("conf_milli") % 40).cast("int") - 1).alias("last_idx"))
+    return w.select("asset_id", F.col("word_idx").alias("range_id"), F.col("word_idx").alias("first_idx"), (F.col("word_idx") + (F.col("conf_milli") % 40).cast("int") - 1).alias("last_idx"))
 
 
 @query(select(WORDS + _RANGES, """

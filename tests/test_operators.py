@@ -238,3 +238,17 @@ def test_cursor_and_phrases(spark):
     assert [(r.line_no, r.start_us, r.hit) for r in P.cursor_match(df, lines).orderBy("line_no").collect()] == [(1, 0, True), (2, 300_000, True), (3, 900_000, False), (4, 1_500_000, False)]
     p = spark.createDataFrame([(1, "c, c a"), (1, ""), (1, "zz"), (2, "aa")], "asset_id long, phrase string")
     assert {(r.phrase, r.first_idx, r.last_idx) for r in P.locate_phrases(df, p).collect()} == {("c, c a", 2, 3), ("", None, None), ("zz", None, None), ("aa", None, None)}
+
+
+def test_cursor_matches_equal_a_plain_scan(spark):
+    rng = random.Random(12)
+    for asset in range(40):
+        said = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 40))]
+        keys = [["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 3))] for _ in range(12)]
+        text, starts, cursor = "".join(said), np.cumsum([0, *map(len, said)])[:-1], 0
+        for line in keys:
+            want = next((j for k in line for j in range(cursor, len(said)) if k in "".join(said[j : j + 4])), None)
+            found = (P._first_start(text, k, starts, cursor, 4) for k in line)
+            got = next((j for j in found if j is not None), None)
+            assert got == want
+            cursor = cursor if got is None else got + 1
