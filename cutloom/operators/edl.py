@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,46 +49,45 @@ def distinct_drops(edl: DataFrame) -> DataFrame:
     return edl.withColumn("_n", F.row_number().over(w)).filter(F.col("keep") | (F.col("_n") == 1)).drop("_n")
 
 
-def _folded(rows: DataFrame, start: Column, step) -> DataFrame:
-    """Runs step(state, row) over an asset's cuts in order; state and rows are structs of a few numbers."""
-    g = rows.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "start_us", "end_us"))).alias("rows"))
-    out = g.select("asset_id", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
-    return out.select("asset_id", "r.seg_id", "r.start_us", "r.end_us")
+def _folded(cuts: DataFrame, order: list[str], step) -> DataFrame:
+    """Runs last, start, end, stays = step(last, start, end) over an asset's cuts in order, once each; last is None at first."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, rows = pdf.sort_values(order), None, []
+        for seg_id, start, end in zip(*(pdf[c].tolist() for c in ("seg_id", "start_us", "end_us"))):
+            last, start, end, stays = step(last, start, end)
+            if stays:
+                rows.append((seg_id, start, end))
+        out = pd.DataFrame(rows, columns=["seg_id", "start_us", "end_us"])
+        out.insert(0, "asset_id", pdf["asset_id"].iloc[0])
+        return out
 
-_EMPTY = "struct<last:bigint,out:array<struct<seg_id:int,start_us:bigint,end_us:bigint>>>"
+    fields = "asset_id long, seg_id int, start_us long, end_us long"
+    return cuts.select("asset_id", "seg_id", "start_us", "end_us").groupBy("asset_id").applyInPandas(run, fields)
 
 
 def fix_overlaps(cuts: DataFrame, gap_us: int = 1_000, least_us: int = 50_000) -> DataFrame:
     """Left to right: a cut that starts before the end of the one before starts gap_us after it; an end before its start
     moves to least_us after it.  Uses ends that are already fixed."""
 
-    def step(s, r):
-        start = F.when(s["last"].isNotNull() & (r["start_us"] < s["last"]), s["last"] + gap_us).otherwise(r["start_us"])
-        end = F.when(r["end_us"] < start, start + least_us).otherwise(r["end_us"])
-        one = F.struct(r["seg_id"].cast("int").alias("seg_id"), start.cast("long").alias("start_us"), end.cast("long").alias("end_us"))
-        return F.struct(end.cast("long").alias("last"), F.concat(s["out"], F.array(one)).alias("out"))
+    def step(last, start, end):
+        start = last + gap_us if last is not None and start < last else start
+        end = start + least_us if end < start else end
+        return end, start, end, True
 
-    return _folded(cuts, F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<seg_id:int,start_us:bigint,end_us:bigint>>").alias("out")), step)
+    return _folded(cuts, ["seg_id", "start_us", "end_us"], step)
 
 
 def resolve_overlaps(cuts: DataFrame, slack_us: int = 10_000, least_us: int = 50_000) -> DataFrame:
     """By start: a cut that starts before the cursor less slack_us is pushed to it, or left out if less than least_us of
     it would remain; the cursor follows the ends of cuts that stay."""
 
-    def step(s, r):
-        over = s["last"].isNotNull() & (r["start_us"] < s["last"] - slack_us)
-        out = over & (s["last"] - r["start_us"] >= r["end_us"] - r["start_us"] - least_us)
-        start = F.when(over, s["last"]).otherwise(r["start_us"])
-        one = F.struct(r["seg_id"].cast("int").alias("seg_id"), start.cast("long").alias("start_us"), r["end_us"].cast("long").alias("end_us"))
-        last = F.when(out, s["last"]).otherwise(F.greatest(s["last"], r["end_us"]))
-        return F.struct(last.cast("long").alias("last"), F.when(out, s["out"]).otherwise(F.concat(s["out"], F.array(one))).alias("out"))
-
-    by_start = cuts.withColumn("_place", F.row_number().over(Window.partitionBy("asset_id").orderBy("start_us", "seg_id")))
-    g = by_start.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("_place", "seg_id", "start_us", "end_us"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<seg_id:int,start_us:bigint,end_us:bigint>>").alias("out"))
-    out = g.select("asset_id", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
-    return out.select("asset_id", "r.seg_id", "r.start_us", "r.end_us")
+    def step(last, start, end):
+        if last is not None and start < last - slack_us:
+            return (last, start, end, False) if last - start >= end - start - least_us else (max(last, end), last, end, True)
+        return end if last is None else max(last, end), start, end, True
+
+    return _folded(cuts, ["start_us", "seg_id"], step)
 
 
 def pull_starts(cuts: DataFrame, pause_us: int = 800_000, pad_us: int = 150_000, least_us: int = 50_000) -> DataFrame:
