@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.text import char_ngrams, normalize_align
+from cutloom.operators.segment import uncovered_runs
 
 GRAM, LEAST, SHORT, LONG, RADIUS, SURE = 4, 0.25, 0.65, 2.2, 0.8, 0.5
 
@@ -104,6 +105,17 @@ def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
     return found.withColumn("reason", F.when(F.col("keep"), "").otherwise("repeat_discard")).drop("n")
 
 
+def summary(words: DataFrame, sentences: DataFrame, found: DataFrame) -> DataFrame:
+    """A1: found, as align() gives it -> for each asset and item with a match: sentences, matched, unmatched and repeated ones,
+    the match rate to 4 decimals, and the asset's runs of words outside all matches."""
+    m = found.groupBy("asset_id", "item_id", "sent_id").agg(F.count("*").alias("n"))
+    m = m.groupBy("asset_id", "item_id").agg(F.count("*").alias("matched"), F.count_if(F.col("n") > 1).alias("repeats"))
+    out = m.join(sentences.groupBy("item_id").agg(F.count("*").alias("sentences")), "item_id")
+    left = uncovered_runs(words, found).groupBy("asset_id").agg(F.count("*").alias("adlibs"))
+    out = out.join(left, "asset_id", "left").withColumn("adlibs", F.coalesce("adlibs", F.lit(0)))
+    return out.withColumns({"unmatched": F.col("sentences") - F.col("matched"), "match_rate": F.round(F.col("matched") / F.col("sentences"), 4)})
+
+
 def _candidates(s: DataFrame, t: DataFrame) -> DataFrame:
     """Sentences and assets that may match: asset_id, item_id, sent_id.
 

@@ -423,12 +423,20 @@ def j17_absent_sentences(spark, sf_dir):
     s = D.sentences(spark, sf_dir).select("item_id", F.col("text").alias("sentence")).distinct()
     texts = D.read(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")
     # A sentence ends in one mark and holds no other, so it lies at the end of a piece of the text cut after marks.
-    cut = texts.select(F.explode(F.split(F.regexp_replace("text", r"([.!?])", "$1\u0001"), "\u0001")).alias("p"))
-    ends = s.withColumns({"key": F.expr("right(sentence, 4)"), "n": F.length("sentence")})
-    pieces = cut.filter(F.length("p") >= 4).select("p", F.expr("right(p, 4)").alias("key")).distinct()
-    whole = ends.filter(F.col("sentence").rlike(r"[.!?]$")).join(pieces, "key").filter(F.expr("endswith(p, sentence)")).select("item_id", "sentence")
-    # Sentences without a mark at their end may stand anywhere in a piece; there are few, one an item at most.
-    open_ended = ends.filter(~F.col("sentence").rlike(r"[.!?]$"))
-    grams = cut.filter(F.length("p") >= 4).select("p", F.explode(F.array_distinct(T.char_ngrams(F.col("p"), 4))).alias("key"))
-    inside = open_ended.drop("key").withColumn("key", F.substring("sentence", 1, 4)).join(grams, "key").filter(F.contains("p", F.col("sentence"))).select("item_id", "sentence")
+    cut = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"([.!?])", "$1\u0001"), "\u0001")).alias("pos", "p")).filter(F.length("p") >= 4)
+    closed = F.col("sentence").rlike(r"[.!?]$")
+
+    def ended(least: int, most: int, n: int) -> DataFrame:
+        """Sentences of least to most characters by their last n, which few pieces share."""
+        own = s.filter(closed & F.length("sentence").between(least, most)).withColumn("key", F.expr(f"right(sentence, {n})"))
+        near = cut.select("p", F.expr(f"right(p, {n})").alias("key")).join(own.select("key").distinct(), "key", "left_semi")
+        return own.join(near, "key").filter(F.expr("endswith(p, sentence)")).select("item_id", "sentence")
+
+    whole = ended(16, 1 << 30, 16).union(ended(8, 15, 8)).union(ended(4, 7, 4))
+    # Sentences without a mark at their end may stand anywhere in a piece; there are few, one an item at most.  Only places
+    # move to be found; the pieces themselves come in for those that share a gram.
+    open_ended = s.filter(~closed).withColumn("key", F.substring("sentence", 1, 4))
+    grams = cut.select("doc_id", "pos", F.explode(F.array_distinct(T.char_ngrams(F.col("p"), 4))).alias("key")).join(open_ended.select("key").distinct(), "key", "left_semi")
+    places = open_ended.join(grams, "key").select("item_id", "sentence", "doc_id", "pos")
+    inside = places.join(cut, ["doc_id", "pos"]).filter(F.contains("p", F.col("sentence"))).select("item_id", "sentence")
     return s.join(whole.union(inside).distinct(), ["item_id", "sentence"], "left_anti")

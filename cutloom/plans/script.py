@@ -62,6 +62,13 @@ def a1_alignment_summary(spark, sf_dir):
     return out.withColumn("unmatched", F.col("sentences") - F.col("matched")).withColumn("match_rate", F.round(F.col("matched") / F.col("sentences"), 4))
 
 
+@query()
+def a1_asset_summary(spark, sf_dir):
+    """A1: sentences, matches, repeats and what is left over, by recording and script."""
+    w, s = D.words(spark, sf_dir), D.sentences(spark, sf_dir)
+    return A.summary(w, s, A.align(w, s))
+
+
 _RANGED = ",\nrw AS (SELECT *, word_idx // 60 AS range_id FROM words)"
 
 

@@ -32,6 +32,8 @@ def test_script_alignment_and_what_is_left(spark, words):
     assert got == sorted(map(tuple, GOLD["intervals"])) and len(got) == 19
     left = sorted((r.first_idx, r.last_idx, r.text.replace(" ", "")) for r in S.uncovered_runs(words, found).collect())
     assert left == sorted(map(tuple, GOLD["adlibs"])) and len(left) == 15
+    r = A.summary(words, script, found).first()
+    assert (r.sentences, r.matched, r.unmatched, r.repeats, r.adlibs, r.match_rate) == (20, 18, 2, 1, 15, 0.9)
 
 
 def test_part_audit(spark):
