@@ -13,6 +13,7 @@ from cutloom.plans import quality as Q
 from cutloom.plans.edits import _ALL_CUTS, _CUES, _OVER, _TIMELINE, EDL, _recursive, all_cuts, cues, edl
 from cutloom.plans.sql import SEGMENTS, WORDS, select
 from cutloom.plans.words import segments
+from cutloom.sources import files
 from cutloom.sources import tables as D
 
 QUERIES: dict = {}
@@ -191,3 +192,80 @@ def j21_unknown_ids(spark, sf_dir):
         F.when(k == 0, F.concat(F.lit("nation."), slug)).when(k == 1, F.concat(F.lit("region.x"), F.col("n_nationkey").cast("string"))).otherwise(F.concat(F.lit("nation."), F.col("n_nationkey").cast("string"))).alias("component"),
     )
     return C.unknown_components(used, lines)
+
+
+@query(select(WORDS, """
+SELECT asset_id, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY start_us, turn, word_idx) - 1 AS INTEGER) AS word_idx, word, start_us, end_us, conf_milli / 1000.0 AS confidence FROM words"""))
+def s2_stitched_words(spark, sf_dir):
+    """Every turn as a chunk with times of its own, put back on one timeline."""
+    w = D.words(spark, sf_dir)
+    chunk = F.concat_ws("/", "asset_id", "turn")
+    offsets = w.groupBy("asset_id", "turn").agg(F.min("start_us").alias("offset_us"))
+    manifest = offsets.select(chunk.alias("chunk"), F.col("asset_id").alias("asset"), F.col("turn").alias("seq"), "offset_us")
+    j = w.join(offsets, ["asset_id", "turn"])
+    chunks = j.select(chunk.alias("asset_id"), "word_idx", "word", (F.col("start_us") - F.col("offset_us")).alias("start_us"), (F.col("end_us") - F.col("offset_us")).alias("end_us"), (F.col("conf_milli") / F.lit(1000.0)).alias("confidence"))
+    return files.stitch(chunks, manifest)
+
+
+@query(select(SEGMENTS, """
+SELECT asset_id, start_us, end_us, CASE WHEN seg_id % 2 = 0 THEN 'full_repeat' ELSE 'stutter_restart' END AS reason, 'SD_' || seg_id AS drop_id FROM segments WHERE (seg_id * 37 % 100) / 100.0 >= 0.8"""))
+def s7_duplicate_drops(spark, sf_dir):
+    """The earlier saying of similar pairs as a drop."""
+    i = F.col("seg_id")
+    pairs = segments(spark, sf_dir).select(
+        "asset_id", i.alias("pair_id"), ((i * 37 % 100) / F.lit(100.0)).alias("similarity"), F.when(i % 2 == 0, "full_repeat").otherwise("stutter_restart").alias("dup_type"), F.struct("start_us", "end_us").alias("seg_a")
+    )
+    return files.duplicate_drops(pairs)
+
+
+def _tc(us: str) -> str:
+    ms = f"(({us} + 500) // 1000)"
+    return f"lpad(CAST({ms} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ms} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ms} // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
+
+
+_ROWS = SEGMENTS + f""",
+rw AS (SELECT asset_id, seg_id AS id, seg_id % 3 <> 0 AS keep, {_tc('start_us')} AS "start", {_tc('end_us')} AS "end", start_us / 1000000.0 AS start_s, end_us / 1000000.0 AS end_s, text, '' AS script_line, 0 AS pad_in_ms, 0 AS pad_out_ms, 'r' || seg_id AS reason, 'rule' AS decided_by, '' AS note FROM segments)"""
+
+
+def decision_rows(spark, sf_dir) -> DataFrame:
+    """Segments as standard decision rows."""
+    s = segments(spark, sf_dir).select("asset_id", "seg_id", (F.col("seg_id") % 3 != 0).alias("keep"), "start_us", "end_us", "text", F.concat(F.lit("r"), F.col("seg_id").cast("string")).alias("reason"))
+    return files.edl_rows(s)
+
+
+@query(select(_ROWS, "SELECT * FROM rw"))
+def s10_decisions_as_json(spark, sf_dir):
+    """Decision rows written as a document an asset and read back."""
+    path = D.scratch(spark, "decisions")
+    files.write_edl_json(decision_rows(spark, sf_dir), path)
+    return files.read_edl(spark, path)
+
+
+@query(select(_ROWS, """
+SELECT asset_id, CAST(id AS INTEGER) AS id, keep, "start", "end", start_s, end_s, text, reason, decided_by, round(end_s - start_s, 3) AS duration_s FROM rw"""))
+def s11_decisions_as_csv(spark, sf_dir):
+    """Decision rows written as a table of text with fixed columns and read back."""
+    path = D.scratch(spark, "decisions")
+    files.write_edl_csv(decision_rows(spark, sf_dir), path)
+    kinds = {"id": "int", "keep": "boolean", "start_s": "double", "end_s": "double", "pad_in_ms": "int", "pad_out_ms": "int", "duration_s": "double"}
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in files.EDL_COLUMNS)
+    back = spark.read.option("header", True).schema(f"asset_id long, {schema}").csv(path)
+    return back.select("asset_id", "id", "keep", "start", "end", "start_s", "end_s", "text", "reason", "decided_by", "duration_s")
+
+
+@query(select(SEGMENTS + """,
+auto AS (SELECT asset_id, CAST(sum(end_us - start_us) AS BIGINT) AS keep_us FROM segments GROUP BY 1),
+hand AS (SELECT s.asset_id, CAST(sum(s.end_us - s.start_us) AS BIGINT) AS hand_us FROM segments s LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON l.doc_id = s.asset_id + s.seg_id WHERE coalesce(l.toxic, 0) = 0 GROUP BY 1),
+src AS (SELECT asset_id, CASE WHEN asset_id % 10 <> 0 THEN max(end_us) END AS source_us FROM words GROUP BY 1)""", """
+SELECT src.asset_id, source_us, keep_us, hand_us, round(keep_us::DOUBLE / source_us, 6) AS ratio, round(hand_us::DOUBLE / source_us, 6) AS hand_ratio, round(keep_us::DOUBLE / hand_us - 1, 6) AS over_hand
+FROM src LEFT JOIN auto ON auto.asset_id = src.asset_id LEFT JOIN hand ON hand.asset_id = src.asset_id"""))
+def a4_against_manual(spark, sf_dir):
+    """A4: what is kept against the source's length, null where that is unknown, and against a cut by hand."""
+    s = segments(spark, sf_dir)
+    dur = F.col("end_us") - F.col("start_us")
+    toxic = D.read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("toxic"))
+    hand = s.join(toxic, F.col("asset_id") + F.col("seg_id") == F.col("_doc"), "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
+    source = D.words(spark, sf_dir).groupBy("asset_id").agg(F.max("end_us").alias("_end")).select("asset_id", F.when(F.col("asset_id") % 10 != 0, F.col("_end")).alias("source_us"))
+    out = source.join(s.groupBy("asset_id").agg(F.sum(dur).alias("keep_us")), "asset_id", "left").join(hand.groupBy("asset_id").agg(F.sum(dur).alias("hand_us")), "asset_id", "left")
+    share = lambda a, b: F.round(F.col(a).cast("double") / F.col(b), 6)
+    return out.select("*", share("keep_us", "source_us").alias("ratio"), share("hand_us", "source_us").alias("hand_ratio"), F.round(F.col("keep_us").cast("double") / F.col("hand_us") - 1, 6).alias("over_hand"))
