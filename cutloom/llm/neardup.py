@@ -295,7 +295,8 @@ def loose_edges(reps: DataFrame, threshold: float) -> DataFrame:
         if depth % 8 == 0:
             found = staged(found, "found")
         failed = tested.filter("not linked").select(F.col("rep").alias("_rep"), F.col("pivot").alias("_pivot"))
-        open_paths = members.join(failed, (F.col("rep") == F.col("_rep")) & (F.col("pivot") == F.col("_pivot"))).select(F.col("path").alias("_path")).distinct()
+        open_paths = members.join(failed, (F.col("rep") == F.col("_rep")) & (F.col("pivot") == F.col("_pivot"))).select(F.col("path").alias("_path"))
+        open_paths = staged(open_paths.distinct(), "open-paths")
         rest = staged(members.join(open_paths, F.col("path") == F.col("_path")).select("path", "rep", "size").filter("size > 2"), "open")
         limit = LEAF if depth < DEEP else DEEP_LEAF
         counts = _sizes(rest, limit)
