@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from cutloom.llm.common import cuts, table, tokenizer_path
 LIMIT = 4096
 CACHE = 600_000
 SPACE = "▁"
-_ODD = re.compile(r"  |^ | \Z| \n|\n |▁")
+_ODD = r"  |^ | \z| \n|\n |▁"
 
 
 class PrefixCounts:
@@ -53,8 +54,9 @@ class PrefixCounts:
         for p in self.usable:
             by_end.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {end: sorted(sizes, reverse=True) for end, sizes in by_end.items()}
-        self.plain: dict[str, int] = {}  # words of texts with single spaces, as text.replace("\n", " \n").split(" ") has them
-        self.odd: dict[str, int] = {}
+        # Words of texts with single spaces, a line end at the head of the word behind it; how many tokens, and how often met.
+        self.known, self.weight, self.met = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.odd: dict[str, int] = {}  # words of other texts
 
     def merged(self, text: str) -> list[str]:
         """Merges the best adjacent pair, the leftmost of equals, as long as one exists: for checks of short strings."""
@@ -114,35 +116,52 @@ class PrefixCounts:
             base += int(t[-1])
         return np.concatenate(parts)
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """Token counts of whole texts; null counts as empty."""
+    def _forget(self) -> None:
+        """Keeps the words met in two batches and more, half of the cache at most."""
+        often = np.flatnonzero(self.met > 1)
+        often = np.sort(often[np.argsort(-self.met[often], kind="stable")][: CACHE // 2])
+        self.known, self.weight = self.known.take(pa.array(often)), self.weight[often]
+        self.met, self.odd = np.zeros(len(often), np.int32), {}
+
+    def _word_counts(self, words: pa.Array) -> np.ndarray:
+        """Token counts of distinct words; those met for the first time get their tables."""
+        at = pc.index_in(words, value_set=self.known)
+        out = at.fill_null(0).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = at.is_null()
+            met = words.filter(new)
+            out[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(at.null_count)
+            bare = "\n" not in self.score and self.bytes  # a line end is a byte of its own, without a space sign
+            weight = [
+                self.table(SPACE + w)[-1] if w[:1] != "\n" else 1 + self.table(w[1:])[-1] if bare else self.table(w)[-1]
+                for w in met.to_numpy(zero_copy_only=False)
+            ]
+            self.known = pa.concat_arrays([self.known, met])
+            self.weight = np.concatenate([self.weight, np.array(weight, np.int64)])
+            self.met = np.concatenate([self.met, np.zeros(len(met), np.int32)])
+        self.met[out] += 1
+        return self.weight[out]
+
+    def counts(self, texts: pa.Array | list[str | None]) -> np.ndarray:
+        """Token counts of whole texts; null counts as empty.  Texts with single spaces stay in Arrow arrays down to words that
+        are met for the first time."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
         out = np.zeros(len(texts), dtype=np.int64)
-        regular, rows = [], []
-        if len(self.plain) + len(self.odd) > CACHE:
-            self.plain, self.odd = {}, {}
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _ODD.search(text):
-                for w in self.words(text):
-                    n = self.odd.get(w)
-                    if n is None:
-                        n = self.odd[w] = self.table(w)[-1]
-                    out[i] += n
-            else:
-                regular.append(text.replace("\n", " \n").split(" "))
-                rows.append(i)
-        if rows:
-            sizes = np.fromiter(map(len, regular), np.int64, len(regular))
-            coded = pa.array([w for x in regular for w in x], pa.large_string()).dictionary_encode()
-            values = coded.dictionary.to_pylist()
-            known = list(map(self.plain.get, values))
-            for k, n in enumerate(known):
+        if len(self.known) + len(self.odd) > CACHE:
+            self._forget()
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            for w in self.words(texts[i].as_py()):
+                n = self.odd.get(w)
                 if n is None:
-                    w = values[k]
-                    n = 1 + self.table(w[1:])[-1] if w[:1] == "\n" and "\n" not in self.score and self.bytes else self.table(w if w[:1] == "\n" else SPACE + w)[-1]
-                    known[k] = self.plain[w] = n
-            each = np.array(known, dtype=np.int64)[coded.indices.to_numpy()]
+                    n = self.odd[w] = self.table(w)[-1]
+                out[i] += n
+        rows = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy() > 0))
+        if len(rows):
+            lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rows)), "\n", " \n"), " ")
+            sizes = pc.list_value_length(lists).to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            each = self._word_counts(coded.dictionary)[coded.indices.to_numpy()]
             out[rows] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
         return out
 
@@ -164,7 +183,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
         counts = prefix_counts(model).counts
         for batch in batches:
             texts = batch.column("text")
-            n = [counts(texts[some].to_pylist()) for some in cuts(texts)]
+            n = [counts(texts[some]) for some in cuts(texts)]
             columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
