@@ -32,7 +32,7 @@ from cutloom.llm.common import cuts, filesystem, give_back, merged_ranges, scrat
 WINDOW = 10
 BLOCK = 118
 SAMPLE = 8
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 CUT_BYTES = 1_000_000
 #: Items, and bytes of their texts, in a block of phrases.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4_000_000
@@ -131,19 +131,21 @@ def suffix_order(text: np.ndarray, order: np.ndarray | None = None) -> np.ndarra
     """Positions in order of their suffixes; text: ints whose equal stretches are bounded by unique values; order: positions
     in order of their ints, if known.  Doubles the compared length in each round, for the suffixes still tied only."""
     n = len(text)
-    order = np.argsort(text) if order is None else order.copy()
+    kind = np.int32 if n < 1 << 31 else np.int64
+    order = (np.argsort(text) if order is None else order).astype(kind)
     new = np.ones(n, dtype=bool)
     new[1:] = text[order[1:]] != text[order[:-1]]
-    rank = np.empty(n, dtype=np.int64)  # where the ties of a suffix begin
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, dtype=kind)  # where the ties of a suffix begin
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=kind), 0))
     h = 1
     while True:
-        rows = np.flatnonzero(~(new & np.append(new[1:], True)))
+        rows = np.flatnonzero(~(new & np.append(new[1:], True))).astype(kind)
         if not len(rows):
             return order
         tied = order[rows]
-        after = np.where(tied + h < n, rank[np.minimum(tied + h, n - 1)], -1)
-        both = rank[tied] * (n + 1) + after + 1
+        both = rank[tied].astype(np.int64) * (n + 1)
+        inside = tied < n - h
+        both[inside] += rank[tied[inside] + h] + 1
         at = np.argsort(both)
         order[rows], both = tied[at], both[at]
         new[rows] = np.concatenate([[True], both[1:] != both[:-1]])
@@ -175,9 +177,10 @@ class FmIndex:
 
     def __init__(self, text: np.ndarray, symbols: int, sample: int = SAMPLE, order: np.ndarray | None = None):
         ends = np.flatnonzero(text == 0)
-        told = text.astype(np.int64) + len(ends)
+        told = text.astype(np.int32) + np.int32(len(ends))
         told[ends] = np.arange(len(ends))
         order = suffix_order(told, order)
+        del told
         self.n = len(text)
         bwt = text[order - 1].astype(np.int32)  # the last symbol is 0, and so is the one before position 0
         # Sampled suffix positions: every sample-th, and each block's first (no walk leaves its block).
@@ -254,6 +257,7 @@ class Shard:
 
     def build(self, block: int = BLOCK, overlap: int = WINDOW - 1) -> None:
         self.key, self.second = (np.concatenate([p[k] for p in self.parts]) for k in range(2))
+        self.parts = []
         n = np.concatenate(self.n_words)
         self.first = np.concatenate([[0], np.cumsum(n)])
         # Blocks of a text: each has its own words, those of the next one that a window may reach, and an end.
@@ -261,21 +265,24 @@ class Shard:
         number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = np.repeat(self.first[:-1], blocks) + number * block
         size = np.minimum(np.repeat(self.first[1:], blocks) - begin, block + overlap) + 1
-        self.word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)  # the number of each place's word
+        # The number of each place's word.
+        self.word = np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size - begin).astype(np.int32), size)
         ends = np.cumsum(size) - 1
         self.word[ends] = 0
         inside = np.ones(len(self.word), dtype=bool)
         inside[ends] = False
-        places = np.flatnonzero(inside)
+        places = np.flatnonzero(inside).astype(np.int32)
         words = _words(self.key, self.second)[self.word[places]]
         at = np.argsort(words)
-        words = words[at]
+        words, places = words[at], places[at]
+        del at, inside
         new = np.ones(len(words), dtype=bool)
         new[1:] = words[1:] != words[:-1]
-        text = np.zeros(len(self.word), dtype=np.int64)
-        text[places[at]] = np.cumsum(new)
         self.alphabet = words[new]
-        self.index = FmIndex(text, len(self.alphabet), order=np.concatenate([ends, places[at]])) if len(text) else None
+        del words
+        text = np.zeros(len(self.word), dtype=np.int32)
+        text[places] = np.cumsum(new)
+        self.index = FmIndex(text, len(self.alphabet), order=np.concatenate([ends.astype(np.int32), places])) if len(text) else None
 
     def hits(self, p: Phrases):
         """document, first word, end word, window of every occurrence."""
@@ -288,7 +295,7 @@ class Shard:
         row, low, high = self.index.search(symbol[p.windows[there]])
         count = high - low
         place = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        start, window = self.word[self.index.locate(place)], np.repeat(there[row], count)
+        start, window = self.word[self.index.locate(place)].astype(np.int64), np.repeat(there[row], count)
         same = np.ones(len(start), dtype=bool)
         for k in range(p.windows.shape[1]):
             number = p.windows[window, k] - 1
