@@ -8,7 +8,8 @@
 3. In a node every class is compared with the node's smallest one, by sketches, with a margin below the threshold.  If
    all match, the node is one loose component and ends.  Else small nodes are compared exhaustively, and large ones,
    unless other links already connect all their classes, branch again.  The work is linear in the rows of a node, and no pairs within a large node are emitted.
-4. Loose components are confirmed on full shingle sets, rebuilt from whole texts: small ones in one task each, large
+4. Large loose components are told apart once more by trees over sketches of LONG tokens, whose margin is a third as wide.
+5. Loose components are confirmed on full shingle sets, rebuilt from whole texts: small ones in one task each, large
    ones in blocks that share pivots; classes that pivots don't reach are compared with all blocks.
 """
 
@@ -36,6 +37,8 @@ RECALL = 0.9999
 LEAF, DEEP_LEAF, DEEP = 2048, 4096, 6
 #: Standard deviations of the sketches' estimate below the threshold that still count as a loose match.
 MARGIN = 4.7
+#: Tokens of the sketches that tell large loose components apart once more.
+LONG = 1024
 #: Loose components with more shingles or classes are confirmed in blocks of about so many, which share so many pivots.
 BLOCK_SHINGLES, BLOCK_CLASSES, PIVOTS = 500_000, 2048, 8
 
@@ -89,15 +92,12 @@ def shingles(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def _factors() -> np.ndarray:
-    return _mix(np.arange(1, SIZE + 1, dtype=np.uint64) * _U(_PRIME)) | _U(1)
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """SIZE minwise tokens of 16 bits of a non-empty set."""
-    a, low = _factors(), None
-    for i in range(0, len(s), 512):
-        m = (s[i : i + 512, None] * a).min(axis=0)
+def sketch(s: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """size minwise tokens of 16 bits of a non-empty set."""
+    a, low = _mix(np.arange(1, size + 1, dtype=np.uint64) * _U(_PRIME)) | _U(1), None
+    step = 512 * SIZE // size
+    for i in range(0, len(s), step):
+        m = (s[i : i + step, None] * a).min(axis=0)
         low = m if low is None else np.minimum(low, m)
     return (_mix(low) >> _U(48)).astype(np.uint16)
 
@@ -135,7 +135,7 @@ def _children(path: np.ndarray, sketches: np.ndarray, row: np.ndarray, threshold
     second = _mix(path + _U(11)).astype(np.float64) / 2**64 < 1 / threshold - 1
     for salt, some in ((1, np.ones(len(path), dtype=bool)), (2, second)):
         p, r = path[some], row[some]
-        at = _mix(p * _U(3) + _U(salt)) % _U(SIZE)
+        at = _mix(p * _U(3) + _U(salt)) % _U(sketches.shape[1])
         token = sketches[r, at.astype(np.int64)].astype(np.uint64)
         out_path.append(_mix(p ^ _mix((at << _U(16)) + token + _U(salt << 40))))
         out_row.append(r)
@@ -143,7 +143,7 @@ def _children(path: np.ndarray, sketches: np.ndarray, row: np.ndarray, threshold
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, SIZE)
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
 def _first_paths(threshold: float, levels: int = 2):
@@ -175,9 +175,9 @@ def _next_paths(threshold: float):
     return run
 
 
-def loose(threshold: float) -> int:
+def loose(threshold: float, size: int = SIZE) -> int:
     """Equal tokens of two sketches that count as a loose match."""
-    return int(SIZE * threshold - MARGIN * (SIZE * threshold * (1 - threshold)) ** 0.5)
+    return int(size * threshold - MARGIN * (size * threshold * (1 - threshold)) ** 0.5)
 
 
 def _matches(least: int):
@@ -276,9 +276,10 @@ def _sizes(rows: DataFrame, limit: int):
     return rows.agg(F.count_if(F.col("size") <= limit).alias("small"), F.count_if(F.col("size") > limit).alias("large")).first()
 
 
-def loose_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """reps(rep, sketch) -> edges(u, v) whose components hold all pairs at the threshold (with the trees' recall)."""
-    least = loose(threshold)
+def loose_edges(reps: DataFrame, threshold: float, size: int = SIZE) -> DataFrame:
+    """reps(rep, sketch of size tokens) -> edges(u, v) whose components hold all pairs at the threshold (with the trees'
+    recall)."""
+    least = loose(threshold, size)
     paths = staged(reps.select("rep", "sketch").mapInPandas(_first_paths(threshold), "path long, rep long"), "paths")
     found = None
     # Every level draws new coordinates, so unlike classes part sooner or later and the loop ends.
@@ -298,7 +299,8 @@ def loose_edges(reps: DataFrame, threshold: float) -> DataFrame:
         open_paths = members.join(failed, (F.col("rep") == F.col("_rep")) & (F.col("pivot") == F.col("_pivot"))).select(F.col("path").alias("_path"))
         open_paths = staged(open_paths.distinct(), "open-paths")
         rest = staged(members.join(open_paths, F.col("path") == F.col("_path")).select("path", "rep", "size").filter("size > 2"), "open")
-        limit = LEAF if depth < DEEP else DEEP_LEAF
+        # Far down, where little parts any more, larger and larger nodes are compared exhaustively.
+        limit = LEAF if depth < DEEP else DEEP_LEAF << max(0, depth - 2 * DEEP) // 3
         counts = _sizes(rest, limit)
         if counts.large:  # large nodes whose classes other links already connect need no more work
             labels = components(found).withColumnRenamed("node", "_node")
@@ -358,6 +360,36 @@ def _confirm(share: tuple[int, int], size: int):
     return _linking(link, ["component", "block", "chunk"])
 
 
+def _long_sketches(shingle: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in cuts(batch.column("text")):
+                texts = batch.column("text")[some].cast(pa.binary()).to_pylist()
+                sketches = pa.array([sketch(shingles(t, shingle), size).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("rep")[some], sketches], names=["rep", "sketch"])
+        give_back()
+
+    return run
+
+
+def _blocks_of(labelled: DataFrame) -> DataFrame:
+    """Adds blocks: in how many each component of labelled(rep, n, component) is confirmed."""
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int")
+    weights = labelled.groupBy("component").agg(blocks.alias("blocks")).select(F.col("component").alias("_component"), "blocks")
+    return labelled.join(weights, F.col("component") == F.col("_component")).drop("_component")
+
+
+def _refined(docs: DataFrame, labelled: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """labelled(rep, n, component, blocks) with components of several blocks told apart anew, by trees over sketches of LONG
+    tokens: what only likeness below the threshold has chained together parts there, without comparing all of it."""
+    large = labelled.filter("blocks > 1")
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    sub = large.join(texts, F.col("rep") == F.col("_doc")).select("rep", "text").mapInArrow(_long_sketches(shingle, LONG), "rep long, sketch binary")
+    found = components(loose_edges(staged(sub, "long-sketches"), threshold, LONG))
+    parts = large.select("rep", "n").join(found.select(F.col("node").alias("_node"), "component"), F.col("rep") == F.col("_node")).drop("_node")
+    return labelled.filter("blocks = 1").unionByName(_blocks_of(parts))
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     keys = ["component", "block", "chunk"]
     return rows.select(*keys, "rep", "label", "query", "text").repartition(*keys).sortWithinPartitions(*keys, "rep")
@@ -366,9 +398,10 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def exact_components(docs: DataFrame, reps: DataFrame, loose_labels: DataFrame, share: tuple[int, int], size: int) -> DataFrame:
     """node, component over links confirmed on full sets, within loose components(node, component)."""
     labelled = reps.select("rep", "n").join(loose_labels.withColumnRenamed("node", "_node"), F.col("rep") == F.col("_node")).drop("_node")
-    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int")
-    weights = labelled.groupBy("component").agg(blocks.alias("blocks")).select(F.col("component").alias("_component"), "blocks")
-    labelled = labelled.join(weights, F.col("component") == F.col("_component")).select("rep", "component", "blocks")
+    labelled = staged(_blocks_of(labelled), "labelled")
+    if not labelled.filter("blocks > 1").isEmpty():
+        labelled = _refined(docs, labelled, share[0] / share[1], size)
+    labelled = labelled.select("rep", "component", "blocks")
     texts = docs.select(F.col("doc_id").alias("_doc"), "text")
     rows = staged(labelled.join(texts, F.col("rep") == F.col("_doc")).drop("_doc").withColumn("key", F.xxhash64("rep")), "confirm")
     own = rows.withColumn("block", F.pmod("key", F.col("blocks")).cast("int"))
