@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,18 +54,22 @@ def distinct_drops(edl: DataFrame) -> DataFrame:
 def _folded(cuts: DataFrame, order: list[str], step) -> DataFrame:
     """Runs last, start, end, stays = step(last, start, end) over an asset's cuts in order, once each; last is None at first."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, rows = pdf.sort_values(order), None, []
-        for seg_id, start, end in zip(*(pdf[c].tolist() for c in ("seg_id", "start_us", "end_us"))):
-            last, start, end, stays = step(last, start, end)
-            if stays:
-                rows.append((seg_id, start, end))
-        out = pd.DataFrame(rows, columns=["seg_id", "start_us", "end_us"])
-        out.insert(0, "asset_id", pdf["asset_id"].iloc[0])
-        return out
-
     fields = "asset_id long, seg_id int, start_us long, end_us long"
-    return cuts.select("asset_id", "seg_id", "start_us", "end_us").groupBy("asset_id").applyInPandas(run, fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asset = last = None
+        for batch in batches:
+            rows = []
+            for own, seg_id, start, end in zip(*(batch[c].tolist() for c in ("asset_id", "seg_id", "start_us", "end_us"))):
+                if own != asset:
+                    asset, last = own, None
+                last, start, end, stays = step(last, start, end)
+                if stays:
+                    rows.append((own, seg_id, start, end))
+            yield pd.DataFrame(rows, columns=["asset_id", "seg_id", "start_us", "end_us"])
+
+    dealt = cuts.select("asset_id", "seg_id", "start_us", "end_us").repartition("asset_id")
+    return dealt.sortWithinPartitions("asset_id", *order).mapInPandas(run, fields)
 
 
 def fix_overlaps(cuts: DataFrame, gap_us: int = 1_000, least_us: int = 50_000) -> DataFrame:
