@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cutloom.llm.binary_ids import op5_binary_ids
 from cutloom.llm.decontaminate import OP3_SQL, op3_decontamination
+from cutloom.llm.exact_topk import OP12_SQL, op12_exact_topk
 from cutloom.llm.language import op7_language
 from cutloom.llm.media import op10_media
 from cutloom.llm.neardup import op9_neardup
@@ -11,6 +12,7 @@ from cutloom.llm.packing import op1_packing
 from cutloom.llm.quality import op4_quality
 from cutloom.llm.token_counts import op8_token_counts
 from cutloom.llm.toolcalls import op6_toolcalls
+from cutloom.llm.vector_codes import OP11_SQL, op11_vector_codes
 from cutloom.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_neardup": op9_neardup,
     "op10_media": op10_media,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_exact_topk": op12_exact_topk,
 }
 #: All pairs that share a shingle, and whatever they reach.
 OP9_SQL = r"""
@@ -41,4 +45,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN k ON k.x = d.doc_id
 """
 
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_neardup": OP9_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_neardup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_exact_topk": OP12_SQL}
