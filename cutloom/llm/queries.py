@@ -10,6 +10,7 @@ from cutloom.llm.media import op10_media
 from cutloom.llm.neardup import op9_neardup
 from cutloom.llm.packing import op1_packing
 from cutloom.llm.quality import op4_quality
+from cutloom.llm.spelling import OP13_SQL, op13_spelling
 from cutloom.llm.token_counts import op8_token_counts
 from cutloom.llm.toolcalls import op6_toolcalls
 from cutloom.llm.vector_codes import OP11_SQL, op11_vector_codes
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_media": op10_media,
     "op11_vector_codes": op11_vector_codes,
     "op12_exact_topk": op12_exact_topk,
+    "op13_spelling": op13_spelling,
 }
 #: All pairs that share a shingle, and whatever they reach.
 OP9_SQL = r"""
@@ -45,4 +47,11 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN k ON k.x = d.doc_id
 """
 
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_decontamination": OP3_SQL, "op9_neardup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_exact_topk": OP12_SQL}
+ORACLE_SQL = {
+    "op2_warc": OP2_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op9_neardup": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_exact_topk": OP12_SQL,
+    "op13_spelling": OP13_SQL,
+}
