@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +115,7 @@ def letter_groups(words: DataFrame, groups: int = GROUPS) -> dict[int, int]:
 
 def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words one after the other, and the lengths of the words."""
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4"), np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), np.fromiter(map(len, words), np.int64, len(words))
 
 
 def vectors(words: list[str], groups: dict[int, int], n: int = GROUPS) -> np.ndarray:
@@ -233,9 +232,9 @@ class Top:
         return group[np.argsort(row)]
 
 
-def _prefixes(batches: Iterator[pd.DataFrame], groups: dict[int, int], n: int) -> Iterator[pd.DataFrame]:
+def _prefixes(batches: Iterator[pa.RecordBatch], groups: dict[int, int], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = vectors(batch["word"].tolist(), groups, n)
+        rows = vectors(batch.column("word").to_pylist(), groups, n)
         rows = rows[np.lexsort(rows.T[::-1])]
         changed = np.zeros(len(rows), dtype=bool)
         changed[:1] = True
@@ -244,12 +243,12 @@ def _prefixes(batches: Iterator[pd.DataFrame], groups: dict[int, int], n: int) -
             changed[1:] |= rows[1:, level] != rows[:-1, level]
             begin = np.flatnonzero(changed)
             out += zip([",".join(map(str, r)) for r in rows[begin, : level + 1].tolist()], np.diff(np.append(begin, len(rows))).tolist())
-        yield pd.DataFrame(out, columns=["prefix", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["prefix", "n"])
 
 
 def top(words: DataFrame, groups: dict[int, int], leaf: int = LEAF, n: int = GROUPS) -> Top:
     """The nodes over leaf words, counted over all words."""
-    counted = words.select("word").mapInPandas(lambda b: _prefixes(b, groups, n), "prefix string, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    counted = words.select("word").mapInArrow(lambda b: _prefixes(b, groups, n), "prefix string, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
     big = counted.filter(F.col("n") > leaf).collect()  # n * words / leaf nodes at most
     return Top({tuple(map(int, r.prefix.split(","))) if r.prefix else (): r.n for r in big}, leaf)
 
@@ -298,10 +297,12 @@ class Verifier:
 _NEAR = "word string, n_near long, best_n long, best string"
 
 
-def _near_in_group(pdf: pd.DataFrame, groups: dict[int, int], n: int) -> pd.DataFrame:
+def _near_in_group(table: pa.Table, groups: dict[int, int], n: int) -> pa.Table:
     """Near words of all words of a group among the group's own ones."""
-    pdf = pdf.sort_values("word", key=lambda s: s.map(lambda w: w.encode("utf-32-be", "surrogatepass")))  # code-point order
-    words, times, own = pdf["word"].tolist(), pdf["n"].to_numpy(), np.flatnonzero(pdf["own"].to_numpy())
+    words = table["word"].to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)  # by code points
+    words = [words[i] for i in order]
+    times, own = table["n"].to_numpy()[order], np.flatnonzero(table["own"].to_numpy()[order])
     rows, check = vectors(words, groups, n), Verifier(words)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for query, at in Trie(rows[own]).near(rows):
@@ -313,7 +314,10 @@ def _near_in_group(pdf: pd.DataFrame, groups: dict[int, int], n: int) -> pd.Data
     begin = np.flatnonzero(np.diff(query, prepend=-1))
     best = near[begin]
     give_back()
-    return pd.DataFrame({"word": [words[q] for q in query[begin]], "n_near": np.diff(np.append(begin, len(query))), "best_n": times[best], "best": [words[b] for b in best]})
+    return pa.table({
+        "word": pa.array([words[q] for q in query[begin]], pa.string()), "n_near": np.diff(np.append(begin, len(query))),
+        "best_n": times[best], "best": pa.array([words[b] for b in best], pa.string()),
+    })
 
 
 def near_words(words: DataFrame, leaf: int = LEAF, groups: int = GROUPS) -> DataFrame:
@@ -322,16 +326,16 @@ def near_words(words: DataFrame, leaf: int = LEAF, groups: int = GROUPS) -> Data
     letters = letter_groups(words, groups)
     spread = top(words, letters, leaf, groups)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = vectors(batch["word"].tolist(), letters, groups)
-            salt = batch["word"].map(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass"))).to_numpy(dtype=np.int64)
+            text = batch.column("word").to_pylist()
+            rows, salt = vectors(text, letters, groups), np.array([zlib.crc32(w.encode()) for w in text], dtype=np.int64)
             home = spread.homes(rows, salt)
             row, group = spread.groups(rows, salt, 1)
-            yield pd.DataFrame({"group": group, "word": batch["word"].to_numpy()[row], "n": batch["n"].to_numpy()[row], "own": group == home[row]})
+            yield pa.RecordBatch.from_arrays([pa.array(group), *(c.take(pa.array(row)) for c in batch.columns), pa.array(group == home[row])], names=["group", "word", "n", "own"])
 
-    sent = words.select("word", "n").mapInPandas(send, "group long, word string, n long, own boolean")
-    found = sent.groupBy("group").applyInPandas(lambda pdf: _near_in_group(pdf, letters, groups), _NEAR)
+    sent = words.select("word", "n").mapInArrow(send, "group long, word string, n long, own boolean")
+    found = sent.groupBy("group").applyInArrow(lambda table: _near_in_group(table, letters, groups), _NEAR)
     found = found.unionByName(words.select("word", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("long").alias("best_n"), F.lit(None).cast("string").alias("best")))
     best = F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("m"), "best"))
     out = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(best).alias("b"))

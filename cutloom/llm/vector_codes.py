@@ -138,23 +138,25 @@ def _moved(rows: DataFrame, size: int, books: np.ndarray) -> np.ndarray:
 
 def encode(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     """Adds code (binary, a byte for each part, two if a codebook has more than 256 entries) and error (the squared
-    distance of the integers to their entries) to the rows that can be coded, in place of embedding; the others go."""
+    distance of the integers to their entries) to the rows that can be coded, in place of embedding; the others go, as do
+    columns of these names."""
     parts, n, width = books.shape
     rows, size = usable(vectors, parts)
     kind = np.uint8 if n <= 256 else np.dtype("<u2")
-    others = [c for c in vectors.columns if c != "embedding"]
+    others = [c for c in vectors.columns if c not in ("embedding", "_code", "_error")]
     rows = rows if size == parts * width and n else rows.limit(0)
+    # Names of their own, as mapInArrow can't take a dot in a name.
+    rows = rows.select("embedding", *[F.col(f"`{c}`") for c in others]).toDF("embedding", *[f"c{i}" for i in range(len(others))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = [Slices(b) for b in books]
         for batch, x in _chunks(batches, size):
             entry, distance = _nearest(slices, x)
             codes = pa.array([r.tobytes() for r in entry.astype(kind)], pa.binary())
-            columns = [c for name, c in zip(batch.schema.names, batch.columns) if name != "embedding"]
-            yield pa.RecordBatch.from_arrays([*columns, codes, pa.array(distance.sum(axis=1))], names=[*others, "_code", "_error"])
+            columns = [*batch.columns[1:], codes, pa.array(distance.sum(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "_code", "_error"])
 
-    schema = rows.drop("embedding").schema.add("_code", "binary").add("_error", "long")
-    return rows.select(*[F.col(f"`{c}`") for c in others], "embedding").mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.drop("embedding").schema.add("_code", "binary").add("_error", "long")).toDF(*others, "_code", "_error")
 
 
 def decode(codes: DataFrame, books: np.ndarray, column: str = "_code") -> DataFrame:
