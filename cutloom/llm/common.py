@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_names(df: DataFrame) -> list[str]:
+    """Names for the columns of df that can't clash or hold a dot, which Spark's Arrow and pandas functions can't take."""
+    return [f"_c{i}" for i in range(len(df.columns))]
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id as decimal text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -113,17 +118,3 @@ def cuts(texts, size: int = 4_000_000) -> Iterator[slice]:
         stop = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield slice(begin, stop)
         begin, before = stop, int(ends[stop - 1])
-
-
-def stretches(texts: Sequence, characters: int = 4_000_000) -> Iterator[slice]:
-    """Slices of a batch with about so many characters of text each, and one text at least: bounds what a task holds."""
-    begin, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text) if isinstance(text, (str, bytes)) else 0
-        if held and held + size > characters:
-            yield slice(begin, i)
-            begin, held = i, 0
-        held += size
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-

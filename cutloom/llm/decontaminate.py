@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import cuts, filesystem, give_back, merged_ranges, scratch, table
+from cutloom.llm.common import cuts, filesystem, give_back, plain_names, merged_ranges, scratch, table
 
 WINDOW = 10
 BLOCK = 118
@@ -123,7 +123,7 @@ def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phr
     pairs = np.unique(np.stack([of.ravel(), item], axis=1), axis=0)
     return Phrases(
         word, key[at], second[at], windows, (windows > 0).sum(axis=1), np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)),
-        [str(i) for i, _ in items], pairs[:, 1],
+        [i if i is None else str(i) for i, _ in items], pairs[:, 1],
     )
 
 
@@ -327,7 +327,7 @@ def _load(path: str) -> Phrases:
 def _report(doc_ids: pa.Array, shard: Shard, blocks: list[str]) -> pa.RecordBatch:
     n = shard.n_docs
     spans: dict[int, list] = {}
-    items: dict[int, set[str]] = {}
+    items: dict[int, set[str | None]] = {}
     for block in blocks:
         p = _load(block)
         doc, first, stop, window = shard.hits(p)
@@ -339,7 +339,7 @@ def _report(doc_ids: pa.Array, shard: Shard, blocks: list[str]) -> pa.RecordBatc
     for d, s in merged.items():
         hit[d] = sum(b - a for a, b in s)
     none = hashlib.sha256(b"").hexdigest()
-    digest = [hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest() if d in items else none for d in range(n)]
+    digest = [hashlib.sha256(",".join(sorted(items[d] - {None})).encode()).hexdigest() if d in items else none for d in range(n)]
     return pa.RecordBatch.from_arrays([
         doc_ids.cast(pa.int64()), pa.array(np.concatenate(shard.n_words)), pa.array(hit),
         pa.array([len(items.get(d, ())) for d in range(n)], pa.int64()), pa.array(digest), pa.array(hit > 0),
@@ -369,7 +369,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordB
 def _blocks(benchmark: DataFrame, block_items: int) -> list[str]:
     """Files of phrases in the shared folder, each written by a task from a block of items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = items.filter(F.col("text").isNotNull())
     r = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     n = max(-(-r.n // block_items), -(-r.size // BLOCK_BYTES))
     folder = scratch(items.sparkSession, "phrases")
@@ -385,15 +385,16 @@ def _blocks(benchmark: DataFrame, block_items: int) -> list[str]:
             f.write(pickle.dumps(p))
         return pa.table({"path": [f"{folder}/{name}"]})
 
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, n))))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))))
     return sorted(r.path for r in dealt.groupBy("block").applyInArrow(write, "path string").collect())  # one path for a block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
-    spans: the merged ranges of hit words, numbered from 0.  Null and empty texts have no words; items with null ids or
-    texts are left out; an item id that stands on several rows counts once; rows are reported each for itself, other
+    spans: the merged ranges of hit words, numbered from 0.  Null and empty texts have no words; items with null
+    texts are left out; those with null ids count as one item, which the digest leaves out; an item id on several rows
+    counts once; rows are reported each for itself, other
     columns dropped; no items hit nothing.
     """
     blocks = _blocks(benchmark, block_items)
@@ -409,7 +410,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of docs without a hit word, all columns as they were; items without an id count too."""
-    blocks = _blocks(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), block_items)
+    blocks = _blocks(benchmark, block_items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, shard in _shards(batches):
@@ -423,8 +424,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
                 at += len(own)
         give_back()
 
-    own_name = "_".join(["text", *docs.columns])  # longer than any other
-    return docs.select("*", F.col("text").cast("string").alias(own_name)).mapInArrow(run, docs.schema)
+    plain = docs.select("*", F.col("text").cast("string")).toDF(*plain_names(docs), "text")
+    return plain.mapInArrow(run, plain.drop("text").schema).toDF(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from cutloom.llm.common import crc32_of_id, cuts, give_back, picked, staged, table
 
-#: Expected training documents at most, chains of TRAIN_CHAIN words taken from all of them together at most (picked by a
-#: hash), and characters of such a chain at most (longer ones are no training rows).
+#: Expected training documents at most, different chains of TRAIN_CHAIN words taken from all of them together at most (picked
+#: by a hash), and characters of such a chain at most (longer ones are cut).
 MAX_TRAIN = 1_500
 MAX_TRAIN_CHAINS = 20_000
 TRAIN_CHAIN = 64
@@ -315,9 +315,23 @@ def label(model: Crf, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     return names, best
 
 
+def training_chains(words: list[str]) -> list[str]:
+    """Chains of TRAIN_CHAIN words, in pieces of at most TRAIN_CHARS characters; longer words are cut too."""
+    out = []
+    for i in range(0, len(words), TRAIN_CHAIN):
+        chain = " ".join(words[i : i + TRAIN_CHAIN])
+        while len(chain) > TRAIN_CHARS:
+            at = chain.rfind(" ", 1, TRAIN_CHARS + 1)
+            at = at if at > 0 else TRAIN_CHARS
+            out.append(chain[:at])
+            chain = chain[at:].lstrip(" ")
+        out.append(chain)
+    return out
+
+
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_chains: int = MAX_TRAIN_CHAINS) -> Crf:
     """Fits on documents with a language whose crc32(doc_id) mod 4 is not 2: about max_train of them, and about max_chains of
-    their chains, picked by hashes, come to the driver.  Null ids, languages and texts are left out."""
+    their different chains, picked by hashes, come to the driver.  Null ids, languages and texts are left out."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_of_id(F.col("doc_id")) % 4 != 2))
     n = known.select("doc_id", "lang").count()
@@ -328,12 +342,10 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_chains: int = MAX_TRA
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                w = words_of(text)
-                chains = [" ".join(w[i : i + TRAIN_CHAIN]) for i in range(0, len(w), TRAIN_CHAIN)]
-                rows += [(lang, c) for c in chains if len(c) <= TRAIN_CHARS]
+                rows += [(lang, c) for c in training_chains(words_of(text))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows) if rows else ([], []))], names=["lang", "words"])
 
-    chains = staged(known.select("lang", "text").mapInArrow(run, "lang string, words string"), "chains")
+    chains = staged(known.select("lang", "text").mapInArrow(run, "lang string, words string").distinct(), "chains")
     n = chains.count()
     if n > max_chains:
         chains = chains.filter(F.pmod(F.xxhash64("words", "lang"), F.lit(1 << 30)) < int((1 << 30) * max_chains / n))

@@ -154,7 +154,8 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
     """Fits on labels(doc_id, quality 0/1) whose crc32(doc_id) mod 5 is not 0, about max_train of them at most.
 
-    Null labels and ids are left out; a document labelled twice counts with its larger label."""
+    Null labels and ids are left out; a document labelled twice counts with its larger label, and of rows that share an id the
+    one with the smallest hash of its text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.filter(F.col("y").isin(0, 1) & (crc32_of_id(F.col("doc_id")) % 5 != 0))
     n = known.count()
@@ -163,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     # Bounded by max_train, so it may be broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.join(F.broadcast(known), "doc_id").mapInArrow(_features_of, "doc_id long, y int, x array<float>").toPandas()
+    one = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("r"))
+    got = one.select("doc_id", "y", "r.text").mapInArrow(_features_of, "doc_id long, y int, x array<float>").toPandas()
     got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["doc_id", "key"])
     x = np.array(got["x"].tolist(), dtype=np.float32).reshape(-1, N_FEATURES)
     return fit(x, got["y"].to_numpy(dtype=np.float64))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import staged, table
+from cutloom.llm.common import plain_names, staged, table
 from cutloom.llm.vectors import matrix, usable
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
@@ -145,8 +145,8 @@ def encode(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     kind = np.uint8 if n <= 256 else np.dtype("<u2")
     others = [c for c in vectors.columns if c not in ("embedding", "_code", "_error")]
     rows = rows if size == parts * width and n else rows.limit(0)
-    # Names of their own, as mapInArrow can't take a dot in a name.
-    rows = rows.select("embedding", *[F.col(f"`{c}`") for c in others]).toDF("embedding", *[f"c{i}" for i in range(len(others))])
+    plain = rows.select(*[F.col(f"`{c}`") for c in others])
+    rows = rows.select("embedding", *[F.col(f"`{c}`") for c in others]).toDF("embedding", *plain_names(plain))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = [Slices(b) for b in books]

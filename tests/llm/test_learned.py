@@ -175,3 +175,23 @@ def test_language_query_equals_one_chain_for_each_text(spark):
         share = lang.forward_backward(e, np.ones((1, len(w)), bool), np.exp(model.transition), np.exp(model.start))[0][0].mean(axis=0)
         assert name == model.languages[int(share.argmax())] and abs(score - share.max()) < 1e-4
     assert not out
+
+
+def test_training_takes_a_bounded_number_of_rows_whatever_repeats(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, y: seen.append(len(x)))
+    docs = spark.range(20_000).selectExpr("if(id % 2 = 0, 1, id) as doc_id", "concat('text ', id) as text")
+    q.train(docs, docs.selectExpr("doc_id", "1 as quality"), max_train=300)
+    assert 0 < seen.pop() < 400
+    monkeypatch.setattr(lang, "fit", lambda rows: seen.append(rows))
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'en' as lang", "if(id % 2 = 0, 'one chain in all of them', concat('text ', translate(id, '0123456789', 'abcdefghij'))) as text")
+    lang.train(docs, max_train=5_000, max_chains=300)
+    rows = seen.pop()
+    assert 100 < len(rows) < 400 and len(rows) == len(set(rows))
+
+
+def test_training_chains_hold_all_letters():
+    words = ["ab"] * 130 + ["x" * 9001] + ["y" * 300] * 64
+    chains = lang.training_chains(words)
+    assert "".join(chains).replace(" ", "") == "".join(words) and max(map(len, chains)) <= lang.TRAIN_CHARS
+    assert lang.training_chains([]) == []

@@ -45,3 +45,14 @@ def test_rows_that_share_an_id_are_told_by_their_text(spark):
     for n in (1, 3):
         out = p.neardup_stage(spark, spark.createDataFrame(rows, schema).repartition(n), SF).collect()
         assert sorted(map(tuple, out)) == [(1, "a " * 30, "en", None, 60), (2, "own words of this one", "en", None, 3)]
+
+
+def test_columns_with_odd_names_and_types(spark):
+    schema = "doc_id long, `a.b` string, text string, _kept int, _none map<string,int>, _row string, _c0 binary, lang string, hits struct<`x.y`:int>"
+    rows = [(i, "s", t, i, {"k": i}, None, b"z", "en", (i,)) for i, t in enumerate(["plain words of a text that says a little " * 9, None, "", "plain words of a text that says a little " * 9])]
+    rows += [(0, "s", rows[0][2], 9, {"k": 1}, None, b"z", "en", None), (None, None, "x", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema and all(r in docs.collect() for r in out.collect())
+    assert sorted((r.doc_id is None, r.doc_id, r._kept) for r in p.neardup_stage(spark, docs, SF).collect()) == [(False, 0, 0), (False, 1, 1), (False, 2, 2), (True, None, None)]
