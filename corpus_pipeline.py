@@ -6,7 +6,7 @@ drops documents with hit words rather than cutting the passages out, as what is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutloom.llm import decontaminate, language, neardup, packing, quality
@@ -27,12 +27,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of several rows with its id the smallest by text and other columns,
     one without a text last."""
-    kept = neardup.near_duplicates(docs, (80, 100)).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    names = docs.columns
+    plain = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    kept = neardup.near_duplicates(docs, (80, 100)).filter("kept and doc_id is not null")
+    kept = staged(kept.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_times")), "kept")
+    same = F.col("_id").cast("long") == F.col("_kept")
     # Rows without an id can't be told apart and stay.
-    known = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    row = F.min(F.struct(F.col("text").isNull().alias("_none"), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row")
-    one = known.groupBy("doc_id").agg(row).select("doc_id", "_row.*").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    out = plain.join(kept.filter("_times = 1"), same, "left_semi").unionByName(plain.filter(F.col("_id").isNull()))
+    several = kept.filter("_times > 1")
+    if not several.isEmpty():  # only rows that share an id move a second time, the smallest of each task
+        order = Window.partitionBy("_id").orderBy(F.col("_text").isNull(), "_text", F.to_json("_row"))
+        first = plain.join(several, same, "left_semi").withColumn("_first", F.row_number().over(order))
+        out = out.unionByName(first.filter("_first = 1").drop("_first"))
+    return out.select("_row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
