@@ -1,7 +1,14 @@
 """Script alignment: where sentences of a script are said in a transcript.
 
-Sentences and transcripts meet on shared 4-grams (a match needs one); each candidate is scored in one vectorised pass over
-all starts, and peaks are kept as in non-maximum suppression.
+1. Words become blocks of letters on their recording's line of letters; no row holds a transcript.
+2. A match shares a number of 4-grams with its sentence that its lengths bound from below.  So one of the sentence's rarest
+   grams is there, all but that number of them: only places of these are looked up, each leads to the starts that can reach
+   it, and starts are dealt into bands of the line.
+3. A band is scored once for each different sentence that leads to it, in one vectorised pass over the starts whose reach
+   holds enough shared grams, with the letters around the band that peaks and windows need.
+4. Peaks that stand close have equal scores; the first of them stays, by a scan over sorted partitions.
+
+Pairs grow with the places that sentences share with transcripts: in proportion to recordings where each has its script.
 """
 
 from __future__ import annotations
@@ -10,130 +17,224 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.text import char_ngrams, normalize_align
-from cutloom.operators.segment import uncovered_runs
+from cutloom.operators.segment import running_sum, uncovered_runs
+from cutloom.sources.tables import staged
 
 GRAM, LEAST, SHORT, LONG, RADIUS, SURE = 4, 0.25, 0.65, 2.2, 0.8, 0.5
+#: Letters in a block of a line; sentences of up to 2^k letters, k at least CLASS, have bands of WIDTH * 2^k starts.
+BLOCK, CLASS, WIDTH = 512, 6, 16
+#: Starts times lengths that are scored at a time.
+CELLS = 2_000_000
 
 
-def scores(sentence: str, text: str, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The best F1 of any window that starts at each position, and where the shortest best window ends.
+def places_of(text: str, n: int = GRAM) -> dict[str, list[int]]:
+    """Where each gram of a text stands."""
+    out: dict[str, list[int]] = {}
+    for p in range(len(text) - n + 1):
+        out.setdefault(text[p : p + n], []).append(p)
+    return out
 
-    A gram counts in a window unless it stands there as often before as in the whole sentence; so each place needs only
-    the place where the gram stood that many times before."""
+
+def scores(sentence: str, text: str, n: int = GRAM, first: int = 0, stop: int | None = None, least: float = 0.0, places: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The best F1 of any window that starts at each position from first to stop, and where the shortest best window ends.
+
+    Scores below least may be given as 0.  A gram counts in a window unless it stands there as often before as in the
+    whole sentence; so each shared place needs only the place where its gram stood that many times before."""
     q, size = len(sentence), len(text)
-    best, end = np.zeros(size), np.zeros(size, dtype=np.int64)
+    stop = size if stop is None else stop
     low, high = max(n, int(q * SHORT)), int(q * LONG) + 1
+    start, lengths, total = np.arange(first, stop), high - n + 1, max(0, q - n + 1)
+    best, end = np.zeros(len(start)), np.minimum(start + low, size)
+    places = places_of(text, n) if places is None else places
     wanted: dict[str, int] = {}
     for k in range(q - n + 1):
-        g = sentence[k : k + n]
-        wanted[g] = wanted.get(g, 0) + 1
-    before = np.full(size, size, dtype=np.int64)  # size: not a gram of the sentence
-    places: dict[str, list[int]] = {}
-    for p in range(size - n + 1):
-        g = text[p : p + n]
-        if g in wanted:
-            seen = places.setdefault(g, [])
-            before[p] = seen[-wanted[g]] if len(seen) >= wanted[g] else -1
-            seen.append(p)
-    start = np.arange(size)
-    over = np.zeros(size, dtype=np.int64)
-    end[:] = np.minimum(start + low, size)
-    total = max(0, q - n + 1)
-    for length in range(n, high + 1):
-        last = size - length + 1  # starts below have a window of this length
-        if last <= 0:
-            break
-        over[:last] += before[length - n : length - n + last] < start[:last]
-        if length >= low:
-            f1 = 2.0 * over[:last] / (length - n + 1 + total)
-            better = f1 > best[:last]
-            best[:last][better], end[:last][better] = f1[better], (start[:last] + length)[better]
+        wanted[sentence[k : k + n]] = wanted.get(sentence[k : k + n], 0) + 1
+    found = []
+    for g, k in wanted.items():
+        seen = places.get(g, ())
+        found += [(p, -1 if i < k else seen[i - k]) for i, p in enumerate(seen)]
+    if not found or lengths <= 0:
+        return best, end
+    place, before = np.ascontiguousarray(np.array(sorted(found), dtype=np.int32 if 2 * size + high < 1 << 30 else np.int64).T)
+    need = max(1, int(np.ceil(least / 2 * (low - n + 1 + total) - 1e-9)))
+    begin = np.searchsorted(place, start)
+    count = np.searchsorted(place, start + lengths) - begin
+    tried = np.flatnonzero(count >= need)
+    # The shortest window that holds so many shared grams ends with one of them, or has the least length.
+    most = int(count[tried].max(initial=0))
+    place, before = (np.append(x, np.full(most, v, dtype=x.dtype)) for x, v in ((place, 2 * size + high), (before, size)))
+    start = start.astype(place.dtype)
+    for at in range(0, len(tried), step := max(1, CELLS // max(1, most))):
+        row = tried[at : at + step]
+        s, k = start[row, None], begin[row, None] + np.arange(count[row].max())
+        over = np.cumsum(before[k] < s, axis=1, dtype=place.dtype)
+        length = np.maximum(place[k] - s + n, low)
+        f1 = np.where((length <= high) & (s + length <= size), 2.0 * over / (length - n + 1 + total), 0.0)
+        top = f1.argmax(axis=1)
+        value = f1[np.arange(len(row)), top]
+        some = value > 0
+        best[row[some]], end[row[some]] = value[some], start[row[some]] + length[np.arange(len(row)), top][some]
     return best, end
 
 
-def peaks(best: np.ndarray, radius: int, least: float = LEAST) -> list[int]:
-    """Positions of at least least that no position within radius exceeds; of equals nearer than radius the first."""
+def local_maxima(best: np.ndarray, radius: int, least: float = LEAST) -> list[int]:
+    """Positions of at least least that no position within radius exceeds."""
+    return [int(i) for i in np.flatnonzero(best >= least) if best[i] >= best[max(0, i - radius) : i + radius + 1].max()]
+
+
+def first_of_close(positions: list[int], radius: int) -> list[int]:
+    """Of ascending positions nearer than radius to one that stays, only that one."""
     kept: list[int] = []
-    for i in np.flatnonzero(best >= least):
-        if best[i] >= best[max(0, i - radius) : i + radius + 1].max() and not (kept and i - kept[-1] < radius and best[kept[-1]] == best[i]):
-            kept.append(int(i))
+    for i in positions:
+        if not kept or i - kept[-1] >= radius:
+            kept.append(i)
     return kept
 
 
-_FIELDS = "asset_id long, item_id long, sent_id int, first_idx int, last_idx int, f1 double, confidence double"
+def peaks(best: np.ndarray, radius: int, least: float = LEAST) -> list[int]:
+    """Local maxima; of those nearer than radius, which are equal, the first."""
+    return first_of_close(local_maxima(best, radius, least), radius)
+
+
+def radius_of(q: Column | int):
+    return max(GRAM, int(q * RADIUS)) if isinstance(q, int) else F.greatest(F.lit(GRAM), F.floor(q * RADIUS))
+
+
+def blocks_of(words: DataFrame) -> DataFrame:
+    """words(asset_id, word_idx, word, start_us, end_us, conf_milli) -> asset_id, block, w: the words that begin in each block
+    of the line of letters, in order, with where they end on it.  Words without letters stand where the line goes on."""
+    w = words.select("asset_id", "word_idx", F.coalesce(normalize_align(F.col("word")), F.lit("")).alias("n"), F.coalesce(F.col("conf_milli") / 1000.0, F.lit(0.0)).alias("c"), "start_us", "end_us")
+    w = running_sum(w.withColumn("size", F.length("n").cast("long")), "size", "e")
+    w = w.withColumn("block", F.floor((F.col("e") - F.col("size")) / BLOCK))
+    return w.groupBy("asset_id", "block").agg(F.array_sort(F.collect_list(F.struct("word_idx", "n", "e", "c", "start_us", "end_us"))).alias("w"))
+
+
+_FOUND = pa.schema([
+    ("asset_id", pa.int64()), ("norm", pa.string()), ("p", pa.int64()), ("first_idx", pa.int32()), ("last_idx", pa.int32()),
+    ("start_us", pa.int64()), ("end_us", pa.int64()), ("f1", pa.float64()), ("confidence", pa.float64()),
+])
+_FIELDS = "asset_id long, norm string, p long, first_idx int, last_idx int, start_us long, end_us long, f1 double, confidence double"
+
+
+def _score_band(key: tuple, blocks: pa.Table, asked: pa.Table) -> pa.Table:
+    asset, size_class, band = (k.as_py() for k in key)
+    if not blocks.num_rows or not asked.num_rows:
+        return _FOUND.empty_table()
+    lines = {v[0].as_py()["word_idx"]: v for v in (x.values for x in blocks["w"])}  # a block comes once for each number it covers
+    w = pa.concat_arrays([lines[i] for i in sorted(lines)])
+    idx, ends, conf, starts_us, ends_us = (w.field(f).to_numpy() for f in ("word_idx", "e", "c", "start_us", "end_us"))
+    parts = w.field("n").to_pylist()
+    text, base = "".join(parts), int(ends[0]) - len(parts[0])
+    places, ends = places_of(text), ends - base
+    low = band * WIDTH * 2**size_class - base
+    high, low = min(low + WIDTH * 2**size_class, len(text)), max(low, 0)
+    rows = []
+    for q in asked["norm"].to_pylist():
+        r = radius_of(len(q))
+        at = max(0, low - r)
+        best, end = scores(q, text, first=at, stop=min(len(text), high + r), least=LEAST, places=places)
+        for i in local_maxima(best, r):
+            if not low <= at + i < high:
+                continue
+            a, b = (int(np.searchsorted(ends, x, side="right")) for x in (at + i, end[i] - 1))
+            final = round(best[i] * (1.0 if conf[a : b + 1].mean() >= SURE else 0.85), 4)
+            rows.append((asset, q, base + at + i, idx[a], idx[b], starts_us[a], ends_us[b], best[i], final))
+    return pa.table(dict(zip(_FOUND.names, zip(*rows))), schema=_FOUND) if rows else _FOUND.empty_table()
 
 
-def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    asset = norm = last = None
     for batch in batches:
-        rows = []
-        for asset, item, sent, q, text, ends, conf in zip(*(batch[c] for c in ("asset_id", "item_id", "sent_id", "norm", "text", "ends", "conf"))):
-            if len(q) < GRAM:
-                continue
-            best, end = scores(q, text)
-            ends, conf = np.asarray(ends), np.asarray(conf, dtype=float)
-            for p in peaks(best, max(GRAM, int(len(q) * RADIUS))):
-                a, b = (int(np.searchsorted(ends, min(x, len(text) - 1), side="right")) for x in (p, end[p] - 1))
-                weight = 1.0 if conf[a : b + 1].mean() >= SURE else 0.85
-                final = round(best[p] * weight, 4)
-                if final >= LEAST:
-                    rows.append((asset, item, sent, a, b, best[p], final))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FIELDS.split(", ")])
+        stays = []
+        for a, q, p in zip(batch["asset_id"], batch["norm"], batch["p"]):
+            if (a, q) != (asset, norm):
+                asset, norm, last = a, q, None
+            stays.append(last is None or p - last >= radius_of(len(q)))
+            last = p if stays[-1] else last
+        yield batch[np.array(stays, dtype=bool)]
 
 
 def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
-    """words(asset_id, word_idx, word, conf_milli), sentences(item_id, sent_id, text) -> matches with word
-    ranges and confidence; keep and reason: of several matches of a sentence only the latest stays.
-
-    Sentences of fewer than 4 letters match nothing.  Null words count as empty, null confidence as 0."""
-    w = words.select("asset_id", "word_idx", F.coalesce(normalize_align(F.col("word")), F.lit("")).alias("n"), F.coalesce(F.col("conf_milli") / 1000.0, F.lit(0.0)).alias("c"))
-    upto = F.sum(F.length("n")).over(Window.partitionBy("asset_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0))
-    t = w.withColumn("e", upto.cast("int")).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "n", "c", "e"))).alias("w"))
-    t = t.select("asset_id", F.array_join(F.transform("w", lambda x: x["n"]), "").alias("text"), F.transform("w", lambda x: x["e"]).alias("ends"), F.transform("w", lambda x: x["c"]).alias("conf"))
-    s = sentences.select("item_id", "sent_id", normalize_align(F.col("text")).alias("norm"))
-    candidates = _candidates(s, t).join(s, ["item_id", "sent_id"]).join(t, "asset_id")
-    found = candidates.select("asset_id", "item_id", "sent_id", "norm", "text", "ends", "conf").mapInPandas(_match, _FIELDS)
-    first = words.select("asset_id", F.col("word_idx").alias("first_idx"), "start_us")
-    last = words.select("asset_id", F.col("word_idx").alias("last_idx"), "end_us")
-    found = found.join(first, ["asset_id", "first_idx"]).join(last, ["asset_id", "last_idx"])
-    w5 = Window.partitionBy("asset_id", "item_id", "sent_id")
+    """words(asset_id, word_idx, word, start_us, end_us, conf_milli), sentences([asset_id,] [item_id,] sent_id,
+    text) -> matches with word ranges and confidence; keep and reason: of several matches of a sentence only the latest stays.
+
+    Sentences with an asset_id are looked for in this recording only, others in all.  Sentences of fewer than 4 letters match
+    nothing.  Null words count as empty, null confidence as 0; an equal sentence is scored once and counts each time."""
+    own = ["asset_id"] if "asset_id" in sentences.columns else []
+    ids = ["asset_id", *[c for c in ("item_id", "sent_id") if c in sentences.columns]]
+    s = sentences.select(*own, *ids[1:], normalize_align(F.col("text")).alias("norm")).filter(F.length("norm") >= GRAM)
+    blocks = staged(blocks_of(words), "blocks")
+    bands = staged(_bands(s.select(*own, "norm").distinct(), blocks, own), "bands")
+    wide = F.lit(WIDTH) * F.expr("shiftleft(1L, size_class)")
+    touched = F.sequence(F.floor((F.col("band") - 1 / WIDTH) * wide / BLOCK), F.floor((F.col("band") + 1 + 4 / WIDTH) * wide / BLOCK))
+    # The word in which a band's letters begin may begin in a block ahead of them.
+    around = bands.select("asset_id", "size_class", "band").distinct().withColumn("block", F.explode(touched))
+    lines = around.join(_filled(blocks), ["asset_id", "block"]).select("asset_id", "size_class", "band", "block", "w")
+    lines = lines.toDF("asset", "class", "of_band", "block", "w")  # names of their own, as both sides come from bands
+    asked = bands.groupBy("asset_id", "size_class", "band")
+    found = lines.groupBy("asset", "class", "of_band").cogroup(asked).applyInArrow(_score_band, _FIELDS)
+    found = found.repartition("asset_id", "norm").sortWithinPartitions("asset_id", "norm", "p").mapInPandas(_first_peaks, _FIELDS)
+    found = found.filter(F.col("confidence") >= LEAST).join(s, [*own, "norm"]).select(*ids, "first_idx", "last_idx", "start_us", "end_us", "f1", "confidence")
+    w5 = Window.partitionBy(*ids)
     late = F.row_number().over(w5.orderBy(F.desc("start_us"), F.desc("end_us")))
-    found = found.withColumns({"interval_idx": F.row_number().over(w5.orderBy("start_us", "end_us")) - 1, "keep": late == 1, "n": F.count("*").over(w5)})
-    return found.withColumn("reason", F.when(F.col("keep"), "").otherwise("repeat_discard")).drop("n")
+    found = found.withColumns({"interval_idx": F.row_number().over(w5.orderBy("start_us", "end_us")) - 1, "keep": late == 1})
+    return found.withColumn("reason", F.when(F.col("keep"), "").otherwise("repeat_discard"))
 
 
 def summary(words: DataFrame, sentences: DataFrame, found: DataFrame) -> DataFrame:
-    """A1: found, as align() gives it -> for each asset and item with a match: sentences, matched, unmatched and repeated ones,
-    the match rate to 4 decimals, and the asset's runs of words outside all matches."""
-    m = found.groupBy("asset_id", "item_id", "sent_id").agg(F.count("*").alias("n"))
-    m = m.groupBy("asset_id", "item_id").agg(F.count("*").alias("matched"), F.count_if(F.col("n") > 1).alias("repeats"))
-    out = m.join(sentences.groupBy("item_id").agg(F.count("*").alias("sentences")), "item_id")
+    """A1: found, as align() gives it -> for each asset (and item, where sentences have items) with a match: sentences, matched,
+    unmatched and repeated ones, the match rate to 4 decimals, and the asset's runs of words outside all matches."""
+    script = [c for c in ("asset_id", "item_id") if c in sentences.columns]
+    keys = ["asset_id", *[c for c in script if c != "asset_id"]]
+    m = found.groupBy(*keys, "sent_id").agg(F.count("*").alias("n"))
+    m = m.groupBy(*keys).agg(F.count("*").alias("matched"), F.count_if(F.col("n") > 1).alias("repeats"))
+    out = m.join(sentences.groupBy(*script).agg(F.count("*").alias("sentences")), script)
     left = uncovered_runs(words, found).groupBy("asset_id").agg(F.count("*").alias("adlibs"))
     out = out.join(left, "asset_id", "left").withColumn("adlibs", F.coalesce("adlibs", F.lit(0)))
     return out.withColumns({"unmatched": F.col("sentences") - F.col("matched"), "match_rate": F.round(F.col("matched") / F.col("sentences"), 4)})
 
 
-def _candidates(s: DataFrame, t: DataFrame) -> DataFrame:
-    """Sentences and assets that may match: asset_id, item_id, sent_id.
+def _grams(blocks: DataFrame) -> DataFrame:
+    """asset_id, g (hash), p: every gram of every line by its place; a block's last grams go on in the blocks behind."""
+    text = F.array_join(F.transform("w", lambda x: x["n"]), "")
+    t = blocks.select("asset_id", "block", F.get("w", F.lit(0)).alias("f"), text.alias("text"))
+    t = t.select("asset_id", "block", (F.col("f.e") - F.length("f.n")).alias("at"), "text")
+    order = Window.partitionBy("asset_id").orderBy("block")
+    # A block's letters are one row, and only ends shorter than a gram need more than the next one.
+    behind = F.concat(*[F.coalesce(F.lead(F.left("text", F.lit(GRAM)), k).over(order), F.lit("")) for k in range(1, GRAM)])
+    t = t.select("asset_id", "at", F.length("text").alias("own"), F.concat("text", F.left(behind, F.lit(GRAM - 1))).alias("text"))
+    g = t.select("asset_id", "at", F.posexplode(char_ngrams(F.col("text"), GRAM)).alias("i", "g"))
+    return g.select("asset_id", F.xxhash64("g").alias("g"), (F.col("at") + F.col("i")).alias("p"))
+
+
+def _bands(s: DataFrame, blocks: DataFrame, own: list[str]) -> DataFrame:
+    """asset_id, size_class, band, norm: the bands of starts whose windows may match each sentence.
 
     A window of a sentence of q grams has short of them at least, so a score of LEAST takes need grams of the sentence, each
-    as often as the sentence holds it.  So one of the sentence's rarest grams is there, all but need - 1 of them: only these
-    are looked up, which leaves frequent grams aside, and then all shared grams are counted."""
-    q = s.select("item_id", "sent_id", F.length("norm").alias("q"), F.explode(char_ngrams(F.col("norm"), GRAM)).alias("g")).groupBy("item_id", "sent_id", "q", "g").agg(F.count("*").alias("times"))
+    as often as the sentence holds it; equal hashes of grams only add bands."""
+    q = s.select(*own, "norm", F.length("norm").alias("q"), F.explode(char_ngrams(F.col("norm"), GRAM)).alias("g")).withColumn("g", F.xxhash64("g"))
+    q = q.groupBy(*own, "norm", "q", "g").agg(F.count("*").alias("times"))
     short = F.greatest(F.lit(GRAM), F.floor(F.col("q") * SHORT)) - (GRAM - 1)
     q = q.withColumn("need", F.ceil((LEAST - 0.0001) / 2 * (short + F.col("q") - (GRAM - 1)) - 1e-9))
-    said = t.select("asset_id", F.explode(F.array_distinct(char_ngrams(F.col("text"), GRAM))).alias("g"))
-    said = said.join(q.select("g").distinct(), "g", "left_semi")
-    spread = said.groupBy("g").agg(F.count("*").alias("assets"))
-    rare = Window.partitionBy("item_id", "sent_id").orderBy("assets", "g")
-    q = q.join(spread, "g")
-    whole = Window.partitionBy("item_id", "sent_id")
-    q = q.withColumns({"before": F.coalesce(F.sum("times").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "there": F.sum("times").over(whole)})
-    first = q.filter(F.col("before") <= F.col("there") - F.col("need")).select("item_id", "sent_id", "g")
-    pairs = first.join(said, "g").select("asset_id", "item_id", "sent_id").distinct()
-    counted = pairs.join(q.select("item_id", "sent_id", "g", "times", "need"), ["item_id", "sent_id"]).join(said, ["asset_id", "g"])
-    enough = counted.groupBy("asset_id", "item_id", "sent_id").agg(F.sum("times").alias("shared"), F.max("need").alias("need")).filter("shared >= need")
-    return enough.select("asset_id", "item_id", "sent_id")
+    said = _grams(blocks).join(q.select(*own, "g").distinct(), [*own, "g"], "left_semi")
+    q = q.join(said.groupBy(*own, "g").agg(F.count("*").alias("places")), [*own, "g"])
+    whole = Window.partitionBy(*own, "norm")
+    before = F.coalesce(F.sum("times").over(whole.orderBy("places", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    q = q.withColumns({"before": before, "there": F.sum("times").over(whole)})
+    rare = q.filter(F.col("before") <= F.col("there") - F.col("need")).select(*own, "norm", "q", "g")
+    rare = rare.withColumn("size_class", F.greatest(F.lit(CLASS), F.ceil(F.log2("q"))).cast("int"))
+    wide = F.lit(WIDTH) * F.expr("shiftleft(1L, size_class)")
+    first = F.greatest(F.lit(0), F.col("p") - F.floor(F.col("q") * LONG) - 1 + GRAM)
+    bands = F.explode(F.sequence(F.floor(first / wide), F.floor(F.col("p") / wide)))
+    return rare.join(said, [*own, "g"]).select("asset_id", "size_class", bands.alias("band"), "norm").distinct()
+
+
+def _filled(blocks: DataFrame) -> DataFrame:
+    """Blocks, by every number that their words reach into."""
+    last = F.floor((F.element_at("w", -1)["e"] - 1) / BLOCK)
+    return blocks.withColumn("block", F.explode(F.sequence(F.col("block"), F.greatest("block", last))))

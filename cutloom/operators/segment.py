@@ -12,6 +12,17 @@ def by_word(*keys: str) -> Window:
     return Window.partitionBy(*(keys or ("asset_id",))).orderBy("word_idx")
 
 
+def running_sum(words: DataFrame, value: str, name: str, keys: tuple[str, ...] = ("asset_id",), order: str = "word_idx", block: int = 8192) -> DataFrame:
+    """Adds name: the sum of value up to each row, in order of its number.  Sums run within blocks of numbers, and the blocks'
+    totals go ahead of them, so that no task holds all rows of a key."""
+    at = words.withColumn("_block", F.floor(F.col(order) / block))
+    totals = at.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    ahead = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum(value).over(Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = at.withColumn(name, within).join(totals.select(*keys, "_block", ahead.alias("_ahead")), [*keys, "_block"])
+    return joined.withColumn(name, F.col(name) + F.col("_ahead")).drop("_block", "_ahead")
+
+
 def gaps(words: DataFrame) -> DataFrame:
     """gap_before_us and gap_after_us; null at an asset's ends, which counts as endless."""
     w = by_word()

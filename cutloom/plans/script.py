@@ -69,6 +69,19 @@ def a1_asset_summary(spark, sf_dir):
     return A.summary(w, s, A.align(w, s))
 
 
+@query()
+def j7_own_scripts(spark, sf_dir):
+    """The sentences of each recording's own script in it."""
+    return A.align(D.words(spark, sf_dir), D.scripts(spark, sf_dir)).select("asset_id", "sent_id", "interval_idx", "first_idx", "last_idx", "confidence", "keep", "reason")
+
+
+@query()
+def a1_own_scripts(spark, sf_dir):
+    """Sentences, matches, repeats and what is left over, by recording."""
+    w, s = D.words(spark, sf_dir), D.scripts(spark, sf_dir)
+    return A.summary(w, s, A.align(w, s))
+
+
 _RANGED = ",\nrw AS (SELECT *, word_idx // 60 AS range_id FROM words)"
 
 

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: what stands before runs once, and lost executors cost a read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
 
@@ -67,3 +74,14 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("text", F.trim("text")).filter(F.length("text") >= 4)
     order = Window.partitionBy("item_id").orderBy("p")
     return s.select("item_id", F.row_number().over(order).alias("sent_id"), "text")
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each recording's own script: asset_id, sent_id, text.  Sentences of every third turn, as they were written before a
+    seventh of their words was left out."""
+    talk = read(spark, sf_dir, "conversations").filter("turn % 3 = 0").select(F.col("conv_id").alias("asset_id"), "turn", "text")
+    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])", "$1\u0001"), "\u0001")
+    s = talk.select("asset_id", "turn", F.posexplode(parts).alias("p", "text"))
+    s = s.withColumn("text", F.array_join(F.filter(tokens(F.col("text")), lambda w, i: i % 7 != 5), " ")).filter(F.length("text") >= 4)
+    order = Window.partitionBy("asset_id").orderBy("turn", "p")
+    return s.select("asset_id", F.row_number().over(order).alias("sent_id"), "text")

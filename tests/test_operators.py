@@ -225,6 +225,37 @@ def test_candidates_of_alignment_lose_no_match(spark):
     assert got == want and len(got) > 20
 
 
+def test_own_scripts_over_many_bands_equal_a_plain_search(spark):
+    rng = random.Random(8)
+    pool = ["alpha", "beta", "gamma", "delta", "one", "two", "three", "four", "five", "the", "and", "...", "x" * 700, "z"]
+    talk, lines = [], []
+    for a in range(3):
+        said = rng.choices(pool, [9] * 12 + [0.2, 3], k=rng.randint(900, 1200))
+        talk += [(a, i, w, i * 300_000, i * 300_000 + 200_000, 900 if i % 5 else 20) for i, w in enumerate(said)]
+        for n in range(9):
+            at = rng.randrange(len(said) - 40)
+            lines.append((a, n, " ".join(said[at : at + rng.choice([2, 7, 30])])))
+        lines += [(a, 20, lines[-1][2]), (a, 21, "z " * 40), (a, 22, None), (a, 23, "ab")]
+    df, s = spark.createDataFrame(talk, WORDS).repartition(3), spark.createDataFrame(lines, "asset_id long, sent_id int, text string")
+    got = {(r.asset_id, r.sent_id, r.first_idx, r.last_idx, r.confidence) for r in A.align(df, s).collect()}
+    want = set()
+    for a in range(3):
+        own = [(w.replace(".", ""), c) for x, _, w, _, _, c in talk if x == a]
+        text, ends = "".join(w for w, _ in own), np.cumsum([len(w) for w, _ in own])
+        for x, i, q in lines:
+            q = (q or "").replace(" ", "").replace(".", "")
+            if x != a or len(q) < 4:
+                continue
+            best, end = A.scores(q, text)
+            for p in A.peaks(best, max(4, int(len(q) * 0.8))):
+                first, last = (int(np.searchsorted(ends, v, side="right")) for v in (p, end[p] - 1))
+                sure = np.mean([c / 1000 for _, c in own[first : last + 1]]) >= 0.5
+                final = round(best[p] * (1.0 if sure else 0.85), 4)
+                if final >= 0.25:
+                    want.add((a, i, first, last, final))
+    assert got == want and len({r[:2] for r in got}) > 25
+
+
 def test_alignment_finds_repeats(spark):
     rows = say("noise one the quick brown fox jumps over it more noise the quick brown fox jumps over it end".split())
     s = spark.createDataFrame([(1, 1, "The quick brown fox jumps over it.".lower()), (1, 2, "never said at all"), (1, 3, "a")], "item_id long, sent_id int, text string")
