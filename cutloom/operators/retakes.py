@@ -1,140 +1,213 @@
 """Retakes and stutters inside a recording: windows of words, scored by bigram F1 within 15 s, best partners, greedy choice.
 
-Windows are cut in blocks of words with the words that follow as far as windows reach; pairs meet in buckets of time, where the multisets of
-bigrams of all windows are compared by one matrix product.  Both kinds of groups are bounded by speech, not by assets.
+Words travel, windows don't: a group of a job gets the words around a bucket of time, as far as the letters of its windows
+reach on the recording's line of letters, and cuts its windows itself.  In a group, tiles of windows are compared by products
+of their counts of bigrams.  The greedy choice runs over islands of overlapping ranges, which don't bear on each other.
+No task needs all words of an asset.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.text import normalize
+from cutloom.operators.segment import running_sum
 
 LEAST_WORDS, MOST_WIDTH, LEAST_CHARS, MOST_CHARS = 3, 10, 4, 60
 PAUSE_US, MOST_GAP_US, STUTTER_US = 250_000, 15_000_000, 3_000_000
 THRESHOLD = (55, 100)
-#: Words in a block of starts; the words that follow it come along as far as its windows may reach.
-BLOCK = 512
+#: Letters of a line in a block; windows that are compared at a time, earlier and later ones.
+BLOCK, TILE_A, TILE_B = 2048, 256, 2048
+
+
+def _on_line(words: DataFrame) -> DataFrame:
+    """Words with their letters and where these begin and end on the recording's line of letters."""
+    w = words.select("asset_id", "word_idx", F.coalesce(normalize(F.col("word")), F.lit("")).alias("norm"), "start_us", "end_us")
+    w = running_sum(w.withColumn("size", F.length("norm").cast("long")), "size", "stop")
+    return w.withColumn("begin", F.col("stop") - F.col("size")).drop("size")
+
+
+class Line:
+    """The words of a group in order, and its windows as pairs (first word, last word, track)."""
+
+    def __init__(self, table: pa.Table):
+        t = table.sort_by("word_idx")
+        self.idx, self.begin, self.stop, self.start_us, self.end_us = (t[c].to_numpy() for c in ("word_idx", "begin", "stop", "start_us", "end_us"))
+        self.text = "".join(t["norm"].to_pylist())
+        # The word behind a group's windows is in the group, so that only a recording's last word has none.
+        self.pause = np.append(self.start_us[1:] - self.end_us[:-1] > PAUSE_US, True)
+
+    def windows(self, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows from these words, to those of ends (flags) only."""
+        last = np.searchsorted(self.stop, self.begin[starts] + MOST_CHARS, side="right")
+        pauses = np.flatnonzero(self.pause)
+        low, high = np.searchsorted(pauses, starts + LEAST_WORDS - 1), np.searchsorted(pauses, last)
+        size = np.maximum(high - low, 0)
+        i0 = np.repeat(starts, size)
+        j0 = pauses[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        i1, j1 = np.repeat(starts, MOST_WIDTH - LEAST_WORDS + 1), (starts[:, None] + np.arange(LEAST_WORDS - 1, MOST_WIDTH)).ravel()
+        inside = j1 < np.repeat(last, MOST_WIDTH - LEAST_WORDS + 1)
+        i1, j1 = i1[inside], j1[inside]
+        i1, j1 = i1[~self.pause[j1]], j1[~self.pause[j1]]
+        i, j, track = np.concatenate([i0, i1]), np.concatenate([j0, j1]), np.repeat([0, 1], [len(i0), len(i1)])
+        keep = self.stop[j] - self.begin[i] >= LEAST_CHARS
+        if ends is not None:
+            keep &= ends[j]
+        return i[keep], j[keep], track[keep]
+
 
 _WINDOWS = "asset_id long, track int, i int, j int, start_us long, end_us long, norm string"
 
 
-def _cut_windows(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("word_idx")
-    idx, norm, start, end, pause = (pdf[c].tolist() for c in ("word_idx", "norm", "start_us", "end_us", "pause"))
-    rows, first = [], key[1] * BLOCK
-    for a in range(len(idx)):
-        if not first <= idx[a] < first + BLOCK:
-            continue
-        text, seen = "", set()
-        found: list[tuple[int, int]] = []
-        for b in range(a, len(idx)):
-            text += norm[b]
-            if len(text) > MOST_CHARS:
-                break
-            width = b - a + 1
-            if width >= LEAST_WORDS and len(text) >= LEAST_CHARS:
-                if pause[b]:
-                    seen.add(b)
-                    found.append((0, b))
-                if width <= MOST_WIDTH and b not in seen:
-                    found.append((1, b))
-        for track, b in found:
-            rows.append((key[0], track, idx[a], idx[b], start[a], end[b], "".join(norm[a : b + 1])))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _WINDOWS.split(", ")])
+def _cut_windows(key: tuple, table: pa.Table) -> pa.Table:
+    asset, block = (k.as_py() for k in key)
+    line = Line(table)
+    i, j, track = line.windows(np.flatnonzero(line.begin // BLOCK == block))
+    base = line.begin[0]
+    norm = [line.text[a:b] for a, b in zip((line.begin[i] - base).tolist(), (line.stop[j] - base).tolist())]
+    return pa.table({
+        "asset_id": pa.array([asset] * len(i), pa.int64()), "track": track.astype(np.int32), "i": line.idx[i].astype(np.int32), "j": line.idx[j].astype(np.int32),
+        "start_us": line.start_us[i], "end_us": line.end_us[j], "norm": pa.array(norm, pa.string()),
+    })
 
 
 def windows(words: DataFrame) -> DataFrame:
     """Candidate windows of at least 3 words and 4 to 60 letters: up to every pause (track 0), and of 3 to 10 words
-    (track 1) where track 0 has none.
-
-    A block's windows reach as far as the letters behind its last start allow, over any number of words without letters."""
-    order = Window.partitionBy("asset_id").orderBy("word_idx")
-    following = F.lead("start_us").over(order)
-    w = words.select("asset_id", "word_idx", F.coalesce(normalize(F.col("word")), F.lit("")).alias("norm"), "start_us", "end_us", (following.isNull() | (following - F.col("end_us") > PAUSE_US)).alias("pause"))
-    w = w.withColumn("block", F.floor(F.col("word_idx") / BLOCK).cast("int"))
-    before = F.coalesce(F.sum(F.length("norm")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = w.withColumn("letters", before)  # before the word: a window from word a may end at b if it has at most 60 up to b
-    reach = F.max("word_idx").over(Window.partitionBy("asset_id").orderBy("letters").rangeBetween(0, MOST_CHARS))
-    blocks = w.withColumn("reach", reach).groupBy("asset_id", "block").agg(F.max(F.struct("word_idx", "reach")).alias("last"))
-    touched = F.explode(F.sequence("block", F.floor(F.col("last.reach") / BLOCK).cast("int")))
-    blocks = blocks.select(F.col("asset_id").alias("_asset"), F.col("block").alias("of_block"), F.col("last.reach").alias("reach"), touched.alias("_block"))
-    near = w.join(blocks, (F.col("asset_id") == F.col("_asset")) & (F.col("block") == F.col("_block")) & (F.col("word_idx") <= F.col("reach")))
-    return near.select("asset_id", F.col("of_block").alias("block"), "word_idx", "norm", "start_us", "end_us", "pause").groupBy("asset_id", "block").applyInPandas(_cut_windows, _WINDOWS)
-
-
-def _grams(texts: list[str], n: int, vocabulary: dict) -> np.ndarray:
-    """Rows of 0/1 over (gram, how many of it came before): their products count shared grams with multiplicity."""
-    cells = []
-    for r, t in enumerate(texts):
-        count: dict[str, int] = {}
-        for k in range(len(t) - n + 1):
-            g = t[k : k + n]
-            count[g] = count.get(g, -1) + 1
-            cells.append((r, vocabulary.setdefault((g, count[g]), len(vocabulary))))
-    return np.array(cells, dtype=np.int64).reshape(-1, 2)
+    (track 1) where track 0 has none.  Words without letters count as words; windows reach over any number of them.
 
+    Work grows with the windows: pauses are looked up, words behind the last letter aren't walked over."""
+    w = _on_line(words)
+    block = F.floor(F.col("begin") / BLOCK)
+    # A block's windows and the word behind them begin at most MOST_CHARS behind its last letter.
+    both = F.when((block > 0) & (F.col("begin") - block * BLOCK <= MOST_CHARS), F.array(block, block - 1)).otherwise(F.array(block))
+    return w.withColumn("block", F.explode(both)).groupBy("asset_id", "block").applyInArrow(_cut_windows, _WINDOWS)
 
-_BEST = "asset_id long, a_track int, a_i int, a_j int, a_start long, a_end long, b_i int, b_j int, b_start long, b_end long, overlap int, n_a int, n_b int"
 
+def _tile_counts(grams: np.ndarray, begin: np.ndarray, size: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
+    """How often each window (its bigrams begin there, so many) holds each gram that has a column."""
+    place = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+    at, row = column[grams[place]], np.repeat(np.arange(len(size)), size)
+    some = at >= 0
+    return np.bincount(row[some] * width + at[some], minlength=len(size) * width).reshape(len(size), width)
 
-def _best_partner(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    order = ["start_us", "track", "i", "j"]
-    a, b = pdf[pdf["role"] == 0].sort_values(order), pdf[pdf["role"] == 1].sort_values(order)
-    vocabulary: dict = {}
-    ga, gb = _grams(a["norm"].tolist(), 2, vocabulary), _grams(b["norm"].tolist(), 2, vocabulary)
-    mb = np.zeros((len(b), len(vocabulary)), dtype=np.float32)
-    mb[gb[:, 0], gb[:, 1]] = 1
-    na, nb = a["norm"].str.len().to_numpy() - 1, b["norm"].str.len().to_numpy() - 1
-    out = []
-    for at in range(0, len(a), 256):
-        some = a.iloc[at : at + 256]
-        ma = np.zeros((len(some), len(vocabulary)), dtype=np.float32)
-        here = ga[(ga[:, 0] >= at) & (ga[:, 0] < at + 256)]
-        ma[here[:, 0] - at, here[:, 1]] = 1
-        over = (ma @ mb.T).astype(np.int64)
-        total = na[at : at + 256, None] + nb[None]
-        gap = b["start_us"].to_numpy()[None] - some["end_us"].to_numpy()[:, None]
-        ok = (b["i"].to_numpy()[None] > some["j"].to_numpy()[:, None]) & (gap <= MOST_GAP_US) & (2 * THRESHOLD[1] * over >= THRESHOLD[0] * total)
-        score = np.where(ok, 2 * over / total, -1.0)
-        best = score.argmax(axis=1) if len(b) else np.zeros(len(some), dtype=int)
-        for r in np.flatnonzero(ok.any(axis=1)):
-            x, y, k = some.iloc[r], b.iloc[best[r]], best[r]
-            out.append((key[0], x["track"], x["i"], x["j"], x["start_us"], x["end_us"], y["i"], y["j"], y["start_us"], y["end_us"], over[r, k], na[at + r], nb[k]))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _BEST.split(", ")])
-
-
-def best_partners(wins: DataFrame) -> DataFrame:
-    """For each window the most similar later one that starts within 15 s of its end, the first of equals."""
-    bucket = lambda c: F.floor(F.col(c) / MOST_GAP_US).cast("int")
-    a = wins.withColumns({"role": F.lit(0), "bucket": bucket("end_us")})
-    # A bucket of ends meets starts of its own and of the next; the one before holds starts of words that overlap.
-    b = wins.withColumn("role", F.lit(1)).withColumn("bucket", F.explode(F.array(bucket("start_us") - 1, bucket("start_us"), bucket("start_us") + 1)))
-    return a.unionByName(b).groupBy("asset_id", "bucket").applyInPandas(_best_partner, _BEST)
-
-
-def _greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["similarity", "a_start", "a_track", "a_i", "a_j"], ascending=[False, True, True, True, True])
-    kept, ranges = [], []
-    for n, (i, j) in enumerate(zip(pdf["a_i"], pdf["a_j"])):
-        if all(j < x or i > y for x, y in ranges):
-            kept.append(n)
-            ranges.append((i, j))
-    return pdf.iloc[kept].sort_values("a_start")
+
+_BEST = "asset_id long, a_track int, a_i int, a_j int, a_start long, a_end long, b_i int, b_j int, b_start long, b_end long, overlap int, n_a int, n_b int"
+_KINDS = {"long": pa.int64(), "int": pa.int32()}
+_BEST_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _BEST.split(", ")])
+
+
+def _best_partner(key: tuple, table: pa.Table) -> pa.Table:
+    asset, bucket = (k.as_py() for k in key)
+    line = Line(table)
+    every = np.arange(len(line.idx))
+    ai, aj, at = line.windows(every, line.end_us // MOST_GAP_US == bucket)
+    near = line.start_us // MOST_GAP_US
+    bi, bj, bt = line.windows(every[(near >= bucket - 1) & (near <= bucket + 1)])
+    if not len(ai) or not len(bi):
+        return _BEST_SCHEMA.empty_table()
+    order = np.lexsort((bj, bi, bt, line.start_us[bi]))
+    bi, bj = bi[order], bj[order]
+    order = np.lexsort((aj, ai, at, line.start_us[ai]))
+    ai, aj, at = ai[order], aj[order], at[order]
+    chars = np.frombuffer(line.text.encode("utf-32-le"), "<u4").astype(np.int64)
+    _, grams = np.unique(chars[:-1] << 32 | chars[1:], return_inverse=True)
+    first = line.begin - line.begin[0]
+    na, nb = line.stop[aj] - line.begin[ai] - 1, line.stop[bj] - line.begin[bi] - 1
+    best, partner, overlap = np.zeros(len(ai)), np.full(len(ai), -1), np.zeros(len(ai), dtype=np.int64)
+    for p in range(0, len(ai), TILE_A):
+        a = slice(p, p + TILE_A)
+        own = np.unique(grams[np.arange(na[a].sum()) + np.repeat(first[ai[a]] - np.cumsum(na[a]) + na[a], na[a])])
+        column = np.full(len(chars), -1)
+        column[own] = np.arange(len(own))
+        ca = _tile_counts(grams, first[ai[a]], na[a], column, len(own))
+        may = np.flatnonzero((bi > aj[a].min()) & (line.start_us[bi] - line.end_us[aj[a]].max() <= MOST_GAP_US))
+        for q in range(0, len(may), TILE_B):
+            b = may[q : q + TILE_B]
+            cb = _tile_counts(grams, first[bi[b]], nb[b], column, len(own))
+            over = np.zeros((len(ca), len(b)), dtype=np.float32)
+            for times in range(1, int(ca.max(initial=0)) + 1):  # the least of two counts, one time after the other
+                some = np.flatnonzero((ca >= times).any(axis=0) & (cb >= times).any(axis=0))
+                if not len(some):
+                    break
+                over += (ca[:, some] >= times).astype(np.float32) @ (cb[:, some] >= times).astype(np.float32).T
+            total = na[a][:, None] + nb[b]
+            ok = 2 * THRESHOLD[1] * over >= THRESHOLD[0] * total
+            row, col = np.nonzero(ok)
+            fits = (bi[b[col]] > aj[a][row]) & (line.start_us[bi[b[col]]] - line.end_us[aj[a][row]] <= MOST_GAP_US)
+            row, col = row[fits], col[fits]
+            f1 = 2.0 * over[row, col].astype(np.float64) / total[row, col]
+            top = np.lexsort((col, -f1, row))
+            top = top[np.diff(row[top], prepend=-1) > 0]  # the first of the best of each
+            top = top[f1[top] > best[p + row[top]]]
+            best[p + row[top]], partner[p + row[top]], overlap[p + row[top]] = f1[top], b[col[top]], over[row[top], col[top]]
+    x = np.flatnonzero(partner >= 0)
+    y = partner[x]
+    columns = (np.full(len(x), asset), at[x], line.idx[ai[x]], line.idx[aj[x]], line.start_us[ai[x]], line.end_us[aj[x]],
+               line.idx[bi[y]], line.idx[bj[y]], line.start_us[bi[y]], line.end_us[bj[y]], overlap[x], na[x], nb[y])
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BEST_SCHEMA)], schema=_BEST_SCHEMA)
+
+
+def best_partners(words: DataFrame) -> DataFrame:
+    """For each window the most similar later one that starts within 15 s of its end, the first of equals.
+
+    A bucket's windows end in it; their partners start in it, in the next one, or where words overlap in the one before."""
+    w = _on_line(words)
+    bucket = lambda c: F.floor(F.col(c) / MOST_GAP_US)
+    need = lambda k, low, high: F.struct(k.alias("bucket"), low.alias("low"), high.alias("high"))
+    starts = [need(bucket("start_us") + d, F.col("begin"), F.col("begin") + MOST_CHARS) for d in (-1, 0, 1)]
+    ends = need(bucket("end_us"), F.col("stop") - MOST_CHARS, F.col("stop"))
+    reach = w.select("asset_id", F.explode(F.array(*starts, ends)).alias("r")).groupBy("asset_id", "r.bucket").agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"))
+    reach = reach.join(w.select("asset_id", bucket("end_us").alias("bucket")).distinct(), ["asset_id", "bucket"])
+    block = F.explode(F.sequence(F.floor(F.greatest("low", F.lit(0)) / BLOCK), F.floor(F.col("high") / BLOCK)))
+    reach = reach.select(F.col("asset_id").alias("_asset"), "bucket", "low", "high", block.alias("_block"))
+    same = (F.col("asset_id") == F.col("_asset")) & (F.floor(F.col("begin") / BLOCK) == F.col("_block"))
+    near = w.join(reach, same & (F.col("begin") >= F.col("low")) & (F.col("begin") <= F.col("high")))
+    near = near.select("asset_id", "bucket", "word_idx", "norm", "begin", "stop", "start_us", "end_us")
+    return near.groupBy("asset_id", "bucket").applyInArrow(_best_partner, _BEST)
+
+
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by island and rank: a row stays if its range meets none that stays."""
+    island = None
+    for batch in batches:
+        stays = []
+        for own, i, j in zip(zip(batch["asset_id"], batch["island"]), batch["a_i"], batch["a_j"]):
+            if own != island:
+                island, starts, ends = own, [], []
+            at = bisect.bisect_right(starts, j)  # ranges that stay don't meet, so the last that starts up to j ends last
+            stays.append(not at or ends[at - 1] < i)
+            if stays[-1]:
+                starts.insert(at, i)
+                ends.insert(at, j)
+        yield batch[np.array(stays, dtype=bool)]
+
+
+def choose(pairs: DataFrame, score: Column) -> DataFrame:
+    """Pairs with a_i, a_j, from the best score on: one stays if its range of words meets none that stays.
+
+    Ranges that meet, directly or through others, are an island; islands are dealt to tasks."""
+    order = Window.partitionBy("asset_id").orderBy("a_i", "a_j", "b_i", "b_j")
+    opens = F.col("a_i") > F.coalesce(F.max("a_j").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    p = pairs.withColumn("_score", -score).withColumn("island", F.when(opens, F.col("a_i")))
+    p = p.withColumn("island", F.max("island").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.repartition("asset_id", "island").sortWithinPartitions("asset_id", "island", "_score", "a_start", "a_track", "a_i", "a_j")
+    return p.mapInPandas(_greedy, p.schema).drop("_score", "island")
 
 
 def self_duplicates(words: DataFrame) -> DataFrame:
     """Pairs of an earlier and a later saying; each later one once, earlier ones without overlap.
 
     similarity is F1 to 4 decimals, half to even.  Fewer than three words, or none alike, give no rows."""
-    best = best_partners(windows(words))
+    best = best_partners(words)
     w = Window.partitionBy("asset_id", "b_i", "b_j").orderBy("a_start", "a_track", "a_i", "a_j")
     once = best.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     once = once.withColumn("similarity", F.bround(F.lit(2.0) * F.col("overlap") / (F.col("n_a") + F.col("n_b")), 4))
-    fields = _BEST + ", similarity double"
-    out = once.groupBy("asset_id").applyInPandas(_greedy, fields)
     gap = F.col("b_start") - F.col("a_end")
-    return out.withColumn("gap_us", gap).withColumn("dup_type", F.when(gap < STUTTER_US, "stutter_restart").otherwise("full_repeat"))
+    return choose(once, F.col("similarity")).withColumn("gap_us", gap).withColumn("dup_type", F.when(gap < STUTTER_US, "stutter_restart").otherwise("full_repeat"))
