@@ -38,8 +38,8 @@ LETTERS = 4096
 HELD, STRETCH = 500_000, 4_000_000
 #: Longer words are compared one by one.
 WIDE = 48
-#: Pairs verified at a time.
-PAIRS = 200_000
+#: Pairs verified at a time, and places of a level of the trie that are looked up without a search.
+PAIRS, DENSE = 200_000, 2_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # After lower-casing; U+00C0 to U+00FF are C3 80 to C3 BF in UTF-8.
@@ -133,21 +133,29 @@ class Trie:
     def __init__(self, rows: np.ndarray):
         self.order = np.lexsort(rows.T[::-1])
         self.rows = rows[self.order]
-        self.wide = int(rows.max(initial=0)) + 2
         changed, node = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=np.int64)
         changed[:1] = True
-        self.keys = []  # of the nodes of each level: the parent's number and the branch
+        self.levels = []  # a level's branches, the keys of its nodes (the parent's number and the branch), and what a key leads to
         for column in self.rows.T:
             changed[1:] |= column[1:] != column[:-1]
-            self.keys.append(node[changed] * self.wide + column[changed])
+            wide = int(column.max(initial=0)) + 1
+            keys = node[changed] * wide + column[changed]
+            table = None
+            if len(keys) and (node[-1] + 1) * wide <= DENSE:
+                table = np.full((node[-1] + 1) * wide, -1, dtype=np.int32)
+                table[keys] = np.arange(len(keys))
+            self.levels.append((wide, keys, table))
             node = np.cumsum(changed) - 1
         self.begin = np.append(np.flatnonzero(changed), len(rows))
 
     def child(self, level: int, node: np.ndarray, branch: np.ndarray) -> np.ndarray:
         """The children, -1 where there is none."""
-        key, keys = node * self.wide + branch, self.keys[level]
+        wide, keys, table = self.levels[level]
+        key, inside = node * wide + branch, (branch >= 0) & (branch < wide)
+        if table is not None:
+            return np.where(inside, table[np.where(inside, key, 0)], -1)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where((keys[at] == key) & (branch >= 0) & (branch < self.wide), at, -1)
+        return np.where((keys[at] == key) & inside, at, -1)
 
     def near(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, row) that differ by a surplus of one and a deficit of one at most, each once."""
@@ -253,12 +261,6 @@ def top(words: DataFrame, groups: dict[int, int], leaf: int = LEAF, n: int = GRO
     return Top({tuple(map(int, r.prefix.split(","))) if r.prefix else (): r.n for r in big}, leaf)
 
 
-def _padded(points: np.ndarray, first: np.ndarray, size: np.ndarray, wide: int) -> np.ndarray:
-    at = np.arange(wide)
-    there = at < size[:, None]
-    return np.where(there, points[np.where(there, first[:, None] + at, 0)], 0)
-
-
 def one_edit(a: str, b: str) -> bool:
     """Whether one inserted, deleted or replaced letter leads from a to b."""
     if len(a) > len(b):
@@ -273,8 +275,15 @@ class Verifier:
     def __init__(self, words: list[str]):
         self.words = words
         points, self.size = _points(words)
-        self.points = points if len(points) else np.zeros(1, dtype="<u4")
-        self.first = np.cumsum(self.size) - self.size
+        short = self.size <= WIDE
+        values, letter = np.unique(points, return_inverse=True)
+        kind = np.uint8 if len(values) < 256 else np.uint32
+        # Short words as rows of letters' numbers from 1; behind a word's end and for long words 0.
+        self.rows = np.zeros((len(words), int(self.size[short].max(initial=0)) + 1), dtype=kind)
+        owner = np.repeat(np.arange(len(words)), self.size)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        inside = short[owner]
+        self.rows[owner[inside], place[inside]] = letter[inside] + 1
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         swap = self.size[a] > self.size[b]
@@ -283,7 +292,7 @@ class Verifier:
         out = np.zeros(len(a), dtype=bool)
         plain = np.flatnonzero((more <= 1) & (self.size[b] <= WIDE))
         wide = int(self.size[b[plain]].max(initial=0)) + 1
-        x, y = (_padded(self.points, self.first[c[plain]], self.size[c[plain]], wide) for c in (a, b))
+        x, y = self.rows[a[plain], :wide], self.rows[b[plain], :wide]
         other = x != y
         replaced = (more[plain] == 0) & (other.sum(axis=1) == 1)
         before = other.argmax(axis=1)[:, None] > np.arange(wide - 1)  # up to the first letter that differs
