@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.operators import folds
 from cutloom.operators import intervals as I
 
 FPS = 30
+#: Numbers of cuts and microseconds in a block of an ordered fold.
+BLOCK_CUTS, BLOCK_US = 4096, 600_000_000
 
 
 def frames(us: Column, fps: int = FPS) -> Column:
@@ -51,49 +51,46 @@ def distinct_drops(edl: DataFrame) -> DataFrame:
     return edl.withColumn("_n", F.row_number().over(w)).filter(F.col("keep") | (F.col("_n") == 1)).drop("_n")
 
 
-def _folded(cuts: DataFrame, order: list[str], step) -> DataFrame:
-    """Runs last, start, end, stays = step(last, start, end) over an asset's cuts in order, once each; last is None at first."""
-
-    fields = "asset_id long, seg_id int, start_us long, end_us long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asset = last = None
-        for batch in batches:
-            rows = []
-            for own, seg_id, start, end in zip(*(batch[c].tolist() for c in ("asset_id", "seg_id", "start_us", "end_us"))):
-                if own != asset:
-                    asset, last = own, None
-                last, start, end, stays = step(last, start, end)
-                if stays:
-                    rows.append((own, seg_id, start, end))
-            yield pd.DataFrame(rows, columns=["asset_id", "seg_id", "start_us", "end_us"])
-
-    dealt = cuts.select("asset_id", "seg_id", "start_us", "end_us").repartition("asset_id")
-    return dealt.sortWithinPartitions("asset_id", *order).mapInPandas(run, fields)
-
-
 def fix_overlaps(cuts: DataFrame, gap_us: int = 1_000, least_us: int = 50_000) -> DataFrame:
     """Left to right: a cut that starts before the end of the one before starts gap_us after it; an end before its start
     moves to least_us after it.  Uses ends that are already fixed."""
-
-    def step(last, start, end):
-        start = last + gap_us if last is not None and start < last else start
-        end = start + least_us if end < start else end
-        return end, start, end, True
-
-    return _folded(cuts, ["seg_id", "start_us", "end_us"], step)
+    s, e, last = F.col("start_us"), F.col("end_us"), F.col("_last")
+    c = cuts.select("asset_id", "seg_id", "start_us", "end_us").withColumns({
+        "_c": F.when(e < s, s + least_us).otherwise(e), "_t": F.when(e < s, s).otherwise(F.greatest(s, e - gap_us)), "_d": F.lit(gap_us + least_us).cast("long"),
+    })
+    c = folds.with_cursor(c, ["seg_id", "start_us", "end_us"], BLOCK_CUTS)
+    start = F.when(s < last, last + gap_us).otherwise(s)
+    return c.select("asset_id", "seg_id", start.alias("start_us"), F.when(e < start, start + least_us).otherwise(e).alias("end_us"))
 
 
 def resolve_overlaps(cuts: DataFrame, slack_us: int = 10_000, least_us: int = 50_000) -> DataFrame:
     """By start: a cut that starts before the cursor less slack_us is pushed to it, or left out if less than least_us of
     it would remain; the cursor follows the ends of cuts that stay."""
-
-    def step(last, start, end):
-        if last is not None and start < last - slack_us:
-            return (last, start, end, False) if last - start >= end - start - least_us else (max(last, end), last, end, True)
-        return end if last is None else max(last, end), start, end, True
-
-    return _folded(cuts, ["start_us", "seg_id"], step)
+    s, e, last = F.col("start_us"), F.col("end_us"), F.col("_last")
+    c = cuts.select("asset_id", "seg_id", "start_us", "end_us").withColumns({
+        "_c": e, "_t": F.least(e, F.greatest(s + slack_us, e - least_us - 1)), "_d": F.lit(0).cast("long"),
+    })
+    c = folds.with_cursor(c, ["start_us", "seg_id"], BLOCK_US)
+    pushed = F.coalesce(s < last - slack_us, F.lit(False))
+    c = c.filter(~pushed | (last < e - least_us))
+    return c.select("asset_id", "seg_id", F.when(pushed, last).otherwise(s).alias("start_us"), "end_us")
+
+
+def guard_valleys(cuts: DataFrame, window_us: int = 250_000, gap_us: int = 1_000, least_us: int = 50_000) -> DataFrame:
+    """cuts(asset_id, seg_id, start_us, end_us, valley_start_us, valley_end_us, given_start_us, given_end_us), in order of
+    seg_id.  Given times stay.  Else starts move to their valleys, gap_us behind the fixed end before at least, and ends to
+    theirs, window_us behind their own place at most; an asset's first start and last end stay.  All last least_us."""
+    ends = cuts.groupBy("asset_id").agg(F.min("seg_id").alias("_first"), F.max("seg_id").alias("_end"))
+    c = cuts.join(ends, "asset_id")
+    given, first = F.col("given_start_us").isNotNull() & F.col("given_end_us").isNotNull(), F.col("seg_id") == F.col("_first")
+    start = F.when(given, F.col("given_start_us")).when(first, F.col("start_us")).otherwise(F.col("valley_start_us"))
+    end = F.when(given, F.col("given_end_us")).when(F.col("seg_id") == F.col("_end"), F.col("end_us")).otherwise(F.least("valley_end_us", F.col("end_us") + window_us))
+    c = c.select("asset_id", "seg_id", start.alias("_s"), end.alias("_e"), (given | first).alias("_own"))
+    fixed = F.greatest("_e", F.col("_s") + least_us)
+    c = c.withColumns({"_c": fixed, "_t": F.when(~F.col("_own"), fixed - gap_us - least_us), "_d": F.lit(gap_us + least_us).cast("long")})
+    c = folds.with_cursor(c, ["seg_id", "_s", "_e"], BLOCK_CUTS)
+    moved = F.when(F.col("_own") | F.col("_last").isNull(), F.col("_s")).otherwise(F.greatest("_s", F.col("_last") + gap_us))
+    return c.select("asset_id", "seg_id", moved.alias("start_us"), F.greatest("_e", moved + least_us).alias("end_us"))
 
 
 def pull_starts(cuts: DataFrame, pause_us: int = 800_000, pad_us: int = 150_000, least_us: int = 50_000) -> DataFrame:

@@ -34,6 +34,22 @@ def valley(points: DataFrame, frames: DataFrame, window: int) -> DataFrame:
     return j.groupBy("asset_id", "point_id", "frame_at").agg(F.min(F.struct("rms", "frame_idx")).alias("b")).select("asset_id", "point_id", "frame_at", F.col("b.frame_idx").alias("frame_idx"), F.col("b.rms").alias("rms"))
 
 
+def valley_cuts(points: DataFrame, frames: DataFrame, frame_us: int, window_us: int = 250_000) -> DataFrame:
+    """points(asset_id, point_id, t_us) -> cut_us, the middle of the quietest frame that begins within window_us, kept
+    within it, the first of equals, and gain_db, how much quieter it is than the frame of the point.  A point without frames
+    stays where it is and gains 0."""
+    low, high = F.greatest(F.col("t_us") - window_us, F.lit(0)), F.col("t_us") + window_us
+    at = F.sequence(F.ceil(low / frame_us), F.greatest(F.ceil(low / frame_us), F.ceil(high / frame_us) - 1))
+    near = points.withColumn("frame_idx", F.explode(at)).join(frames, ["asset_id", "frame_idx"])
+    best = near.groupBy("asset_id", "point_id").agg(F.min(F.struct("rms", "frame_idx")).alias("b"))
+    own = frames.select("asset_id", F.col("frame_idx").alias("_at"), F.col("rms").alias("_rms"))
+    j = points.withColumn("_at", F.floor(F.col("t_us") / frame_us)).join(best, ["asset_id", "point_id"], "left").join(own, ["asset_id", "_at"], "left")
+    middle = F.floor(F.col("b.frame_idx") * frame_us + F.lit(frame_us) / 2)
+    cut = F.coalesce(F.least(F.greatest(middle, low), high), F.col("t_us"))
+    gain = F.coalesce(decibel(F.col("_rms")) - decibel(F.col("b.rms")), F.lit(0.0))
+    return j.select("asset_id", "point_id", "t_us", cut.alias("cut_us"), gain.alias("gain_db"))
+
+
 def snap_edges(edges: DataFrame, frames: DataFrame, window: int, least: int) -> DataFrame:
     """edges(asset_id, start_frame, end_frame): the start moves to the quietest frame within window on its right, the end
     to that on its left, the outermost of equals; both stay where fewer than least frames would be left."""
@@ -92,7 +108,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def valley_guard(cuts: DataFrame, gap_us: int = 1_000, least_us: int = 50_000) -> DataFrame:
-    """Starts behind the previous cut's end, ends least_us after their start; the first start and last end stay."""
+    """Starts behind the previous cut's own end, ends least_us after their start; the first start and last end stay.  The whole
+    rule, which goes on from ends that it has moved, is edl.guard_valleys."""
     w = Window.partitionBy("asset_id").orderBy("seg_id")
     before, first, last = F.lag("end_us").over(w), F.row_number().over(w) == 1, F.lead("seg_id").over(w).isNull()
     c = cuts.withColumns({"_before": before, "_first": first, "_last": last})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cutloom.functions import text as T
 from cutloom.operators import align as A
+from cutloom.operators import edl as E
 from cutloom.operators import retakes as R
 from cutloom.operators import signal as G
 from cutloom.operators import speech as P
@@ -173,6 +174,48 @@ def t7_guarded_cuts(spark, sf_dir):
     return G.valley_guard(all_cuts(spark, sf_dir).drop("fallback"))
 
 
+@query("WITH RECURSIVE " + (SEGMENTS + _ALL_CUTS).strip() + """,
+v AS (SELECT s.asset_id, s.seg_id, s.start_us, s.end_us, ac.start_us AS vs, ac.end_us AS ve, CASE WHEN s.seg_id % 11 = 0 THEN s.start_us - 300000 END AS gs, CASE WHEN s.seg_id % 11 = 0 THEN s.end_us + 400000 END AS ge,
+  max(s.seg_id) OVER (PARTITION BY s.asset_id) AS n FROM segments s JOIN ac ON ac.asset_id = s.asset_id AND ac.seg_id = s.seg_id),
+f AS (SELECT asset_id, seg_id, start_us AS s, greatest(CASE WHEN seg_id = n THEN end_us ELSE least(ve, end_us + 250000) END, start_us + 50000) AS e FROM v WHERE seg_id = 1
+  UNION ALL SELECT asset_id, seg_id, s, greatest(e, s + 50000) FROM (SELECT v.asset_id, v.seg_id, coalesce(gs, greatest(vs, f.e + 1000)) AS s, coalesce(ge, CASE WHEN v.seg_id = n THEN end_us ELSE least(ve, end_us + 250000) END) AS e
+    FROM f JOIN v ON v.asset_id = f.asset_id AND v.seg_id = f.seg_id + 1))
+SELECT asset_id, seg_id, s AS start_us, e AS end_us FROM f""")
+def t7_ordered_valleys(spark, sf_dir):
+    """Cuts at valleys, each behind the fixed end of the one before; every eleventh is given and may overlap."""
+    raw, moved = Q.segments(spark, sf_dir), all_cuts(spark, sf_dir).select("asset_id", "seg_id", F.col("start_us").alias("valley_start_us"), F.col("end_us").alias("valley_end_us"))
+    given = lambda c: F.when(F.col("seg_id") % 11 == 0, c)
+    c = raw.select("asset_id", "seg_id", "start_us", "end_us", given(F.col("start_us") - 300000).alias("given_start_us"), given(F.col("end_us") + 400000).alias("given_end_us"))
+    return E.guard_valleys(c.join(moved, ["asset_id", "seg_id"]))
+
+
+_VALLEY_CUTS = f"""WITH {Q._SIGNALS}, p AS (SELECT asset_id, k AS point_id, CAST(asset_id * 7919 % 5000 + k * 1300 AS BIGINT) AS t_us FROM signals, range(3) t(k)),
+m AS (SELECT p.*, greatest(t_us - 2500, 0) AS lo, t_us + 2500 AS hi FROM p),
+b AS (SELECT m.asset_id, point_id, first(frame_idx ORDER BY rms, frame_idx) AS frame_idx, min(rms) AS rms FROM m JOIN fr ON fr.asset_id = m.asset_id AND frame_idx * 1000 >= lo AND frame_idx * 1000 < hi GROUP BY 1, 2),
+c AS (SELECT m.asset_id, m.point_id, t_us, CAST(coalesce(least(greatest(b.frame_idx * 1000 + 500, lo), hi), t_us) AS BIGINT) AS cut_us, coalesce(20 * log10(o.rms + 1e-9) - 20 * log10(b.rms + 1e-9), 0) AS gain_db
+  FROM m LEFT JOIN b ON b.asset_id = m.asset_id AND b.point_id = m.point_id LEFT JOIN fr o ON o.asset_id = m.asset_id AND o.frame_idx = t_us // 1000)"""
+
+
+def valley_cuts(spark, sf_dir):
+    """Three points in the frames, of 1 ms, of each signal, the last ones behind its end now and then."""
+    s = Q.signals(spark, sf_dir)
+    p = s.select("asset_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("point_id"))
+    p = p.withColumn("t_us", (F.col("asset_id") * 7919 % 5000 + F.col("point_id") * 1300).cast("long")).withColumn("point_id", F.col("point_id").cast("long"))
+    return G.valley_cuts(p, G.frame_rms(s, 8), 1000, 2500)
+
+
+@query(_VALLEY_CUTS + " SELECT asset_id, point_id, t_us, cut_us, round(gain_db, 6) AS gain_db FROM c")
+def t5_valley_cuts(spark, sf_dir):
+    """Cuts in the middle of the quietest frame near each point, and what each gains."""
+    return valley_cuts(spark, sf_dir).withColumn("gain_db", F.round("gain_db", 6))
+
+
+@query(_VALLEY_CUTS + " SELECT asset_id, count(*) AS cuts, round(avg(gain_db), 6) AS mean_gain_db FROM c GROUP BY 1")
+def a21_mean_gains(spark, sf_dir):
+    """The mean gain of a recording's cuts."""
+    return valley_cuts(spark, sf_dir).groupBy("asset_id").agg(F.count("*").alias("cuts"), F.round(F.avg("gain_db"), 6).alias("mean_gain_db"))
+
+
 @query(f"""WITH {Q._SIGNALS}, s AS (SELECT asset_id, CAST(asset_id % 4 AS INTEGER) AS a, CAST(7 - asset_id % 3 AS INTEGER) AS b FROM signals),
 l AS (SELECT s.asset_id, first(frame_idx ORDER BY rms, frame_idx) AS a2 FROM s JOIN fr ON fr.asset_id = s.asset_id AND frame_idx BETWEEN a AND a + 2 GROUP BY 1),
 r AS (SELECT s.asset_id, first(frame_idx ORDER BY rms, frame_idx DESC) AS b2 FROM s JOIN fr ON fr.asset_id = s.asset_id AND frame_idx BETWEEN b - 2 AND b GROUP BY 1)
