@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutloom.functions import text as T
 from cutloom.operators import intervals as I
 from cutloom.operators import segment as S
+from cutloom.operators.ngrams import repeated_ngrams
 from cutloom.plans.sql import KEPT, SEGMENTS, WORDS, select
 from cutloom.sources import tables as D
 
@@ -186,9 +187,7 @@ SELECT asset_id, n, gram, count(*) AS times FROM g GROUP BY ALL HAVING count(*)
 def a7_repeated_ngrams(spark, sf_dir):
     """Character n-grams (4 to 8) that an asset repeats."""
     c = D.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset_id"), T.normalize(F.col("text")).alias("t"))
-    each = c.select("asset_id", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), T.char_ngrams(F.col("t"), n).alias("g")) for n in range(4, 9)])).alias("x"))
-    grams = each.select("asset_id", "x.n", F.explode("x.g").alias("gram"))
-    return grams.groupBy("asset_id", "n", "gram").agg(F.count("*").alias("times")).filter("times >= 2")
+    return repeated_ngrams(c)
 
 
 _TURNS = rf"""turns AS (SELECT conv_id AS asset_id, turn, regexp_replace(coalesce(text, ''), {_N}, '', 'g') AS t FROM conversations),

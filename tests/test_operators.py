@@ -283,3 +283,23 @@ def test_cursor_matches_equal_a_plain_scan(spark):
             got = next((j for j in found if j is not None), None)
             assert got == want
             cursor = cursor if got is None else got + 1
+
+
+def test_repeated_ngrams_equal_plain_counts(spark):
+    from cutloom.operators.ngrams import repeated_ngrams
+
+    rng = random.Random(4)
+    texts = [(a, "".join(rng.choice("abé") for _ in range(rng.choice([0, 3, 4, 7, 60])))) for a in (1, 2, 2**60, 2**60 + 1) for _ in range(20)]
+    texts += [(1, "a" * 30_000), (1, None), (5, "x"), (6, "日本語文字" * 9), (7, "abcd"), (7, "abcd"), (None, "abcdabcd")]
+    df = spark.createDataFrame(texts, "asset_id long, t string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {(r.asset_id, r.n, r.gram): r.times for r in repeated_ngrams(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for a, t in texts:
+        for n in range(4, 9):
+            for i in range(len(t or "") - n + 1):
+                want[a, n, t[i : i + n]] = want.get((a, n, t[i : i + n]), 0) + 1
+    assert got == {k: v for k, v in want.items() if v >= 2}
