@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutloom.plans import edits, quality, rules, script, words
+from cutloom.plans import documents, edits, quality, rules, script, words
 
-PLANS = (words, edits, quality, script, rules)
+PLANS = (words, edits, quality, script, rules, documents)
 
 
 def queries() -> dict:
