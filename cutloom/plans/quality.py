@@ -144,7 +144,9 @@ def j19_drops_still_kept(spark, sf_dir):
     return n.withColumn("status", F.when(F.col("n_over") == 0, "PASS").otherwise("FAIL"))
 
 
-@query()
+@query(select(SEGMENTS, """
+SELECT s.asset_id, s.seg_id, s.is_last AS last, s.end_us - w.end_us AS margin_us, CASE WHEN coalesce(s.end_us - w.end_us, -1) >= CASE WHEN s.is_last THEN 500000 ELSE 0 END THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (SELECT *, lead(seg_id) OVER (PARTITION BY asset_id ORDER BY end_us, seg_id) IS NULL AS is_last FROM segments) s LEFT JOIN words w ON w.asset_id = s.asset_id AND w.word_idx = s.last_idx"""))
 def j19_keep_ends(spark, sf_dir):
     """J19, second half: kept ends that don't reach their last word's end, at the tail 0.5 s more."""
     return C.keep_ends(segments(spark, sf_dir), D.words(spark, sf_dir))
@@ -223,13 +225,42 @@ def output_items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     return items, words, frames, assets
 
 
-@query()
+_CHECKED = _TIMELINE + "," + _SIGNALS + """,
+lens AS (SELECT asset_id, CAST(floor(sum(n_frames) * 1000000 / 30) AS BIGINT) AS total_us, CAST(sum(end_us - start_us) AS BIGINT) AS edl_us FROM tl2 GROUP BY 1),
+it AS (SELECT t.asset_id, seg_id AS item_id, ['keyword_absent', 'keyword_present', 'last_word_complete', 'duration_check', 'edl_duration_check', 'audio_content_check', 'other'][CAST(seg_id % 7 AS INTEGER) + 1] AS method,
+  CASE WHEN seg_id % 11 <> 0 THEN CAST(floor(out_frame * 1000000 / 30) AS BIGINT) END AS ws, CASE WHEN seg_id % 11 <> 0 THEN CAST(floor((out_frame + n_frames) * 1000000 / 30) AS BIGINT) END AS we,
+  CASE WHEN seg_id % 2 = 0 THEN ['the', 'que', 'die'] ELSE [] END AS ka, CASE WHEN seg_id % 3 <> 0 THEN ['e'] ELSE [] END AS kp, CASE WHEN seg_id % 5 <> 0 THEN seg_id % 5 * 1000000 END AS mn, CASE WHEN seg_id % 4 = 0 THEN 60000000 END AS mx, total_us, edl_us
+  FROM tl2 t JOIN lens l ON l.asset_id = t.asset_id),
+iw AS (SELECT *, CASE WHEN method = 'last_word_complete' THEN greatest(total_us - coalesce(mn, 4000000), 0) ELSE ws END AS lo, CASE WHEN method = 'last_word_complete' THEN total_us ELSE we END AS hi FROM it),
+sp AS (SELECT * FROM iw WHERE lo IS NOT NULL AND method IN ('keyword_absent', 'keyword_present', 'last_word_complete', 'audio_content_check')),
+ow AS (SELECT w.asset_id, w.word_idx, w.word, w.start_us + (t.out_frame * 1000000.0 / 30 - t.start_us) AS s, w.end_us + (t.out_frame * 1000000.0 / 30 - t.start_us) AS e FROM words w JOIN tl2 t ON t.asset_id = w.asset_id
+  AND w.start_us + w.end_us >= 2 * t.start_us AND w.start_us + w.end_us < 2 * t.end_us),
+tx AS (SELECT sp.asset_id, item_id, string_agg(lower(word), ' ' ORDER BY word_idx) AS t FROM sp JOIN ow ON ow.asset_id = sp.asset_id AND ow.s + ow.e >= 2 * lo AND ow.s + ow.e < 2 * hi GROUP BY 1, 2),
+fm AS (SELECT fr.asset_id, floor(frame_idx * total_us / 8) AS s, floor((frame_idx + 1) * total_us / 8) AS e, round(rms, 9) AS rms FROM fr JOIN lens ON lens.asset_id = fr.asset_id),
+ld AS (SELECT sp.asset_id, item_id, max(rms) AS rms FROM sp JOIN fm ON fm.asset_id = sp.asset_id AND fm.s < hi AND lo < fm.e GROUP BY 1, 2),
+jo AS (SELECT iw.*, ld.rms, lo IS NOT NULL AS win, coalesce(ld.rms, 0) < 0.005 AS silent, list_filter(kp, lambda k: NOT contains(coalesce(t, ''), k)) AS lost, list_filter(ka, lambda k: contains(coalesce(t, ''), k)) AS heard
+  FROM iw LEFT JOIN tx ON tx.asset_id = iw.asset_id AND tx.item_id = iw.item_id LEFT JOIN ld ON ld.asset_id = iw.asset_id AND ld.item_id = iw.item_id),
+chk AS (SELECT asset_id, item_id, method, rms, CASE
+  WHEN method = 'keyword_absent' THEN CASE WHEN NOT win THEN 'SKIP' WHEN len(ka) = 0 AND len(kp) > 0 THEN CASE WHEN len(lost) = 0 THEN 'PASS' ELSE 'FAIL' END WHEN len(ka) = 0 THEN CASE WHEN silent THEN 'FAIL' ELSE 'PASS' END WHEN silent OR len(heard) > 0 THEN 'FAIL' ELSE 'PASS' END
+  WHEN method = 'keyword_present' THEN CASE WHEN NOT win THEN 'SKIP' WHEN silent OR len(lost) > 0 THEN 'FAIL' ELSE 'PASS' END
+  WHEN method = 'last_word_complete' THEN CASE WHEN silent OR len(lost) > 0 THEN 'FAIL' ELSE 'PASS' END
+  WHEN method = 'duration_check' THEN CASE WHEN total_us BETWEEN coalesce(mn, 0) AND coalesce(mx, 9999000000) THEN 'PASS' ELSE 'FAIL' END
+  WHEN method = 'edl_duration_check' THEN CASE WHEN abs(total_us - edl_us) > 300000 THEN 'FAIL' ELSE 'PASS' END
+  WHEN method = 'audio_content_check' THEN CASE WHEN NOT win THEN 'SKIP' WHEN silent THEN 'FAIL' ELSE 'PASS' END ELSE 'SKIP' END AS status,
+  CASE WHEN win AND (method IN ('keyword_present', 'last_word_complete') AND NOT silent OR method = 'keyword_absent' AND len(ka) = 0 AND len(kp) > 0) THEN array_to_string(lost, ',') END AS missing,
+  CASE WHEN win AND method = 'keyword_absent' AND len(ka) > 0 AND NOT silent THEN array_to_string(heard, ',') END AS found FROM jo)"""
+
+
+@query(select(SEGMENTS + _CHECKED, "SELECT * FROM chk"))
 def v6_output_checks(spark, sf_dir):
     """V5, V6: the status of every item on the output's words and loudness, with the keywords missing and found."""
     return C.check_items(*output_items(spark, sf_dir)).withColumns({k: F.array_join(k, ",") for k in ("missing", "found")})
 
 
-@query()
+@query(select(SEGMENTS + _CHECKED + """,
+cn AS (SELECT asset_id, count(*) AS total, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status = 'FAIL') AS f, count(*) FILTER (WHERE status = 'SKIP') AS skipped, count(*) FILTER (WHERE status = 'ERROR') AS errored FROM chk GROUP BY 1)""", """
+SELECT l.asset_id, total, passed, f + CASE WHEN abs(total_us - edl_us) > 300000 THEN 1 ELSE 0 END AS failed, skipped, errored, abs(total_us - edl_us) > 300000 AS edl_differs,
+  CASE WHEN f = 0 AND errored = 0 AND NOT abs(total_us - edl_us) > 300000 THEN 'PASS' ELSE 'FAIL' END AS overall FROM lens l JOIN cn ON cn.asset_id = l.asset_id"""))
 def a13_output_summary(spark, sf_dir):
     """Counts by status, the check of the length, and the verdict."""
     items, words, frames, assets = output_items(spark, sf_dir)
@@ -337,7 +368,20 @@ def v7_storyboard_checks(spark, sf_dir):
     return g.join(most, "asset_id").withColumn("overused", F.col("most_used") >= 4)
 
 
-@query()
+@query(select(SEGMENTS + _TIMELINE + """,
+sc AS (SELECT asset_id, seg_id AS scene_id, CAST(floor(out_frame * 1000000 / 30) AS BIGINT) AS start_us, CAST(floor((out_frame + n_frames) * 1000000 / 30) AS BIGINT) AS end_us, seg_id % 9 AS component,
+  CASE WHEN seg_id % 13 = 1 THEN 'hook' WHEN seg_id % 7 = 0 THEN 'bridge' ELSE 'scene' END AS kind, CASE WHEN seg_id % 20 = 0 THEN 'big' WHEN seg_id % 7 = 3 THEN 'soft' ELSE 'hard' END AS cut, seg_id % 23 = 0 AS flash, length(text) AS nc FROM tl2),
+sx AS (SELECT *, end_us - start_us AS dur, lag(end_us) OVER (PARTITION BY asset_id ORDER BY scene_id) AS before,
+  CASE WHEN flash THEN start_us - max(CASE WHEN flash THEN start_us END) OVER (PARTITION BY asset_id ORDER BY scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS since FROM sc),
+mo AS (SELECT asset_id, max(n) AS most_used FROM (SELECT asset_id, component, count(*) AS n FROM sc GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT asset_id, count(*) AS n_scenes, CAST(sum(dur) AS BIGINT) AS total_us, avg(dur) AS mean_us, arg_min(dur, scene_id) AS first_us, count(*) FILTER (WHERE flash) AS n_flashes, min(since) AS flash_gap_us, count(*) FILTER (WHERE kind = 'bridge') AS n_bridges,
+  count(*) FILTER (WHERE kind = 'hook' AND start_us <= 3000000) AS hooks, count(*) FILTER (WHERE cut = 'hard') AS n_hard, count(*) FILTER (WHERE cut = 'soft') AS n_soft, count(*) FILTER (WHERE cut = 'big') AS n_big,
+  CAST(sum(nc) AS BIGINT) AS n_chars, count(*) FILTER (WHERE before <> start_us) AS n_breaks FROM sx GROUP BY 1),
+bd(pace, k, b0, b1, b2, b3, b4) AS (VALUES ('hook', 0, 2000000, 30, 60, 800000, 2000000), ('tutorial', 1, 5000000, 15, 30, 2000000, 5000000), ('documentary', 2, 8000000, 8, 15, 3000000, 8000000))""", """
+SELECT g.* EXCLUDE (hooks), most_used, total_us + g.asset_id % 5 * 200000 AS target_us, pace, abs(g.asset_id % 5 * 200000) <= 500000 AS length_ok, first_us <= b0 AS first_ok, n_flashes <= 2 AND coalesce(flash_gap_us, 8000000) >= 8000000 AS flashes_ok,
+  most_used < 4 AS components_ok, n_bridges * 100 <= n_scenes * 15 AS bridges_ok, hooks > 0 AS hook_ok, n_soft * 100 <= (n_hard + n_soft + n_big) * 15 AND n_big * 100 <= (n_hard + n_soft + n_big) * 5 AS cuts_ok,
+  n_chars * 1000000 BETWEEN 3 * total_us AND 4 * total_us AS narration_ok, n_breaks = 0 AS contiguous_ok, n_scenes * 60000000 BETWEEN b1 * total_us AND b2 * total_us AS shots_ok, mean_us BETWEEN b3 AND b4 AS mean_ok, n_scenes * 60000000.0 / total_us AS shots_per_minute
+FROM g JOIN mo ON mo.asset_id = g.asset_id JOIN bd ON k = g.asset_id % 3"""))
 def v7_storyboard_verdicts(spark, sf_dir):
     """All rules of a storyboard, whose scenes are the segments on the output's time."""
     i, us = F.col("seg_id"), lambda n: F.floor(n * F.lit(1000000) / 30)
