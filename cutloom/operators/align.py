@@ -105,12 +105,13 @@ def radius_of(q: Column | int):
     return max(GRAM, int(q * RADIUS)) if isinstance(q, int) else F.greatest(F.lit(GRAM), F.floor(q * RADIUS))
 
 
-def blocks_of(words: DataFrame) -> DataFrame:
-    """words(asset_id, word_idx, word, start_us, end_us, conf_milli) -> asset_id, block, w: the words that begin in each block
-    of the line of letters, in order, with where they end on it.  Words without letters stand where the line goes on."""
-    w = words.select("asset_id", "word_idx", F.coalesce(normalize_align(F.col("word")), F.lit("")).alias("n"), F.coalesce(F.col("conf_milli") / 1000.0, F.lit(0.0)).alias("c"), "start_us", "end_us")
+def blocks_of(words: DataFrame, normal=normalize_align, size: int = BLOCK) -> DataFrame:
+    """words(asset_id, word_idx, word, start_us, end_us, [conf_milli]) -> asset_id, block, w: the words that begin in each block of
+    the line of normal letters, in order, with where they end on it.  Words without letters stand where the line goes on."""
+    sure = F.coalesce(F.col("conf_milli") / 1000.0, F.lit(0.0)) if "conf_milli" in words.columns else F.lit(0.0)
+    w = words.select("asset_id", "word_idx", F.coalesce(normal(F.col("word")), F.lit("")).alias("n"), sure.alias("c"), "start_us", "end_us")
     w = running_sum(w.withColumn("size", F.length("n").cast("long")), "size", "e")
-    w = w.withColumn("block", F.floor((F.col("e") - F.col("size")) / BLOCK))
+    w = w.withColumn("block", F.floor((F.col("e") - F.col("size")) / size))
     return w.groupBy("asset_id", "block").agg(F.array_sort(F.collect_list(F.struct("word_idx", "n", "e", "c", "start_us", "end_us"))).alias("w"))
 
 
@@ -121,16 +122,22 @@ _FOUND = pa.schema([
 _FIELDS = "asset_id long, norm string, p long, first_idx int, last_idx int, start_us long, end_us long, f1 double, confidence double"
 
 
+def line_of(blocks: pa.ChunkedArray) -> tuple[str, int, np.ndarray, list[np.ndarray]]:
+    """The letters of blocks that follow each other, where they begin on the line, where each word ends in them, and the words'
+    numbers, confidence and times."""
+    lines = {v[0].as_py()["word_idx"]: v for v in (x.values for x in blocks)}  # a block comes once for each number it covers
+    w = pa.concat_arrays([lines[i] for i in sorted(lines)])
+    parts, ends = w.field("n").to_pylist(), w.field("e").to_numpy()
+    base = int(ends[0]) - len(parts[0])
+    return "".join(parts), base, ends - base, [w.field(f).to_numpy() for f in ("word_idx", "c", "start_us", "end_us")]
+
+
 def _score_band(key: tuple, blocks: pa.Table, asked: pa.Table) -> pa.Table:
     asset, size_class, band = (k.as_py() for k in key)
     if not blocks.num_rows or not asked.num_rows:
         return _FOUND.empty_table()
-    lines = {v[0].as_py()["word_idx"]: v for v in (x.values for x in blocks["w"])}  # a block comes once for each number it covers
-    w = pa.concat_arrays([lines[i] for i in sorted(lines)])
-    idx, ends, conf, starts_us, ends_us = (w.field(f).to_numpy() for f in ("word_idx", "e", "c", "start_us", "end_us"))
-    parts = w.field("n").to_pylist()
-    text, base = "".join(parts), int(ends[0]) - len(parts[0])
-    places, ends = places_of(text), ends - base
+    text, base, ends, (idx, conf, starts_us, ends_us) = line_of(blocks["w"])
+    places = places_of(text)
     low = band * WIDTH * 2**size_class - base
     high, low = min(low + WIDTH * 2**size_class, len(text)), max(low, 0)
     rows = []
@@ -174,7 +181,7 @@ def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
     touched = F.sequence(F.floor((F.col("band") - 1 / WIDTH) * wide / BLOCK), F.floor((F.col("band") + 1 + 4 / WIDTH) * wide / BLOCK))
     # The word in which a band's letters begin may begin in a block ahead of them.
     around = bands.select("asset_id", "size_class", "band").distinct().withColumn("block", F.explode(touched))
-    lines = around.join(_filled(blocks), ["asset_id", "block"]).select("asset_id", "size_class", "band", "block", "w")
+    lines = around.join(filled(blocks), ["asset_id", "block"]).select("asset_id", "size_class", "band", "block", "w")
     lines = lines.toDF("asset", "class", "of_band", "block", "w")  # names of their own, as both sides come from bands
     asked = bands.groupBy("asset_id", "size_class", "band")
     found = lines.groupBy("asset", "class", "of_band").cogroup(asked).applyInArrow(_score_band, _FIELDS)
@@ -234,7 +241,7 @@ def _bands(s: DataFrame, blocks: DataFrame, own: list[str]) -> DataFrame:
     return rare.join(said, [*own, "g"]).select("asset_id", "size_class", bands.alias("band"), "norm").distinct()
 
 
-def _filled(blocks: DataFrame) -> DataFrame:
+def filled(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
     """Blocks, by every number that their words reach into."""
-    last = F.floor((F.element_at("w", -1)["e"] - 1) / BLOCK)
+    last = F.floor((F.element_at("w", -1)["e"] - 1) / size)
     return blocks.withColumn("block", F.explode(F.sequence(F.col("block"), F.greatest("block", last))))

@@ -1,4 +1,4 @@
-"""Splitting and trimming of word ranges, as-of words, phrases and cursor matches."""
+"""Splitting and trimming of word ranges, as-of words and cursor matches."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.functions.text import normalize_phrase
 from cutloom.operators.segment import islands
 
 
@@ -54,20 +53,6 @@ def next_words(points: DataFrame, words: DataFrame) -> DataFrame:
     return out.select("asset_id", "point_id", F.col("t").alias("t_us"), "n.word_idx", F.col("n.start_us").alias("word_start_us"))
 
 
-def locate_phrases(words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrases(asset_id, phrase) -> the words of the first occurrence in the asset's words without spaces and marks,
-    or nulls; an empty phrase is found nowhere."""
-    n = words.select("asset_id", "word_idx", normalize_phrase(F.col("word")).alias("n"), "start_us", "end_us")
-    text = n.groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "n"))), lambda x: x["n"]), "").alias("text"))
-    p = phrases.withColumn("q", normalize_phrase(F.col("phrase"))).join(text, "asset_id", "left")
-    p = p.withColumn("at", F.when(F.length("q") > 0, F.nullif(F.expr("position(q IN text)"), F.lit(0)))).withColumn("to", F.col("at") + F.length("q") - 1).drop("text")
-    upto = F.sum(F.length("n")).over(Window.partitionBy("asset_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0))
-    w = n.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.length("n") + 1).filter("hi >= lo")
-    first = w.select("asset_id", F.explode(F.sequence("lo", "hi")).alias("at"), F.col("word_idx").alias("first_idx"), "start_us")
-    last = w.select("asset_id", F.explode(F.sequence("lo", "hi")).alias("to"), F.col("word_idx").alias("last_idx"), "end_us")
-    return p.join(first, ["asset_id", "at"], "left").join(last, ["asset_id", "to"], "left").select("asset_id", "phrase", "first_idx", "last_idx", "start_us", "end_us")
-
-
 def translations(cues: DataFrame, lines: DataFrame) -> DataFrame:
     """Cues in order with the lines of the same place (by their index); missing ones are ''."""
     place = lambda df, o: df.withColumn("_place", F.row_number().over(Window.partitionBy("asset_id").orderBy(o)))

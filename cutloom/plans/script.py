@@ -10,6 +10,7 @@ from cutloom.operators import edl as E
 from cutloom.operators import retakes as R
 from cutloom.operators import signal as G
 from cutloom.operators import speech as P
+from cutloom.operators.phrases import locate_phrases
 from cutloom.plans import quality as Q
 from cutloom.plans.edits import _ALL_CUTS, _CUES, all_cuts, cues
 from cutloom.plans.sql import SEGMENTS, WORDS, select
@@ -131,7 +132,7 @@ def j15_located_phrases(spark, sf_dir):
     """Where a phrase of each asset is said first."""
     w = D.words(spark, sf_dir)
     said = w.filter("word_idx between 5 and 7").groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    return P.locate_phrases(w, said.union(w.select("asset_id").distinct().select("asset_id", F.lit("nowhere at all"))))
+    return locate_phrases(w, said.union(w.select("asset_id").distinct().select("asset_id", F.lit("nowhere at all"))))
 
 
 @query(select(SEGMENTS + _CUES, """

@@ -10,6 +10,7 @@ from cutloom.operators import checks as C
 from cutloom.operators import retakes as R
 from cutloom.operators import segment as S
 from cutloom.operators import speech as P
+from cutloom.operators.phrases import locate_phrases
 
 GOLD = json.loads((Path(__file__).parent / "data" / "recording.json").read_text(encoding="utf-8"))
 
@@ -48,7 +49,7 @@ def test_located_phrases(spark):
     said = [("美", 54.6, 54.8), ("国", 54.8, 55.0), ("从", 55.0, 55.2), ("61", 56.7, 57.0), ("万", 57.0, 57.2), ("美元", 57.2, 57.6)]
     rows = [(1, i, w, round(s * 1e6), round(e * 1e6), 900) for i, (w, s, e) in enumerate(said)]
     df = spark.createDataFrame(rows, "asset_id long, word_idx int, word string, start_us long, end_us long, conf_milli long")
-    out = {r.phrase: (r.start_us, r.end_us) for r in P.locate_phrases(df, spark.createDataFrame([(1, "61万美元"), (1, "不存在的话")], "asset_id long, phrase string")).collect()}
+    out = {r.phrase: (r.start_us, r.end_us) for r in locate_phrases(df, spark.createDataFrame([(1, "61万美元"), (1, "不存在的话")], "asset_id long, phrase string")).collect()}
     assert out == {"61万美元": (56_700_000, 57_600_000), "不存在的话": (None, None)}
 
 

@@ -10,6 +10,7 @@ from cutloom.operators import intervals as I
 from cutloom.operators import retakes as R
 from cutloom.operators import segment as S
 from cutloom.operators import speech as P
+from cutloom.operators.phrases import locate_phrases
 
 WORDS = "asset_id long, word_idx int, word string, start_us long, end_us long, conf_milli long"
 
@@ -268,7 +269,7 @@ def test_cursor_and_phrases(spark):
     lines = spark.createDataFrame([(1, 1, ["bb"]), (1, 2, ["aa"]), (1, 3, ["zz"]), (1, 4, [])], "asset_id long, line_no int, keywords array<string>")
     assert [(r.line_no, r.start_us, r.hit) for r in P.cursor_match(df, lines).orderBy("line_no").collect()] == [(1, 0, True), (2, 300_000, True), (3, 900_000, False), (4, 1_500_000, False)]
     p = spark.createDataFrame([(1, "c, c a"), (1, ""), (1, "zz"), (2, "aa")], "asset_id long, phrase string")
-    assert {(r.phrase, r.first_idx, r.last_idx) for r in P.locate_phrases(df, p).collect()} == {("c, c a", 2, 3), ("", None, None), ("zz", None, None), ("aa", None, None)}
+    assert {(r.phrase, r.first_idx, r.last_idx) for r in locate_phrases(df, p).collect()} == {("c, c a", 2, 3), ("", None, None), ("zz", None, None), ("aa", None, None)}
 
 
 def test_cursor_matches_equal_a_plain_scan(spark):
@@ -303,3 +304,24 @@ def test_repeated_ngrams_equal_plain_counts(spark):
             for i in range(len(t or "") - n + 1):
                 want[a, n, t[i : i + n]] = want.get((a, n, t[i : i + n]), 0) + 1
     assert got == {k: v for k, v in want.items() if v >= 2}
+
+
+def test_thousands_of_phrases_of_one_recording(spark, monkeypatch):
+    from cutloom.operators import phrases as H
+
+    monkeypatch.setattr(H, "STRETCH", 256)
+    monkeypatch.setattr(H, "BLOCK", 64)
+    rng = random.Random(5)
+    said = [(a, i, rng.choice(["da", "ba", "ka,", "...", "la", "mi! ", "é", "x" * 90]), i * 10, i * 10 + 5, 1) for a in (1, 2) for i in range(700)]
+    letters = lambda w: "".join(c for c in w if c not in " ,.!?")
+    own = {a: [letters(w) for x, _, w, *_ in said if x == a] for a in (1, 2)}
+    asked = [(a, " ".join(own[a][i : i + rng.choice([1, 2, 5, 9, 60])])) for a in (1, 2) for i in rng.choices(range(700), k=1500)]
+    asked += [(1, "never so"), (1, ""), (1, None), (2, "..."), (3, "da"), (1, "da"), (1, "da")]
+    got = sorted(((r.asset_id, r.phrase, r.first_idx, r.last_idx) for r in locate_phrases(spark.createDataFrame(said, WORDS), spark.createDataFrame(asked, "asset_id long, phrase string")).collect()), key=repr)
+    want = []
+    for a, phrase in asked:
+        text, q = "".join(own.get(a, [])), letters(phrase or "")
+        at = text.find(q) if q else -1
+        ends = np.cumsum([len(w) for w in own.get(a, [])])
+        want.append((a, phrase, *((int(np.searchsorted(ends, x, side="right")) for x in (at, at + len(q) - 1)) if at >= 0 else (None, None))))
+    assert got == sorted(want, key=repr) and sum(r[2] is None for r in got) < 300
