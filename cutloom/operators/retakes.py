@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.text import normalize
+from cutloom.functions.threads import one_thread
 from cutloom.operators.segment import running_sum
 
 LEAST_WORDS, MOST_WIDTH, LEAST_CHARS, MOST_CHARS = 3, 10, 4, 60
@@ -104,6 +105,7 @@ _BEST_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _BEST.sp
 
 
 def _best_partner(key: tuple, table: pa.Table) -> pa.Table:
+    one_thread()
     asset, bucket = (k.as_py() for k in key)
     line = Line(table)
     every = np.arange(len(line.idx))
