@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cutloom.functions.threads import one_thread
 from cutloom.llm.common import filesystem, give_back, scratch, staged, table
 from cutloom.llm.vectors import matrix, scaled, usable
 
@@ -230,6 +231,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, own: bool = True)
     stripes = max(1, min(len(files), tasks // blocks))
 
     def search(key: tuple, block: pa.Table) -> pa.Table:
+        one_thread()
         mine = files[key[0].as_py() // blocks :: stripes]
         rows = np.frombuffer(b"".join(block["v"].to_pylist()), "<i4").reshape(-1, size).astype(np.int64)
         whole, back = np.unique(rows, axis=0, return_inverse=True)
