@@ -262,12 +262,14 @@ def _write(folder: str, lengths: np.ndarray, kind: str, file_ids: int):
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes docs(doc_id, text) in ascending doc_id order; the manifest: path, part, seq, n_ids, n_bytes, start.
 
-    Null texts are empty (the end id alone), null doc_ids come first, rows with equal ids keep next to each other in an
-    order that Spark chooses; columns besides these two are left out; no rows give an empty manifest.
+    Null texts are empty (the end id alone), null doc_ids come first, rows with equal ids keep next to each other by a hash of
+    their texts, so that an id on very many rows spreads; columns besides these two are left out; no rows give an empty
+    manifest.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = picked.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = picked.repartitionByRange(*order).sortWithinPartitions(*order)
     kind = "<u2" if max(end_id, vocabulary_size(tokenizer) - 1) < 1 << 16 else "<u4"
     ids = staged(dealt.mapInArrow(_tokenise(tokenizer, end_id, kind), "part int, pos long, doc_id long, ids binary"), "ids")
     # One row for each id of the vocabulary at most.
@@ -308,7 +310,8 @@ def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield part.assign(ids=[bytes(x) for x in each[i : i + 5_000]]) if with_ids else part
 
     n = max(1, -(-(manifest.agg(F.sum("n_ids")).first()[0] or 0) // TASK_IDS))
-    return manifest.select("path", "start").repartition(n, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    # Files of about one size, so ranges of places deal them out evenly.
+    return manifest.select("path", "start").repartitionByRange(n, "start").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

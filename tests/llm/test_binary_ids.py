@@ -91,3 +91,17 @@ def test_a_range_is_cut_into_files(spark):
     files = manifest.collect()
     assert len(files) > 20 and max(f.n_ids for f in files) < 50 + 20
     hold(rows, b.read_ids(manifest).collect())
+
+
+def test_one_id_on_a_third_of_all_rows_spreads(spark):
+    rows = [(5 if i % 3 == 0 else i, f"text {i} of many") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        manifest = b.write_ids(df, PATH, scratch(spark, "spread"))
+        sizes = {r.part: r.n for r in manifest.groupBy("part").sum("n_ids").toDF("part", "n").collect()}
+        assert len(sizes) == 4 and max(sizes.values()) < 0.4 * sum(sizes.values())
+        got = b.read_ids(manifest, with_ids=False).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows) and all(x.start + x.n_tokens == y.start for x, y in zip(got, got[1:]))
