@@ -143,8 +143,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
 
 
-def chain_shares(emission: np.ndarray, codes: np.ndarray, n: np.ndarray, a: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of the labels' posteriors for each chain; chain i has n[i] of the codes, which pick rows of emission.
+def chain_shares(emission: np.ndarray, codes: np.ndarray, n: np.ndarray, a: np.ndarray, start: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the labels' posteriors for each chain; chain i has n[i] of the codes, which pick rows of emission.  label gets
+    the likeliest label of each code.
 
     Exact for chains of any length: a block's words become one matrix, which carries the forward message from the block before
     and the backward message from the block after."""
@@ -189,6 +190,8 @@ def chain_shares(emission: np.ndarray, codes: np.ndarray, n: np.ndarray, a: np.n
         post = _within(e, there, a, np.where(first[some, None], into[some], into[some] @ a), back[some])
         for c in range(k):
             out[:, c] += np.bincount(chain[some], post[:, :, c].sum(axis=1), len(n))
+        if label is not None:
+            label[(begin[some, None] + np.arange(there.shape[1]))[there]] = post[there].argmax(axis=1)
     return out
 
 
@@ -290,31 +293,51 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
     return model
 
 
-def label(model: Crf, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and share of each text."""
-    k = len(model.languages)
-    names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if not k:
-        return names, best
+def _labelled_words(model: Crf, texts: list[str | None], label: bool = False):
+    """For each text its words, how many of them have letters, and the labels' shares; with label, each such word's label."""
     found = [words_of(t) for t in texts]
     count = np.fromiter(map(len, found), np.int64, len(found))
-    if not count.sum():
-        return names, best
     coded = pa.array([w for x in found for w in x], pa.large_string()).dictionary_encode()
     values, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    letters = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in values])
-    emission = model.emissions(values)
+    letters = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in values], dtype=bool)
+    emission = model.emissions(values) if values else np.zeros((0, len(model.languages)))
     owner = np.repeat(np.arange(len(texts)), count)
-    keep = letters[codes]
+    keep = letters[codes] if len(codes) else np.zeros(0, dtype=bool)
     owner, codes = owner[keep], codes[keep]
     n = np.bincount(owner, minlength=len(texts))
-    share = chain_shares(emission, codes, n, np.exp(model.transition), np.exp(model.start))
+    labels = np.zeros(len(codes), dtype=np.int64) if label else None
+    share = chain_shares(emission, codes, n, np.exp(model.transition), np.exp(model.start), labels)
+    return count, keep, n, share, labels
+
+
+def label(model: Crf, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and share of each text."""
+    names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if not model.languages:
+        return names, best
+    _, _, n, share, _ = _labelled_words(model, texts)
     for i in np.flatnonzero(n):
         j = int(share[i].argmax())
         names[i], best[i] = model.languages[j], min(1.0, share[i, j] / n[i])
     return names, best
 
 
+def label_spans(model: Crf, texts: list[str | None]) -> list[list[dict]]:
+    """Runs of words of one language in each text: first and stop number words as words_of() gives them; words without a
+    letter go with the word before them, at a text's beginning with the first that has one."""
+    if not model.languages:
+        return [[] for _ in texts]
+    count, keep, n, _, labels = _labelled_words(model, texts, label=True)
+    out, at, word = [], 0, 0
+    for size, known in zip(count.tolist(), n.tolist()):
+        own, place = labels[at : at + known], np.flatnonzero(keep[word : word + size])
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        ends = [*place[first[1:]].tolist(), size]
+        out.append([{"first": a, "stop": b, "lang": model.languages[j]} for a, b, j in zip([0, *ends], ends, own[first].tolist())] if known else [])
+        at, word = at + known, word + size
+    return out
+
+
 def training_chains(words: list[str]) -> list[str]:
     """Chains of TRAIN_CHAIN words, in pieces of at most TRAIN_CHARS characters; longer words are cut too."""
     out = []
@@ -382,6 +405,23 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
     return some.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def identify_spans(docs: DataFrame, model: Crf) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, spans: the languages of a code-switched text, word by word, as runs.  Null texts and those
+    without letters have none; other columns are dropped."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
+        for batch in batches:
+            texts = batch.column("text")
+            found = [s for some in cuts(texts, 1_000_000) for s in label_spans(shared.value, texts[some].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
+        give_back()
+
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return some.mapInArrow(run, "doc_id long, spans array<struct<first:int,stop:int,lang:string>>")
+
+
 def keep_identified(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text has a language with at least threshold of its words; all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -195,3 +195,20 @@ def test_training_chains_hold_all_letters():
     chains = lang.training_chains(words)
     assert "".join(chains).replace(" ", "") == "".join(words) and max(map(len, chains)) <= lang.TRAIN_CHARS
     assert lang.training_chains([]) == []
+
+
+def test_spans_of_code_switched_texts(spark):
+    docs = [(d.lang, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").select("lang", "text").filter("length(text) between 200 and 3000").limit(300).collect()]
+    model = lang.fit([(" ".join(lang.words_of(t)), x) for x, t in docs[:200]])
+    by = {}
+    for x, t in docs[200:]:
+        by.setdefault(x, []).append(lang.words_of(t)[:40])
+    (a, wa), (b, wb) = [(x, next(w for w in t if len(w) >= 30)) for x, t in sorted(by.items()) if any(len(w) >= 30 for w in t)][:2]
+    mixed = " ".join([*wa[:30], *wb[:30]])
+    rows = [(1, mixed), (2, None), (3, ""), (4, "12 34"), (5, "12 " + " ".join(wa[:30]) + " 99"), (6, mixed)]
+    got = {r.doc_id: r.spans for r in lang.identify_spans(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int"), model).collect()}
+    assert got[2] == got[3] == got[4] == [] and got[1] == got[6]
+    word = [s.lang for s in got[1] for _ in range(s.first, s.stop)]
+    assert len(word) == 60 and sum(x == y for x, y in zip(word, [a] * 30 + [b] * 30)) >= 54
+    n = len(lang.words_of(rows[4][1]))
+    assert got[5][0].first == 0 and got[5][-1].stop == n and max(got[5], key=lambda s: s.stop - s.first).lang == a
