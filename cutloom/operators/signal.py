@@ -21,6 +21,22 @@ def frame_rms(signals: DataFrame, frame: int, scale: float = 32768.0) -> DataFra
     return s.select("asset_id", "frame_idx", F.size("x").alias("n"), (F.sqrt(total / F.size("x")) / scale).alias("rms"))
 
 
+def block_rms(blocks: DataFrame, frame: int, scale: float = 32768.0) -> DataFrame:
+    """A18 for long signals: blocks(asset_id, at, samples), at: the place of a block's first sample -> as frame_rms().
+
+    A block sums the squares of its share of each frame; only frames that blocks share meet others.  Blocks that don't follow
+    each other leave out what is between them; empty and null ones count for nothing."""
+    b = blocks.filter(F.size("samples") > 0)
+    first, stop = F.floor(F.col("at") / frame), F.col("at") + F.size("samples")
+    low = lambda k: F.greatest(k * frame - F.col("at"), F.lit(0)).cast("int")
+    high = lambda k: F.least((k + 1) * frame - F.col("at"), F.size("samples").cast("long")).cast("int")
+    part = lambda k: F.struct(k.alias("frame_idx"), F.slice("samples", low(k) + 1, high(k) - low(k)).alias("x"))
+    b = b.select("asset_id", F.explode(F.transform(F.sequence(first, F.floor((stop - 1) / frame)), part)).alias("f")).select("asset_id", "f.frame_idx", "f.x")
+    total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    g = b.groupBy("asset_id", F.col("frame_idx").cast("int").alias("frame_idx")).agg(F.sum(F.size("x")).cast("int").alias("n"), F.sum(total).alias("total"))
+    return g.select("asset_id", "frame_idx", "n", (F.sqrt(F.col("total") / F.col("n")) / scale).alias("rms"))
+
+
 def silent_tail(frames: DataFrame, total_s: Column, frame_s: float, loud: float, full: int) -> DataFrame:
     """Seconds after the start of the last full frame louder than loud; all of it where there is none."""
     f = frames.filter(F.col("n") == full).groupBy("asset_id").agg(F.max(F.when(F.col("rms") > loud, F.col("frame_idx") * F.lit(frame_s))).alias("last_s"))
@@ -95,6 +111,55 @@ def lags(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.select("asset_id", lag("a", "b", F.lit(most)).alias("r")).select("asset_id", "r.lag", "r.peak")
 
 
+def _products(a: pd.Series, near: pd.Series, most: pd.Series) -> pd.Series:
+    import numpy as np
+
+    out = []
+    for x, y, m in zip(a, near, most):  # y: from m samples ahead of x to m behind it, 0 where there are none
+        x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+        out.append(np.correlate(y, x, "valid").tolist() if len(x) else [0.0] * (2 * int(m) + 1))
+    return pd.Series(out)
+
+
+def block_lags(a: DataFrame, b: DataFrame, size: int, most: int) -> DataFrame:
+    """M1 for long signals: a, b(asset_id, block, samples), blocks of size samples from 0 on, the last one may be shorter ->
+    asset_id, lag, peak, as lags() gives them.
+
+    Each block of a meets the samples of b around it, most on either side at most; sums of products of all blocks are added
+    up.  Samples behind the end of the shorter signal don't count.  most may not exceed size.  An asset in one of both gives
+    no row."""
+    if most > size:
+        raise ValueError("lags must not reach over a block")
+    lengths = [x.groupBy("asset_id").agg(F.sum(F.size("samples")).alias("n")) for x in (a, b)]
+    n = lengths[0].join(lengths[1].withColumnRenamed("n", "m"), "asset_id").select("asset_id", F.least("n", "m").alias("n"))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+
+    def cut(x: DataFrame) -> DataFrame:
+        """Blocks as doubles, without what stands behind the common length."""
+        keep = F.least(F.greatest(F.col("n") - F.col("block") * size, F.lit(0)), F.lit(size)).cast("int")
+        return x.join(n, "asset_id").select("asset_id", "block", F.slice(F.transform("samples", lambda v: v.cast("double")), F.lit(1), keep).alias("x")).filter(F.size("x") > 0)
+
+    a, b = cut(a), cut(b)
+    # Each block of b goes to its own place and to both neighbours, as far as lags reach.
+    head = b.select("asset_id", (F.col("block") - 1).alias("block"), F.lit(2).alias("side"), F.slice("x", 1, most).alias("y"))
+    tail = b.select("asset_id", (F.col("block") + 1).alias("block"), F.lit(0).alias("side"), F.slice(F.concat(zeros(F.greatest(F.lit(most) - F.size("x"), F.lit(0))), "x"), -most, most).alias("y"))
+    own = b.select("asset_id", "block", F.lit(1).alias("side"), F.col("x").alias("y"))
+    around = (own if most == 0 else own.unionByName(head).unionByName(tail)).groupBy("asset_id", "block").pivot("side", [0, 1, 2]).agg(F.first("y"))
+    j = a.join(around, ["asset_id", "block"], "left")
+    side = lambda k: F.coalesce(F.col(k), F.array().cast("array<double>"))
+    left = F.concat(zeros(F.lit(most) - F.size(side("0"))), side("0"))
+    right = F.concat(side("1"), side("2"))
+    near = F.concat(left, F.slice(right, F.lit(1), F.size("x") + most), zeros(F.greatest(F.size("x") + most - F.size(right), F.lit(0))))
+    products = F.pandas_udf(_products, "array<double>")
+    j = j.select("asset_id", "x", near.alias("near")).select("asset_id", F.posexplode(products("x", "near", F.lit(most))).alias("k", "c"))
+    sums = j.groupBy("asset_id", (F.col("k") - most).alias("lag")).agg(F.sum("c").alias("c")).join(n, "asset_id").filter(F.abs("lag") < F.col("n"))
+    best = sums.groupBy("asset_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "lag")).alias("b"))
+    square = lambda x, name: x.groupBy("asset_id").agg(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias(name))
+    out = best.join(square(a, "_a"), "asset_id").join(square(b, "_b"), "asset_id")
+    norm = F.sqrt(F.col("_a") * F.col("_b"))
+    return out.select("asset_id", F.col("b.lag").alias("lag"), (-F.col("b.c") / F.when(norm == 0, 1.0).otherwise(norm)).alias("peak"))
+
+
 def dhash(pixels: Column) -> Column:
     """32 x 32 grey values -> 16 rows of 15 bits: whether a 2 x 2 block's mean (floor) exceeds the block's to its right."""
     at = lambda r, c: F.get(pixels, r * 32 + c)

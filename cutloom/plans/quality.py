@@ -81,6 +81,26 @@ def m1_lags(spark, sf_dir):
     return G.lags(pairs, 6).withColumn("peak", F.round("peak", 6))
 
 
+def signal_blocks(spark, sf_dir, size: int) -> DataFrame:
+    """The signals in blocks of size samples: asset_id, block, samples."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / size).cast("int")), lambda k: F.struct(k.alias("block"), F.slice("samples", k * size + 1, size).alias("samples")))
+    return signals(spark, sf_dir).select("asset_id", F.explode(cut).alias("b")).select("asset_id", "b.block", "b.samples")
+
+
+@query(f"WITH {_SIGNALS} SELECT asset_id, frame_idx, n, round(rms, 9) AS rms FROM fr")
+def a18_block_rms(spark, sf_dir):
+    """Loudness of frames of signals that come in blocks, which frames run over."""
+    b = signal_blocks(spark, sf_dir, 20)
+    return G.block_rms(b.select("asset_id", (F.col("block") * 20).alias("at"), "samples"), 8).withColumn("rms", F.round("rms", 9))
+
+
+@query(_LAG_SQL)
+def m1_block_lags(spark, sf_dir):
+    """M1: lag and peak of the cross-correlation of neighbouring signals that come in blocks."""
+    b = signal_blocks(spark, sf_dir, 20)
+    return G.block_lags(b, b.withColumn("asset_id", F.col("asset_id") - 1), 20, 6).withColumn("peak", F.round("peak", 6))
+
+
 @query("""WITH px AS (SELECT vec_id AS asset_id, list_transform(range(0, 1024), lambda k: CAST(floor(least(greatest((embedding[((k // 32) * 37 + k % 32) % 64 + 1]::DOUBLE + 0.5) * 255, 0), 255)) AS INTEGER)) AS p FROM embeddings),
 bl AS (SELECT asset_id, list_transform(range(0, 256), lambda k: (p[(k // 16) * 64 + (k % 16) * 2 + 1] + p[(k // 16) * 64 + (k % 16) * 2 + 2] + p[(k // 16) * 64 + 32 + (k % 16) * 2 + 1] + p[(k // 16) * 64 + 32 + (k % 16) * 2 + 2]) // 4) AS b FROM px),
 h AS (SELECT asset_id, list_transform(range(0, 240), lambda k: CASE WHEN b[(k // 15) * 16 + k % 15 + 1] > b[(k // 15) * 16 + k % 15 + 2] THEN 1 ELSE 0 END) AS h FROM bl)

@@ -9,6 +9,7 @@ from cutloom.operators import edl as E
 from cutloom.operators import intervals as I
 from cutloom.operators import retakes as R
 from cutloom.operators import segment as S
+from cutloom.operators import signal as G
 from cutloom.operators import speech as P
 from cutloom.operators.phrases import locate_phrases
 
@@ -325,3 +326,18 @@ def test_thousands_of_phrases_of_one_recording(spark, monkeypatch):
         ends = np.cumsum([len(w) for w in own.get(a, [])])
         want.append((a, phrase, *((int(np.searchsorted(ends, x, side="right")) for x in (at, at + len(q) - 1)) if at >= 0 else (None, None))))
     assert got == sorted(want, key=repr) and sum(r[2] is None for r in got) < 300
+
+
+def test_signals_in_blocks_equal_whole_ones(spark):
+    rng = np.random.default_rng(6)
+    long = {a: rng.integers(-30_000, 30_000, n).tolist() for a, n in ((1, 1000), (2, 7), (3, 64), (4, 1))}
+    moved = {1: [0] * 5 + long[1][:900], 2: long[2][2:], 3: [0] * 64, 4: long[4]}
+    cut = lambda x, size: [(a, i // size, v[i : i + size]) for a, v in x.items() for i in range(0, len(v), size)]
+    whole = spark.createDataFrame([(a, v, moved[a]) for a, v in long.items()], "asset_id long, samples array<int>, other array<int>")
+    for size in (6, 16, 64):
+        a, b = (spark.createDataFrame(cut(x, size), "asset_id long, block int, samples array<int>") for x in (long, moved))
+        want = {(r.asset_id, r.frame_idx, r.n, round(r.rms, 9)) for r in G.frame_rms(whole, 10).collect()}
+        assert {(r.asset_id, r.frame_idx, r.n, round(r.rms, 9)) for r in G.block_rms(a.selectExpr("asset_id", f"block * {size}L as at", "samples"), 10).collect()} == want
+        want = {r.asset_id: (r.lag, round(r.peak, 9)) for r in G.lags(whole.selectExpr("asset_id", "samples as a", "other as b"), 6).collect()}
+        assert {r.asset_id: (r.lag, round(r.peak, 9)) for r in G.block_lags(a, b, size, 6).collect()} == want
+        assert want[1][0] == 5
