@@ -23,8 +23,28 @@ def running_sum(words: DataFrame, value: str, name: str, keys: tuple[str, ...] =
     return joined.withColumn(name, F.col(name) + F.col("_ahead")).drop("_block", "_ahead")
 
 
-def gaps(words: DataFrame) -> DataFrame:
-    """gap_before_us and gap_after_us; null at an asset's ends, which counts as endless."""
+def neighbours(words: DataFrame, before: dict[str, str], after: dict[str, str], keys: tuple[str, ...] = ("asset_id",), block: int = 8192) -> DataFrame:
+    """Adds columns with values of the word before and of the word after each; before, after: new name -> column.  Words are
+    looked at within blocks of numbers; a block's ends meet those of the blocks that have words next to it."""
+    at = words.withColumn("_block", F.floor(F.col("word_idx") / block))
+    within = Window.partitionBy(*keys, "_block").orderBy("word_idx")
+    cols = sorted({*before.values(), *after.values()})
+    ends = at.groupBy(*keys, "_block").agg(F.max(F.struct("word_idx", *cols)).alias("_last"), F.min(F.struct("word_idx", *cols)).alias("_first"))
+    order = Window.partitionBy(*keys).orderBy("_block")
+    ends = ends.select(*keys, "_block", F.lag("_last").over(order).alias("_left"), F.lead("_first").over(order).alias("_right"))
+    first, last = F.row_number().over(within) == 1, F.lead("word_idx").over(within).isNull()
+    at = at.withColumns({"_is_first": first, "_is_last": last, **{k: F.lag(c).over(within) for k, c in before.items()}, **{k: F.lead(c).over(within) for k, c in after.items()}})
+    j = at.join(ends, [*keys, "_block"])
+    j = j.withColumns({**{k: F.when(F.col("_is_first"), F.col(f"_left.{c}")).otherwise(F.col(k)) for k, c in before.items()}, **{k: F.when(F.col("_is_last"), F.col(f"_right.{c}")).otherwise(F.col(k)) for k, c in after.items()}})
+    return j.drop("_block", "_left", "_right", "_is_first", "_is_last")
+
+
+def gaps(words: DataFrame, spread: bool = False, block: int = 8192) -> DataFrame:
+    """gap_before_us and gap_after_us; null at an asset's ends, which counts as endless.  spread: for recordings of very many
+    words, no task holds all words of one."""
+    if spread:
+        n = neighbours(words, {"_end": "end_us"}, {"_start": "start_us"}, block=block)
+        return n.withColumns({"gap_before_us": F.col("start_us") - F.col("_end"), "gap_after_us": F.col("_start") - F.col("end_us")}).drop("_end", "_start")
     w = by_word()
     return words.withColumn("gap_before_us", F.col("start_us") - F.lag("end_us").over(w)).withColumn("gap_after_us", F.lead("start_us").over(w) - F.col("end_us"))
 
@@ -41,10 +61,19 @@ def text_of(word: str = "word", order: str = "word_idx", sep: str = " ") -> Colu
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, word))), lambda x: x[word]), sep)
 
 
-def pause_segments(words: DataFrame, pause_us: int = PAUSE_US, pad_us: int = PAD_US, least_us: int = LEAST_US, strict: bool = False) -> DataFrame:
-    """Segments between pauses of at least pause_us (strict: more than), padded, short ones dropped, numbered from 1."""
-    gap = F.col("start_us") - F.lag("end_us").over(by_word())
-    s = islands(words, gap > pause_us if strict else gap >= pause_us)
+def pause_segments(words: DataFrame, pause_us: int = PAUSE_US, pad_us: int = PAD_US, least_us: int = LEAST_US, strict: bool = False, spread: bool = False, block: int = 8192) -> DataFrame:
+    """Segments between pauses of at least pause_us (strict: more than), padded, short ones dropped, numbered from 1.
+
+    spread: for recordings of very many words; pauses and the segments' numbers come from blocks of words, so that a task
+    holds a block or a segment, at the price of two more joins."""
+    if spread:
+        n = neighbours(words, {"_end": "end_us"}, {}, block=block)
+        gap = F.col("start_us") - F.col("_end")
+        cut = F.when(gap > pause_us if strict else gap >= pause_us, 1).otherwise(0)
+        s = running_sum(n.withColumn("_cut", cut), "_cut", "island", block=block)
+    else:
+        gap = F.col("start_us") - F.lag("end_us").over(by_word())
+        s = islands(words, gap > pause_us if strict else gap >= pause_us)
     s = s.groupBy("asset_id", "island").agg(
         F.greatest(F.min("start_us") - pad_us, F.lit(0)).alias("start_us"),
         (F.max("end_us") + pad_us).alias("end_us"),

@@ -64,6 +64,20 @@ def w2_pause_segments(spark, sf_dir):
     return segments(spark, sf_dir).drop("mean_conf")
 
 
+@query(select(WORDS, """
+SELECT asset_id, word_idx, start_us - lag(end_us) OVER w AS gap_before_us, lead(start_us) OVER w - end_us AS gap_after_us
+FROM words WINDOW w AS (PARTITION BY asset_id ORDER BY word_idx)"""))
+def w1_spread_gaps(spark, sf_dir):
+    """The same gaps from blocks of words, as for recordings that no task can hold."""
+    return S.gaps(D.words(spark, sf_dir), spread=True, block=128).select("asset_id", "word_idx", "gap_before_us", "gap_after_us")
+
+
+@query(select(SEGMENTS, "SELECT asset_id, seg_id, start_us, end_us, n_words, text, first_idx, last_idx FROM segments"))
+def w2_spread_segments(spark, sf_dir):
+    """The same segments from blocks of words."""
+    return S.pause_segments(kept_words(spark, sf_dir), spread=True, block=128).drop("mean_conf")
+
+
 @query(select(KEPT, "SELECT asset_id, word_idx FROM kept"))
 def j1_words_outside_windows(spark, sf_dir):
     """Words whose midpoint lies in no marked window."""

@@ -341,3 +341,19 @@ def test_signals_in_blocks_equal_whole_ones(spark):
         want = {r.asset_id: (r.lag, round(r.peak, 9)) for r in G.lags(whole.selectExpr("asset_id", "samples as a", "other as b"), 6).collect()}
         assert {r.asset_id: (r.lag, round(r.peak, 9)) for r in G.block_lags(a, b, size, 6).collect()} == want
         assert want[1][0] == 5
+
+
+def test_spread_segments_and_gaps_equal_plain_ones(spark):
+    rng = random.Random(11)
+    rows, at = [], 0
+    for a in (1, 2, 3):
+        for i in sorted(rng.sample(range(200), 90)):  # numbers may have holes, as after drops
+            at += rng.choice([0, 100, 800, 801, 3000]) * 1000
+            rows.append((a, i, f"w{i}", at, at + 250_000, i))
+            at += 250_000
+    df = spark.createDataFrame(rows, WORDS).repartition(3)
+    table = lambda x: sorted(map(tuple, x.select(*sorted(x.columns)).collect()), key=repr)
+    for block in (1, 7, 64, 8192):
+        assert table(S.gaps(df, spread=True, block=block)) == table(S.gaps(df))
+        for strict in (False, True):
+            assert table(S.pause_segments(df, strict=strict, spread=True, block=block)) == table(S.pause_segments(df, strict=strict))
