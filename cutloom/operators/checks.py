@@ -80,6 +80,19 @@ def summary(checked: DataFrame, assets: DataFrame, tolerance_us: int = 300_000)
     )
 
 
+def detector_quality(found: DataFrame, labelled: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """found(keys), labelled(keys, repeat) -> tp, fp, fn, tn, precision, recall and f1 to 4 decimals, by the columns of by or
+    over all.  A key found without a label counts as fp, a null label as no repeat; a share of nothing is null."""
+    f = found.select(*keys).distinct().withColumn("_found", F.lit(True))
+    m = labelled.groupBy(*keys).agg(F.coalesce(F.bool_or("repeat"), F.lit(False)).alias("_repeat")).join(f, keys, "full")
+    p, q = F.coalesce("_found", F.lit(False)), F.coalesce("_repeat", F.lit(False))
+    counts = [F.count_if(c).alias(n) for n, c in (("tp", p & q), ("fp", p & ~q), ("fn", ~p & q), ("tn", ~p & ~q))]
+    g = m.groupBy(*(by or [])).agg(*counts)
+    share = lambda a, b: F.round(F.try_divide(a * F.lit(1.0), b), 4)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return g.withColumns({"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
+
+
 def keep_ends(segments: DataFrame, words: DataFrame, tail_us: int = 500_000) -> DataFrame:
     """segments(asset_id, seg_id, end_us, last_idx) -> asset_id, seg_id, last, margin_us, status: a kept end must reach the end
     of its last word, the asset's last one by tail_us more.  An index without a word fails."""

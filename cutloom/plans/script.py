@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cutloom.functions import text as T
 from cutloom.operators import align as A
+from cutloom.operators import checks as C
 from cutloom.operators import edl as E
 from cutloom.operators import retakes as R
 from cutloom.operators import signal as G
@@ -48,6 +49,15 @@ def w8_self_duplicates(spark, sf_dir):
     return R.self_duplicates(D.words(spark, sf_dir)).select("asset_id", "a_i", "a_j", "b_i", "b_j", "similarity", "gap_us", "dup_type")
 
 
+@query()
+def a11_retake_quality(spark, sf_dir):
+    """How well retakes are found in takes whose beginnings are said twice, by recording."""
+    w = D.takes(spark, sf_dir)
+    turn = w.select("asset_id", F.col("word_idx").alias("a_i"), "turn")
+    found = R.self_duplicates(w).join(turn, ["asset_id", "a_i"])
+    return C.detector_quality(found, D.retaken_turns(spark, sf_dir), ["asset_id", "turn"], ["asset_id"])
+
+
 @query()
 def j7_alignment(spark, sf_dir):
     """Script sentences in all conversations."""

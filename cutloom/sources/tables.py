@@ -85,3 +85,17 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("text", F.array_join(F.filter(tokens(F.col("text")), lambda w, i: i % 7 != 5), " ")).filter(F.length("text") >= 4)
     order = Window.partitionBy("asset_id").orderBy("turn", "p")
     return s.select("asset_id", F.row_number().over(order).alias("sent_id"), "text")
+
+
+def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all conversations as takes: in every third turn of eight words and more the first eight are said twice."""
+    talk = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset_id"), "turn", tokens(F.col("text")).alias("ws"))
+    said = F.when((F.col("turn") % 3 == 1) & (F.size("ws") >= 8), F.concat(F.slice("ws", 1, 8), "ws")).otherwise(F.col("ws"))
+    talk = talk.select("asset_id", "turn", F.posexplode(said).alias("p", "word"))
+    return timed(talk.select("asset_id", "turn", (F.col("p") + 1).alias("pos"), "word"))
+
+
+def retaken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset_id, turn, repeat: whether takes() says the turn's beginning twice."""
+    talk = read(spark, sf_dir, "conversations")
+    return talk.select(F.col("conv_id").alias("asset_id"), "turn", ((F.col("turn") % 3 == 1) & (F.size(tokens(F.col("text"))) >= 8)).alias("repeat"))

@@ -96,3 +96,10 @@ def test_storyboard_queries_run(spark):
     ends = catalog.queries()["j19_keep_ends"](spark, "/root/testdata/sf0.001").collect()
     assert {r.status for r in ends if not r.last} == {"PASS"} and {r.margin_us for r in ends} == {150_000} and {r.status for r in ends if r.last} == {"FAIL"}
     assert all(r.contiguous_ok for r in catalog.queries()["v7_storyboard_verdicts"](spark, "/root/testdata/sf0.001").collect())
+
+
+def test_detector_quality_by_hand(spark):
+    found = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 9)], "asset_id int, turn int")
+    labelled = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True), (1, 4, None), (3, 1, False)], "asset_id int, turn int, repeat boolean")
+    got = {r.asset_id: tuple(r)[1:] for r in C.detector_quality(found, labelled, ["asset_id", "turn"], ["asset_id"]).collect()}
+    assert got == {1: (1, 1, 1, 1, 0.5, 0.5, 0.5), 2: (0, 1, 0, 0, 0.0, None, 0.0), 3: (0, 0, 0, 1, None, None, None)}

@@ -33,6 +33,10 @@ def test_script_alignment_and_what_is_left(spark, words):
     assert got == sorted(map(tuple, GOLD["intervals"])) and len(got) == 19
     left = sorted((r.first_idx, r.last_idx, r.text.replace(" ", "")) for r in S.uncovered_runs(words, found).collect())
     assert left == sorted(map(tuple, GOLD["adlibs"])) and len(left) == 15
+    repeats = {i for i, n, *_ in GOLD["intervals"] if n > 0}
+    labelled = spark.createDataFrame([(i, i in repeats) for i, _ in GOLD["sentences"]], "sent_id int, repeat boolean")
+    quality = C.detector_quality(found.filter("interval_idx > 0"), labelled, ["sent_id"]).first()
+    assert tuple(quality) == (1, 0, 0, 19, 1.0, 1.0, 1.0)
     r = A.summary(words, script, found).first()
     assert (r.sentences, r.matched, r.unmatched, r.repeats, r.adlibs, r.match_rate) == (20, 18, 2, 1, 15, 0.9)
 
