@@ -13,6 +13,10 @@ from cutloom.llm import decontaminate, language, neardup, packing, quality
 from cutloom.llm.common import staged, table, tokenizer_path
 
 
+#: As many ids that stand on several rows are sent to every task; more are joined by a shuffle.
+SENT_IDS = 500_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; learnt from labels of documents."""
     trees = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -27,17 +31,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of several rows with its id the smallest by text and other columns,
     one without a text last."""
-    names = docs.columns
-    plain = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    plain = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     kept = neardup.near_duplicates(docs, (80, 100)).filter("kept and doc_id is not null")
     kept = staged(kept.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_times")), "kept")
     same = F.col("_id").cast("long") == F.col("_kept")
+    # Kept ids grow with the documents, so they are never sent to all tasks: texts move once, to small tables of ids.
+    once = plain.join(kept.filter("_times = 1").hint("shuffle_hash"), same, "left_semi")
     # Rows without an id can't be told apart and stay.
-    out = plain.join(kept.filter("_times = 1"), same, "left_semi").unionByName(plain.filter(F.col("_id").isNull()))
+    out = once.unionByName(plain.filter(F.col("_id").isNull()))
     several = kept.filter("_times > 1")
-    if not several.isEmpty():  # only rows that share an id move a second time, the smallest of each task
-        order = Window.partitionBy("_id").orderBy(F.col("_text").isNull(), "_text", F.to_json("_row"))
-        first = plain.join(several, same, "left_semi").withColumn("_first", F.row_number().over(order))
+    n = several.count()
+    if n:  # only rows that share an id move a second time, the smallest of each task
+        few = F.broadcast(several) if n <= SENT_IDS else several.hint("shuffle_hash")
+        order = Window.partitionBy("_id").orderBy(F.col("_row.text").isNull(), "_row.text", F.to_json("_row"))
+        first = plain.join(few, same, "left_semi").withColumn("_first", F.row_number().over(order))
         out = out.unionByName(first.filter("_first = 1").drop("_first"))
     return out.select("_row.*")
 
