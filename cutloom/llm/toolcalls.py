@@ -3,8 +3,8 @@
 Calls (in assistant messages) and results (tool messages) meet in a hash join on conversation and identifier.  Calls are
 put in a topological order: level 0 refers to no other call, the others come one level after the last call they refer
 to.  Arguments are validated against the tools' schemas, and calls are serialised as canonical JSON: sorted keys, no
-spaces, UTF-8 as it is.  Levels are found by rounds over a table of open references, never by gathering a conversation:
-chains of single references are halved in each round.
+spaces, UTF-8 as it is.  A conversation's references, without its texts, are folded in one task; those of very large
+conversations are taken by rounds over a table of open references, where chains of single references are halved in each.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +181,59 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     )
 
 
-def _levels(calls: DataFrame, links: DataFrame) -> DataFrame:
+def _fold_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the waiting calls of conversations whose links stand together, each link once."""
+
+    def levels(links: list[tuple[str, str]]) -> list[tuple[str, int]]:
+        left, behind = Counter(c for c, _ in links), defaultdict(list)
+        for c, t in links:
+            behind[t].append(c)
+        out: list[tuple[str, int]] = []
+        ready = [(t, 0) for t in behind if t not in left]
+        while ready:  # by ascending levels, so the last target that is met is the highest
+            ahead = []
+            for t, level in ready:
+                for c in behind[t]:
+                    left[c] -= 1
+                    if not left[c]:
+                        ahead.append((c, level + 1))
+            out, ready = out + ahead, ahead
+        return out
+
+    conv, links, rows = None, [], []
+    for batch in batches:
+        for own, c, t in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "call_id", "target"))):
+            if own != conv:
+                rows += [(conv, *x) for x in levels(links)]
+                conv, links = own, []
+            links.append((c, t))
+    rows += [(conv, *x) for x in levels(links)]
+    columns = zip(*rows) if rows else [[]] * 3
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64()))], names=["conv_id", "call_id", "level"])
+
+
+def _levels(calls: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+    """conv_id, call_id, level: 0 without references, else one more than the highest of the calls that it refers to; calls in
+    circles, and those after one, have none.
+
+    Conversations of up to most links are folded in one task each, after one shuffle of their links; larger ones are taken by
+    rounds over all tasks."""
+    most = LINKS if most is None else most
+    links = links.select("conv_id", "call_id", "target").distinct()
+    free = calls.select("conv_id", "call_id").join(links.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    large = links.groupBy("conv_id").count().filter(F.col("count") > most).select("conv_id")
+    small = links
+    rounds = None
+    if not large.isEmpty():  # one conversation for each most links at most
+        large = staged(large, "large")
+        small = links.join(large, "conv_id", "left_anti")
+        rounds = _levels_by_rounds(calls.select("conv_id", "call_id").join(large, "conv_id", "left_semi"), links.join(large, "conv_id", "left_semi")).filter("level > 0")
+    folded = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_fold_levels, "conv_id long, call_id string, level long")
+    out = free.unionByName(folded.withColumn("level", F.col("level").cast("int")))
+    return out if rounds is None else out.unionByName(rounds)
+
+
+def _levels_by_rounds(calls: DataFrame, links: DataFrame) -> DataFrame:
     """conv_id, call_id, level: rounds that take the calls whose references all have a level.
 
     An open link says that its call's level is at least least, and at least step above its target's.  A link whose target has
@@ -216,6 +270,9 @@ def ordered(calls: DataFrame) -> DataFrame:
     return calls.withColumn("place", F.row_number().over(w) - 1)
 
 
+#: Links of a conversation that one task folds.
+LINKS = 200_000
+
 SCHEMAS = {
     "lookup": {"required": ["query", "top"], "additionalProperties": False, "properties": {"query": {"type": "string"}, "top": {"type": "integer", "minimum": 1, "maximum": 300}, "after": {"type": "string"}}},
     "summarise": {"required": ["text", "words"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "words": {"type": "integer", "minimum": 2}, "style": {"type": "string", "enum": ["short", "long"]}, "after": {"type": "string"}}},

@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from cutloom.llm import toolcalls as tc
 
 
@@ -90,7 +92,9 @@ def test_query_keeps_whole_texts_and_long_chains(spark, tmp_path):
         assert r.level == r.place == turn // 2
 
 
-def test_levels_of_any_graph(spark):
+@pytest.mark.parametrize("most", [0, 25, tc.LINKS])  # rounds for all, for some, for none
+def test_levels_of_any_graph(spark, monkeypatch, most):
+    monkeypatch.setattr(tc, "LINKS", most)
     rng, rows, want = random.Random(5), [], {}
     for conv in range(30):
         n, most, back = rng.randrange(2, 60), rng.choice((1, 2, 3)), conv % 3 == 0  # back: references in both directions, with circles
