@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -426,11 +425,11 @@ def keep_identified(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -
     """The rows of docs whose text has a language with at least threshold of its words; all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        names, score = _labelled(shared, pa.array(text, pa.string(), from_pandas=True))
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        names, score = _labelled(shared, text)
         give_back()
-        return pd.Series([n != UNKNOWN and s >= threshold for n, s in zip(names, score)], dtype=bool)
+        return pa.array([n != UNKNOWN and bool(s >= threshold) for n, s in zip(names, score)], pa.bool_())
 
     return docs.filter(known(F.col("text").cast("string")))
 

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,11 +195,11 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> Da
     """The rows of docs that the classifier accepts, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        out = pd.Series(shared.value.score(features(text)))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        out = [shared.value.score(features(text[some].to_pylist())) for some in cuts(text)]
         give_back()
-        return out
+        return pa.array(np.concatenate([np.zeros(0), *out]))
 
     return docs.filter(score(F.col("text").cast("string")) >= threshold)
 

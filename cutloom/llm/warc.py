@@ -294,6 +294,9 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, le
     return staged(rows.unionByName(small).mapInArrow(_write(folder, level), "path string, n_bytes long, n_records long"), "warc-manifest")
 
 
+#: Files are dealt to so many tasks for each core.
+FILES_A_CORE = 16
+
 READ_SCHEMA = (
     "path string, begin long, end long, gap string, record_id string, record_type string, target_uri string,"
     " refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -329,8 +332,9 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield frame(rows)
         give_back()
 
-    n = max(1, manifest.count())
-    out = manifest.select("path").repartition(n, "path").mapInArrow(run, READ_SCHEMA)
+    # As many tasks as files, up to some for each core; names are random, so that ranges of them are of about one size.
+    n = max(1, min(manifest.count(), FILES_A_CORE * manifest.sparkSession.sparkContext.defaultParallelism))
+    out = manifest.select("path").repartitionByRange(n, "path").mapInArrow(run, READ_SCHEMA)
     return out if with_payload else out.drop("payload")
 
 
@@ -345,9 +349,20 @@ def records(read: DataFrame) -> DataFrame:
     return got.select(_page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page_of("refers_to").alias("refers_to"))
 
 
+def log_gaps(read: DataFrame, path: str) -> DataFrame:
+    """Writes the quarantined byte ranges of read_warc() as Parquet: path, begin, end, reason, bytes.  The log, read again; it
+    is there without rows where nothing was quarantined."""
+    log = read.filter(F.col("gap").isNotNull()).select("path", "begin", "end", F.col("gap").alias("reason"), (F.col("end") - F.col("begin")).alias("bytes"))
+    log.write.mode("overwrite").parquet(path)
+    return read.sparkSession.read.schema(log.schema).parquet(path)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to archives and read back."""
-    return records(read_warc(write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), scratch(spark, "warc")), with_payload=False))
+    """All pages written to archives and read back; the log of quarantined gaps stands in the archives' folder."""
+    folder = scratch(spark, "warc")
+    read = staged(read_warc(write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder), with_payload=False), "warc-records")
+    log_gaps(read, f"{folder}/quarantine")
+    return records(read)
 
 
 OP2_SQL = f"""

@@ -88,6 +88,12 @@ def test_damaged_file_in_a_table(spark):
         f.write(bytes(data))
     out = warc.read_warc(manifest, with_payload=False).collect()
     assert sum(r.gap is None for r in out) == 39 and sum(r.gap is not None for r in out) == 1
+    gap = next(r for r in out if r.gap)
+    folder = scratch(spark, "quarantine")
+    for _ in range(2):  # a log that is written again is replaced
+        log = warc.log_gaps(warc.read_warc(manifest, with_payload=False), folder).collect()
+        assert [tuple(r) for r in log] == [(path, gap.begin, gap.end, gap.gap, gap.end - gap.begin)]
+    assert warc.log_gaps(warc.read_warc(manifest.limit(0)), folder).count() == 0
 
 
 def test_query(spark):
