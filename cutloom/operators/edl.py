@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cutloom.operators import folds
 from cutloom.operators import intervals as I
+from cutloom.sources.tables import staged
 
 FPS = 30
 #: Numbers of cuts and microseconds in a block of an ordered fold.
@@ -192,9 +193,11 @@ def subtract_drops(segments: DataFrame, drops: DataFrame, tolerance_us: int = 30
 def stack_fences(base: DataFrame, fences: list[tuple[DataFrame, str]], tolerance_us: int = 300_000) -> DataFrame:
     """base(asset_id, start_us, end_us, keep, reason, decided_by) under fences of (drops, decider), the last one on top.
 
-    Each fence is taken away as in J8 and equal drop rows are placed once; seg_id numbers an asset's rows by time (W25)."""
-    out = base.select("asset_id", "start_us", "end_us", "keep", "reason", "decided_by")
+    Each fence is taken away as in J8 and equal drop rows are placed once; seg_id numbers an asset's rows by time (W25).
+    Decisions and drops, small against the words that they were made from, are written before they are met several times."""
+    out = staged(base.select("asset_id", "start_us", "end_us", "keep", "reason", "decided_by"), "decisions")
     for drops, by in fences:
-        out = distinct_drops(subtract_drops(out, drops, tolerance_us, by).withColumn("seg_id", F.lit(0))).drop("seg_id")
+        drops = staged(drops.select("asset_id", "start_us", "end_us", "reason"), "drops")
+        out = staged(distinct_drops(subtract_drops(out, drops, tolerance_us, by).withColumn("seg_id", F.lit(0))).drop("seg_id"), "decisions")
     order = Window.partitionBy("asset_id").orderBy("start_us", "end_us", "keep", "decided_by", "reason")
     return out.withColumn("seg_id", F.row_number().over(order) - 1)
