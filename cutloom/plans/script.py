@@ -39,7 +39,8 @@ c AS (SELECT *, sum(length(norm)) OVER (PARTITION BY asset_id ORDER BY word_idx
 p AS (SELECT a.asset_id, a.word_idx AS i, b.word_idx AS j, a.start_us, b.end_us, b.pause, b.cum - a.cum + length(a.norm) AS n_chars FROM c a JOIN c b ON b.asset_id = a.asset_id AND b.word_idx BETWEEN a.word_idx + 2 AND a.word_idx + 70)""", r"""
 SELECT asset_id, i, j, CASE WHEN pause THEN 0 ELSE 1 END AS track, start_us, end_us, CAST(n_chars AS INTEGER) AS n_chars FROM p WHERE n_chars BETWEEN 4 AND 60 AND (pause OR j - i < 10)"""))
 def w12_windows(spark, sf_dir):
-    """Candidate windows for retakes."""
+    """Candidate windows for retakes.  The SQL looks 70 words ahead, which no window of these texts exceeds; the operator
+    looks as far as the letters allow."""
     return R.windows(D.words(spark, sf_dir)).select("asset_id", "i", "j", "track", "start_us", "end_us", F.length("norm").alias("n_chars"))
 
 
