@@ -23,6 +23,8 @@ from cutloom.llm.common import plain_names, staged, table
 from cutloom.llm.vectors import matrix, usable
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
+#: Bits to spare for products: two components may lie twice as far apart as each reaches.
+SPARE = 2
 #: Rows that a task compares at a time.
 CHUNK = 8192
 #: As many sums of labels are sent to every executor; more are joined by a shuffle.
@@ -102,7 +104,7 @@ def fit(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds:
     Codebooks start as the parts of the smallest vec_ids (ties by the vector, null ids last); each round gives every entry
     the rounded-down mean of its parts, entries without parts stay.  Fewer rows than entries give fewer entries, none
     give an empty array.  Rows that usable() leaves out don't count; repeated rows count each."""
-    rows, size = usable(vectors.select("vec_id", "embedding"), parts)
+    rows, size = usable(vectors.select("vec_id", "embedding"), parts, SPARE)
     if not size:
         return np.zeros((parts, 0, 0), dtype=np.int64)
     seeds = rows.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries).select("embedding").toPandas()["embedding"]
@@ -141,7 +143,7 @@ def encode(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     distance of the integers to their entries) to the rows that can be coded, in place of embedding; the others go, as do
     columns of these names."""
     parts, n, width = books.shape
-    rows, size = usable(vectors, parts)
+    rows, size = usable(vectors, parts, SPARE)
     kind = np.uint8 if n <= 256 else np.dtype("<u2")
     others = [c for c in vectors.columns if c not in ("embedding", "_code", "_error")]
     rows = rows if size == parts * width and n else rows.limit(0)

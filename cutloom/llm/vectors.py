@@ -9,23 +9,31 @@ from pyspark.sql import functions as F
 
 #: Steps of the integer grid in one unit.
 SCALE = 256
-#: Components reach up to it: squares and products of scaled ones, summed over 512 of them, fit 64 bits.
-LIMIT = 2.0**18
 
 
-def _finite(vector: Column) -> Column:
-    """False for a null vector or one with a null, non-finite or larger component than LIMIT."""
-    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LIMIT))
+def _each(vector: Column, test) -> Column:
+    """Whether a vector is there and all its components, none null, pass a test on doubles."""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & test(x.cast("double")))
 
 
-def usable(vectors: DataFrame, parts: int = 1, column: str = "embedding") -> tuple[DataFrame, int]:
+def limit(size: int, spare: int = 0) -> float:
+    """Components below it, scaled, have products whose sum over size of them fits 64 bits, with so many bits to spare."""
+    return 2.0 ** ((62 - spare - (size - 1).bit_length()) // 2) / SCALE
+
+
+def usable(vectors: DataFrame, parts: int = 1, spare: int = 0, column: str = "embedding") -> tuple[DataFrame, int]:
     """The rows whose vectors can be compared, and the length of their vectors.
 
-    Null vectors and those with a null, NaN, infinite or huge (LIMIT) component go.  The length is that of the smallest
-    vec_id's vector among those whose length is a positive multiple of parts; rows of another length go.  Without rows: 0."""
-    kept = vectors.filter(_finite(F.col(column)) & (F.size(column) > 0) & (F.size(column) % parts == 0))
-    first = kept.select("vec_id", F.size(column).alias("n")).orderBy(F.col("vec_id").asc_nulls_last(), "n").first()
-    return (kept.filter(F.size(column) == first.n), first.n) if first else (kept, 0)
+    Null vectors and those with a null, NaN or infinite component go.  The length is that of the smallest vec_id's vector
+    among those whose length is a positive multiple of parts; rows of another length go, and those with a component of
+    limit() and more (at 64 components: 2^20, with two bits to spare 2^19).  Without rows: 0."""
+    v = F.col(column)
+    kept = vectors.filter(_each(v, lambda x: F.abs(x) < float("inf")) & (F.size(v) > 0) & (F.size(v) % parts == 0))
+    first = kept.select("vec_id", F.size(v).alias("n")).orderBy(F.col("vec_id").asc_nulls_last(), "n").first()
+    if not first:
+        return kept, 0
+    most = limit(first.n, spare)
+    return kept.filter((F.size(v) == first.n) & _each(v, lambda x: F.abs(x) < most)), first.n
 
 
 def scaled(column: str = "embedding") -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cutloom.llm import exact_topk, vector_codes
-from cutloom.llm.vectors import usable
+from cutloom.llm.vectors import limit, usable
 
 SCHEMA = "vec_id long, embedding array<double>, label int, v int, _code string, `a.b` map<string,int>"
 
@@ -92,6 +92,15 @@ def test_topk_equals_plain_search(spark, monkeypatch, pending, own):
     assert sorted(repr(tuple(r)) for r in got.collect()) == plain_top(vectors, asked, 5, own)
 
 
+def test_sums_of_products_fit(spark):
+    for size in (1, 2, 3, 64, 65, 512):
+        assert size * int(256 * limit(size)) ** 2 < 2**63 and size * (2 * int(256 * limit(size, 2))) ** 2 < 2**63
+    far = 2.0**20 - 1
+    df = spark.createDataFrame([(50, [far] * 64), (1, [-far] * 64), (2, [far + 2] * 64), (3, [0.0] * 64)], "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(df, df.filter("vec_id = 50"))
+    assert [(r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(3, 0), (1, -64 * int(far * 256) ** 2)]
+
+
 def test_fewer_rows_than_results_and_none(spark):
     df = table_of(spark, [(50, [1.0, 0.5], 1), (1, [1.0, 0.5], 1), (2, [-1.0, 0.5], 1)])
     got = exact_topk.top_k(df, df.filter("vec_id = 50"))
