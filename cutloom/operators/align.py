@@ -25,7 +25,7 @@ from cutloom.functions.text import char_ngrams, normalize_align
 from cutloom.operators.segment import running_sum, uncovered_runs
 from cutloom.sources.tables import staged
 
-GRAM, LEAST, SHORT, LONG, RADIUS, SURE = 4, 0.25, 0.65, 2.2, 0.8, 0.5
+GRAM, LEAST, SHORT, LONG, RADIUS, SURE = 4, 0.25, 0.65, 2.2, 0.8, 500
 #: Letters in a block of a line; sentences of up to 2^k letters, k at least CLASS, have bands of WIDTH * 2^k starts.
 BLOCK, CLASS, WIDTH = 512, 6, 16
 #: Starts times lengths that are scored at a time.
@@ -108,7 +108,7 @@ def radius_of(q: Column | int):
 def blocks_of(words: DataFrame, normal=normalize_align, size: int = BLOCK) -> DataFrame:
     """words(asset_id, word_idx, word, start_us, end_us, [conf_milli]) -> asset_id, block, w: the words that begin in each block of
     the line of normal letters, in order, with where they end on it.  Words without letters stand where the line goes on."""
-    sure = F.coalesce(F.col("conf_milli") / 1000.0, F.lit(0.0)) if "conf_milli" in words.columns else F.lit(0.0)
+    sure = F.coalesce(F.col("conf_milli").cast("double"), F.lit(0.0)) if "conf_milli" in words.columns else F.lit(0.0)
     w = words.select("asset_id", "word_idx", F.coalesce(normal(F.col("word")), F.lit("")).alias("n"), sure.alias("c"), "start_us", "end_us")
     w = running_sum(w.withColumn("size", F.length("n").cast("long")), "size", "e")
     w = w.withColumn("block", F.floor((F.col("e") - F.col("size")) / size))
@@ -168,7 +168,8 @@ def _first_peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
     """words(asset_id, word_idx, word, start_us, end_us, conf_milli), sentences([asset_id,] [item_id,] sent_id,
-    text) -> matches with word ranges and confidence; keep and reason: of several matches of a sentence only the latest stays.
+    text) -> matches with word ranges and confidence; keep and reason: of several matches of a sentence only the latest stays, by
+    start, end and place.
 
     Sentences with an asset_id are looked for in this recording only, others in all.  Sentences of fewer than 4 letters match
     nothing.  Null words count as empty, null confidence as 0; an equal sentence is scored once and counts each time."""
@@ -186,10 +187,10 @@ def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
     asked = bands.groupBy("asset_id", "size_class", "band")
     found = lines.groupBy("asset", "class", "of_band").cogroup(asked).applyInArrow(_score_band, _FIELDS)
     found = found.repartition("asset_id", "norm").sortWithinPartitions("asset_id", "norm", "p").mapInPandas(_first_peaks, _FIELDS)
-    found = found.filter(F.col("confidence") >= LEAST).join(s, [*own, "norm"]).select(*ids, "first_idx", "last_idx", "start_us", "end_us", "f1", "confidence")
+    found = found.filter(F.col("confidence") >= LEAST).join(s, [*own, "norm"]).select(*ids, "p", "first_idx", "last_idx", "start_us", "end_us", "f1", "confidence")
     w5 = Window.partitionBy(*ids)
-    late = F.row_number().over(w5.orderBy(F.desc("start_us"), F.desc("end_us")))
-    found = found.withColumns({"interval_idx": F.row_number().over(w5.orderBy("start_us", "end_us")) - 1, "keep": late == 1})
+    late = F.row_number().over(w5.orderBy(F.desc("start_us"), F.desc("end_us"), F.desc("p")))
+    found = found.withColumns({"interval_idx": F.row_number().over(w5.orderBy("start_us", "end_us", "p")) - 1, "keep": late == 1}).drop("p")
     return found.withColumn("reason", F.when(F.col("keep"), "").otherwise("repeat_discard"))
 
 

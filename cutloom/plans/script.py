@@ -82,13 +82,53 @@ def a1_asset_summary(spark, sf_dir):
     return A.summary(w, s, A.align(w, s))
 
 
-@query()
+def _line(column: str) -> str:
+    half = T.HALF_WIDTH.replace("'", "''")
+    return rf"regexp_replace(translate({column}, '{T.FULL_WIDTH}', '{half}'), '[^\p{{L}}\p{{N}}_]', '', 'g')"
+
+
+#: Scores at shared grams, as a window that holds so many of them is best where it ends with one or has the least length.
+_OWN = "WITH RECURSIVE " + WORDS.strip() + rf""",
+pt AS (SELECT conv_id AS asset_id, turn, string_split(regexp_replace(coalesce(text, ''), '([.!?])', '\1', 'g'), '') AS ps FROM conversations WHERE turn % 3 = 0),
+p1 AS (SELECT asset_id, turn, unnest(ps) AS s, generate_subscripts(ps, 1) AS p FROM pt),
+p2 AS (SELECT asset_id, turn, p, array_to_string(list_filter(regexp_extract_all(s, '\S+'), lambda w, i: (i - 1) % 7 <> 5), ' ') AS text FROM p1),
+scr AS (SELECT asset_id, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY turn, p) AS INTEGER) AS sent_id, {_line('text')} AS norm FROM p2 WHERE length(text) >= 4),
+se AS (SELECT asset_id, sent_id, norm, length(norm) AS q, greatest(4, CAST(floor(length(norm)::DOUBLE * 0.65::DOUBLE) AS BIGINT)) AS low, CAST(floor(length(norm)::DOUBLE * 2.2::DOUBLE) AS BIGINT) + 1 AS high,
+  greatest(4, CAST(floor(length(norm)::DOUBLE * 0.8::DOUBLE) AS BIGINT)) AS radius FROM scr WHERE length(norm) >= 4),
+sg AS (SELECT asset_id, sent_id, substr(norm, i + 1, 4) AS g, count(*) AS k FROM (SELECT *, unnest(range(q - 3)) AS i FROM se) GROUP BY ALL),
+ln AS (SELECT *, sum(length(n)) OVER (PARTITION BY asset_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT *, {_line('word')} AS n FROM words)),
+tx AS (SELECT asset_id, string_agg(n, '' ORDER BY word_idx) AS t, sum(length(n)) AS size FROM ln GROUP BY 1),
+gr AS (SELECT asset_id, size, i AS p, substr(t, CAST(i + 1 AS BIGINT), 4) AS g FROM (SELECT *, unnest(range(CAST(size - 3 AS BIGINT))) AS i FROM tx)),
+pl AS (SELECT sg.asset_id, sg.sent_id, size, p, k, sg.g, row_number() OVER (PARTITION BY sg.asset_id, sg.sent_id, sg.g ORDER BY p) AS rn FROM sg JOIN gr ON gr.asset_id = sg.asset_id AND gr.g = sg.g),
+sh AS (SELECT a.asset_id, a.sent_id, a.size, a.p, coalesce(b.p, -1) AS before FROM pl a LEFT JOIN pl b ON b.asset_id = a.asset_id AND b.sent_id = a.sent_id AND b.g = a.g AND b.rn = a.rn - a.k),
+pr AS (SELECT asset_id, sent_id, size, p, before, q, low, high, unnest(range(greatest(0, p - high + 4), p + 1)) AS s FROM sh JOIN se USING (asset_id, sent_id)),
+ov AS (SELECT *, sum(CASE WHEN before < s THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id, sent_id, s ORDER BY p ROWS UNBOUNDED PRECEDING) AS n_in, greatest(low, p - s + 4) AS len FROM pr),
+be AS (SELECT asset_id, sent_id, s, min({{'f': -(2.0::DOUBLE * n_in / (len - 3 + q - 3)), 'l': len}}) AS b FROM ov WHERE len <= high AND s + len <= size GROUP BY ALL),
+hi AS (SELECT asset_id, sent_id, s, -b.f AS f1, b.l AS len FROM be WHERE -b.f >= 0.25),
+mx AS (SELECT h.*, radius FROM hi h JOIN se USING (asset_id, sent_id) WHERE NOT EXISTS (SELECT 1 FROM hi o WHERE o.asset_id = h.asset_id AND o.sent_id = h.sent_id AND abs(o.s - h.s) <= radius AND o.f1 > h.f1)),
+mn AS (SELECT *, row_number() OVER (PARTITION BY asset_id, sent_id ORDER BY s) AS rn FROM mx),
+fo AS (SELECT asset_id, sent_id, rn, s, s AS kept, true AS stays FROM mn WHERE rn = 1
+  UNION ALL SELECT m.asset_id, m.sent_id, m.rn, m.s, CASE WHEN m.s - f.kept >= m.radius THEN m.s ELSE f.kept END, m.s - f.kept >= m.radius FROM fo f JOIN mn m ON m.asset_id = f.asset_id AND m.sent_id = f.sent_id AND m.rn = f.rn + 1),
+rg AS (SELECT mx.asset_id, mx.sent_id, mx.s, f1, a.word_idx AS first_idx, b.word_idx AS last_idx, a.start_us, b.end_us FROM mx JOIN fo ON fo.asset_id = mx.asset_id AND fo.sent_id = mx.sent_id AND fo.s = mx.s AND stays
+  JOIN ln a ON a.asset_id = mx.asset_id AND a.e > mx.s AND a.e - length(a.n) <= mx.s JOIN ln b ON b.asset_id = mx.asset_id AND b.e > mx.s + len - 1 AND b.e - length(b.n) <= mx.s + len - 1),
+cf AS (SELECT rg.asset_id, sent_id, s, first_idx, last_idx, rg.start_us, rg.end_us, round_even(f1 * CASE WHEN avg(w.conf_milli) >= 500 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END, 4) AS confidence
+  FROM rg JOIN words w ON w.asset_id = rg.asset_id AND w.word_idx BETWEEN first_idx AND last_idx GROUP BY rg.asset_id, sent_id, s, first_idx, last_idx, rg.start_us, rg.end_us, f1),
+own AS (SELECT *, row_number() OVER (PARTITION BY asset_id, sent_id ORDER BY start_us, end_us, s) - 1 AS interval_idx, row_number() OVER (PARTITION BY asset_id, sent_id ORDER BY start_us DESC, end_us DESC, s DESC) = 1 AS keep FROM cf WHERE confidence >= 0.25)"""
+
+
+@query(_OWN + """
+SELECT asset_id, sent_id, CAST(interval_idx AS INTEGER) AS interval_idx, first_idx, last_idx, confidence, keep, CASE WHEN keep THEN '' ELSE 'repeat_discard' END AS reason FROM own""")
 def j7_own_scripts(spark, sf_dir):
     """The sentences of each recording's own script in it."""
     return A.align(D.words(spark, sf_dir), D.scripts(spark, sf_dir)).select("asset_id", "sent_id", "interval_idx", "first_idx", "last_idx", "confidence", "keep", "reason")
 
 
-@query()
+@query(_OWN + """,
+ms AS (SELECT asset_id, count(*) AS matched, count(*) FILTER (WHERE n > 1) AS repeats FROM (SELECT asset_id, sent_id, count(*) AS n FROM own GROUP BY 1, 2) GROUP BY 1),
+lo AS (SELECT *, word_idx - row_number() OVER (PARTITION BY asset_id ORDER BY word_idx) AS run FROM words w WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.asset_id = w.asset_id AND w.word_idx BETWEEN o.first_idx AND o.last_idx)),
+ad AS (SELECT asset_id, count(*) AS adlibs FROM (SELECT asset_id, run FROM lo GROUP BY 1, 2 HAVING max(end_us) - min(start_us) >= 500000) GROUP BY 1)
+SELECT ms.asset_id, matched, repeats, sentences, coalesce(adlibs, 0) AS adlibs, sentences - matched AS unmatched, round(matched::DOUBLE / sentences, 4) AS match_rate
+FROM ms JOIN (SELECT asset_id, count(*) AS sentences FROM scr GROUP BY 1) c ON c.asset_id = ms.asset_id LEFT JOIN ad ON ad.asset_id = ms.asset_id""")
 def a1_own_scripts(spark, sf_dir):
     """Sentences, matches, repeats and what is left over, by recording."""
     w, s = D.words(spark, sf_dir), D.scripts(spark, sf_dir)
