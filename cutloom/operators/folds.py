@@ -95,5 +95,7 @@ def with_cursor(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     blocks = dealt.mapInArrow(_compose, "asset_id long, _block long, bounds array<long>, values array<long>, shift long")
     blocks = blocks.repartition("asset_id").sortWithinPartitions("asset_id", "_block")
     reach = blocks.mapInArrow(_reached, "asset_id long, _block long, _reach long")
-    joined = rows.join(reach, ["asset_id", "_block"]).repartition("asset_id", "_block").sortWithinPartitions("asset_id", "_block", *order)
+    # Dealt by another expression than the join's keys: Spark drops a repartition by those behind a sort-merge join, and may then
+    # turn this into a broadcast join at run time, whose local reads leave a block's rows in several tasks.
+    joined = rows.join(reach, ["asset_id", "_block"]).repartition(F.struct("asset_id", "_block")).sortWithinPartitions("asset_id", "_block", *order)
     return joined.mapInArrow(_fill, StructType([*joined.schema.fields, StructField("_last", LongType())])).drop("_block", "_reach", "_c", "_t", "_d")

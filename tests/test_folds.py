@@ -84,6 +84,21 @@ def test_folds_equal_plain_loops(spark, monkeypatch, blocks):
     assert sorted(map(tuple, E.guard_valleys(given).collect())) == sorted(plain_guarded(rows))
 
 
+def test_blocks_stay_whole_where_joins_change_at_run_time(spark):
+    cuts = [(a + 6 * k, *c) for k in range(50) for a, *c in random_cuts(5)]
+    # As large tables are planned: the join is planned for shuffles, then its smaller side fits a broadcast.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(cuts, CUTS).repartition(5)
+        assert sorted(map(tuple, E.fix_overlaps(df).collect())) == sorted(plain_fixed(cuts))
+        assert sorted(map(tuple, E.resolve_overlaps(df).collect())) == sorted(plain_resolved(cuts))
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_ends_that_were_moved_count(spark):
     rows = [(1, 1, 0, 100, 0, 101, None, None), (1, 2, 20, 60, 20, 60, None, None), (1, 3, 70, 400, 70, 400, None, None), (1, 4, 500, 300, 500, 300, None, None)]
     df = spark.createDataFrame([(a, i, *(x and x * US for x in r)) for a, i, *r in rows], CUTS + ", valley_start_us long, valley_end_us long, given_start_us long, given_end_us long")
