@@ -52,6 +52,19 @@ def drop_words(words: DataFrame, windows: DataFrame) -> DataFrame:
     return point_join(words, twice_mid() / 2, bucketed(windows), mid_inside(), "left_anti")
 
 
+def words_outside(words: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Words whose midpoint lies in none of the windows [start, end) that words of their asset bring along; start is null for a
+    word without one.
+
+    No join: in order of time, the latest end of the windows that begin up to a midpoint.  A task holds one asset's words."""
+    event = lambda at, kind, end: F.struct(at.cast("long").alias("_at"), F.lit(kind).alias("_kind"), end.cast("long").alias("_end"))
+    own, opens = event(twice_mid(), 1, F.lit(None)), event(2 * start, 0, 2 * end)
+    e = words.select("*", F.inline(F.when(start.isNotNull(), F.array(opens, own)).otherwise(F.array(own))))
+    before = Window.partitionBy("asset_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_covered", F.max("_end").over(before) > F.col("_at")).filter("_kind = 1 and not coalesce(_covered, false)")
+    return e.drop("_at", "_kind", "_end", "_covered")
+
+
 def keep_words(words: DataFrame, segments: DataFrame) -> DataFrame:
     """Words whose midpoint lies in a segment [start, end)."""
     return point_join(words, twice_mid() / 2, bucketed(segments), mid_inside(), "left_semi")

@@ -35,16 +35,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
 
 
-def timed(tokenised: DataFrame) -> DataFrame:
-    """(asset_id, turn, pos, word) -> words with times in microseconds, as a recogniser would give them."""
-    order = Window.partitionBy("asset_id").orderBy("turn", "pos")
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset_id, turn, ws: the tokens of each turn."""
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset_id"), "turn", tokens(F.col("text")).alias("ws"))
+
+
+def timed(said: DataFrame) -> DataFrame:
+    """(asset_id, turn, ws) -> words with times in microseconds, as a recogniser would give them.  Turns move and are
+    numbered on as a whole; words stay where their turns are."""
+    order = Window.partitionBy("asset_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = said.withColumn("ahead", F.coalesce(F.sum(F.size("ws")).over(order), F.lit(0)))
+    tokenised = ahead.select("asset_id", "turn", "ahead", F.posexplode("ws").alias("p", "word"))
     n, i = F.length("word"), F.col("word_idx")
     lead = (
         F.when(F.col("word").rlike(r"[.!?]$"), 600000 + (n * 137 + i * 31) % 700 * 1000)
         .when(F.col("word").rlike(",$"), 280000 + (n * 53 + i * 17) % 250 * 1000)
         .otherwise((n * 29 + i * 7) % 120 * 1000)
-    ) + F.when((F.col("pos") == 1) & (F.col("turn") > 0), 1500000).otherwise(0)
-    out = tokenised.withColumn("word_idx", F.row_number().over(order) - 1).withColumn("dur", 60000 + 40000 * n)
+    ) + F.when((F.col("p") == 0) & (F.col("turn") > 0), 1500000).otherwise(0)
+    out = tokenised.withColumn("word_idx", (F.col("ahead") + F.col("p")).cast("int")).withColumn("dur", 60000 + 40000 * n)
     end = F.sum(F.col("dur") + lead).over(Window.partitionBy("asset_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0))
     out = out.withColumn("end_us", end.cast("long")).withColumn("start_us", F.col("end_us") - F.col("dur"))
     milli = (F.ascii("word").cast("long") * 31 + n * 17 + i * 7) % 1000
@@ -53,18 +61,18 @@ def timed(tokenised: DataFrame) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all conversations."""
-    talk = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset_id"), "turn", F.posexplode(tokens(F.col("text"))).alias("p", "word"))
-    return timed(talk.select("asset_id", "turn", (F.col("p") + 1).alias("pos"), "word"))
+    return timed(turns(spark, sf_dir))
+
+
+def drop_window() -> tuple[Column, Column, Column]:
+    """Whether a word of very low confidence marks a window to drop, and where it starts and ends."""
+    return F.col("conf_milli") < 20, F.greatest(F.col("start_us") - 200000, F.lit(0)), F.col("end_us") + 400000
 
 
 def drops(w: DataFrame) -> DataFrame:
     """Windows to drop around words of very low confidence."""
-    return w.filter("conf_milli < 20").select(
-        "asset_id",
-        F.greatest(F.col("start_us") - 200000, F.lit(0)).alias("start_us"),
-        (F.col("end_us") + 400000).alias("end_us"),
-        F.when(F.col("word_idx") % 2 == 0, "reviewer").otherwise("rule").alias("reason"),
-    )
+    marked, start, end = drop_window()
+    return w.filter(marked).select("asset_id", start.alias("start_us"), end.alias("end_us"), F.when(F.col("word_idx") % 2 == 0, "reviewer").otherwise("rule").alias("reason"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +97,8 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all conversations as takes: in every third turn of eight words and more the first eight are said twice."""
-    talk = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset_id"), "turn", tokens(F.col("text")).alias("ws"))
     said = F.when((F.col("turn") % 3 == 1) & (F.size("ws") >= 8), F.concat(F.slice("ws", 1, 8), "ws")).otherwise(F.col("ws"))
-    talk = talk.select("asset_id", "turn", F.posexplode(said).alias("p", "word"))
-    return timed(talk.select("asset_id", "turn", (F.col("p") + 1).alias("pos"), "word"))
+    return timed(turns(spark, sf_dir).select("asset_id", "turn", said.alias("ws")))
 
 
 def retaken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

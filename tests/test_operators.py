@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cutloom.operators import align as A
 from cutloom.operators import edl as E
@@ -357,3 +358,34 @@ def test_spread_segments_and_gaps_equal_plain_ones(spark):
         assert table(S.gaps(df, spread=True, block=block)) == table(S.gaps(df))
         for strict in (False, True):
             assert table(S.pause_segments(df, strict=strict, spread=True, block=block)) == table(S.pause_segments(df, strict=strict))
+
+
+def test_words_outside_equal_plain_loops(spark):
+    rng, rows = random.Random(11), []
+    for asset in range(5):
+        at = 0
+        for i in range(60):
+            at += rng.choice([0, 1, 5, 20])
+            end = at + rng.choice([0, 1, 2, 7])
+            marked = rng.random() < 0.2
+            rows.append((asset, i, at, end, at - rng.randint(0, 9) if marked else None, end + rng.randint(-3, 9)))
+    df = spark.createDataFrame(rows, "asset_id long, word_idx int, start_us long, end_us long, s long, e long").repartition(3)
+    got = I.words_outside(df, F.col("s"), F.col("e"))
+    inside = lambda a, s, e: any(w[0] == a and w[4] is not None and 2 * w[4] <= s + e < 2 * w[5] for w in rows)
+    assert sorted((r.asset_id, r.word_idx) for r in got.collect()) == sorted(r[:2] for r in rows if not inside(r[0], r[2], r[3]))
+
+
+def test_segments_move_turns_and_not_words(spark):
+    from cutloom.plans.words import segments
+
+    plan = segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_words_go_on_over_turns(spark, tmp_path):
+    from cutloom.sources import tables as D
+
+    rows = [(1, 2, "c d"), (1, 0, "a b."), (1, 1, None), (2, 5, ""), (2, 7, " x  y ")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.asset_id, r.word_idx, r.turn, r.word) for r in D.words(spark, str(tmp_path)).orderBy("asset_id", "word_idx").collect()]
+    assert got == [(1, 0, 0, "a"), (1, 1, 0, "b."), (1, 2, 2, "c"), (1, 3, 2, "d"), (2, 0, 7, "x"), (2, 1, 7, "y")]
