@@ -56,6 +56,21 @@ def islands(words: DataFrame, cut: Column, *keys: str) -> DataFrame:
     return flagged.withColumn("island", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
 
+def spread_islands(words: DataFrame, is_pause, block: int = 8192) -> DataFrame:
+    """Adds island: how many pauses lie before each word, is_pause of the gap to the word before.  Pauses are counted within
+    blocks of numbers; a block's ends and count meet those of the blocks before it, so that words move once."""
+    at = words.withColumn("_block", F.floor(F.col("word_idx") / block))
+    w = by_word("asset_id", "_block")
+    pause = F.when(is_pause(F.col("start_us") - F.lag("end_us").over(w)), 1).otherwise(0)
+    at = at.withColumn("_pause", pause).withColumn("_inner", F.sum("_pause").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = at.groupBy("asset_id", "_block").agg(F.min(F.struct("word_idx", "start_us")).alias("_first"), F.max(F.struct("word_idx", "end_us")).alias("_last"), F.max("_inner").alias("_all"))
+    order = Window.partitionBy("asset_id").orderBy("_block")
+    blocks = blocks.withColumn("_opens", F.when(is_pause(F.col("_first.start_us") - F.lag("_last.end_us").over(order)), 1).otherwise(0))
+    ahead = F.sum(F.col("_opens") + F.col("_all")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_all")
+    joined = at.join(blocks.select("asset_id", "_block", ahead.alias("_ahead")), ["asset_id", "_block"])
+    return joined.withColumn("island", F.col("_inner") + F.col("_ahead")).drop("_block", "_pause", "_inner", "_ahead")
+
+
 def text_of(word: str = "word", order: str = "word_idx", sep: str = " ") -> Column:
     """The words of a group in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, word))), lambda x: x[word]), sep)
@@ -67,10 +82,7 @@ def pause_segments(words: DataFrame, pause_us: int = PAUSE_US, pad_us: int = PAD
     spread: for recordings of very many words; pauses and the segments' numbers come from blocks of words, so that a task
     holds a block or a segment, at the price of two more joins."""
     if spread:
-        n = neighbours(words, {"_end": "end_us"}, {}, block=block)
-        gap = F.col("start_us") - F.col("_end")
-        cut = F.when(gap > pause_us if strict else gap >= pause_us, 1).otherwise(0)
-        s = running_sum(n.withColumn("_cut", cut), "_cut", "island", block=block)
+        s = spread_islands(words, lambda gap: gap > pause_us if strict else gap >= pause_us, block)
     else:
         gap = F.col("start_us") - F.lag("end_us").over(by_word())
         s = islands(words, gap > pause_us if strict else gap >= pause_us)

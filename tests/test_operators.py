@@ -389,3 +389,15 @@ def test_words_go_on_over_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = [(r.asset_id, r.word_idx, r.turn, r.word) for r in D.words(spark, str(tmp_path)).orderBy("asset_id", "word_idx").collect()]
     assert got == [(1, 0, 0, "a"), (1, 1, 0, "b."), (1, 2, 2, "c"), (1, 3, 2, "d"), (2, 0, 7, "x"), (2, 1, 7, "y")]
+
+
+def test_spread_segments_join_words_once(spark):
+    df = words(spark, *say(["a", "b"]))
+    plan = S.pause_segments(df, spread=True, block=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_spread_segments_count_pauses_between_blocks_that_are_apart(spark):
+    df = spark.createDataFrame([(1, i, "w", t, t + 400_000, 900) for i, t in ((0, 0), (1, 500_000), (9, 3_000_000), (10, 9_000_000), (30, 9_500_000))], WORDS)
+    table = lambda d: sorted((r.seg_id, r.first_idx, r.last_idx) for r in d.collect())
+    assert table(S.pause_segments(df, spread=True, block=2)) == table(S.pause_segments(df)) == [(1, 0, 1), (2, 9, 9), (3, 10, 30)]
