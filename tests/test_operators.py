@@ -259,6 +259,31 @@ def test_own_scripts_over_many_bands_equal_a_plain_search(spark):
     assert got == want and len({r[:2] for r in got}) > 25
 
 
+def test_lists_of_sentences_lose_no_score():
+    rng = random.Random(15)
+    for _ in range(30):
+        sentences = sorted({"".join(rng.choice("abcé😀") for _ in range(rng.randint(4, 30))) for _ in range(12)})
+        text = "".join(rng.choice("abcdé😀") for _ in range(rng.randint(1, 150)))
+        shared = {k: (p, b) for k, p, b in A.Script(sentences).shared(text)}
+        for k, q in enumerate(sentences):
+            best, end = A.scores(q, text)
+            got, at = A.shared_scores(*shared[k], len(q), len(text), 4, 0, len(text), A.LEAST) if k in shared else (np.zeros(len(text)), end)
+            good = best >= A.LEAST
+            assert (got[good] == best[good]).all() and (at[good] == end[good]).all() and (got[~good] < A.LEAST).all()
+
+
+def test_alignment_moves_words_and_lists_not_grams(spark):
+    talk = [(a, i, "tick tock and so on".split()[i % 5], i * 300_000, i * 300_000 + 200_000, 900) for a in range(2) for i in range(9000)]
+    lines = [(1, i, "tick tock and so on " * (1 + i % 3) + "x" * i) for i in range(40)]
+    df, s = spark.createDataFrame(talk, WORDS), spark.createDataFrame(lines, "item_id long, sent_id int, text string")
+    bands = A._bands(df, A._lists(s.select(F.translate("text", " ", "").alias("norm")), []), []).select("asset_id", "band", F.size("w").alias("n")).collect()
+    assert {(r.asset_id, r.band) for r in bands} == {(a, b) for a in range(2) for b in range(2)} and sum(r.n for r in bands) < 2 * len(talk)
+    got = {r.first_idx for r in A.align(df, s.filter("sent_id = 3")).filter("asset_id = 1").collect()}
+    text, ends = "".join(w for a, _, w, *_ in talk if a == 1), np.cumsum([len(w) for a, _, w, *_ in talk if a == 1])
+    q = lines[3][2].replace(" ", "")
+    assert got == {int(np.searchsorted(ends, p, side="right")) for p in A.peaks(A.scores(q, text)[0], A.radius_of(len(q)))} and len(got) > 400
+
+
 def test_alignment_finds_repeats(spark):
     rows = say("noise one the quick brown fox jumps over it more noise the quick brown fox jumps over it end".split())
     s = spark.createDataFrame([(1, 1, "The quick brown fox jumps over it.".lower()), (1, 2, "never said at all"), (1, 3, "a")], "item_id long, sent_id int, text string")
