@@ -25,7 +25,7 @@ LEAST_WORDS, MOST_WIDTH, LEAST_CHARS, MOST_CHARS = 3, 10, 4, 60
 PAUSE_US, MOST_GAP_US, STUTTER_US = 250_000, 15_000_000, 3_000_000
 THRESHOLD = (55, 100)
 #: Letters of a line in a block; windows that are compared at a time, earlier and later ones.
-BLOCK, TILE_A, TILE_B = 2048, 256, 2048
+BLOCK, TILE_A, TILE_B = 2048, 128, 2048
 
 
 def _on_line(words: DataFrame) -> DataFrame:
@@ -129,26 +129,29 @@ def _best_partner(key: tuple, table: pa.Table) -> pa.Table:
         column = np.full(len(chars), -1)
         column[own] = np.arange(len(own))
         ca = _tile_counts(grams, first[ai[a]], na[a], column, len(own))
+        # Columns of 1 for each count that a window reaches: a product of them is the least of two counts.  Two more columns
+        # take the sizes away, so that whole numbers say at once which pairs reach the threshold.
+        tops = np.maximum(ca.max(axis=0, initial=0), 1)
+        gram, times = np.repeat(np.arange(len(own)), tops), np.arange(tops.sum()) - np.repeat(np.cumsum(tops) - tops, tops) + 1
+        left = np.empty((len(ca), len(gram) + 2), dtype=np.float32)
+        left[:, :-2], left[:, -2], left[:, -1] = (ca[:, gram] >= times) * np.float32(2 * THRESHOLD[1]), na[a], 1
         may = np.flatnonzero((bi > aj[a].min()) & (line.start_us[bi] - line.end_us[aj[a]].max() <= MOST_GAP_US))
         for q in range(0, len(may), TILE_B):
             b = may[q : q + TILE_B]
             cb = _tile_counts(grams, first[bi[b]], nb[b], column, len(own))
-            over = np.zeros((len(ca), len(b)), dtype=np.float32)
-            for times in range(1, int(ca.max(initial=0)) + 1):  # the least of two counts, one time after the other
-                some = np.flatnonzero((ca >= times).any(axis=0) & (cb >= times).any(axis=0))
-                if not len(some):
-                    break
-                over += (ca[:, some] >= times).astype(np.float32) @ (cb[:, some] >= times).astype(np.float32).T
-            total = na[a][:, None] + nb[b]
-            ok = 2 * THRESHOLD[1] * over >= THRESHOLD[0] * total
-            row, col = np.nonzero(ok)
+            right = np.empty((len(b), len(gram) + 2), dtype=np.float32)
+            right[:, :-2], right[:, -2], right[:, -1] = cb[:, gram] >= times, -THRESHOLD[0], -THRESHOLD[0] * nb[b]
+            more = left @ right.T
+            row, col = np.nonzero(more >= 0)
             fits = (bi[b[col]] > aj[a][row]) & (line.start_us[bi[b[col]]] - line.end_us[aj[a][row]] <= MOST_GAP_US)
             row, col = row[fits], col[fits]
-            f1 = 2.0 * over[row, col].astype(np.float64) / total[row, col]
+            total = na[a][row] + nb[b[col]]
+            over = (more[row, col].astype(np.int64) + THRESHOLD[0] * total) // (2 * THRESHOLD[1])
+            f1 = 2.0 * over / total
             top = np.lexsort((col, -f1, row))
             top = top[np.diff(row[top], prepend=-1) > 0]  # the first of the best of each
             top = top[f1[top] > best[p + row[top]]]
-            best[p + row[top]], partner[p + row[top]], overlap[p + row[top]] = f1[top], b[col[top]], over[row[top], col[top]]
+            best[p + row[top]], partner[p + row[top]], overlap[p + row[top]] = f1[top], b[col[top]], over[top]
     x = np.flatnonzero(partner >= 0)
     y = partner[x]
     columns = (np.full(len(x), asset), at[x], line.idx[ai[x]], line.idx[aj[x]], line.start_us[ai[x]], line.end_us[aj[x]],

@@ -192,6 +192,13 @@ def test_retakes_equal_plain_search(spark):
     assert R.self_duplicates(words(spark, ("a", 0, 1, 1))).count() == 0
 
 
+def test_retakes_count_repeated_bigrams(spark):
+    rng = random.Random(21)
+    rows = say([rng.choice(["aa", "aaa", "ab", "abab", "b"]) for _ in range(40)])
+    got = sorted((r.a_i, r.a_j, r.b_i, r.b_j, r.similarity) for r in R.self_duplicates(words(spark, *rows)).collect())
+    assert got == plain_retakes(rows) and got
+
+
 def test_windows_reach_over_words_without_letters(spark):
     texts = ["ab", "cd", "ef"] + ["..."] * 2500 + ["gh", "..."] * 400 + ["end"]
     df = words(spark, *say(texts))
