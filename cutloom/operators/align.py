@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.text import normalize_align
-from cutloom.operators.segment import running_sum, uncovered_runs
+from cutloom.operators.segment import by_word, running_sum, uncovered_runs
 from cutloom.sources.tables import staged
 
 GRAM, LEAST, SHORT, LONG, RADIUS, SURE = 4, 0.25, 0.65, 2.2, 0.8, 500
@@ -143,12 +143,14 @@ def radius_of(q: Column | int):
 _WORD = ("word_idx", "n", "e", "c", "start_us", "end_us")
 
 
-def on_line(words: DataFrame, normal=normalize_align) -> DataFrame:
+def on_line(words: DataFrame, normal=normalize_align, spread: bool = True) -> DataFrame:
     """words(asset_id, word_idx, word, start_us, end_us, [conf_milli]) -> their normal letters n, where these end on the line of
-    the recording's letters, and confidence c."""
+    the recording's letters, and confidence c.  Not spread: one sum over a recording, for which words that stand by asset_id
+    needn't move."""
     sure = F.coalesce(F.col("conf_milli").cast("double"), F.lit(0.0)) if "conf_milli" in words.columns else F.lit(0.0)
     w = words.select("asset_id", "word_idx", F.coalesce(normal(F.col("word")), F.lit("")).alias("n"), sure.alias("c"), "start_us", "end_us")
-    return running_sum(w.withColumn("size", F.length("n").cast("long")), "size", "e")
+    w = w.withColumn("size", F.length("n").cast("long"))
+    return running_sum(w, "size", "e") if spread else w.withColumn("e", F.sum("size").over(by_word().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def blocks_of(words: DataFrame, normal=normalize_align, size: int = BLOCK) -> DataFrame:
@@ -277,18 +279,26 @@ def _first_peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[np.array(stays, dtype=bool)]
 
 
-def align(words: DataFrame, sentences: DataFrame) -> DataFrame:
+def align(words: DataFrame, sentences: DataFrame, spread: bool = False) -> DataFrame:
     """words(asset_id, word_idx, word, start_us, end_us, conf_milli), sentences([asset_id,] [item_id,] sent_id,
     text) -> matches with word ranges and confidence; keep and reason: of several matches of a sentence only the latest stays, by
     start, end and place.
 
     Sentences with an asset_id are looked for in this recording only, others in all.  Sentences of fewer than 4 letters match
-    nothing.  Null words count as empty, null confidence as 0; an equal sentence is scored once and counts each time."""
+    nothing.  Null words count as empty, null confidence as 0; an equal sentence is scored once and counts each time.
+
+    Recordings with sentences of their own meet them by asset_id alone, so that words that stand by it don't move, whatever the
+    size of the tables.  spread: for recordings of very many words, no task holds all words of one; words move twice."""
     own = ["asset_id"] if "asset_id" in sentences.columns else []
     ids = ["asset_id", *[c for c in ("item_id", "sent_id") if c in sentences.columns]]
     s = sentences.select(*own, *ids[1:], normalize_align(F.col("text")).alias("norm")).filter(F.length("norm") >= GRAM)
-    lists = _lists(s.select(*own, "norm").distinct(), own)
-    found = _bands(words, lists, own).join(lists, [*own, "size_class"]).select("asset_id", "size_class", "band", "w", "norms").mapInArrow(_score_bands, _FIELDS)
+    if own and not spread:
+        met = _own_bands(words, s)
+        s = s.hint("merge")
+    else:
+        lists = _lists(s.select(*own, "norm").distinct(), own)
+        met = _bands(words, lists, own).join(lists, [*own, "size_class"])
+    found = met.select("asset_id", "size_class", "band", "w", "norms").mapInArrow(_score_bands, _FIELDS)
     found = found.repartition("asset_id", "norm").sortWithinPartitions("asset_id", "norm", "p").mapInPandas(_first_peaks, _FIELDS)
     found = found.filter(F.col("confidence") >= LEAST).join(s, [*own, "norm"]).select(*ids, "p", "first_idx", "last_idx", "start_us", "end_us", "f1", "confidence")
     w5 = Window.partitionBy(*ids)
@@ -311,9 +321,13 @@ def summary(words: DataFrame, sentences: DataFrame, found: DataFrame) -> DataFra
     return out.withColumns({"unmatched": F.col("sentences") - F.col("matched"), "match_rate": F.round(F.col("matched") / F.col("sentences"), 4)})
 
 
+def _size_class(norm: Column) -> Column:
+    return F.greatest(F.lit(CLASS), F.ceil(F.log2(F.length(norm)))).cast("int")
+
+
 def _lists(s: DataFrame, own: list[str]) -> DataFrame:
     """size_class, norms [, asset_id]: sentences of like lengths in lists of about LIST."""
-    s = s.withColumn("size_class", F.greatest(F.lit(CLASS), F.ceil(F.log2(F.length("norm")))).cast("int"))
+    s = s.withColumn("size_class", _size_class(F.col("norm")))
     keys = [*own, "size_class"]
     n = s.groupBy(*keys).agg(F.ceil(F.count("*") / LIST).alias("_lists"))
     s = s.join(n, keys).withColumn("_list", F.pmod(F.xxhash64("norm"), "_lists"))
@@ -324,14 +338,28 @@ def _bands(words: DataFrame, lists: DataFrame, own: list[str]) -> DataFrame:
     """asset_id, size_class, band, w: the words, in order and with where they end on the line, around each band of each size
     class that sentences of the recording have, as far as peaks and windows of the band's starts need letters."""
     w = on_line(words)
+    classes = lists.select(*own, "size_class").distinct()
+    return _banded(w.join(classes, own) if own else w.crossJoin(F.broadcast(classes)))
+
+
+def _banded(w: DataFrame) -> DataFrame:
     wide, margin = F.lit(WIDTH) * F.expr("shiftleft(1L, size_class)"), F.expr("shiftleft(1L, size_class)")
     first, last = F.floor((F.col("e") - F.length("n") - 4 * margin) / wide), F.floor((F.col("e") + margin) / wide)
-    classes = lists.select(*own, "size_class").distinct()
-    w = w.join(classes, own) if own else w.crossJoin(F.broadcast(classes))
     w = w.withColumn("band", F.explode(F.sequence(F.greatest(F.lit(0), first), last)))
     return w.groupBy("asset_id", "size_class", "band").agg(F.array_sort(F.collect_list(F.struct(*_WORD))).alias("w"))
 
 
+def _own_bands(words: DataFrame, s: DataFrame) -> DataFrame:
+    """asset_id, size_class, band, w, norms: bands with lists of their own recording's sentences.  Every join is by asset_id alone,
+    by which words and sentences stand already, and none broadcasts; a recording's sentences come as one row."""
+    own = s.groupBy("asset_id").agg(F.collect_set("norm").alias("all")).hint("merge")
+    classes = own.select("asset_id", F.array_distinct(F.transform("all", _size_class)).alias("classes"))
+    w = on_line(words, spread=False).join(classes, "asset_id").withColumn("size_class", F.explode("classes")).drop("classes")
+    j = _banded(w).join(own, "asset_id").withColumn("all", F.filter("all", lambda x: _size_class(x) == F.col("size_class")))
+    j = j.withColumn("_list", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / LIST).cast("int"))))
+    return j.select("asset_id", "size_class", "band", "w", F.slice("all", F.col("_list") * LIST + 1, LIST).alias("norms"))
+
+
 def filled(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
     """Blocks, by every number that their words reach into."""
     last = F.floor((F.element_at("w", -1)["e"] - 1) / size)

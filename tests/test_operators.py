@@ -1,6 +1,7 @@
 """Operators that SQL can't say, against plain versions; and edges of those that it can."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -291,6 +292,39 @@ def test_alignment_moves_words_and_lists_not_grams(spark):
     assert got == {int(np.searchsorted(ends, p, side="right")) for p in A.peaks(A.scores(q, text)[0], A.radius_of(len(q)))} and len(got) > 400
 
 
+def stood_by_asset(spark, rows):
+    """Words that stand by asset_id already, as those of conversations do."""
+    df = spark.createDataFrame(rows, WORDS)
+    return df.withColumn("start_us", F.sum(F.lit(300_000)).over(S.by_word())).withColumn("end_us", F.col("start_us") + 200_000)
+
+
+def exchanges(spark, make):
+    """How the plan of make() deals rows, without broadcasts, as for tables too large for them."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return re.findall(r"Exchange (?:\w+\([^)]*\)|\w+)", re.sub(r"#\d+L?", "", plan))
+
+
+def test_words_stay_where_their_recording_is(spark):
+    rng = random.Random(5)
+    rows = [(a, i, rng.choice("tick tock and so on we go".split()), 0, 0, rng.choice((100, 900))) for a in range(5) for i in range(9000 if a == 4 else 60 * a)]
+    script = [(a, k, " ".join(rng.choice("tick tock and so on we go".split()) for _ in range(4 + 40 * (k % 7 == 0)))) for a in range(1, 6) for k in range(20)]
+    df, s = stood_by_asset(spark, rows), spark.createDataFrame([*script, *(x[:1] + (99,) + x[2:] for x in script[:1])], "asset_id long, sent_id int, text string")
+    least = A.LIST
+    A.LIST = 6  # several lists of a recording's sentences
+    try:
+        got, same = ([tuple(r) for r in A.align(df, s, spread=x).collect()] for x in (False, True))
+        plan = exchanges(spark, lambda: A._own_bands(df, s.withColumn("norm", F.translate("text", " ", ""))))
+    finally:
+        A.LIST = least
+    assert len(got) > 1000 and {r[0] for r in got} == {1, 2, 3, 4} and sorted(got) == sorted(same)
+    assert {re.sub(r"\d+", "n", x) for x in plan} == {"Exchange hashpartitioning(asset_id, n)"} and len(plan) <= 3
+
+
 def test_alignment_finds_repeats(spark):
     rows = say("noise one the quick brown fox jumps over it more noise the quick brown fox jumps over it end".split())
     s = spark.createDataFrame([(1, 1, "The quick brown fox jumps over it.".lower()), (1, 2, "never said at all"), (1, 3, "a")], "item_id long, sent_id int, text string")
