@@ -100,9 +100,16 @@ def pause_segments(words: DataFrame, pause_us: int = PAUSE_US, pad_us: int = PAD
 
 
 def uncovered_runs(words: DataFrame, covered: DataFrame, least_us: int = 500_000) -> DataFrame:
-    """Maximal runs of words that no interval of covered(asset_id, first_idx, last_idx) holds, of least_us at least."""
-    c = covered.select(F.col("asset_id").alias("_a"), F.explode(F.sequence("first_idx", "last_idx")).alias("_i")).distinct()
-    left = words.join(c, (F.col("asset_id") == F.col("_a")) & (F.col("word_idx") == F.col("_i")), "left_anti")
+    """Maximal runs of words that no interval of covered(asset_id, first_idx, last_idx) holds, of least_us at least.
+
+    No join: in order of their numbers, words meet the furthest end of the intervals that begin up to them."""
+    ends = F.greatest("first_idx", "last_idx")
+    c = covered.filter("first_idx is not null and last_idx is not null").select("asset_id", F.least("first_idx", "last_idx").alias("word_idx"), ends.alias("_last"))
+    # By asset_id, as words may stand already, which then don't move.
+    c = c.repartition("asset_id").withColumn("_kind", F.lit(0))
+    e = c.unionByName(words.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    reach = F.max("_last").over(Window.partitionBy("asset_id").orderBy("word_idx", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    left = e.withColumn("_reach", reach).filter("_kind = 1 and not coalesce(_reach >= word_idx, false)").drop("_kind", "_last", "_reach")
     run = left.withColumn("run", F.col("word_idx") - F.row_number().over(by_word()))
     out = run.groupBy("asset_id", "run").agg(
         F.min("word_idx").alias("first_idx"), F.max("word_idx").alias("last_idx"),

@@ -325,6 +325,25 @@ def test_words_stay_where_their_recording_is(spark):
     assert {re.sub(r"\d+", "n", x) for x in plan} == {"Exchange hashpartitioning(asset_id, n)"} and len(plan) <= 3
 
 
+def test_uncovered_runs_move_no_words(spark):
+    rng = random.Random(6)
+    rows = [(a, i, "w", 0, 0, 900) for a in range(4) for i in range(50) if rng.random() < 0.9]
+    ranges = [(a, x, x + rng.randrange(4)) for a in range(3) for x in (rng.randrange(48) for _ in range(6))] + [(1, 30, 20), (2, None, 5), (2, 5, None), (7, 1, 2)]
+    df, covered = stood_by_asset(spark, rows), spark.createDataFrame(ranges, "asset_id long, first_idx int, last_idx int")
+    want = set()
+    for a in range(4):
+        hidden = {i for b, x, y in ranges if b == a and x is not None and y is not None for i in range(min(x, y), max(x, y) + 1)}
+        run: list[int] = []
+        for i in [i for b, i, *_ in rows if b == a and i not in hidden] + [999]:
+            if run and i != run[-1] + 1:
+                want |= {(a, run[0], run[-1])} if len(run) > 1 else set()
+                run = []
+            run.append(i)
+    assert {(r.asset_id, r.first_idx, r.last_idx) for r in S.uncovered_runs(df, covered).collect()} == want
+    plan = exchanges(spark, lambda: S.uncovered_runs(df, covered))
+    assert {re.sub(r"\d+", "n", x) for x in plan} == {"Exchange hashpartitioning(asset_id, n)"} and len(plan) == 2
+
+
 def test_alignment_finds_repeats(spark):
     rows = say("noise one the quick brown fox jumps over it more noise the quick brown fox jumps over it end".split())
     s = spark.createDataFrame([(1, 1, "The quick brown fox jumps over it.".lower()), (1, 2, "never said at all"), (1, 3, "a")], "item_id long, sent_id int, text string")
