@@ -14,6 +14,7 @@ from cutloom.operators import segment as S
 from cutloom.operators import signal as G
 from cutloom.operators import speech as P
 from cutloom.operators.phrases import locate_phrases
+from cutloom.sources import tables as D
 
 WORDS = "asset_id long, word_idx int, word string, start_us long, end_us long, conf_milli long"
 
@@ -325,6 +326,17 @@ def test_words_stay_where_their_recording_is(spark):
     assert {re.sub(r"\d+", "n", x) for x in plan} == {"Exchange hashpartitioning(asset_id, n)"} and len(plan) <= 3
 
 
+def test_turns_are_dealt_by_the_number_of_tasks(spark):
+    talk = spark.createDataFrame([(a, t, "so it goes".split()) for a in range(40) for t in range(3)], "asset_id long, turn long, ws array<string>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        assert exchanges(spark, lambda: D.timed(talk)) == ["Exchange hashpartitioning(asset_id, 20)"]
+        assert D.timed(talk).rdd.getNumPartitions() == 20  # merged to one by the size of the turns before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_uncovered_runs_move_no_words(spark):
     rng = random.Random(6)
     rows = [(a, i, "w", 0, 0, 900) for a in range(4) for i in range(50) if rng.random() < 0.9]
