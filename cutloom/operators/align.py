@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cutloom.functions.text import normalize_align
 from cutloom.operators.segment import by_word, running_sum, uncovered_runs
-from cutloom.sources.tables import staged
+from cutloom.sources.tables import by_asset, staged
 
 GRAM, LEAST, SHORT, LONG, RADIUS, SURE = 4, 0.25, 0.65, 2.2, 0.8, 500
 #: Letters in a block of a line; sentences of up to 2^k letters, k at least CLASS, have bands of WIDTH * 2^k starts.
@@ -352,7 +352,7 @@ def _banded(w: DataFrame) -> DataFrame:
 def _own_bands(words: DataFrame, s: DataFrame) -> DataFrame:
     """asset_id, size_class, band, w, norms: bands with lists of their own recording's sentences.  Every join is by asset_id alone,
     by which words and sentences stand already, and none broadcasts; a recording's sentences come as one row."""
-    own = s.groupBy("asset_id").agg(F.collect_set("norm").alias("all")).hint("merge")
+    own = by_asset(s).groupBy("asset_id").agg(F.collect_set("norm").alias("all")).hint("merge")
     classes = own.select("asset_id", F.array_distinct(F.transform("all", _size_class)).alias("classes"))
     w = on_line(words, spread=False).join(classes, "asset_id").withColumn("size_class", F.explode("classes")).drop("classes")
     j = _banded(w).join(own, "asset_id").withColumn("all", F.filter("all", lambda x: _size_class(x) == F.col("size_class")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.sources.tables import by_asset
+
 PAUSE_US, PAD_US, LEAST_US = 800_000, 150_000, 300_000
 
 
@@ -106,7 +108,7 @@ def uncovered_runs(words: DataFrame, covered: DataFrame, least_us: int = 500_000
     ends = F.greatest("first_idx", "last_idx")
     c = covered.filter("first_idx is not null and last_idx is not null").select("asset_id", F.least("first_idx", "last_idx").alias("word_idx"), ends.alias("_last"))
     # By asset_id, as words may stand already, which then don't move.
-    c = c.repartition("asset_id").withColumn("_kind", F.lit(0))
+    c = by_asset(c).withColumn("_kind", F.lit(0))
     e = c.unionByName(words.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     reach = F.max("_last").over(Window.partitionBy("asset_id").orderBy("word_idx", "_kind").rowsBetween(Window.unboundedPreceding, 0))
     left = e.withColumn("_reach", reach).filter("_kind = 1 and not coalesce(_reach >= word_idx, false)").drop("_kind", "_last", "_reach")
