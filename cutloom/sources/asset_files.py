@@ -8,16 +8,21 @@ write_lines() sees to.
 from __future__ import annotations
 
 import uuid
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from cutloom.functions import text as T
+from cutloom.sources.files import whole_files
+from cutloom.sources.tables import by_asset
+
+Lines = namedtuple("Lines", "asset_id line")
 
 
 def filesystem(path: str):
@@ -43,7 +48,9 @@ class LineWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         fs, base = filesystem(self.path)
-        fs.create_dir(f"{base}/{self.pending}", recursive=True)
+        # A folder for each attempt, as tasks that make files in the same one wait for each other.
+        folder = f"{self.pending}/{uuid.uuid4().hex}"
+        fs.create_dir(f"{base}/{folder}", recursive=True)
         out, done, asset, stream = Written(), set(), None, None
         for row in rows:
             if row.asset_id != asset:
@@ -53,7 +60,7 @@ class LineWriter(DataSourceWriter):
                     raise ValueError(f"lines of asset {row.asset_id} don't stand together")
                 asset = row.asset_id
                 done.add(asset)
-                own = f"{self.pending}/{uuid.uuid4().hex}"
+                own = f"{folder}/{len(done)}"
                 stream = fs.open_output_stream(f"{base}/{own}")
                 out.files.append((own, f"{quote(asset, safe='')}.{self.suffix}"))
             stream.write((row.line + "\n").encode())
@@ -83,6 +90,23 @@ class LineWriter(DataSourceWriter):
             fs.delete_dir(f"{base}/{self.pending}")
 
 
+class BatchWriter(LineWriter, DataSourceArrowWriter):
+    """Takes Arrow batches; an asset's lines in one go through write() as one."""
+
+    def write(self, batches: Iterator) -> Written:
+        return super().write(self.joined(batches))
+
+    @staticmethod
+    def joined(batches: Iterator) -> Iterator[Lines]:
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            runs, lines, start = pc.run_end_encode(batch.column("asset_id")), batch.column("line").to_pylist(), 0
+            for asset, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                yield Lines(asset, "\n".join(lines[start:end]))
+                start = end
+
+
 class AssetFiles(DataSource):
     """Format assetfiles; options: path, suffix."""
 
@@ -93,8 +117,8 @@ class AssetFiles(DataSource):
     def schema(self) -> str:
         return "asset_id string, line_no long, line string"
 
-    def writer(self, schema: StructType, overwrite: bool) -> LineWriter:
-        return LineWriter(self.options, overwrite)
+    def writer(self, schema: StructType, overwrite: bool) -> BatchWriter:
+        return BatchWriter(self.options, overwrite)
 
 
 def write_lines(lines: DataFrame, path: str, suffix: str) -> None:
@@ -102,7 +126,8 @@ def write_lines(lines: DataFrame, path: str, suffix: str) -> None:
     replaced, others go.  Rows without an asset or a line are left out."""
     lines.sparkSession.dataSource.register(AssetFiles)
     rows = lines.select(F.col("asset_id").cast("string").alias("asset_id"), F.col("line_no").cast("long").alias("line_no"), F.col("line").cast("string").alias("line"))
-    rows = rows.filter("asset_id is not null and line is not null").repartition("asset_id").sortWithinPartitions("asset_id", "line_no", "line")
+    # Dealt over a set number of tasks: merged by their size, few would be left for the many files.
+    rows = by_asset(rows.filter("asset_id is not null and line is not null")).sortWithinPartitions("asset_id", "line_no", "line")
     rows.write.format("assetfiles").mode("overwrite").option("suffix", suffix).save(path)
 
 
@@ -121,8 +146,8 @@ def write_srt(cues: DataFrame, path: str) -> None:
     """cues(asset_id, cue_idx, start_us, end_us, text, text_2) as a subtitle file for each asset; line ends inside a text
     become spaces, as a blank line would end the cue."""
     flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*[\r\n]+\s*", " ")
-    second = flat(F.col("text_2"))
-    line = F.concat_ws("\n", F.col("cue_idx").cast("string"), F.concat(T.timecode_srt(F.col("start_us")), F.lit(" --> "), T.timecode_srt(F.col("end_us"))), flat(F.col("text")), F.when(second != "", second), F.lit(""))
+    second = F.nullif(flat(F.col("text_2")), F.lit(""))
+    line = F.concat_ws("\n", F.col("cue_idx").cast("string"), F.concat(T.timecode_srt(F.col("start_us")), F.lit(" --> "), T.timecode_srt(F.col("end_us"))), flat(F.col("text")), second, F.lit(""))
     write_lines(cues.select("asset_id", F.col("cue_idx").alias("line_no"), line.alias("line")), path, "srt")
 
 
@@ -135,15 +160,15 @@ def write_ass(lines: DataFrame, path: str) -> None:
     write_lines(heads.unionByName(lines.select("asset_id", (F.col("cue_idx").cast("long") * 2 + rank).alias("line_no"), "line")), path, "ass")
 
 
-def _asset() -> F.Column:
+def _files(spark: SparkSession, path: str) -> DataFrame:
     # Spark gives file names in URL form, and the names are quoted ids.
-    return F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)))
+    return whole_files(spark, path).withColumn("asset_id", F.url_decode(F.url_decode("asset_id")))
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """Subtitle files -> asset_id (string), cue_idx, start_us, end_us, text, text_2 ('' if there is one line)."""
     cue = r"(?m)^(?=\d+\r?\n\d{2,}:\d\d:\d\d,\d{3} --> )"
-    t = spark.read.text(path, wholetext=True).select(_asset().alias("asset_id"), F.explode(F.split("value", cue)).alias("c")).filter(F.col("c").rlike(r"^\d+\r?\n"))
+    t = _files(spark, path).select("asset_id", F.explode(F.split("value", cue)).alias("c")).filter(F.col("c").rlike(r"^\d+\r?\n"))
     lines = F.split(F.regexp_replace("c", r"\s+$", ""), r"\r?\n")
     t = t.select("asset_id", lines.alias("l"))
     line = lambda i: F.coalesce(F.get("l", F.lit(i)), F.lit(""))
@@ -154,6 +179,6 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ass(spark: SparkSession, path: str) -> DataFrame:
     """Event lines of files -> asset_id (string), style, start_us, end_us, text."""
-    t = spark.read.text(path, wholetext=True).select(_asset().alias("asset_id"), F.explode(F.split("value", r"\r?\n")).alias("line")).filter(F.startswith("line", F.lit("Dialogue:")))
+    t = _files(spark, path).select("asset_id", F.explode(F.split("value", r"\r?\n")).alias("line")).filter(F.startswith("line", F.lit("Dialogue:")))
     part = F.split(F.regexp_replace("line", r"^Dialogue:\s*", ""), ",", 10)
     return t.select("asset_id", part[3].alias("style"), T.parse_timecode(part[1]).alias("start_us"), T.parse_timecode(part[2]).alias("end_us"), part[9].alias("text"))

@@ -16,6 +16,16 @@ def _asset() -> F.Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
 
 
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files -> asset_id (the name without its ending), value: the whole text.  Plain files are read as bytes, as the reader of
+    texts sets up configuration and codecs for each file, which takes longer than reading a small one; compressed files go
+    through it."""
+    packed = "bz2", "deflate", "gz", "lz4", "snappy", "zst"
+    plain = spark.read.format("binaryFile").load(path).filter(~F.col("_metadata.file_name").rlike(rf"\.({'|'.join(packed)})$"))
+    texts = spark.read.option("pathGlobFilter", f"*.{{{','.join(packed)}}}").text(path, wholetext=True)
+    return plain.select(_asset().alias("asset_id"), F.col("content").cast("string").alias("value")).union(texts.select(_asset(), "value"))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents, one a file -> words(asset_id, word_idx, word, start_us, end_us, confidence), in the order of the
     list.  The asset is the file's name without its ending; empty word lists give no rows, missing confidence null."""
@@ -97,7 +107,7 @@ def script_sentences(spark: SparkSession, path: str, start: str, end: str) -> Da
     """S3: the section of a script between a line with the start marker and the next with the end marker, as sentences.
 
     No start marker: no rows.  Blank lines are skipped, sentences end after 。！？； or a line end."""
-    t = spark.read.text(path, wholetext=True).select(_asset().alias("asset_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    t = whole_files(spark, path).select("asset_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     first = F.min(F.when(F.contains("text", F.lit(start)), F.col("line"))).over(Window.partitionBy("asset_id"))
     t = t.withColumn("first", first).filter(F.col("line") > F.col("first"))
     last = F.min(F.when(F.contains("text", F.lit(end)), F.col("line"))).over(Window.partitionBy("asset_id"))
@@ -108,7 +118,7 @@ def script_sentences(spark: SparkSession, path: str, start: str, end: str) -> Da
 
 def script_lines(spark: SparkSession, path: str) -> DataFrame:
     """Subtitle lines of a script: no blanks, headings or rules."""
-    t = spark.read.text(path, wholetext=True).select(_asset().alias("asset_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    t = whole_files(spark, path).select("asset_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     t = t.withColumn("text", F.trim("text")).filter("text <> ''").filter(~F.col("text").rlike("^#") & ~F.col("text").rlike("^[-=─]{3,}$"))
     return t.select("asset_id", F.row_number().over(Window.partitionBy("asset_id").orderBy("line")).alias("line_no"), "text")
 
@@ -129,7 +139,7 @@ def read_checklist(spark: SparkSession, path: str) -> DataFrame:
 
 def storyboard_scenes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown scenes "### Scene NN · a s–b s · role · title" with "- field：value" lines -> rows with a map of fields."""
-    t = spark.read.text(path, wholetext=True).select(_asset().alias("spec_id"), F.explode(F.split("value", r"(?m)^### +(?=Scene)")).alias("b"))
+    t = whole_files(spark, path).select(F.col("asset_id").alias("spec_id"), F.explode(F.split("value", r"(?m)^### +(?=Scene)")).alias("b"))
     head = F.regexp_extract("b", r"^([^\n]*)", 1)
     part = lambda i: F.trim(F.try_element_at(F.split(head, "·"), F.lit(i)))
     time = lambda i: F.regexp_extract(part(2), r"([\d.]+)\s*s?\s*[–-]\s*([\d.]+)", i).try_cast("double")

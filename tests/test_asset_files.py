@@ -1,12 +1,15 @@
 """Files for each asset: what is written is read back, and repeated tasks leave one file."""
 
+import gzip
 import json
 import os
 from collections import namedtuple
 
+import pyarrow as pa
 import pytest
 
 from cutloom.sources import asset_files as A
+from cutloom.sources.files import whole_files
 
 CUES = "asset_id string, cue_idx int, start_us long, end_us long, text string, text_2 string"
 
@@ -54,3 +57,30 @@ def test_decision_documents(spark, tmp_path):
     df = spark.createDataFrame([(7, 2, True), (7, 1, False), (9, 1, True)], "asset_id long, id int, keep boolean")
     A.write_edl_files(df, str(tmp_path), ["id", "keep"])
     assert json.loads((tmp_path / "7.json").read_text()) == {"asset_id": 7, "segments": [{"id": 1, "keep": False}, {"id": 2, "keep": True}]}
+
+
+def test_many_small_files_take_few_steps(spark, tmp_path):
+    """Lines of an asset reach the writer joined, tasks are not merged by size, and plain files are read as bytes."""
+    batches = [pa.record_batch([a, list(range(len(a))), [f"{x}{i}\n" for i, x in enumerate(a)]], names=["asset_id", "line_no", "line"]) for a in (["a", "a", "b"], ["b", "b", "c"])]
+    w = A.AssetFiles({"path": str(tmp_path / "one")}).writer(None, True)
+    w.commit([w.write(iter(batches))])
+    assert {f: (tmp_path / "one" / f).read_text() for f in os.listdir(tmp_path / "one")} == {"a.txt": "a0\n\na1\n\n", "b.txt": "b2\n\nb0\n\nb1\n\n", "c.txt": "c2\n\n"}
+    with pytest.raises(ValueError):
+        w.write(iter([batches[0], batches[0]]))
+    assert [tuple(x) for x in w.joined(batches[:1])] == [("a", "a0\n\na1\n"), ("b", "b2\n")]
+
+    spark.sparkContext.setJobGroup("write", "write")
+    A.write_srt(spark.createDataFrame(cues(), CUES), str(tmp_path / "srt"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    last = max(s for j in tracker.getJobIdsForGroup("write") for s in tracker.getJobInfo(j).stageIds)
+    assert tracker.getStageInfo(last).numTasks == 4
+    assert "binaryFile" in A.read_srt(spark, str(tmp_path / "srt"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_files(spark, tmp_path):
+    files = {"a.md": "x\r\ny\n", "b": "é，\n", "c.md": ""}  # an empty file gives no row, as with the reader of texts
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "d.md.gz").write_bytes(gzip.compress(b"packed\n"))
+    assert {r.asset_id: r.value for r in whole_files(spark, str(tmp_path)).collect()} == {"a": "x\r\ny\n", "b": "é，\n", "d.md": "packed\n"}
