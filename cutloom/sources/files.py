@@ -19,11 +19,11 @@ def _asset() -> F.Column:
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """Files -> asset_id (the name without its ending), value: the whole text.  Plain files are read as bytes, as the reader of
     texts sets up configuration and codecs for each file, which takes longer than reading a small one; compressed files go
-    through it."""
+    through it.  Spark gives a task a few files only, however small they are; here at most as many tasks as shuffles have share them."""
     packed = "bz2", "deflate", "gz", "lz4", "snappy", "zst"
     plain = spark.read.format("binaryFile").load(path).filter(~F.col("_metadata.file_name").rlike(rf"\.({'|'.join(packed)})$"))
     texts = spark.read.option("pathGlobFilter", f"*.{{{','.join(packed)}}}").text(path, wholetext=True)
-    return plain.select(_asset().alias("asset_id"), F.col("content").cast("string").alias("value")).union(texts.select(_asset(), "value"))
+    return plain.select(_asset().alias("asset_id"), F.col("content").cast("string").alias("value")).union(texts.select(_asset(), "value")).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

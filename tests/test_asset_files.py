@@ -84,3 +84,7 @@ def test_whole_files(spark, tmp_path):
         (tmp_path / name).write_bytes(text.encode())
     (tmp_path / "d.md.gz").write_bytes(gzip.compress(b"packed\n"))
     assert {r.asset_id: r.value for r in whole_files(spark, str(tmp_path)).collect()} == {"a": "x\r\ny\n", "b": "é，\n", "d.md": "packed\n"}
+    for i in range(200):
+        (tmp_path / f"{i}.md").write_bytes(b"x")
+    many = whole_files(spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 4 and many.count() == 203
