@@ -16,8 +16,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ from cutloom.sources.tables import by_asset, staged
 GRAM, LEAST, SHORT, LONG, RADIUS, SURE = 4, 0.25, 0.65, 2.2, 0.8, 500
 #: Letters in a block of a line; sentences of up to 2^k letters, k at least CLASS, have bands of WIDTH * 2^k starts.
 BLOCK, CLASS, WIDTH = 512, 10, 16
-#: Sentences in a list; starts times lengths that are scored at a time.
-LIST, CELLS = 1000, 2_000_000
+#: Sentences in a list; windows and, about, letters that are scored at a time.
+LIST, CELLS, LETTERS = 1000, 100_000, 4096
 
 
 def places_of(text: str, n: int = GRAM) -> dict[str, list[int]]:
@@ -136,8 +136,13 @@ def peaks(best: np.ndarray, radius: int, least: float = LEAST) -> list[int]:
     return first_of_close(local_maxima(best, radius, least), radius)
 
 
-def radius_of(q: Column | int):
-    return max(GRAM, int(q * RADIUS)) if isinstance(q, int) else F.greatest(F.lit(GRAM), F.floor(q * RADIUS))
+def radius_of(q: int) -> int:
+    return max(GRAM, int(q * RADIUS))
+
+
+def radii(q: np.ndarray) -> np.ndarray:
+    """radius_of() of each."""
+    return np.maximum(GRAM, (q * RADIUS).astype(np.int64))
 
 
 _WORD = ("word_idx", "n", "e", "c", "start_us", "end_us")
@@ -182,7 +187,7 @@ class Script:
     """A list of sentences by their grams: which sentences hold each, and how often."""
 
     def __init__(self, norms: list[str]):
-        self.norms, self.q = norms, np.array([len(x) for x in norms])
+        self.norms, self.q, self.bits = norms, np.array([len(x) for x in norms]), len(norms).bit_length()
         codes = self._codes("".join(norms))
         pairs = codes[:-1] << 32 | codes[1:]
         self.pairs = np.unique(pairs)
@@ -193,6 +198,7 @@ class Script:
         both, self.times = np.unique(gram.astype(np.int64) << 32 | np.repeat(np.arange(len(norms)), size), return_counts=True)
         self.sentence = both & 0xFFFFFFFF
         self.holders = np.searchsorted(both >> 32, np.arange(len(self.grams) + 1))
+        self.reach, self.radius = reach_of(self.q), radii(self.q)
 
     @staticmethod
     def _codes(text: str) -> np.ndarray:
@@ -203,80 +209,214 @@ class Script:
         at = np.minimum(np.searchsorted(table, values), len(table) - 1)
         return np.where(table[at] == values, at, -1)
 
-    def shared(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each sentence that may match in a text, with its shared places and where their grams stood as often before as the
-        sentence holds them."""
-        codes = self._codes(text)
+    def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """text, sentence, place, before of the places that texts share with the sentences that may match in them, in this order;
+        before: where a place's gram stood as often before as the sentence holds it, or -1."""
+        codes, sizes = self._codes("".join(texts)), np.array([len(x) for x in texts])
+        none = (np.empty(0, dtype=np.int64),) * 4
         if len(codes) < GRAM:
-            return
+            return none
+        text = np.repeat(np.arange(len(texts)), sizes)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         pair = self._known(self.pairs, codes[:-1] << 32 | codes[1:])
-        gram = np.where((pair[:-2] >= 0) & (pair[2:] >= 0), self._known(self.grams, pair[:-2] << 32 | pair[2:]), -1)
-        place = np.flatnonzero(gram >= 0)
-        place = place[np.argsort(gram[place], kind="stable")]
-        gram = gram[place]
+        may = np.flatnonzero((pair[:-2] >= 0) & (pair[2:] >= 0) & (text[: -GRAM + 1] == text[GRAM - 1 :]))
+        gram = self._known(self.grams, pair[may] << 32 | pair[may + 2])
+        place, gram = may[gram >= 0], gram[gram >= 0]
         if not len(place):
-            return
-        opens = np.searchsorted(gram, gram)  # where each gram's places begin
+            return none
+        own = text[place] * len(self.grams) + gram
+        order = np.argsort(own, kind="stable")
+        place, gram, own = place[order], gram[order], own[order]
+        opens = np.flatnonzero(np.diff(own, prepend=-1))  # where each gram's places in a text begin
+        opens = np.repeat(opens, np.diff(opens, append=len(own)))
         size = self.holders[gram + 1] - self.holders[gram]
         of = np.repeat(np.arange(len(place)), size)
         holder = np.arange(len(of)) + np.repeat(self.holders[gram] - np.cumsum(size) + size, size)
         back = of - self.times[holder]
-        before = np.where(back >= opens[of], place[back], -1)
-        order = np.argsort(self.sentence[holder] * len(codes) + place[of])
-        sentence, place, before = self.sentence[holder][order], place[of][order], before[order]
-        _, high, need = reach_of(self.q)
+        before = np.where(back >= opens[of], at[place[np.maximum(back, 0)]], -1)
+        own, place = (text[place] << self.bits)[of] | self.sentence[holder], at[place][of]
+        wide = int(sizes.max()).bit_length()
+        if len(texts).bit_length() + self.bits + 2 * wide < 63:  # rows as numbers sort much faster than their order
+            row = np.sort((own << wide | place) << wide | before + 1)
+            own, place, before = row >> 2 * wide, row >> wide & (1 << wide) - 1, (row & (1 << wide) - 1) - 1
+        else:
+            order = np.lexsort((place, own))
+            own, place, before = own[order], place[order], before[order]
+        _, high, need = self.reach
+        sentence = own & (1 << self.bits) - 1
         last = np.arange(len(place)) + need[sentence] - 1
         inside = np.minimum(last, len(place) - 1)
-        enough = (last < len(place)) & (sentence[inside] == sentence) & (place[inside] - place <= (high - GRAM)[sentence])
-        bounds = np.searchsorted(sentence, np.arange(len(self.norms) + 1))
-        for i in np.unique(sentence[enough]).tolist():
-            own = slice(bounds[i], bounds[i + 1])
+        enough = (last < len(place)) & (own[inside] == own) & (place[inside] - place <= (high - GRAM)[sentence])
+        some = np.zeros(len(texts) << self.bits, dtype=bool)
+        some[own[enough]] = True
+        some = some[own]
+        return own[some] >> self.bits, sentence[some], place[some], before[some]
+
+    def shared(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each sentence that may match in a text, with its shared places and where their grams stood as often before as the
+        sentence holds them."""
+        _, sentence, place, before = self.hits([text])
+        for i in np.unique(sentence).tolist():
+            own = slice(*np.searchsorted(sentence, [i, i + 1]))
             yield i, place[own], before[own]
 
+    def peaks(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """text, sentence, first, last, length, value, chained: the stretches of starts that are local maxima of a sentence's scores
+        within radius_of() its length; their windows have one length and value.  chained: a maximum nearer than the radius may
+        stand ahead of the first.
 
-def _score_band(asset: int, size_class: int, band: int, words: pa.StructArray, script: Script) -> Iterator[tuple]:
-    parts, ends = words.field("n").to_pylist(), words.field("e").to_numpy()
-    text, base = "".join(parts), int(ends[0]) - len(parts[0])
-    idx, conf, starts_us, ends_us = (words.field(f).to_numpy() for f in ("word_idx", "c", "start_us", "end_us"))
-    ends = ends - base
-    low = band * WIDTH * 2**size_class - base
-    high, low = min(low + WIDTH * 2**size_class, len(text)), max(low, 0)
-    for k, place, before in script.shared(text):
-        q = script.norms[k]
-        r = radius_of(len(q))
-        at = max(0, low - r)
-        best, end = shared_scores(place, before, len(q), len(text), GRAM, at, min(len(text), high + r), LEAST)
-        for i in local_maxima(best, r):
-            if not low <= at + i < high:
+        All sentences and texts at once, and of starts only shared places: between two of them a start's windows hold what the
+        next place's hold, so that scores rise up to it, and are level where the best window has the least length."""
+        text, sentence, place, before = self.hits(texts)
+        if not len(place):
+            return (text,) * 7
+        low_of, high_of, need_of = self.reach
+        sizes, total_of = np.array([len(x) for x in texts]), np.maximum(0, self.q - GRAM + 1)
+        own = text << self.bits | sentence
+        prev = np.where(np.diff(own, prepend=-1) == 0, np.append(-1, place[:-1]), -1)
+        low, lengths = low_of[sentence], (high_of - GRAM + 1)[sentence]
+        start = np.minimum(place, sizes[text] - low)  # the last start that a window fits behind
+        nth = np.arange(len(place))
+        last = nth + need_of[sentence] - 1
+        inside = np.minimum(last, len(place) - 1)
+        hopeful = (start > prev) & (last < len(place)) & (own[inside] == own) & (place[inside] < start + lengths)
+        # With all grams counted, some window must reach LEAST: 2 / LEAST * grams less letters, at most, from here on.
+        far, most = int(2 / LEAST * len(place)) + int(sizes.max()) + 1, 2 / LEAST * (nth + 1) - place
+        most = np.maximum.accumulate((most - own * far)[::-1])[::-1] + own * far
+        hopeful = np.flatnonzero(hopeful & (most >= 2 / LEAST * nth + 1 + total_of[sentence] - start))
+        if not len(hopeful):
+            return (text[:0],) * 7
+        wide = int(sizes.max() + high_of.max()) + 1
+        key = own * wide + place
+        reach = np.searchsorted(key, own[hopeful] * wide + start[hopeful] + lengths[hopeful]) - hopeful
+
+        def cells(at: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Of the windows from the start of places at, to each of many shared places: where those of one start begin, the place,
+            the shared grams and the least length."""
+            opens = np.cumsum(many) - many
+            k = np.repeat(at - opens, many) + np.arange(many.sum())
+            new = before[k] < np.repeat(start[at], many)
+            over = np.cumsum(new)
+            over -= np.repeat(over[opens] - new[opens], many)
+            return opens, k, over, np.maximum(place[k] - np.repeat(start[at] - GRAM, many), np.repeat(low[at], many))
+
+        found = []
+        bounds = np.searchsorted(np.cumsum(reach), np.arange(CELLS, int(reach.sum()) + CELLS, CELLS), side="right")
+        for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(hopeful)]):
+            if a == b:
                 continue
-            a, b = (int(np.searchsorted(ends, x, side="right")) for x in (at + i, end[i] - 1))
-            final = round(best[i] * (1.0 if conf[a : b + 1].mean() >= SURE else 0.85), 4)
-            yield asset, q, base + at + i, idx[a], idx[b], starts_us[a], ends_us[b], best[i], final
+            at, many = hopeful[a:b], reach[a:b]
+            opens, k, over, length = cells(at, many)
+            f1 = 2.0 * over / (length + np.repeat(total_of[sentence[at]] - GRAM + 1, many))
+            best = np.maximum.reduceat(f1, opens)
+            good = np.flatnonzero(best >= LEAST)
+            top = np.flatnonzero(f1 == np.repeat(np.where(best >= LEAST, best, -1.0), many))
+            top = top[np.searchsorted(top, opens[good])]  # the shortest of the best
+            found.append((at[good], many[good], best[good], k[top], over[top], length[top]))
+        at, many, value, end, over, length = (np.concatenate(x) for x in zip(*found))
+        own, z, r, floor, s, prev, total = own[at], sentence[at], self.radius[sentence[at]], low[at], start[at], prev[at], total_of[sentence[at]]
+        bulk = length - GRAM + 1 + total  # value is 2 * over / bulk
+        first = np.where(length == floor, np.maximum(prev + 1, place[end] + GRAM - floor), s)
+        clipped, stop, chained = first.copy(), s.copy(), np.zeros(len(at), dtype=bool)
+        # Starts within the radius of a higher place ahead are none.
+        h, d = np.arange(len(at)), 1
+        while len(h := h[h >= d]):
+            h = h[(own[h - d] == own[h]) & (s[h - d] + r[h] >= clipped[h])]
+            g = h - d
+            higher = value[g] > value[h]
+            chained[h] |= (value[g] == value[h]) & (s[g] > clipped[h] - r[h])
+            clipped[h[higher]] = s[g[higher]] + r[h[higher]] + 1
+            h, d = h[~higher], d + 1
+        h, d = np.flatnonzero(clipped <= stop), 1
+        while len(h := h[h + d < len(at)]):
+            g = h + d
+            near = (own[g] == own[h]) & (prev[g] < stop[h] + r[h])
+            h, g = h[near], g[near]
+            higher = value[g] > value[h]
+            whole = higher & (s[g] <= clipped[h] + r[h])
+            stop[h[whole]] = -1
+            part = higher & ~whole
+            if part.any():
+                # The first start up to a place from which a window scores higher, in whole numbers.
+                x, y = h[part], g[part]
+                opens, k, o, _ = cells(at[y], many[y])
+                n, m = np.repeat(over[x], many[y]), o * np.repeat(bulk[x], many[y])
+                t = np.maximum(((place[k] + 1 + np.repeat(total[y], many[y])) * n - m) // n, np.repeat(prev[y], many[y])) + 1
+                t = np.maximum(t, place[k] - np.repeat(lengths[at[y]], many[y]) + 1)
+                t[np.repeat(floor[y] - GRAM + 1 + total[y], many[y]) * n >= m] = np.iinfo(np.int64).max
+                stop[x] = np.minimum(stop[x], np.minimum.reduceat(t, opens) - r[x] - 1)
+            h, d = h[stop[h] >= clipped[h]], d + 1
+        stay = np.flatnonzero(clipped <= stop)
+        return text[at[stay]], z[stay], clipped[stay], stop[stay], length[stay], value[stay], chained[stay]
+
+
+def _score(rows: list[tuple], script: Script) -> pa.RecordBatch | None:
+    """The local maxima of a list's sentences in bands.  Of starts on a level that no other maximum is near, only the first."""
+    lines = []
+    for asset, size_class, band, words in rows:
+        parts, ends = words.field("n").to_pylist(), words.field("e").to_numpy()
+        base = int(ends[0]) - len(parts[0])
+        low = band * WIDTH * 2**size_class - base
+        text = "".join(parts)
+        lines.append((text, ends - base, base, max(low, 0), min(low + WIDTH * 2**size_class, len(text))))
+    line, z, first, last, length, value, chained = script.peaks([x[0] for x in lines])
+    low, high = (np.array([x[i] for x in lines])[line] for i in (3, 4))
+    chained = chained | (first < low)
+    first, last = np.maximum(first, low), np.minimum(last, high - 1)
+    many = np.where(chained, np.maximum(last - first + 1, 0), first <= last)
+    of = np.repeat(np.arange(len(many)), many)
+    if not len(of):
+        return None
+    p = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    line, z, value, end = line[of], z[of], value[of], p + length[of] - 1
+    # The words of all bands in one line, each band's letters behind those before.
+    sizes = np.array([len(x[0]) for x in lines])
+    ahead, of_words = np.cumsum(sizes) - sizes, [len(x[1]) for x in lines]
+    ends = np.concatenate([x[1] for x in lines]) + np.repeat(ahead, of_words)
+    idx, conf, starts_us, ends_us = (np.concatenate([w.field(f).to_numpy() for *_, w in rows]) for f in ("word_idx", "c", "start_us", "end_us"))
+    a, b = (np.searchsorted(ends, x + ahead[line], side="right") for x in (p, end))
+    conf = np.append(0.0, np.cumsum(conf))
+    factor = np.where((conf[b + 1] - conf[a]) / (b + 1 - a) >= SURE, 1.0, 0.85)
+    final = [round(x, 4) for x in (value * factor).tolist()]
+    asset, base = (np.array([x[0] for x in rows])[line], np.array([x[2] for x in lines])[line])
+    columns = (asset, pa.array(script.norms, pa.string()).take(pa.array(z)), base + p, idx[a], idx[b], starts_us[a], ends_us[b], value, final)
+    return pa.record_batch([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
 
 def _score_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    script = None
+    script, rows, letters = None, [], 0
     for batch in batches:
-        rows = []
         for asset, size_class, band, words, norms in zip(*(batch[c] for c in ("asset_id", "size_class", "band", "w", "norms"))):
             norms = norms.values.to_pylist()
-            if script is None or script.norms != norms:
-                script = Script(norms)
-            rows += _score_band(asset.as_py(), size_class.as_py(), band.as_py(), words.values, script)
-        if rows:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
-
-
-def _first_peaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if script is None or script.norms != norms or letters >= LETTERS:
+                if rows and (out := _score(rows, script)):
+                    yield out
+                rows, letters = [], 0
+                if script is None or script.norms != norms:
+                    script = Script(norms)
+            rows.append((asset.as_py(), size_class.as_py(), band.as_py(), words.values))
+            letters += int(words.values[-1]["e"].as_py()) - int(words.values[0]["e"].as_py())
+    if rows and (out := _score(rows, script)):
+        yield out
+
+
+def _first_peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by asset_id, norm and p without those nearer than the radius to one that stays."""
     asset = norm = last = None
     for batch in batches:
-        stays = []
-        for a, q, p in zip(batch["asset_id"], batch["norm"], batch["p"]):
-            if (a, q) != (asset, norm):
-                asset, norm, last = a, q, None
-            stays.append(last is None or p - last >= radius_of(len(q)))
-            last = p if stays[-1] else last
-        yield batch[np.array(stays, dtype=bool)]
+        if not batch.num_rows:
+            continue
+        assets, norms, p = batch["asset_id"].to_numpy(), batch["norm"], batch["p"].to_numpy()
+        r = radii(pc.utf8_length(norms).to_numpy())
+        # A maximum far enough from the one before it stays, whether that one does or not.
+        same = (assets[1:] == assets[:-1]) & pc.equal(norms[1:], norms[:-1]).to_numpy(zero_copy_only=False)
+        near = np.append((assets[0], norms[0].as_py()) == (asset, norm), same & (p[1:] - p[:-1] < r[1:]))
+        stays = ~near
+        for i in np.flatnonzero(near).tolist():
+            last = p[i - 1] if i and stays[i - 1] else last
+            stays[i] = p[i] - last >= r[i]
+        asset, norm, last = assets[-1], norms[-1].as_py(), p[-1] if stays[-1] else last
+        yield batch.filter(pa.array(stays))
 
 
 def align(words: DataFrame, sentences: DataFrame, spread: bool = False) -> DataFrame:
@@ -287,7 +427,7 @@ def align(words: DataFrame, sentences: DataFrame, spread: bool = False) -> DataF
     Sentences with an asset_id are looked for in this recording only, others in all.  Sentences of fewer than 4 letters match
     nothing.  Null words count as empty, null confidence as 0; an equal sentence is scored once and counts each time.
 
-    Recordings with sentences of their own meet them by asset_id alone, so that words that stand by it don't move, whatever the
+    Words meet sentences by asset_id alone, or lists that come to them, so that words that stand by it don't move, whatever the
     size of the tables.  spread: for recordings of very many words, no task holds all words of one; words move twice."""
     own = ["asset_id"] if "asset_id" in sentences.columns else []
     ids = ["asset_id", *[c for c in ("item_id", "sent_id") if c in sentences.columns]]
@@ -297,9 +437,9 @@ def align(words: DataFrame, sentences: DataFrame, spread: bool = False) -> DataF
         s = s.hint("merge")
     else:
         lists = _lists(s.select(*own, "norm").distinct(), own)
-        met = _bands(words, lists, own).join(lists, [*own, "size_class"])
+        met = _bands(words, lists, own, spread).join(lists, [*own, "size_class"])
     found = met.select("asset_id", "size_class", "band", "w", "norms").mapInArrow(_score_bands, _FIELDS)
-    found = found.repartition("asset_id", "norm").sortWithinPartitions("asset_id", "norm", "p").mapInPandas(_first_peaks, _FIELDS)
+    found = found.repartition("asset_id", "norm").sortWithinPartitions("asset_id", "norm", "p").mapInArrow(_first_peaks, _FIELDS)
     found = found.filter(F.col("confidence") >= LEAST).join(s, [*own, "norm"]).select(*ids, "p", "first_idx", "last_idx", "start_us", "end_us", "f1", "confidence")
     w5 = Window.partitionBy(*ids)
     late = F.row_number().over(w5.orderBy(F.desc("start_us"), F.desc("end_us"), F.desc("p")))
@@ -334,10 +474,10 @@ def _lists(s: DataFrame, own: list[str]) -> DataFrame:
     return s.groupBy(*keys, "_list").agg(F.collect_list("norm").alias("norms")).drop("_list")
 
 
-def _bands(words: DataFrame, lists: DataFrame, own: list[str]) -> DataFrame:
+def _bands(words: DataFrame, lists: DataFrame, own: list[str], spread: bool = True) -> DataFrame:
     """asset_id, size_class, band, w: the words, in order and with where they end on the line, around each band of each size
     class that sentences of the recording have, as far as peaks and windows of the band's starts need letters."""
-    w = on_line(words)
+    w = on_line(words, spread=spread)
     classes = lists.select(*own, "size_class").distinct()
     return _banded(w.join(classes, own) if own else w.crossJoin(F.broadcast(classes)))
 

@@ -62,14 +62,14 @@ def a11_retake_quality(spark, sf_dir):
 @query()
 def j7_alignment(spark, sf_dir):
     """Script sentences in all conversations."""
-    return A.align(D.words(spark, sf_dir), D.sentences(spark, sf_dir)).select("asset_id", "item_id", "sent_id", "interval_idx", "first_idx", "last_idx", "confidence", "keep", "reason")
+    return A.align(D.words(spark, sf_dir, 1), D.sentences(spark, sf_dir)).select("asset_id", "item_id", "sent_id", "interval_idx", "first_idx", "last_idx", "confidence", "keep", "reason")
 
 
 @query()
 def a1_alignment_summary(spark, sf_dir):
     """A1: sentences, matches, repeats and match rate by item."""
     s = D.sentences(spark, sf_dir)
-    m = A.align(D.words(spark, sf_dir), s).groupBy("item_id", "sent_id").agg(F.count("*").alias("n"))
+    m = A.align(D.words(spark, sf_dir, 1), s).groupBy("item_id", "sent_id").agg(F.count("*").alias("n"))
     j = s.join(m, ["item_id", "sent_id"], "left").groupBy("item_id")
     out = j.agg(F.count("*").alias("sentences"), F.count("n").alias("matched"), F.count_if(F.col("n") > 1).alias("repeats"))
     return out.withColumn("unmatched", F.col("sentences") - F.col("matched")).withColumn("match_rate", F.round(F.col("matched") / F.col("sentences"), 4))
@@ -78,8 +78,8 @@ def a1_alignment_summary(spark, sf_dir):
 @query()
 def a1_asset_summary(spark, sf_dir):
     """A1: sentences, matches, repeats and what is left over, by recording and script."""
-    w, s = D.words(spark, sf_dir), D.sentences(spark, sf_dir)
-    return A.summary(w, s, A.align(w, s))
+    s = D.sentences(spark, sf_dir)
+    return A.summary(D.words(spark, sf_dir), s, A.align(D.words(spark, sf_dir, 1), s))
 
 
 def _line(column: str) -> str:

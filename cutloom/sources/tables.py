@@ -40,18 +40,18 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset_id"), "turn", tokens(F.col("text")).alias("ws"))
 
 
-def by_asset(df: DataFrame) -> DataFrame:
-    """df dealt by asset_id over a quarter of the tasks that shuffles are set to (up to 16: all), none of them merged: Spark merges
-    by the size of what it shuffles, and the words of turns take many times the turns' room."""
+def by_asset(df: DataFrame, share: int = 4) -> DataFrame:
+    """df dealt by asset_id over a quarter (or share) of the tasks that shuffles are set to (up to 16: all), none of them merged:
+    Spark merges by the size of what it shuffles, and the words of turns take many times the turns' room."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(n, max(n // 4, 16)), "asset_id")
+    return df.repartition(min(n, max(n // share, 16)), "asset_id")
 
 
-def timed(said: DataFrame) -> DataFrame:
+def timed(said: DataFrame, share: int = 4) -> DataFrame:
     """(asset_id, turn, ws) -> words with times in microseconds, as a recogniser would give them.  Turns move and are
-    numbered on as a whole; words stay where their turns are."""
+    numbered on as a whole; words stay where their turns are.  share: of by_asset(), 1 where words take long."""
     order = Window.partitionBy("asset_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = by_asset(said).withColumn("ahead", F.coalesce(F.sum(F.size("ws")).over(order), F.lit(0)))
+    ahead = by_asset(said, share).withColumn("ahead", F.coalesce(F.sum(F.size("ws")).over(order), F.lit(0)))
     tokenised = ahead.select("asset_id", "turn", "ahead", F.posexplode("ws").alias("p", "word"))
     n, i = F.length("word"), F.col("word_idx")
     lead = (
@@ -66,9 +66,9 @@ def timed(said: DataFrame) -> DataFrame:
     return out.select("asset_id", "word_idx", "turn", "word", "start_us", "end_us", milli.cast("long").alias("conf_milli"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, share: int = 4) -> DataFrame:
     """The words of all conversations."""
-    return timed(turns(spark, sf_dir))
+    return timed(turns(spark, sf_dir), share)
 
 
 def drop_window() -> tuple[Column, Column, Column]:
