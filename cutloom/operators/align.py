@@ -477,7 +477,7 @@ def _lists(s: DataFrame, own: list[str]) -> DataFrame:
 def _bands(words: DataFrame, lists: DataFrame, own: list[str], spread: bool = True) -> DataFrame:
     """asset_id, size_class, band, w: the words, in order and with where they end on the line, around each band of each size
     class that sentences of the recording have, as far as peaks and windows of the band's starts need letters."""
-    w = on_line(words, spread=spread)
+    w = on_line(words.filter("asset_id is not null"), spread=spread)
     classes = lists.select(*own, "size_class").distinct()
     return _banded(w.join(classes, own) if own else w.crossJoin(F.broadcast(classes)))
 

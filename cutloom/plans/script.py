@@ -47,7 +47,7 @@ def w12_windows(spark, sf_dir):
 @query()
 def w8_self_duplicates(spark, sf_dir):
     """Retakes and stutters of all conversations."""
-    return R.self_duplicates(D.words(spark, sf_dir)).select("asset_id", "a_i", "a_j", "b_i", "b_j", "similarity", "gap_us", "dup_type")
+    return R.self_duplicates(D.words(spark, sf_dir, 1)).select("asset_id", "a_i", "a_j", "b_i", "b_j", "similarity", "gap_us", "dup_type")
 
 
 @query()
