@@ -53,9 +53,8 @@ def w8_self_duplicates(spark, sf_dir):
 @query()
 def a11_retake_quality(spark, sf_dir):
     """How well retakes are found in takes whose beginnings are said twice, by recording."""
-    w = D.takes(spark, sf_dir)
-    turn = w.select("asset_id", F.col("word_idx").alias("a_i"), "turn")
-    found = R.self_duplicates(w).join(turn, ["asset_id", "a_i"])
+    found = R.self_duplicates(D.takes(spark, sf_dir, 1)).select("asset_id", "a_i")
+    found = D.in_turns(found, D.taken_turns(spark, sf_dir), "a_i")
     return C.detector_quality(found, D.retaken_turns(spark, sf_dir), ["asset_id", "turn"], ["asset_id"])
 
 

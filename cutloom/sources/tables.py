@@ -102,10 +102,26 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("asset_id", F.row_number().over(order).alias("sent_id"), "text")
 
 
-def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of all conversations as takes: in every third turn of eight words and more the first eight are said twice."""
+def taken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turns() as takes: in every third turn of eight words and more the first eight are said twice."""
     said = F.when((F.col("turn") % 3 == 1) & (F.size("ws") >= 8), F.concat(F.slice("ws", 1, 8), "ws")).otherwise(F.col("ws"))
-    return timed(turns(spark, sf_dir).select("asset_id", "turn", said.alias("ws")))
+    return turns(spark, sf_dir).select("asset_id", "turn", said.alias("ws"))
+
+
+def takes(spark: SparkSession, sf_dir: str, share: int = 4) -> DataFrame:
+    """The words of all conversations as takes."""
+    return timed(taken_turns(spark, sf_dir), share)
+
+
+def in_turns(found: DataFrame, said: DataFrame, column: str) -> DataFrame:
+    """found(asset_id, a word's number in column) with the turn that the word has in timed(said).  No join with words: in order of
+    their numbers, found meets the beginnings of turns."""
+    order = Window.partitionBy("asset_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.size("ws")).over(order), F.lit(0)).cast("int")
+    begins = said.withColumn(column, begin).filter(F.size("ws") > 0).select("asset_id", column, F.struct("turn").alias("_turn"))
+    both = begins.unionByName(found.withColumn("_found", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("asset_id").orderBy(column, F.col("_found").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("turn", F.last("_turn", ignorenulls=True).over(w)["turn"]).filter("_found").drop("_turn", "_found")
 
 
 def retaken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

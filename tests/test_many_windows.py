@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from cutloom.operators import retakes as R
+from cutloom.sources import tables as D
 from tests.test_operators import exchanges, f1, stood_by_asset
 
 
@@ -72,3 +73,13 @@ def test_both_forms_of_retakes_are_equal_and_words_stay(spark):
     assert got == sorted(tuple(r) for r in R.self_duplicates(df, spread=True).collect()) and len({r[0] for r in got}) > 3
     plan = [re.sub(r"\d+", "n", x) for x in exchanges(spark, lambda: R.self_duplicates(df))]
     assert plan == ["Exchange hashpartitioning(asset_id, n)"] * 2  # the words once as they come, the pairs once
+
+
+def test_words_turns_without_words(spark):
+    turns = [(a, t, ["w"] * n) for a in (1, 2) for t, n in ((0, 3), (1, 0), (3, 2), (4, 0), (9, 1))]
+    said = spark.createDataFrame(turns, "asset_id long, turn long, ws array<string>")
+    found = spark.createDataFrame([(1, i) for i in (0, 2, 2, 3, 4, 5)] + [(2, 4)], "asset_id long, a_i int")
+    got = sorted((r.asset_id, r.a_i, r.turn) for r in D.in_turns(found, said, "a_i").collect())
+    assert got == [(1, 0, 0), (1, 2, 0), (1, 2, 0), (1, 3, 3), (1, 4, 3), (1, 5, 9), (2, 4, 3)]
+    words = {(r.asset_id, r.word_idx): r.turn for r in D.timed(said).collect()}
+    assert all(words[a, i] == t for a, i, t in got)
