@@ -377,7 +377,7 @@ def _score(rows: list[tuple], script: Script) -> pa.RecordBatch | None:
     a, b = (np.searchsorted(ends, x + ahead[line], side="right") for x in (p, end))
     conf = np.append(0.0, np.cumsum(conf))
     factor = np.where((conf[b + 1] - conf[a]) / (b + 1 - a) >= SURE, 1.0, 0.85)
-    final = [round(x, 4) for x in (value * factor).tolist()]
+    final = np.round(value * factor, 4)  # as SQL's round_even(); Python's round() says 0.3187 of 0.85 * 0.375
     asset, base = (np.array([x[0] for x in rows])[line], np.array([x[2] for x in lines])[line])
     columns = (asset, pa.array(script.norms, pa.string()).take(pa.array(z)), base + p, idx[a], idx[b], starts_us[a], ends_us[b], value, final)
     return pa.record_batch([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, _FOUND)], schema=_FOUND)

@@ -40,6 +40,12 @@ def test_more_repeats_in_a_sentence_than_places_in_a_text():
     assert (k, place.tolist(), before.tolist()) == (0, [0], [-1])
 
 
+def test_confidence_is_rounded_as_in_sql(spark):
+    df = spark.createDataFrame([(1, 0, "abcde", 0, 1, 20), (1, 1, "jklm", 2, 3, 20)], WORDS)
+    s = spark.createDataFrame([(1, 1, "abcdefghijklm")], "item_id long, sent_id int, text string")
+    assert [r.confidence for r in A.align(df, s).collect()] == [0.3188]  # 0.85 * 6 / 16
+
+
 def test_words_stay_where_lists_of_all_recordings_come(spark):
     rng = random.Random(5)
     rows = [(a, i, rng.choice("tick tock and so on we go".split()), 0, 0, rng.choice((100, 900))) for a in range(4) for i in range(9000 if a == 3 else 70 * a)]
